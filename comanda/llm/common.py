@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 
@@ -57,3 +58,47 @@ def shingles(text: str | None, hashes: Callable, size: int = 5) -> np.ndarray:
     for k in range(min(size, len(w))):
         h = h * _P + w[k : k + n]
     return np.unique(mixed(h))
+
+
+def held_out(doc_id: Column) -> Column:
+    """Rows kept from all learning: crc32 of the id as text is a multiple of 5."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """(text, *columns) of at most ``most`` labelled rows outside the held-out ones.
+
+    The ids come in the order of a hash, so the bounded sample is the same in every run; it is
+    small by that bound and goes to the tasks, and the texts stay where they lie.
+    """
+    known = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    for c in columns:
+        known = known.filter(F.col(c).isNotNull())
+    known = known.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns])
+    chosen = known.orderBy(F.xxhash64(F.lit("train"), "doc_id"), "doc_id").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", *columns)
+
+
+class Sparse:
+    """Rows of (feature, value), for products with weights."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_features: int):
+        self.n, self.n_features = len(rows), n_features
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c, _ in rows])
+        self.column = np.concatenate([np.empty(0, np.int32), *[np.asarray(c, np.int32) for c, _ in rows]])
+        self.value = np.concatenate([np.empty(0, np.float32), *[np.asarray(v, np.float32) for _, v in rows]])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.n)
+
+    def transposed_times(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value * r[self.row], self.n_features)
+
+    def step(self) -> float:
+        """A safe bound of the largest squared singular value, by power iteration."""
+        v = np.full(self.n_features, 1.0)
+        for _ in range(20):
+            v = self.transposed_times(self.times(v))
+            size = np.linalg.norm(v) or 1.0
+            v /= size
+        return size * 1.1

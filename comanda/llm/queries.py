@@ -6,15 +6,27 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from comanda.llm import source_mixing, token_binary, url_filters
+from comanda.llm import decontamination, fingerprints, ngram_join, quality, source_mixing, surrogates, token_binary, toxicity, url_filters
 from comanda.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 N_VOCAB, END_ID = 49_408, 1
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_copies", "n_links")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = source_mixing.taken_words(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
@@ -26,15 +38,33 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.read_digests(manifest)
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.judged(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filters.judge(pages, url_filters.recrawled(pages))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
     "op4_source_mixing": op4_source_mixing,
     "op6_token_binary": op6_token_binary,
+    "op7_surrogates": op7_surrogates,
+    "op8_fingerprints": op8_fingerprints,
     "op9_url_filters": op9_url_filters,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
