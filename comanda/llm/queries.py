@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from comanda.llm import decontamination, fingerprints, ngram_join, quality, source_mixing, surrogates, token_binary, toxicity, url_filters
+from comanda.llm import decontamination, fingerprints, ngram_join, quality, source_mixing, suffix_dedup, surrogates, token_binary, toxicity, url_filters
 from comanda.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,11 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+    return kept.drop("kept")
+
+
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = token_binary.write_shards(docs, TOKENIZER, N_VOCAB, END_ID)
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_source_mixing": op4_source_mixing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_binary": op6_token_binary,
     "op7_surrogates": op7_surrogates,
     "op8_fingerprints": op8_fingerprints,
