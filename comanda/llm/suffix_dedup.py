@@ -25,14 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, K, MOST_STARTS = 50, 20, 64
 #: Units that a task gathers before it settles and sends them on.
 FLUSH = 400_000
-BUCKETS_A_PARTITION = 4
-NO_ID = -(1 << 63)
+#: Bytes of texts that are hashed in one go.
+PORTION = 1 << 16
+BUCKETS_A_PARTITION = 8
+NO_ID, NULLS = -(1 << 63), -(1 << 62)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TWO = np.uint64(0xC2B2AE3D27D4EB4F)
 _END = b"\xff"  # no byte of UTF-8
@@ -57,79 +61,134 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, first starts, numbers of starts) of the text's units."""
-    n = len(text) - LENGTH + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    grams, data = len(text) - K + 1, text + bytes(16)
+def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, key, first start, number of starts) of all units of the texts."""
+    joined = b"".join(texts)
+    n = len(joined) - LENGTH + 1
+    sizes = np.array(list(map(len, texts)), np.int64)
+    begin = np.cumsum(sizes) - sizes
+    if n <= 0 or sizes.max() < LENGTH:
+        return (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+    grams, data = len(joined) - K + 1, joined + bytes(16)
     h = _loads(data, grams, 0) * _ODD
     h ^= (h >> np.uint64(29)) + _loads(data, grams, 8)
     h *= _TWO
     h ^= (h >> np.uint64(32)) + _loads(data, grams, K - 8)
     h *= _ODD
-    h ^= h >> np.uint64(31)
     key = _least(h, LENGTH - K + 1)
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    # starts whose string would leave its text count for nothing; runs end there too
+    bad = np.zeros(n + 1, np.int8)
+    last = begin + sizes
+    np.add.at(bad, np.clip(last - LENGTH + 1, begin, n), 1)
+    np.add.at(bad, np.minimum(last, n), -1)
+    bad = np.cumsum(bad[:n]) > 0
+    edge = np.empty(n, bool)
+    edge[0] = True
+    np.not_equal(key[1:], key[:-1], out=edge[1:])
+    edge[begin[begin < n]] = True
+    edge[1:] |= bad[1:] != bad[:-1]
+    first = np.flatnonzero(edge)
     size = np.diff(np.append(first, n))
-    if size.max() > MOST_STARTS:
+    good = ~bad[first]
+    first, size = first[good], size[good]
+    if len(size) and size.max() > MOST_STARTS:
         parts = -(-size // MOST_STARTS)
         within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first, size = np.repeat(first, parts) + within * MOST_STARTS, np.minimum(np.repeat(size, parts) - within * MOST_STARTS, MOST_STARTS)
-    return key[first], first, size
+    key = key[first]
+    key ^= key >> np.uint64(31)
+    which = np.searchsorted(begin, first, side="right") - 1
+    return which, key & np.uint64((1 << 48) - 1), first - begin[which], size
+
+
+def _portions(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of about PORTION bytes."""
+    a = total = 0
+    for k, t in enumerate(texts):
+        total += len(t)
+        if total >= PORTION:
+            yield a, k + 1
+            a, total = k + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
 
 
 def _groups(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1]))
 
 
-def suffix_order(data: bytes, depth: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in the order of their first ``depth`` bytes, the rank of each position)."""
+def _sorted_with(key: np.ndarray, values: np.ndarray, bits: int, fits: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and their values; where key and value fit one number, that number is sorted."""
+    if fits:
+        both = np.sort((key << np.uint64(bits)) | values.astype(np.uint64))
+        return both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int32)
+    by = np.argsort(key)
+    return key[by], values[by]
+
+
+def suffix_order(data: bytes, depth: int = LENGTH) -> np.ndarray:
+    """Positions in the order of their first ``depth`` bytes: prefixes double in width from round to
+    round, and only positions that still tie take part."""
     n = len(data)
-    key = _loads(data + bytes(16), n, 0).byteswap()
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    begin = _groups(sorted_key)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(begin, np.diff(np.append(begin, n)))
-    size = np.repeat(np.diff(np.append(begin, n)), np.diff(np.append(begin, n)))
-    slots = np.flatnonzero(size > 1)
-    width = 8
+    bits = max(1, (n + 1).bit_length())
+    width = (64 - bits) // 8
+    key = _loads(data + bytes(16), n, 0).byteswap() >> np.uint64(64 - 8 * width)
+    key, order = _sorted_with(key, np.arange(n, dtype=np.int32), bits, True)
+    begin = _groups(key)
+    sizes = np.diff(np.append(begin, n))
+    rank = np.empty(n + 2 * depth, np.int32)
+    rank[n:] = -1
+    rank[order] = np.repeat(begin, sizes)
+    slots = np.flatnonzero(np.repeat(sizes > 1, sizes))
     while width < depth and len(slots):
         open_ = order[slots]
-        after = open_ + width
-        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        key = (rank[open_].astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
-        by = np.argsort(key, kind="stable")
-        order[slots] = open_[by]
-        begin = _groups(key[by])
+        key = (rank[open_].astype(np.uint64) << np.uint64(bits)) | (rank[open_ + width] + 1).astype(np.uint64)
+        key, open_ = _sorted_with(key, open_, bits, 3 * bits <= 64)
+        order[slots] = open_
+        begin = _groups(key)
         sizes = np.diff(np.append(begin, len(slots)))
-        rank[open_[by]] = np.repeat(slots[begin], sizes)
-        slots = slots[np.repeat(sizes, sizes) > 1]
+        rank[open_] = np.repeat(slots[begin], sizes)
+        slots = slots[np.repeat(sizes > 1, sizes)]
         width *= 2
-    return order, rank
+    return order
 
 
 def intervals(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(order, begins): positions by suffix, and where the intervals of equal ``length``-byte
-    prefixes begin in that order."""
-    order, rank = suffix_order(data)
-    n = len(data)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    # LF takes the suffix at t to that at t - 1, which the transform's byte extends; back is its inverse
-    back = place[(order + 1) % n]
+    prefixes begin in that order.
+
+    Level l extends every interval of equal l-byte prefixes backwards by each byte of the
+    transform before it, all intervals at once: two neighbours that begin with one byte have a
+    common prefix of l exactly if LF took them from neighbouring intervals that split at l - 1.
+    """
+    order, n = suffix_order(data), len(data)
+    place = np.empty(n + 1, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    place[n] = place[0]
+    back = place[order + 1]  # the inverse of LF, which takes the suffix at t to that at t - 1
     first = np.frombuffer(data, np.uint8)[order]
     bound = np.append(True, first[1:] != first[:-1])  # level 0: common prefixes of no byte
-    unset = np.flatnonzero(~bound)
+    unset = np.flatnonzero(~bound).astype(np.int32)
+    left, right = back[unset - 1], back[unset]
+    place = np.arange(n, dtype=np.int32)
     for _ in range(1, length):
         if not len(unset):
             break
-        interval = np.cumsum(bound)
-        found = interval[back[unset]] != interval[back[unset - 1]]
-        bound[unset[found]] = True
-        unset = unset[~found]
-    return order, np.flatnonzero(bound)
+        interval = np.cumsum(bound, dtype=np.int32)
+        same = interval[right] == interval[left]
+        bound[unset[~same]] = True
+        unset, left, right = unset[same], left[same], right[same]
+        if 2 * len(unset) < len(bound):  # go on with the intervals of more than one suffix alone
+            keep = ~bound
+            keep[:-1] |= ~bound[1:]
+            new = np.cumsum(keep, dtype=np.int32) - 1
+            both = keep[left] & keep[right]
+            bound[unset[~both]] = True
+            unset, left, right = new[unset[both]], new[left[both]], new[right[both]]
+            bound, place = bound[keep], place[keep]
+    begins = np.ones(n, bool)
+    begins[place[unset]] = False
+    return order, np.flatnonzero(begins)
 
 
 def least_holders(contents: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,54 +208,73 @@ def least_holders(contents: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _based(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, did, bytes. did is doc_id, and for rows without one a number under NULLS."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.col("text").cast("binary").alias("bytes")).repartition(n, "rid")
+    did = F.coalesce("doc_id", F.lit(NULLS) - F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
+    return rows.select("doc_id", did.alias("did"), F.col("text").cast("binary").alias("bytes")).repartition(n, "did")
+
+
+def _order_of(did: np.ndarray) -> np.ndarray:
+    """did as an order of documents: rows without doc_id are one document, the first."""
+    return np.where(did <= NULLS, NO_ID, did)
+
+
+def _tag(text: bytes) -> int:
+    """Tells texts of one doc_id apart."""
+    return xxhash.xxh32_intdigest(text)
+
+
+def _packed(bucket: np.ndarray, n_buckets: int, columns: dict[str, np.ndarray]) -> tuple[list[int], dict[str, list[bytes]], list[np.ndarray]]:
+    """The columns' bytes for each bucket that has rows, and those rows."""
+    order = np.argsort(bucket.astype(np.int32), kind="stable")
+    at = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+    found = np.flatnonzero(np.diff(at))
+    rows = [order[at[b] : at[b + 1]] for b in found]
+    return found.tolist(), {name: [values[r].tobytes() for r in rows] for name, values in columns.items()}, rows
 
 
 def _keys(base: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket, keys, rids, ids, kinds) as packed arrays; kinds: 0 a unit's key, 1 a witness of a
-    key that is known to be shared, 2 a unit's key that is known to be shared."""
-
-    def settle(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
-        key = np.concatenate([k for k, _, _ in held])
-        times = [len(k) for k, _, _ in held]
-        rid, ident = np.repeat(np.array([r for _, r, _ in held]), times), np.repeat(np.array([i for _, _, i in held]), times)
-        by = np.argsort(key, kind="stable")
+    """(bucket, keys, dids, kinds) as packed arrays; kinds: 0 a unit's key, 1 a witness of a key
+    that is known to be shared, 2 a unit's key that is known to be shared. Keys have 48 bits here:
+    one that looks shared by chance only brings its unit to the intervals."""
+
+    def settle(held: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+        key = np.concatenate([k for k, _ in held])
+        did = np.repeat(np.array([d for _, d in held], np.int64), [len(k) for k, _ in held])
+        ident = _order_of(did)
+        by = np.argsort(key)
         begin = _groups(key[by])
         size = np.diff(np.append(begin, len(key)))
-        least, most = np.minimum.reduceat(ident[by], begin), np.maximum.reduceat(ident[by], begin)
+        shared_group = np.minimum.reduceat(ident[by], begin) < np.maximum.reduceat(ident[by], begin)
         shared = np.empty(len(key), bool)
-        shared[by] = np.repeat(least < most, size)
-        witness = key[by][begin[least < most]]
-        spread = (rid.view(np.uint64) * _ODD) >> np.uint64(40)
-        bucket = np.concatenate([np.where(shared, spread, key >> np.uint64(20)), witness >> np.uint64(20)]) % np.uint64(n_buckets)
-        key, rid, ident = np.concatenate([key, witness]), np.append(rid, np.zeros(len(witness), np.int64)), np.append(ident, np.full(len(witness), NO_ID))
+        shared[by] = np.repeat(shared_group, size)
+        witness = key[by][begin[shared_group]]
+        spread = (did.view(np.uint64) * _ODD) >> np.uint64(40)
+        bucket = np.concatenate([np.where(shared, spread, key), witness]) % np.uint64(n_buckets)
         kind = np.append(shared.astype(np.uint8) * 2, np.ones(len(witness), np.uint8))
-        order = np.argsort(bucket.astype(np.int32), kind="stable")
-        at = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
-        rows = {"bucket": [], "keys": [], "rids": [], "ids": [], "kinds": []}
-        for b in np.flatnonzero(np.diff(at)):
-            part = order[at[b] : at[b + 1]]
-            rows["bucket"].append(int(b))
-            for name, values in (("keys", key), ("rids", rid), ("ids", ident), ("kinds", kind)):
-                rows[name].append(values[part].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in ("keys", "rids", "ids", "kinds")]], list(rows))
+        key = np.concatenate([key, witness]).view(np.uint8).reshape(-1, 8)[:, :6]
+        buckets, packed, _ = _packed(bucket, n_buckets, {"keys": key, "dids": np.append(did, np.zeros(len(witness), np.int64)), "kinds": kind})
+        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), *[pa.array(packed[c], pa.binary()) for c in ("keys", "dids", "kinds")]], ["bucket", "keys", "dids", "kinds"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for doc_id, rid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys = np.unique(units(text)[0])
-                if len(keys):
-                    held.append((keys, rid, NO_ID if doc_id is None else doc_id))
-                    n += len(keys)
+            dids, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for a, z in _portions(texts):
+                which, keys, _, _ = units(texts[a:z])
+                edges = np.searchsorted(which, np.arange(z - a + 1))
+                for k in range(z - a):
+                    own = np.unique(keys[edges[k] : edges[k + 1]])
+                    if len(own):
+                        held.append((own, dids[a + k]))
+                        n += len(own)
             if n >= FLUSH:
                 yield settle(held)
                 held, n = [], 0
         if held:
             yield settle(held)
 
-    return base.mapInArrow(found, "bucket int, keys binary, rids binary, ids binary, kinds binary")
+    return base.mapInArrow(found, "bucket int, keys binary, dids binary, kinds binary")
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -219,110 +297,129 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _shared_keys(keys: DataFrame, n: int) -> DataFrame:
-    """(rid, keys): the keys of a document that other documents have too."""
+    """(did, keys): the keys of a document that other documents have too."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_bucket(batches):
-            key, rid, ident, kind = (np.concatenate([np.frombuffer(x, kind_) for x in t.column(c).to_pylist()]) for c, kind_ in (("keys", "<u8"), ("rids", "<i8"), ("ids", "<i8"), ("kinds", "u1")))
-            done, asked = np.flatnonzero(kind == 2), np.flatnonzero(kind < 2)
-            out = done
+            six = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.uint8).reshape(-1, 6)
+            key = np.zeros((len(six), 8), np.uint8)
+            key[:, :6] = six
+            key = key.reshape(-1).view("<u8")
+            did = np.frombuffer(b"".join(t.column("dids").to_pylist()), "<i8")
+            kind = np.frombuffer(b"".join(t.column("kinds").to_pylist()), np.uint8)
+            out, asked = np.flatnonzero(kind == 2), np.flatnonzero(kind < 2)
             if len(asked):
-                by = asked[np.argsort(key[asked], kind="stable")]
+                by = asked[np.argsort(key[asked])]
                 begin = _groups(key[by])
                 size = np.diff(np.append(begin, len(by)))
-                real = np.where(kind[by] == 1, np.iinfo(np.int64).max, ident[by])
-                least = np.minimum.reduceat(real, begin)
-                most = np.maximum.reduceat(np.where(kind[by] == 1, NO_ID, ident[by]), begin)
-                good = (least < most) & (most > NO_ID) | (np.maximum.reduceat(kind[by], begin) == 1)
-                out = np.append(done, by[np.repeat(good, size) & (kind[by] == 0)])
-            yield pa.RecordBatch.from_arrays([pa.array(rid[out]), pa.array(key[out].view(np.int64))], ["rid", "key"])
+                ident, witness = _order_of(did[by]), kind[by] == 1
+                apart = np.minimum.reduceat(ident, begin) < np.maximum.reduceat(ident, begin)
+                good = np.repeat(np.maximum.reduceat(witness, begin) | apart, size) & ~witness
+                out = np.append(out, by[good])
+            yield pa.RecordBatch.from_arrays([pa.array(did[out]), pa.array(key[out].view(np.int64))], ["did", "key"])
 
     dealt = keys.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(shared, "rid long, key long").groupBy("rid").agg(F.collect_list("key").alias("keys"))
+    return dealt.mapInArrow(shared, "did long, key long").groupBy("did").agg(F.collect_list("key").alias("keys"))
 
 
-UNIT = "bucket int, content binary, id long, rid long, at int, n int"
+PLACES = (("dids", "<i8"), ("tags", "<u4"), ("ats", "<i4"), ("ns", "<i2"))
+CUT = "bucket int, contents binary, " + ", ".join(f"{name} binary" for name, _ in PLACES)
 
 
 def _cut(base: DataFrame, shared: DataFrame, n_buckets: int) -> DataFrame:
-    """Shared units: with their content where intervals decide, without where an equal unit of a
-    smaller doc_id in the same task has decided already (all their starts go)."""
+    """Shared units in packed arrays by bucket. Rows with contents hold units for the intervals;
+    rows without hold units of which the same task has an equal one with a smaller doc_id: all
+    their starts go."""
 
-    def settle(held: dict[tuple[int, bytes], list[tuple[int, int, int, int]]]) -> pa.RecordBatch:
-        rows: list[tuple] = []
+    def settle(held: dict[tuple[int, bytes], list[tuple[int, int, int, int]]]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        asked, done, contents = [], [], []
         for (key, content), uses in held.items():
-            least = min(u[0] for u in uses)
-            for ident, rid, at, size in uses:
-                if ident > least:
-                    rows.append(((rid * 0x9E3779B1 >> 7) % n_buckets, None, ident, rid, at, size))
+            least = min(uses)[0]
+            first = NO_ID if least <= NULLS else least
+            for use in uses:
+                if use[0] > max(first, NULLS):
+                    done.append((use[0] * 0x9E3779B1 >> 7, *use))
                 else:
-                    rows.append(((key >> 20) % n_buckets, content, ident, rid, at, size))
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["bucket", "content", "id", "rid", "at", "n"])
+                    asked.append((key, *use))
+                    contents.append(content)
+        for rows, of in ((asked, contents), (done, None)):
+            if not rows:
+                continue
+            columns = list(zip(*rows, strict=True))
+            bucket = np.array([k % n_buckets for k in columns[0]], np.int64)
+            buckets, packed, places = _packed(bucket, n_buckets, {name: np.array(c, kind) for (name, kind), c in zip(PLACES, columns[1:], strict=True)})
+            texts = [squeeze.compress(b"".join([of[k] for k in p.tolist()])) for p in places] if of is not None else [None] * len(buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(texts, pa.binary()), *[pa.array(packed[name], pa.binary()) for name, _ in PLACES]], ["bucket", "contents", *[name for name, _ in PLACES]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = {}, 0
         for batch in batches:
-            for k in range(batch.num_rows):
-                doc_id, rid, text = (batch.column(c)[k].as_py() for c in range(3))
-                ident = NO_ID if doc_id is None else doc_id
-                known = np.unique(batch.column(3)[k].values.to_numpy().view(np.uint64))
-                keys, first, size = units(text)
-                slot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                for u in np.flatnonzero(known[slot] == keys).tolist():
-                    a, s = int(first[u]), int(size[u])
-                    held.setdefault((int(keys[u]), text[a : a + s - 1 + LENGTH]), []).append((ident, rid, a, s))
-                    n += 1
-            if n >= FLUSH // 2:
-                yield settle(held)
+            dids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, z in _portions(texts):
+                which, keys, first, size = units(texts[a:z])
+                edges = np.searchsorted(which, np.arange(z - a + 1))
+                for k in range(a, z):
+                    own = slice(*edges[k - a : k - a + 2])
+                    known = np.unique(batch.column(2)[k].values.to_numpy().view(np.uint64))
+                    slot = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
+                    u, text, did = np.flatnonzero(known[slot] == keys[own]), texts[k], dids[k]
+                    tag = _tag(text)
+                    n += len(u)
+                    for key, at, many in zip(keys[own][u].tolist(), first[own][u].tolist(), size[own][u].tolist(), strict=True):
+                        held.setdefault((key, text[at : at + many - 1 + LENGTH]), []).append((did, tag, at, many))
+            if n >= FLUSH:
+                yield from settle(held)
                 held, n = {}, 0
         if held:
-            yield settle(held)
+            yield from settle(held)
 
-    return base.join(shared, "rid").select("doc_id", "rid", "bytes", "keys").mapInArrow(cut, UNIT)
+    return base.join(shared, "did").select("did", "bytes", "keys").mapInArrow(cut, CUT)
 
 
 def _marked(cut: DataFrame, n: int) -> DataFrame:
-    """(rid, spans): the starts of strings that a smaller doc_id holds."""
+    """(did, spans): the starts of strings that a smaller doc_id holds, by the text's tag."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_bucket(batches):
-            content, ident, rid, at, size = (t.column(c).to_pylist() for c in ("content", "id", "rid", "at", "n"))
-            out = [(r, a, s) for c, r, a, s in zip(content, rid, at, size, strict=True) if c is None]
+            opened = [zstandard.ZstdDecompressor().decompress(c) if c is not None else None for c in t.column("contents").to_pylist()]
+            out, contents, asked = [], [], []
             number: dict[bytes, int] = {}
-            ids: list[int] = []
-            asked = []
-            for c, i, r, a, s in zip(content, ident, rid, at, size, strict=True):
-                if c is not None:
-                    k = number.setdefault(c, len(number))
-                    if k == len(ids):
-                        ids.append(i)
-                    elif i < ids[k]:
-                        ids[k] = i
-                    asked.append((k, i, r, a, s))
+            for k, text in enumerate(opened):
+                place = [np.frombuffer(t.column(name)[k].as_py(), kind) for name, kind in PLACES]
+                if text is None:
+                    out.append(place)
+                    continue
+                end = np.cumsum(place[3].astype(np.int64) - 1 + LENGTH)
+                contents += [number.setdefault(text[z - s : z], len(number)) for z, s in zip(end.tolist(), (place[3].astype(np.int64) - 1 + LENGTH).tolist(), strict=True)]
+                asked.append(place)
             if asked:
-                least, begin = least_holders(list(number), np.array(ids, np.int64))
-                for k, i, r, a, s in asked:
-                    goes = least[begin[k] : begin[k] + s] < i
-                    if goes.all():
-                        out.append((r, a, s))
-                    elif goes.any():
-                        edge = np.flatnonzero(np.diff(np.concatenate([[False], goes, [False]]).astype(np.int8)))
-                        out += [(r, a + int(x), int(y - x)) for x, y in zip(edge[::2], edge[1::2], strict=True)]
-            columns = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["rid", "at", "n"])
+                did, tag, at, size = (np.concatenate([p[c] for p in asked]) for c in range(4))
+                which, ident, size = np.array(contents, np.int64), _order_of(did), size.astype(np.int64)
+                ids = np.full(len(number), np.iinfo(np.int64).max)
+                np.minimum.at(ids, which, ident)
+                least, begin = least_holders(list(number), ids)
+                unit = np.repeat(np.arange(len(size)), size)
+                off = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
+                goes = least[begin[which[unit]] + off] < ident[unit]
+                # runs of going starts within a unit
+                edge = goes.copy()
+                edge[1:] &= ~(goes[:-1] & (unit[1:] == unit[:-1]))
+                last = goes.copy()
+                last[:-1] &= ~(goes[1:] & (unit[1:] == unit[:-1]))
+                a, z = np.flatnonzero(edge), np.flatnonzero(last)
+                out.append([did[unit[a]], tag[unit[a]], at[unit[a]] + off[a], off[z] - off[a] + 1])
+            did, tag, at, size = (np.concatenate([p[c] for p in out]) for c in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(did.astype(np.int64)), pa.array(tag.astype(np.uint32).view(np.int32)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int16))], ["did", "tag", "at", "n"])
 
     dealt = cut.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(mark, "rid long, at int, n int").groupBy("rid").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    return dealt.mapInArrow(mark, "did long, tag int, at int, n smallint").groupBy("did").agg(F.collect_list(F.struct("tag", "at", "n")).alias("spans"))
 
 
-def removed_mask(n_bytes: int, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Bytes covered by a string that starts in one of the spans of starts."""
-    step = np.zeros(n_bytes + 1, np.int64)
-    for at, n in spans:
-        step[at] += 1
-        step[at + n - 1 + LENGTH] -= 1
-    return np.cumsum(step[:-1]) > 0
+def removed_mask(n_bytes: int, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bytes covered by a string that starts in one of the spans of n starts from at."""
+    step = np.bincount(at, minlength=n_bytes + 1) - np.bincount(at + n - 1 + LENGTH, minlength=n_bytes + 1)
+    return np.cumsum(step[:n_bytes]) > 0
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -332,21 +429,22 @@ def _finished(base: DataFrame, marks: DataFrame, with_bytes: bool) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, _, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                gone = spans_gone = 0
-                if spans:
-                    mask = removed_mask(len(text), [(s["at"], s["n"]) for s in spans])
-                    gone, spans_gone = int(mask.sum()), int(np.count_nonzero(np.diff(np.append(False, mask).astype(np.int8)) == 1))
+            for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                gone = runs = 0
+                kept = text
+                if batch.column(2)[k].is_valid:
+                    tag, at, n = (x.to_numpy() for x in batch.column(2)[k].values.flatten())
+                    own = tag.view(np.uint32) == _tag(text)
+                    mask = removed_mask(len(text), at[own].astype(np.int64), n[own].astype(np.int64))
+                    gone, runs = int(mask.sum()), int(np.count_nonzero(np.diff(np.append(False, mask).astype(np.int8)) == 1))
                     kept = np.frombuffer(text, np.uint8)[~mask].tobytes()
-                else:
-                    kept = text
-                rows.append((doc_id, len(text), gone, spans_gone, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
+                rows.append((doc_id, len(text), gone, runs, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     # the texts' exchange is that of the earlier steps and is reused
-    return base.join(marks, "rid", "left").select("doc_id", "rid", "bytes", "spans").mapInArrow(finish, KEPT)
+    return base.join(marks, "did", "left").select("doc_id", "bytes", "spans").mapInArrow(finish, KEPT)
 
 
 def without_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
