@@ -171,23 +171,25 @@ def intervals(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray
     unset = np.flatnonzero(~bound).astype(np.int32)
     left, right = back[unset - 1], back[unset]
     place = np.arange(n, dtype=np.int32)
+    late = unset[:0]  # known to split at the next level
     for _ in range(1, length):
-        if not len(unset):
+        if not len(unset) and not len(late):
             break
         interval = np.cumsum(bound, dtype=np.int32)
         same = interval[right] == interval[left]
         bound[unset[~same]] = True
-        unset, left, right = unset[same], left[same], right[same]
+        bound[late] = True
+        unset, left, right, late = unset[same], left[same], right[same], late[:0]
         if 2 * len(unset) < len(bound):  # go on with the intervals of more than one suffix alone
             keep = ~bound
             keep[:-1] |= ~bound[1:]
             new = np.cumsum(keep, dtype=np.int32) - 1
             both = keep[left] & keep[right]
-            bound[unset[~both]] = True
+            late = new[unset[~both]]
             unset, left, right = new[unset[both]], new[left[both]], new[right[both]]
             bound, place = bound[keep], place[keep]
     begins = np.ones(n, bool)
-    begins[place[unset]] = False
+    begins[place[np.append(unset, late)]] = False
     return order, np.flatnonzero(begins)
 
 
@@ -355,13 +357,13 @@ def _cut(base: DataFrame, shared: DataFrame, n_buckets: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = {}, 0
         for batch in batches:
-            dids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            dids, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for a, z in _portions(texts):
                 which, keys, first, size = units(texts[a:z])
                 edges = np.searchsorted(which, np.arange(z - a + 1))
                 for k in range(a, z):
                     own = slice(*edges[k - a : k - a + 2])
-                    known = np.unique(batch.column(2)[k].values.to_numpy().view(np.uint64))
+                    known = np.unique(batch.column(3)[k].values.to_numpy().view(np.uint64))
                     slot = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
                     u, text, did = np.flatnonzero(known[slot] == keys[own]), texts[k], dids[k]
                     tag = _tag(text)
@@ -374,7 +376,7 @@ def _cut(base: DataFrame, shared: DataFrame, n_buckets: int) -> DataFrame:
         if held:
             yield from settle(held)
 
-    return base.join(shared, "did").select("did", "bytes", "keys").mapInArrow(cut, CUT)
+    return base.join(shared, "did").select("doc_id", "did", "bytes", "keys").mapInArrow(cut, CUT)
 
 
 def _marked(cut: DataFrame, n: int) -> DataFrame:
@@ -429,11 +431,11 @@ def _finished(base: DataFrame, marks: DataFrame, with_bytes: bool) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 gone = runs = 0
                 kept = text
-                if batch.column(2)[k].is_valid:
-                    tag, at, n = (x.to_numpy() for x in batch.column(2)[k].values.flatten())
+                if batch.column(3)[k].is_valid:
+                    tag, at, n = (x.to_numpy() for x in batch.column(3)[k].values.flatten())
                     own = tag.view(np.uint32) == _tag(text)
                     mask = removed_mask(len(text), at[own].astype(np.int64), n[own].astype(np.int64))
                     gone, runs = int(mask.sum()), int(np.count_nonzero(np.diff(np.append(False, mask).astype(np.int8)) == 1))
@@ -444,7 +446,7 @@ def _finished(base: DataFrame, marks: DataFrame, with_bytes: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     # the texts' exchange is that of the earlier steps and is reused
-    return base.join(marks, "did", "left").select("doc_id", "bytes", "spans").mapInArrow(finish, KEPT)
+    return base.join(marks, "did", "left").select("doc_id", "did", "bytes", "spans").mapInArrow(finish, KEPT)
 
 
 def without_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
