@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from comanda.llm.common import set_aside
+
 Q, EDIT_SHARE = 12, 0.06
 BLOCK_BYTES = 8_000_000
 _TABLE_BITS = 20
@@ -186,4 +188,6 @@ def judged(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    return with_leaks(docs, benchmark, **how).filter(F.size("_leaks") == 0).drop("_leaks")
+    """The rows of ``docs`` that hold no passage."""
+    rows, restored = set_aside(docs, ("text",))
+    return restored(with_leaks(rows, benchmark, **how).filter(F.size("_leaks") == 0))

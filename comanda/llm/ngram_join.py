@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from comanda.llm.common import Hashes, shingles
+from comanda.llm.common import Hashes, set_aside, shingles
 from comanda.session import written
 
 SIMILARITY, RECALL, ROWS, SIZE = 0.8, 0.9995, 6, 5
@@ -234,7 +234,8 @@ def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY, recall: float
 
 def first_of_groups(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that stand for their group of near duplicates, one each."""
+    docs, restored = set_aside(docs, ("doc_id", "text"))
     firsts = near_duplicates(docs, **how).filter("first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     rows = docs.withColumn("_own", F.xxhash64("text"))
     kept = rows.join(firsts, (rows["doc_id"].cast("long").eqNullSafe(F.col("_id"))) & (F.col("_own") == F.col("_hash")))
-    return kept.dropDuplicates(["_id", "_hash"]).select(*[rows[c] for c in docs.columns])
+    return restored(kept.dropDuplicates(["_id", "_hash"]))

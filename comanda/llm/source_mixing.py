@@ -16,6 +16,7 @@ from decimal import Decimal, getcontext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from comanda.llm.common import set_aside
 from comanda.session import written
 
 #: Fixed values of the mix: weights by rank of source, share of all words, most repeats.
@@ -163,6 +164,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     Rows keep the columns of ``docs``; ``n_chars`` follows a shortened text where there is one.
     """
+    docs, restored = set_aside(docs, ("doc_id", "text", "source", "n_chars"))
     chosen = taken_words(docs, **how).filter("taken > 0")
     rows = chosen.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), "size", F.explode("taken_by_pass").alias("p")).select("_doc", "_source", "size", F.col("p.n").alias("n"))
     # repeated rows of one document are equal in size and source, so each takes part once
@@ -178,4 +180,4 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     out = out.withColumn("text", F.when(F.col("_n") == F.col("_size"), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[out[c] for c in docs.columns])
+    return restored(out)

@@ -35,7 +35,8 @@ LENGTH, K, MOST_STARTS = 50, 20, 64
 FLUSH = 400_000
 #: Bytes of texts that are hashed in one go.
 PORTION = 1 << 16
-BUCKETS_A_PARTITION = 8
+#: Bytes of units that go into one suffix order.
+ORDER_BYTES = 1 << 20
 NO_ID, NULLS = -(1 << 63), -(1 << 62)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TWO = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -209,6 +210,18 @@ def least_holders(contents: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, n
     return out, begin
 
 
+def _held_by_parts(contents: list[bytes], ids: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``least_holders`` of contents whose parts share no string, one part after another."""
+    begin, out, total = np.empty(len(contents), np.int64), [], 0
+    for p in np.unique(part):
+        own = np.flatnonzero(part == p)
+        least, at = least_holders([contents[k] for k in own], ids[own])
+        begin[own] = at + total
+        out.append(least)
+        total += len(least)
+    return np.concatenate(out), begin
+
+
 def _based(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, did, bytes. did is doc_id, and for rows without one a number under NULLS."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -324,7 +337,8 @@ def _shared_keys(keys: DataFrame, n: int) -> DataFrame:
     return dealt.mapInArrow(shared, "did long, key long").groupBy("did").agg(F.collect_list("key").alias("keys"))
 
 
-PLACES = (("dids", "<i8"), ("tags", "<u4"), ("ats", "<i4"), ("ns", "<i2"))
+#: subs: eight bits of the key, which split a bucket into texts of about ORDER_BYTES.
+PLACES = (("dids", "<i8"), ("tags", "<u4"), ("ats", "<i4"), ("ns", "<i2"), ("subs", "u1"))
 CUT = "bucket int, contents binary, " + ", ".join(f"{name} binary" for name, _ in PLACES)
 
 
@@ -341,9 +355,9 @@ def _cut(base: DataFrame, shared: DataFrame, n_buckets: int) -> DataFrame:
             first = NO_ID if least <= NULLS else least
             for use in uses:
                 if use[0] > max(first, NULLS):
-                    done.append((use[0] * 0x9E3779B1 >> 7, *use))
+                    done.append((use[0] * 0x9E3779B1 >> 7, *use, 0))
                 else:
-                    asked.append((key, *use))
+                    asked.append((key, *use, key >> 40 & 255))
                     contents.append(content)
         for rows, of in ((asked, contents), (done, None)):
             if not rows:
@@ -396,11 +410,13 @@ def _marked(cut: DataFrame, n: int) -> DataFrame:
                 contents += [number.setdefault(text[z - s : z], len(number)) for z, s in zip(end.tolist(), (place[3].astype(np.int64) - 1 + LENGTH).tolist(), strict=True)]
                 asked.append(place)
             if asked:
-                did, tag, at, size = (np.concatenate([p[c] for p in asked]) for c in range(4))
+                did, tag, at, size, sub = (np.concatenate([p[c] for p in asked]) for c in range(5))
                 which, ident, size = np.array(contents, np.int64), _order_of(did), size.astype(np.int64)
                 ids = np.full(len(number), np.iinfo(np.int64).max)
                 np.minimum.at(ids, which, ident)
-                least, begin = least_holders(list(number), ids)
+                part = np.zeros(len(number), np.int64)
+                part[which] = sub.astype(np.int64) * -(-sum(map(len, number)) // ORDER_BYTES) // 256
+                least, begin = _held_by_parts(list(number), ids, part)
                 unit = np.repeat(np.arange(len(size)), size)
                 off = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
                 goes = least[begin[which[unit]] + off] < ident[unit]
@@ -453,7 +469,6 @@ def without_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of every row."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = _based(docs, n)
-    n_buckets = n * BUCKETS_A_PARTITION
-    shared = _shared_keys(_keys(base, n_buckets), n)
-    marks = _marked(_cut(base, shared, n_buckets), n)
+    shared = _shared_keys(_keys(base, n), n)
+    marks = _marked(_cut(base, shared, n), n)
     return _finished(base, marks, with_bytes)

@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from comanda.llm.common import set_aside
 from comanda.session import written
 
 KEY = "demonstration key; pass your own"
@@ -168,7 +169,13 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with its texts' entities replaced, and ``_entities``: how many each text had."""
+    """``docs`` with its texts' entities replaced."""
+    rows, restored = set_aside(docs, ("doc_id", "text"))
+    return restored(_replaced(rows, key))
+
+
+def _replaced(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with replaced entities, and ``_entities``: how many each text had."""
     has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
     hit = docs.filter(has).withColumn("_hash", F.xxhash64("text"))
     rest = docs.filter(~has).withColumn("_entities", F.lit(0).cast("long"))
@@ -192,4 +199,4 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def judged(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text with surrogates and n_entities of every row."""
-    return pseudonymised(docs.select("doc_id", "text"), key).select("doc_id", "text", F.col("_entities").alias("n_entities"))
+    return _replaced(docs.select("doc_id", "text"), key).select("doc_id", "text", F.col("_entities").alias("n_entities"))
