@@ -53,7 +53,7 @@ def primary_units(shop: Shop) -> DataFrame:
 def item_volume_daily(shop: Shop) -> DataFrame:
     factor = F.when(F.col("unit") == "kg", 1000.0).when(F.col("unit") == "mg", 0.001).otherwise(1.0)
     rows = shop.items.join(shop.success.select("order_id", "business_date"), "order_id").join(shop.menu.select("menu_item_id", "unit", "unit_value"), "menu_item_id")
-    return rows.groupBy(text_date(F.col("business_date")).alias("day"), "menu_item_id").agg(F.round(F.sum(F.col("quantity") * F.col("unit_value") * factor), 3).alias("volume"), F.round(F.avg("unit_price"), 2).alias("avg_price"))
+    return rows.groupBy(text_date(F.col("business_date")).alias("day"), "menu_item_id").agg(F.round(F.sum(F.col("quantity") * F.col("unit_value") * factor), 3).alias("volume"), F.round(F.avg("unit_price"), 6).alias("avg_price"))
 
 
 def item_daily_weather(shop: Shop) -> DataFrame:

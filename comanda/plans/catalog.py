@@ -87,7 +87,7 @@ _BR = lambda t, k: f"SELECT menu_item_id, customer_id, quantity, quantity * unit
 add("A36_menu_stats", menu.menu_stats, f", s AS ({_BR('i', 'item')} UNION ALL {_BR('a', 'addon')}), g AS (SELECT menu_item_id, sum(quantity) FILTER (WHERE kind = 'item') AS as_item, sum(quantity) FILTER (WHERE kind = 'addon') AS as_addon, sum(revenue) AS rev, count(DISTINCT customer_id) AS customers, count(DISTINCT customer_id) FILTER (WHERE nth > 1) AS repeat_customers, count(*) AS lines, count(*) FILTER (WHERE nth > 1) AS reorders, sum(quantity) AS q FROM s GROUP BY 1) SELECT menu_item_id, name, type, coalesce(as_item, 0.0) AS as_item, coalesce(as_addon, 0.0) AS as_addon, round(rev, 2) AS revenue, customers, repeat_customers, {_pct('repeat_customers', 'customers')} AS repeat_rate, {_pct('reorders', 'lines')} AS reorder_rate, round(q * unit_value * CASE unit WHEN 'COUNT' THEN 0.0::DOUBLE WHEN 'kg' THEN 1000.0::DOUBLE WHEN 'mg' THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END, 3) AS grams FROM m JOIN g USING (menu_item_id)")
 add("A39_menu_matrix", menu.menu_matrix, "SELECT menu_item_id, name, type, unit, CAST(unit_value AS BIGINT) AS unit_value, price FROM m WHERE is_active")
 add("A40_item_daily_weather", menu.item_daily_weather, ", d AS (SELECT bd, menu_item_id, sum(quantity) AS quantity_sold, arg_min(unit_price, (order_id, line_no, unit_price)) AS unit_price FROM i JOIN ok USING (order_id) GROUP BY 1, 2), v AS (SELECT day(day) AS dom, temp_max FROM w) SELECT CAST(bd AS VARCHAR) AS day, menu_item_id, quantity_sold, unit_price, temp_max FROM d LEFT JOIN v ON day(bd) = dom")
-add("A41_item_volume_daily", menu.item_volume_daily, "SELECT CAST(bd AS VARCHAR) AS day, menu_item_id, round(sum(quantity * unit_value * CASE unit WHEN 'kg' THEN 1000.0::DOUBLE WHEN 'mg' THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END), 3) AS volume, round(avg(unit_price), 2) AS avg_price FROM i JOIN ok USING (order_id) JOIN m USING (menu_item_id) GROUP BY 1, 2")
+add("A41_item_volume_daily", menu.item_volume_daily, "SELECT CAST(bd AS VARCHAR) AS day, menu_item_id, round(sum(quantity * unit_value * CASE unit WHEN 'kg' THEN 1000.0::DOUBLE WHEN 'mg' THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END), 3) AS volume, round(avg(unit_price), 6) AS avg_price FROM i JOIN ok USING (order_id) JOIN m USING (menu_item_id) GROUP BY 1, 2")
 add("A42_mixed_units", menu.mixed_units, "SELECT name FROM m GROUP BY 1 HAVING bool_or(unit = 'COUNT') AND bool_or(unit <> 'COUNT')")
 add("A43_primary_units", menu.primary_units, "SELECT name, CASE WHEN bool_or(unit = 'COUNT') THEN 'units' ELSE 'g' END AS unit FROM m GROUP BY 1")
 add("A44_revenue_with_weather", lambda s: series.revenue_with_weather(s, *NOW), f", {_days(NOW)}, v AS (SELECT day(day) AS dom, temp_max FROM w WHERE day(day) % 3 <> 0), j AS (SELECT * FROM days LEFT JOIN v ON day(days.day) = dom) SELECT CAST(day AS VARCHAR) AS day, round(revenue, 2) AS revenue, num_orders, coalesce(last_value(temp_max IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(temp_max IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS temp_max FROM j")
