@@ -7,6 +7,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from comanda.functions.text import contains_ci, identity_key, uuid5
 from comanda.sources.adapter import Shop
@@ -98,7 +99,7 @@ def violations(shop: Shop) -> DataFrame:
     return out.select("rule", "violations")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two names, 0 to 1."""
     from difflib import SequenceMatcher

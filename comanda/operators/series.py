@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from comanda.functions.dates import text_date, week_ending_sunday
 from comanda.operators.insights import calendar, dense_days
 from comanda.sources.adapter import Shop
 
-#: One series of one shop: a row a day, sorted in one task by design.
-ONE = Window.partitionBy(F.lit(1)).orderBy("day")
+
+def one_series() -> WindowSpec:
+    """One series of one shop: a row a day, sorted in one task by design."""
+    return Window.partitionBy(F.lit(1)).orderBy("day")
 
 
 def _avg(c: str, lo: int, hi: int) -> Column:
-    return F.round(F.avg(c).over(ONE.rowsBetween(lo, hi)), 4)
+    return F.round(F.avg(c).over(one_series().rowsBetween(lo, hi)), 4)
 
 
 def revenue_features(shop: Shop, start: str, end: str) -> DataFrame:
     """lag 1 and 7, shifted rolling means of 7 and 14 days, and the trend of two 3-day means."""
     days = dense_days(shop, start, end)
     return days.select(
-        text_date(F.col("day")).alias("day"), F.round("revenue", 2).alias("revenue"), F.round(F.lag("revenue", 1).over(ONE), 2).alias("lag1"), F.round(F.lag("revenue", 7).over(ONE), 2).alias("lag7"),
-        _avg("revenue", -7, -1).alias("mean7"), _avg("revenue", -14, -1).alias("mean14"), F.round(F.avg("revenue").over(ONE.rowsBetween(-3, -1)) - F.avg("revenue").over(ONE.rowsBetween(-6, -4)), 4).alias("trend"),
+        text_date(F.col("day")).alias("day"), F.round("revenue", 2).alias("revenue"), F.round(F.lag("revenue", 1).over(one_series()), 2).alias("lag1"), F.round(F.lag("revenue", 7).over(one_series()), 2).alias("lag7"),
+        _avg("revenue", -7, -1).alias("mean7"), _avg("revenue", -14, -1).alias("mean14"), F.round(F.avg("revenue").over(one_series().rowsBetween(-3, -1)) - F.avg("revenue").over(one_series().rowsBetween(-6, -4)), 4).alias("trend"),
     )
 
 
@@ -40,7 +42,7 @@ def store_totals(shop: Shop, start: str, end: str) -> DataFrame:
     """An item's quantity and the rest of the shop's in the seven days before, never under 0."""
     panel = item_features(shop, start, end).select("menu_item_id", "day", "q")
     daily = panel.groupBy("day").agg(F.sum("q").alias("all_q"))
-    total = daily.select("day", F.sum("all_q").over(ONE.rowsBetween(-7, -1)).alias("all7"))
+    total = daily.select("day", F.sum("all_q").over(one_series().rowsBetween(-7, -1)).alias("all7"))
     own = F.sum("q").over(Window.partitionBy("menu_item_id").orderBy("day").rowsBetween(-7, -1))
     return panel.withColumn("own7", own).join(total, "day").select("menu_item_id", "day", "q", F.greatest(F.lit(0.0), F.coalesce("all7", F.lit(0.0)) - F.coalesce("own7", F.lit(0.0))).alias("others7"))
 
@@ -49,14 +51,14 @@ def revenue_with_weather(shop: Shop, start: str, end: str) -> DataFrame:
     """Dense days with the temperature carried forward, then backward."""
     weather = shop.weather.select(F.dayofmonth("day").alias("dom"), "temp_max").filter("dom % 3 <> 0")
     rows = dense_days(shop, start, end).withColumn("dom", F.dayofmonth("day")).join(weather, "dom", "left")
-    forward = F.last("temp_max", ignorenulls=True).over(ONE.rowsBetween(Window.unboundedPreceding, 0))
-    backward = F.first("temp_max", ignorenulls=True).over(ONE.rowsBetween(0, Window.unboundedFollowing))
+    forward = F.last("temp_max", ignorenulls=True).over(one_series().rowsBetween(Window.unboundedPreceding, 0))
+    backward = F.first("temp_max", ignorenulls=True).over(one_series().rowsBetween(0, Window.unboundedFollowing))
     return rows.select(text_date(F.col("day")).alias("day"), F.round("revenue", 2).alias("revenue"), "num_orders", F.coalesce(forward, backward).alias("temp_max"))
 
 
 def cumulative_revenue(shop: Shop, start: str, end: str) -> DataFrame:
     days = dense_days(shop, start, end)
-    return days.select(text_date(F.col("day")).alias("day"), F.round(F.sum("revenue").over(ONE.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("cumulative"))
+    return days.select(text_date(F.col("day")).alias("day"), F.round(F.sum("revenue").over(one_series().rowsBetween(Window.unboundedPreceding, 0)), 2).alias("cumulative"))
 
 
 def selected_moving_average(shop: Shop, start: str, end: str, weekdays: tuple[int, ...]) -> DataFrame:
@@ -77,8 +79,8 @@ def weekday_forecast(shop: Shop, start: str, end: str, horizon: int = 7) -> Data
 def new_customer_average(shop: Shop) -> DataFrame:
     """Seven-row average of new customers; the first six rows stay as they are."""
     first = shop.verified_orders.groupBy("customer_id").agg(F.min("business_date").alias("day")).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-    seven = F.round(F.sum("n").over(ONE.rowsBetween(-6, 0)) / 7)
-    return first.select(text_date(F.col("day")).alias("day"), F.col("n").alias("new_customers"), F.when(F.row_number().over(ONE) <= 6, F.col("n").cast("double")).otherwise(seven).alias("average"))
+    seven = F.round(F.sum("n").over(one_series().rowsBetween(-6, 0)) / 7)
+    return first.select(text_date(F.col("day")).alias("day"), F.col("n").alias("new_customers"), F.when(F.row_number().over(one_series()) <= 6, F.col("n").cast("double")).otherwise(seven).alias("average"))
 
 
 def weekly_buckets(shop: Shop, start: str, end: str) -> DataFrame:
