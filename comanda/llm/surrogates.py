@@ -26,7 +26,7 @@ from comanda.session import written
 KEY = "demonstration key; pass your own"
 #: Patterns by type, in order of preference.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": r"(?:(?<![\p{L}\p{N}._%+-])|\G)[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "secret": r"(?i:\b(?:password|passwd|secret|token|api[_-]?key))\s*[=:]\s*[\"']?[A-Za-z0-9_/+-]{8,}",
     "account": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
@@ -49,7 +49,8 @@ FAMILY = {
     "latin": ("Adler", "Berger", "Costa", "Dahl", "Egger", "Fischer", "Garcia", "Holm", "Iversen", "Jensen", "Keller", "Lopez", "Moreau", "Novak", "Olsen", "Petit", "Quist", "Rossi", "Santos", "Thoma", "Urban", "Vidal", "Weber", "Ziegler"),
     "cyrillic": ("Белов", "Волков", "Громов", "Зорин", "Комаров", "Лебедев", "Морозов", "Орлов"),
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Inside a word no pattern begins (but for digits and signs), so most places are passed over at once.
+ANY = r"(?:(?<![\p{L}\p{N}])|\G|(?=[(+\d]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 DRAWS = 12
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -177,23 +178,25 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
 def _replaced(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with replaced entities, and ``_entities``: how many each text had."""
     has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    hit = docs.filter(has).withColumn("_hash", F.xxhash64("text"))
+    matches = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
+    hit = written(docs.filter(has).withColumn("_hash", F.xxhash64("text")).withColumn("_matches", matches), "with-entities")
     rest = docs.filter(~has).withColumn("_entities", F.lit(0).cast("long"))
-    found = docs.filter(has).select(F.explode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("entity")).distinct()
+    found = hit.select(F.explode("_matches").alias("entity")).distinct()
     kind, prefix = type_of(F.col("entity")), prefix_of(F.col("entity"), F.col("kind"))
     found = found.withColumn("kind", kind).withColumn("prefix", prefix).withColumn("surface", F.substr("entity", F.length("prefix") + 1))
     found = written(found.withColumn("norm", normal_form(F.col("surface"), F.col("kind"))).withColumn("gender", gender_of(F.col("prefix"))), "found")
     drawn = surrogates(found.select("kind", "gender", "norm"), key)
     table = found.join(drawn, ["kind", "gender", "norm"]).select("entity", F.concat("prefix", rendered(F.col("drawn"), F.col("surface"), F.col("kind"))).alias("put"))
     table = written(table, "replacements")
-    pairs = hit.select("doc_id", "_hash", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))).alias("entity")).distinct()
-    per_doc = pairs.join(table, "entity").groupBy("doc_id", "_hash").agg(F.map_from_entries(F.collect_list(F.struct("entity", "put"))).alias("_put"))
+    # a match's place leads to its surrogate, so long texts need no look-up in a map
+    places = hit.select("doc_id", "_hash", F.posexplode("_matches").alias("_at", "entity"))
+    per_doc = places.join(table, "entity").groupBy("doc_id", "_hash").agg(F.array_sort(F.collect_set(F.struct("_at", "put"))).alias("_put"))
     per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "_put")
     joined = hit.join(per_doc, hit["doc_id"].eqNullSafe(per_doc["_id"]) & (hit["_hash"] == per_doc["_h"]))
-    matches = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
     gaps = F.split("text", ANY, -1)
-    text = F.concat(gaps[0], F.array_join(F.transform(F.col("_matches"), lambda m, i: F.concat(F.col("_put")[m], F.element_at(F.col("_gaps"), i + 2))), ""))
-    made = joined.withColumn("_matches", matches).withColumn("_gaps", gaps).withColumn("_entities", F.size("_matches").cast("long")).withColumn("text", text)
+    # zip_with takes the gaps once a row; a look-up in a lambda would split the text at every match
+    text = F.concat(gaps[0], F.array_join(F.zip_with("_put", F.slice(gaps, 2, F.size("_matches")), lambda p, gap: F.concat(p["put"], gap)), ""))
+    made = joined.withColumn("text", text).withColumn("_entities", F.size("_matches").cast("long"))
     return made.select(*[made[c] for c in docs.columns], "_entities").unionByName(rest)
 
 
