@@ -2,8 +2,9 @@
 
 P(grade <= g) = sigmoid(theta_g - w.x): one weight vector for all grades and ordered thresholds,
 fitted by gradient steps on at most TRAINING_ROWS graded rows outside the held-out fifth. Features
-are hashed shapes of tokens (letters, digits and marks as classes), their neighbours, short words
-and repetition, as shares of the text. The model gives the expected grade and the probability of
+are the hashed lower-cased words and word pairs that a text has, hashed shapes of its tokens
+(letters, digits and marks as classes) and of their neighbours, and repetition, as shares of the
+text. The model gives the expected grade and the probability of
 each grade or better, which selects documents.
 
 Scoring is one scan without a shuffle over whole texts.
@@ -25,18 +26,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from comanda.llm.common import Sparse, held_out, training_rows
+from comanda.llm.common import WORD, Hashes, Sparse, held_out, mixed, training_rows
 
 TRAINING_ROWS = 6000
-N_FEATURES = 1 << 14
+#: Feature numbers: shapes and shares of the text first, then words, then word pairs.
+N_SHAPES, N_WORDS = 1 << 14, 1 << 18
+N_FEATURES = N_SHAPES + 2 * N_WORDS
+#: Values of a word and of a pair that a text has; pairs are many and mostly seen once.
+WORD_VALUE, PAIR_VALUE = 0.2, 0.03
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 KEEP_AT = 0.5
 _SHAPES = ((re.compile(r"[^\W\d_]+"), ""), (re.compile(r"\d+"), "9"))
 _RUN = re.compile(r"(.)\1+")
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
-    """The grades of the test tables: 0 poor, 1 good but toxic, 2 good."""
-    return F.when(quality == 0, 0).when(toxic == 1, 1).otherwise(2)
+    """The grades of the test tables: 0 poor, 1 good but toxic, 2 good; null without a quality."""
+    return F.when(quality == 0, 0).when(quality.isNotNull(), F.when(toxic == 1, 1).otherwise(2))
 
 
 def shape(token: str) -> str:
@@ -53,14 +59,23 @@ class Slots(dict):
     def __missing__(self, token: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        s = self[token] = xxhash.xxh3_64_intdigest(shape(token).encode("utf-8", "surrogatepass")) % (N_FEATURES - 8)
+        s = self[token] = xxhash.xxh3_64_intdigest(shape(token).encode("utf-8", "surrogatepass")) % (N_SHAPES - 8)
         return s
 
 
-def features(text: str | None, slots: Slots) -> tuple[np.ndarray, np.ndarray]:
+def word_features(text: str, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(feature numbers, values) of the lower-cased words and word pairs of a whole text."""
+    words = WORD.findall(text.lower())
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    one = np.unique(mixed(h) % np.uint64(N_WORDS)).astype(np.int64)
+    two = np.unique(mixed(h[:-1] * _PAIR + h[1:]) % np.uint64(N_WORDS)).astype(np.int64)
+    return np.concatenate([N_SHAPES + one, N_SHAPES + N_WORDS + two]), np.repeat([WORD_VALUE, PAIR_VALUE], [len(one), len(two)])
+
+
+def features(text: str | None, slots: Slots, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
     """(feature numbers, values) of a whole text."""
     tokens = (text or "").split()
-    base = N_FEATURES - 8
+    base = N_SHAPES - 8
     if not tokens:
         return np.array([base]), np.array([1.0])
     n = len(tokens)
@@ -69,7 +84,8 @@ def features(text: str | None, slots: Slots) -> tuple[np.ndarray, np.ndarray]:
     which, counts = np.unique(np.concatenate([s, both]), return_counts=True)
     lines = [x for x in text.split("\n") if x.strip()]
     rest = np.array([len(set(tokens)) / n, 1 - len(set(lines)) / max(1, len(lines)), min(1.0, n / 40), min(2.0, sum(map(len, tokens)) / n / 10), (text.count("|") + text.count("{")) / n])
-    return np.concatenate([which, base + 1 + np.arange(5)]), np.concatenate([np.sqrt(counts / n), rest])
+    numbers, values = word_features(text, hashes)
+    return np.concatenate([which, base + 1 + np.arange(5), numbers]), np.concatenate([np.sqrt(counts / n), rest, values])
 
 
 @dataclass
@@ -112,12 +128,12 @@ def trained(docs: DataFrame, grades: DataFrame, most: int = TRAINING_ROWS) -> Or
     sample = training_rows(docs, grades, ["grade"], most)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Slots()
+        slots, hashes = Slots(), Hashes()
         for batch in batches:
-            rows = [features(t, slots) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([c for c, _ in rows], pa.list_(pa.int64())), pa.array([v for _, v in rows], pa.list_(pa.float64()))], ["grade", "features", "values"])
+            rows = [features(t, slots, hashes) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([c.astype(np.int32) for c, _ in rows], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in rows], pa.list_(pa.float32()))], ["grade", "features", "values"])
 
-    rows = sample.select("text", F.col("grade").cast("long")).mapInArrow(seen, "grade long, features array<long>, values array<double>").toArrow()
+    rows = sample.select("text", F.col("grade").cast("long")).mapInArrow(seen, "grade long, features array<int>, values array<float>").toArrow()
     grade = rows.column("grade").to_numpy().astype(np.int64)
     if not len(grade) or grade.max() == 0:
         return Ordinal(np.zeros(N_FEATURES), np.array([-30.0]))
@@ -130,11 +146,11 @@ def with_tails(docs: DataFrame, model: Ordinal, name: str = "_tails") -> DataFra
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Slots()
+        slots, hashes = Slots(), Hashes()
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = Sparse([features(t, slots) for t in batch.column(at).to_pylist()], N_FEATURES)
+            x = Sparse([features(t, slots, hashes) for t in batch.column(at).to_pylist()], N_FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(model.tails(x)), pa.list_(pa.float64()))], names=batch.schema.names)
 
     out = docs.withColumn(name, F.array().cast("array<double>"))

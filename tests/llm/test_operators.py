@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from comanda.llm import decontamination, fingerprints, ngram_join, source_mixing, suffix_dedup, surrogates, token_binary, toxicity, url_filters
+from comanda.llm import decontamination, fingerprints, ngram_join, quality, source_mixing, suffix_dedup, surrogates, token_binary, toxicity, url_filters
 
 #: The last two columns clash with the operators' own names.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, key string"
@@ -246,3 +246,19 @@ def test_toxicity_held_out(spark):
     assert np.mean([a > b for a in toxic for b in clean]) > 0.9
     assert np.mean([r["predicted"] for r in got if not r["toxic"]]) < 0.01
     assert toxicity.judged(docs.limit(5), labels.limit(0)).count() == 5
+
+
+def test_quality_tells_words(spark):
+    folder = "/root/testdata/sf0.1"  # 84 good but toxic rows are held out there
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = quality.judged(docs, labels).join(labels, "doc_id").filter("held_out").collect()
+    poor = [r["expected_grade"] for r in got if r["quality"] == 0]
+    toxic = [r["expected_grade"] for r in got if r["quality"] and r["toxic"]]
+    good = [r["expected_grade"] for r in got if r["quality"] and not r["toxic"]]
+    assert np.mean([a > b for a in good for b in toxic]) > 0.85  # by shapes alone 0.69
+    assert np.mean([a > b for a in toxic for b in poor]) > 0.95
+
+
+def test_unrated_rows_have_no_grade(spark):
+    rows = spark.createDataFrame([(None, 0), (None, 1), (None, None), (0, 1), (1, 1), (1, 0)], "quality int, toxic int")
+    assert [r[0] for r in rows.select(quality.grade_of(rows.quality, rows.toxic)).collect()] == [None, None, None, 0, 1, 2]
