@@ -108,9 +108,25 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similar_names(shop: Shop, least: float = 0.7) -> DataFrame:
-    """Pairs of different menu names of one type and one first letter at the ratio or above."""
-    names = shop.menu.select("type", "name").distinct().withColumn("k", F.substring("name", 1, 1))
-    pairs = names.alias("a").join(names.alias("b"), (F.col("a.type") == F.col("b.type")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.name") < F.col("b.name")))
+    """Pairs of different menu names of one type at the ratio or above; ``least`` is over 0.
+
+    A ratio bounds the characters that two names share, and so their lengths. Candidates meet at one
+    of a name's rarest characters (numbered by occurrence), of which the bound leaves so many that
+    no pair is missed, and share enough characters; the ratio then decides.
+    """
+    low = least - 1e-6  # the ratio is rounded to six places
+    names = shop.menu.select("type", "name").distinct().filter(F.length("name") > 0).withColumn("n", F.length("name"))
+    chars = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.substr("name", i, F.lit(1)))
+    numbered = F.transform("chars", lambda c, i: F.concat(c, F.size(F.filter(F.slice("chars", F.lit(1), i), lambda x: x == c)).cast("string")))
+    names = names.withColumn("chars", chars).withColumn("chars", numbered)
+    each = names.select("type", "name", "n", "chars", F.explode("chars").alias("char"))
+    rare = each.join(each.groupBy("type", "char").agg(F.count(F.lit(1)).alias("names")), ["type", "char"])
+    rank = F.row_number().over(Window.partitionBy("type", "name").orderBy("names", "char"))
+    first = rare.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * (low / (2 - low)) - 1e-9) + 1)
+    a, b = first.alias("a"), first.alias("b")
+    enough = F.size(F.array_intersect("a.chars", "b.chars")) >= (F.col("a.n") + F.col("b.n")) * (low / 2) - 1e-9
+    pairs = a.join(b, (F.col("a.type") == F.col("b.type")) & (F.col("a.char") == F.col("b.char")) & (F.col("a.name") < F.col("b.name")) & enough)
+    pairs = pairs.select(F.struct("a.type", "a.name").alias("a"), F.struct("b.name").alias("b")).distinct()
     scored = pairs.select(F.col("a.type").alias("type"), F.col("a.name").alias("name"), F.col("b.name").alias("other"), F.round(name_ratio(F.col("a.name"), F.col("b.name")), 6).alias("ratio"))
     return scored.filter(F.col("ratio") >= least)
 

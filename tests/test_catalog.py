@@ -46,6 +46,32 @@ def test_uuid5_equals_the_standard_library(spark):
     assert got == str(uuid.uuid5(entities.NAMESPACE, "cold coffee:drink"))
 
 
+def all_similar(rows, least=0.7):
+    from difflib import SequenceMatcher
+
+    ratio = lambda a, b: round(SequenceMatcher(None, a, b).ratio(), 6)
+    rows = sorted({(t, n) for t, n in rows if t is not None and n is not None})
+    return sorted((t, a, b, ratio(a, b)) for t, a in rows for u, b in rows if t == u and a < b and ratio(a, b) >= least)
+
+
+def test_similar_names_equal_all_pairs(spark):
+    import random
+    from types import SimpleNamespace
+
+    rng = random.Random(8)
+    names = ["cold coffee", "old coffee", "iced coffee", "coffee cold", "aab", "baa", "Äpfel", "äpfel", "\U0001f354 bun", "\U0001f355 bun", "x" * 250, "y" + "x" * 249, "", None]
+    names += ["".join(rng.choices("abcd ", k=rng.randint(1, 14))) for _ in range(120)]
+    rows = [(t, n) for k, n in enumerate(names) for t in ("Drink", "Food", None)[: 1 + k % 3]]
+    menu = spark.createDataFrame(rows + rows[:9], "type string, name string")
+    for least in (0.5, 0.7, 1.0):
+        got = sorted(tuple(r) for r in entities.similar_names(SimpleNamespace(menu=menu), least).collect())
+        assert got == all_similar(rows, least)
+    shop = Shop(spark, FOLDER)
+    got = sorted(tuple(r) for r in entities.similar_names(shop).collect())
+    assert got == all_similar([tuple(r) for r in shop.menu.select("type", "name").collect()])
+    assert any(a[0] != b[0] for _, a, b, _ in got)
+
+
 def test_merge_then_undo_restores(spark):
     log = spark.createDataFrame([(1, "merge", 1, 5, 4), (2, "merge", 2, 4, 3), (1, "undo", 3, 5, 4)], "merge_id int, event_type string, seq int, source int, target int")
     active = entities.active_merges(log)
