@@ -3,7 +3,9 @@
 Slots 0..N-1 carry golden-ratio points; a point falls into the cumulative weights of the sources
 and so names the source of its slot. The k-th slot of a source takes the k-th block of equally
 many words from that source's documents, laid end to end in a shuffled order and begun again when
-they are used up (twice at most).
+they are used up (twice at most). A source that the points give too few slots for its target gets
+the missing ones after slot N-1, and its last block ends at the target, so the words taken are the
+target rounded to a whole word at any block length.
 
 Defined cases: null text has no words; null source is a source of its own, ranked last; repeated
 rows are separate documents; empty tables give empty mixes; further columns are left alone.
@@ -103,6 +105,17 @@ def slots(source_table: DataFrame, n_slots: int, chunk: int = 8192) -> DataFrame
     return placed.withColumn("r", F.row_number().over(within) - 1).join(base, ["source_id", "chunk"]).select("slot", "source_id", (F.col("base") + F.col("r")).alias("k"))
 
 
+def whole_slots(source_table: DataFrame, n_slots: int, block: int) -> DataFrame:
+    """``slots`` with at least as many of each source as its target has blocks."""
+    placed = written(slots(source_table, n_slots), "mix-slots")
+    have = placed.groupBy("source_id").agg(F.count(F.lit(1)).alias("have"))
+    short = source_table.select("source_id", F.ceil(F.round("target") / block).alias("need")).join(have, "source_id", "left").withColumn("have", F.coalesce("have", F.lit(0))).filter("need > have")
+    # one row per source at most
+    before = F.coalesce(F.sum(F.col("need") - F.col("have")).over(Window.partitionBy(F.lit(1)).orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = short.withColumn("first", n_slots + before).withColumn("k", F.explode(F.sequence(F.col("have"), F.col("need") - 1)))
+    return placed.unionByName(more.select((F.col("first") + F.col("k") - F.col("have")).alias("slot"), "source_id", "k"))
+
+
 def laid_out(sized: DataFrame, n_docs: int, seed: int, per_chunk: int = 20_000) -> DataFrame:
     """Adds ``offset``: words of the source's earlier documents in its shuffled order.
 
@@ -136,14 +149,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=TOTAL_SHARE, most=MOST_TIMES, se
     keyed = sized.withColumn("source_key", source_key(F.col("source"))).join(sources.select("source_key", "source_id", "source_size", "target"), "source_key").drop("source_key")
     laid = written(laid_out(keyed, n_docs, seed), "mix-order")
     passes = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("pass")
-    runs = laid.filter("size > 0").select("source_id", "source_size", "offset", "size", passes)
+    runs = laid.filter("size > 0").select("source_id", "source_size", "offset", "size", F.round("target").cast("long").alias("most_words"), passes)
     a = F.col("pass") * F.col("source_size") + F.col("offset")
     b = a + F.col("size")
-    runs = runs.withColumn("a", a).withColumn("b", b)
+    runs = runs.withColumn("a", a).withColumn("b", F.least(b, F.col("most_words"))).filter("a < b")
     pieces = runs.select("source_id", "offset", "pass", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))).alias("k"))
     first = F.greatest(F.col("k") * block, F.col("a"))
     pieces = pieces.withColumn("first_word", first - F.col("a")).withColumn("n_words", F.least((F.col("k") + 1) * block, F.col("b")) - first)
-    taken = slots(sources, n_slots).join(pieces.drop("a", "b"), ["source_id", "k"])
+    taken = whole_slots(sources, n_slots, block).join(pieces.drop("a", "b"), ["source_id", "k"])
     return laid, taken
 
 

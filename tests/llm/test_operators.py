@@ -164,6 +164,22 @@ def test_mix_keeps_to_its_targets(docs, rows, empty):
     assert sum(n_words(r["text"]) for r in mixed.collect()) == sum(r["taken"] for r in got)
 
 
+def test_mix_keeps_to_its_targets_with_long_blocks(spark, monkeypatch):
+    monkeypatch.setattr(source_mixing, "AIM_SLOTS", 1)  # blocks of MAX_BLOCK words
+    sizes = {"large": [900] * 60, "small": [150, 150], "tiny": [7], "middle": [500] * 3, None: [40] * 9, "none": [0]}
+    rows = [(100 * k + i, s, "w " * n) for k, (s, ns) in enumerate(sizes.items()) for i, n in enumerate(ns)]
+    some = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    taken, target = {}, {}
+    for r in source_mixing.taken_words(some).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    assert set(taken) == set(sizes) and all(abs(taken[s] - target[s]) <= 0.5 for s in sizes)
+    _, pieces = source_mixing.mix(some)
+    numbers = [(r["slot"], r["source_id"], r["k"]) for r in pieces.select("slot", "source_id", "k").distinct().collect()]
+    assert len({n[0] for n in numbers}) == len(numbers)
+
+
 def test_token_files_round_trip(docs, rows, empty):
     from tokenizers import Tokenizer
 
