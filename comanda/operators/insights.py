@@ -114,3 +114,10 @@ def top_customers(shop: Shop, k: int = 50) -> DataFrame:
     liked = lines.join(shop.menu.select("menu_item_id", F.col("name").alias("item")), "menu_item_id").groupBy("customer_id", "item").agg(F.sum("quantity").alias("q"))
     best = liked.withColumn("r", F.row_number().over(Window.partitionBy("customer_id").orderBy(F.desc("q"), "item"))).filter("r = 1")
     return top.join(best.select("customer_id", F.col("item").alias("favourite_item"), F.col("q").alias("favourite_quantity")), "customer_id", "left").withColumn("spend", F.round("spend", 2))
+
+
+def popular_queries(shop: Shop, limit: int = 20) -> DataFrame:
+    """Whole texts of users by how often and how lately they were asked; conversations have no
+    time, so the latest is that of the greatest conv_id."""
+    asked = shop.raw("conversations").filter((F.col("role") == "user") & (F.col("text") != ""))
+    return asked.groupBy(F.col("text").alias("user_query")).agg(F.count(F.lit(1)).alias("freq"), F.max("conv_id").alias("last_used")).orderBy(F.desc("freq"), F.desc("last_used"), "user_query").limit(limit)

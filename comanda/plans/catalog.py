@@ -95,6 +95,7 @@ add("A45_recomputed_totals", customers.recomputed_totals, "SELECT customer_id, c
 add("A46_item_counters", menu.recalculated_counters, "SELECT menu_item_id, sum(quantity) AS total_sold, round(sum(total_price), 2) AS total_revenue, coalesce(sum(quantity) FILTER (WHERE kind = 'item'), 0.0) AS sold_as_item, coalesce(sum(quantity) FILTER (WHERE kind = 'addon'), 0.0) AS sold_as_addon FROM sold WHERE order_id IN (SELECT order_id FROM ok) GROUP BY 1")
 add("A49_menu_types", menu.menu_types, "SELECT DISTINCT type FROM m")
 add("A51_popular_openings", lambda s: s.raw("conversations").filter("turn = 0").groupBy(F.substring("text", 1, 20).alias("opening")).agg(F.count(F.lit(1)).alias("freq"), F.max("conv_id").alias("last_used")).orderBy(F.desc("freq"), F.desc("last_used")).limit(20), "SELECT substring(text, 1, 20) AS opening, count(*) AS freq, max(conv_id) AS last_used FROM conversations WHERE turn = 0 GROUP BY 1 ORDER BY freq DESC, last_used DESC LIMIT 20")
+add("A51_popular_queries", insights.popular_queries, "SELECT text AS user_query, count(*) AS freq, max(conv_id) AS last_used FROM conversations WHERE role = 'user' AND text <> '' GROUP BY 1 ORDER BY freq DESC, last_used DESC, user_query LIMIT 20")
 add("A52_conversation_counts", lambda s: s.raw("conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.count(F.when(F.col("role") == "user", 1)).alias("by_user"), F.max("turn").alias("last_turn")), "SELECT conv_id, count(*) AS messages, count(*) FILTER (WHERE role = 'user') AS by_user, max(turn) AS last_turn FROM conversations GROUP BY 1")
 add("A56_missing_days", lambda s: series.missing_days(s, *NOW), f", {_days(NOW)} SELECT CAST(day AS VARCHAR) AS day FROM days WHERE day NOT IN (SELECT bd FROM ok GROUP BY 1 HAVING count(DISTINCT order_from) >= 5)")
 _CATS = ", ".join(f"round(coalesce(sum(total_price) FILTER (WHERE type = '{k}'), 0.0), 2) AS {k.lower()}" for k in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from comanda.functions.text import uuid5
-from comanda.operators import entities
+from comanda.operators import entities, insights
 from comanda.plans import catalog
 from comanda.sources.adapter import Shop
 from comanda.streaming import incremental
@@ -72,6 +72,16 @@ def test_similar_names_equal_all_pairs(spark):
     assert any(a[0] != b[0] for _, a, b, _ in got)
 
 
+def test_popular_queries_are_whole_texts_of_users(spark):
+    from types import SimpleNamespace
+
+    long = "what were the sales of "
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", long + "May"), (1, 3, "user", long + "June"), (2, 0, "system", "be brief"), (2, 2, "assistant", "none"), (2, 5, "user", long + "June"), (3, 0, "user", ""), (3, 1, "user", None), (4, 1, "user", "x")]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = insights.popular_queries(SimpleNamespace(raw=lambda name: table)).collect()
+    assert [tuple(r) for r in got] == [(long + "June", 2, 2), ("x", 1, 4), (long + "May", 1, 1)]
+
+
 def test_merge_then_undo_restores(spark):
     log = spark.createDataFrame([(1, "merge", 1, 5, 4), (2, "merge", 2, 4, 3), (1, "undo", 3, 5, 4)], "merge_id int, event_type string, seq int, source int, target int")
     active = entities.active_merges(log)
