@@ -42,7 +42,7 @@ STAGES = [
     ("token_binary", tokens),
 ]
 
-#: A trained classifier and MinHash are beyond SQL; tests hold the stages against brute force.
+#: A trained classifier and MinHash are beyond SQL; tests cover the stages one by one, the pipeline has none yet.
 ORACLE_SQL = None
 
 
