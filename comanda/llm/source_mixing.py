@@ -7,6 +7,11 @@ they are used up (twice at most). A source that the points give too few slots fo
 the missing ones after slot N-1, and its last block ends at the target, so the words taken are the
 target rounded to a whole word at any block length.
 
+The mixed documents are the runs of words that blocks took from a document in one pass, with the
+text between those words; they are written in the order of their first slots, so every stretch of
+the mix holds the sources in their shares. Joins of slots and blocks are merge joins: either side
+grows with the corpus, and small compressed shuffles of them are large once hashed.
+
 Defined cases: null text has no words; null source is a source of its own, ranked last; repeated
 rows are separate documents; empty tables give empty mixes; further columns are left alone.
 """
@@ -28,6 +33,8 @@ MOST_TIMES = 2
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Slots aimed at while blocks are shorter than MAX_BLOCK words.
 AIM_SLOTS, MAX_BLOCK = 1 << 20, 1024
+#: Slots whose documents lie together in the mix.
+SLOTS_A_STRETCH = 1 << 14
 CELLS = 4096
 
 
@@ -156,41 +163,63 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=TOTAL_SHARE, most=MOST_TIMES, se
     pieces = runs.select("source_id", "offset", "pass", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))).alias("k"))
     first = F.greatest(F.col("k") * block, F.col("a"))
     pieces = pieces.withColumn("first_word", first - F.col("a")).withColumn("n_words", F.least((F.col("k") + 1) * block, F.col("b")) - first)
-    taken = whole_slots(sources, n_slots, block).join(pieces.drop("a", "b"), ["source_id", "k"])
+    taken = whole_slots(sources, n_slots, block).join(pieces.drop("a", "b").hint("merge"), ["source_id", "k"])
     return laid, taken
 
 
+def runs_of_words(pieces: DataFrame) -> DataFrame:
+    """The pieces of one document and pass in one row: source_id, offset, pass, first_slot, first_word, n_words.
+
+    Blocks lie end to end, so the words that they take from a document in one pass are one run.
+    """
+    per_pass = pieces.groupBy("source_id", "offset", "pass")
+    return per_pass.agg(F.min("slot").alias("first_slot"), F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"))
+
+
 def taken_words(docs: DataFrame, **how) -> DataFrame:
     """Per document row: doc_id, source, size, source_size, target, source_id, offset, taken and
-    taken_by_pass (words taken in each pass)."""
+    runs (first_slot, first_word and n_words of each pass)."""
     laid, pieces = mix(docs, **how)
-    per_pass = pieces.groupBy("source_id", "offset", "pass").agg(F.sum("n_words").alias("n"))
-    per_doc = per_pass.groupBy("source_id", "offset").agg(F.sum("n").alias("taken"), F.sort_array(F.collect_list(F.struct("pass", "n"))).alias("taken_by_pass"))
-    full = laid.filter("size > 0").join(per_doc, ["source_id", "offset"], "left")
+    run = F.struct("pass", "first_slot", "first_word", "n_words")
+    per_doc = runs_of_words(pieces).groupBy("source_id", "offset").agg(F.sum("n_words").alias("taken"), F.sort_array(F.collect_list(run)).alias("runs"))  # a run a pass
+    full = laid.filter("size > 0").join(per_doc.hint("merge"), ["source_id", "offset"], "left")
     empty = laid.filter("size = 0")
     both = full.unionByName(empty, allowMissingColumns=True)
     return both.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix as documents: each document as often as it was taken, a part taken as its first words.
+def words_between(text: Column, first: Column, n: Column) -> Column:
+    """``n`` words of ``text`` from word ``first`` (0 the first) on, with what stands between them."""
+    pieces = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    run = F.array_join(F.slice(pieces, (first + 1).cast("int"), n.cast("int")), "")
+    return F.when(first == 0, run).otherwise(F.regexp_replace(run, r"^[\x20\x09-\x0D]+", ""))
+
 
-    Rows keep the columns of ``docs``; ``n_chars`` follows a shortened text where there is one.
+def scheduled(docs: DataFrame, **how) -> DataFrame:
+    """The mix as documents in no order: the columns of ``docs`` and ``_slot``, the first slot of each run.
+
+    A run of a whole document keeps the text as it is; ``n_chars`` follows a shortened text.
     """
-    docs, restored = set_aside(docs, ("doc_id", "text", "source", "n_chars"))
     chosen = taken_words(docs, **how).filter("taken > 0")
-    rows = chosen.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), "size", F.explode("taken_by_pass").alias("p")).select("_doc", "_source", "size", F.col("p.n").alias("n"))
+    rows = chosen.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), "size", F.explode("runs").alias("run"))
     # repeated rows of one document are equal in size and source, so each takes part once
-    rows = rows.groupBy("_doc", "_source", "size").agg(F.sort_array(F.collect_list("n")).alias("ns"))
+    rows = rows.groupBy("_doc", "_source", "size").agg(F.sort_array(F.collect_list("run")).alias("runs"))
     same = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
     texts = docs.withColumn("_size", n_words(F.col("text")))
-    joined = texts.join(rows, (F.col("doc_id").eqNullSafe(F.col("_doc"))) & (F.col("source").eqNullSafe(F.col("_source"))) & (F.col("_size") == F.col("size")))
+    joined = texts.join(rows.hint("merge"), (F.col("doc_id").eqNullSafe(F.col("_doc"))) & (F.col("source").eqNullSafe(F.col("_source"))) & (F.col("_size") == F.col("size")))
     joined = joined.withColumn("_r", F.row_number().over(same) - 1).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "source", "_size")))
-    dealt = joined.withColumn("_own", F.filter("ns", lambda x, i: F.pmod(i, F.col("_m").cast("int")) == F.col("_r")))
-    out = dealt.withColumn("_n", F.explode("_own"))
-    words = F.expr(rf"regexp_extract_all(text, '{WORD_PATTERN}', 0)".replace("\\", "\\\\"))
-    cut = F.concat_ws(" ", F.slice(words, F.lit(1), F.col("_n").cast("int")))
-    out = out.withColumn("text", F.when(F.col("_n") == F.col("_size"), F.col("text")).otherwise(cut))
+    dealt = joined.withColumn("_own", F.filter("runs", lambda x, i: F.pmod(i, F.col("_m").cast("int")) == F.col("_r")))
+    out = dealt.withColumn("_run", F.explode("_own"))
+    part = words_between(F.col("text"), F.col("_run.first_word"), F.col("_run.n_words"))
+    out = out.withColumn("_whole", F.col("_run.n_words") == F.col("_size")).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return restored(out)
+        out = out.withColumn("n_chars", F.when(F.col("_whole"), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*[out[c] for c in docs.columns], F.col("_run.first_slot").alias("_slot"))
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix as documents with the columns of ``docs``, sorted by slot in stretches of SLOTS_A_STRETCH slots."""
+    docs, restored = set_aside(docs, ("doc_id", "text", "source", "n_chars"))
+    rows = scheduled(docs, **how)
+    rows = rows.repartition(F.floor(F.col("_slot") / SLOTS_A_STRETCH)).sortWithinPartitions("_slot", "doc_id")
+    return restored(rows)
