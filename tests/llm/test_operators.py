@@ -162,6 +162,27 @@ def test_mix_keeps_to_its_targets(docs, rows, empty):
     assert mixed.columns == docs.columns
     n_words = lambda t: len((t or "").split())
     assert sum(n_words(r["text"]) for r in mixed.collect()) == sum(r["taken"] for r in got)
+    whole = {r[1] or "" for r in rows}
+    parts = [r["text"] for r in mixed.collect() if r["text"] not in whole]
+    assert len(parts) <= len(by) and all(any(x.startswith(p) for x in whole) for p in parts)
+    assert source_mixing.mixed_documents(empty).count() == 0
+
+
+def test_words_between_keep_what_stands_between(spark):
+    from pyspark.sql import functions as F
+
+    text = "  one\ttwo\n\nthree four  "
+    row = spark.createDataFrame([(text,)], "text string").select(*[source_mixing.words_between(F.col("text"), F.lit(a), F.lit(n)) for a, n in ((0, 2), (1, 2), (3, 1), (0, 4))]).first()
+    assert tuple(row) == ("  one\ttwo", "two\n\nthree", "four", "  one\ttwo\n\nthree four")
+
+
+def test_mix_follows_its_schedule(spark):
+    rows = [(100 * k + i, s, "w " * 40) for k, s in enumerate(("a", "b", "c")) for i in range(60)]
+    some = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    order = [r["source"] for r in source_mixing.scheduled(some).orderBy("_slot").select("source").collect()]
+    share = {s: order.count(s) / len(order) for s in "abc"}
+    for stop in (len(order) // 3, len(order) // 2):
+        assert all(abs(order[:stop].count(s) / stop - share[s]) < 0.12 for s in "abc")
 
 
 def test_mix_keeps_to_its_targets_with_long_blocks(spark, monkeypatch):
@@ -195,6 +216,18 @@ def test_token_files_round_trip(docs, rows, empty):
     assert token_binary.read_digests(token_binary.write_shards(empty, TOKENIZER, N_VOCAB, END_ID)).count() == 0
 
 
+def test_pieces_equal_whole_texts():
+    from comanda.llm.queries import TOKENIZER
+
+    rng = random.Random(3)
+    odd = "aAbBzZ'sStTéÉßİſéñ你好ЖжΣσςⅧⓐ½٣_-.,!#'’\x1c   \n\t09🙂\u0301\u200d<|>endoftext"
+    texts = ["".join(rng.choices(odd, k=rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["don't DON'T we'll I'M x'Re", "O'Neill's", "<|endoftext|> a", "a<|startoftext|>b", "", None]
+    pieces = token_binary.Pieces(TOKENIZER, bound=500)
+    got = [x for k in range(0, len(texts), 100) for x in pieces.of_texts(texts[k : k + 100])]
+    assert got == [pieces.encoded(x or "") for x in texts]
+
+
 @pytest.mark.parametrize("width", [1, 5, 8, 16, 17, 32])
 def test_packing(width):
     ids = np.random.default_rng(2).integers(0, 2**width, 1001, dtype=np.uint64).astype(np.uint32)
