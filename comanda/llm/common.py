@@ -104,7 +104,8 @@ class Sparse:
         return size * 1.1
 
 
-def set_aside(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """``docs`` with all columns but ``keep`` renamed out of the way, and what brings them back."""
+def set_aside(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with all columns but ``keep`` renamed out of the way, and what brings them back (with
+    further columns behind them)."""
     name = {c: c if c in keep else f"__other{k}" for k, c in enumerate(docs.columns)}
-    return docs.select(*[docs[c].alias(name[c]) for c in docs.columns]), lambda out: out.select(*[out[name[c]].alias(c) for c in docs.columns])
+    return docs.select(*[docs[c].alias(name[c]) for c in docs.columns]), lambda out, *more: out.select(*[out[name[c]].alias(c) for c in docs.columns], *more)

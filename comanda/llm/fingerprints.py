@@ -2,8 +2,10 @@
 
 A text is normalised (NFKC), case folded and its white space folded; two seeds of xxhash64 over the
 canonical text make a 128-bit digest. Inside buckets of equal digests the canonical texts are
-compared byte by byte, as least and greatest text of the bucket, which tasks pre-aggregate; a
-bucket that holds different texts (a hash collision) gets fingerprints lengthened by SHA-256.
+compared byte by byte, as least and greatest text of the bucket, which tasks pre-aggregate, so a
+large group of copies reaches its bucket as one row a task; a bucket that holds different texts (a
+hash collision) gets fingerprints lengthened by SHA-256. The registered query compares edited texts
+in the same buckets as the documents.
 
 Defined cases: null text is empty; empty texts share one fingerprint; repeated rows share theirs;
 null doc_ids come first in the order of documents, and equal doc_ids follow their texts; an empty
@@ -15,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from comanda.llm.common import set_aside
 from comanda.session import written
 
 DOCS_A_BLOCK, MOST_BLOCKS = 2000, 1 << 14
@@ -35,22 +38,22 @@ def digest(canon: Column) -> Column:
 
 def collisions(texts: DataFrame) -> DataFrame:
     """digest: those whose bucket in ``texts(canon)`` holds different texts."""
-    rows = texts.select("canon", digest(F.col("canon")).alias("digest"))
-    many = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-    same = rows.join(many, "digest", "left_semi").groupBy("digest").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
-    return written(same.filter("least <> most").select("digest"), "collisions")
+    buckets = texts.groupBy(digest(F.col("canon")).alias("digest")).agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
+    return written(buckets.filter("least <> most").select("digest"), "collisions")
 
 
 def fingerprint_of(canon_digest: Column, canon_sha: Column, collides: Column) -> Column:
     return F.when(collides, F.concat(canon_digest, canon_sha)).otherwise(canon_digest)
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_fingerprint``; equal fingerprints mean equal canonical texts."""
+def fingerprinted(docs: DataFrame, name: str = "fingerprint") -> DataFrame:
+    """``docs`` with their fingerprint as ``name``; equal fingerprints mean equal canonical texts."""
+    docs, restored = set_aside(docs, ("text",))
     bad = collisions(docs.select(canonical(F.col("text")).alias("canon"))).select(F.col("digest").alias("_bad"))
     rows = docs.withColumn("_canon", canonical(F.col("text"))).withColumn("_digest", digest(F.col("_canon")))
     joined = rows.join(bad, rows["_digest"] == bad["_bad"], "left")
-    return joined.withColumn("_fingerprint", fingerprint_of(F.col("_digest"), F.sha2("_canon", 256), F.col("_bad").isNotNull())).drop("_canon", "_digest", "_bad")
+    out = joined.withColumn("_fingerprint", fingerprint_of(F.col("_digest"), F.sha2("_canon", 256), F.col("_bad").isNotNull()))
+    return restored(out, F.col("_fingerprint").alias(name))
 
 
 def _blocked(ids: Column, bounds: list[int]) -> Column:
@@ -91,23 +94,26 @@ def with_next(docs: DataFrame, docs_a_block: int = DOCS_A_BLOCK) -> DataFrame:
     return joined.select("doc_id", "text", F.coalesce("lead_text", "after_text").alias("next_text"))
 
 
-def compared(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: the
-    fingerprint of every text, of its edited form (its last quarter replaced by the beginning of
-    the next document) and of the next document. Exact fingerprints are alike (1.0) or not (0.0)."""
+def edited(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, text, next_text and edited: the text with its last quarter replaced by the
+    beginning of the next document."""
     n = F.length("text")
     k = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substr(F.col("text"), F.lit(1), n - k), F.substr(F.col("next_text"), F.lit(1), k))
-    rows = with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "text", "next_text")
-    parts = [rows["doc_id"], rows["n_chars"], F.sha2("edited", 256).alias("edited_sha256")]
-    for name, source in (("own", "text"), ("edited", "edited"), ("next", "next_text")):
-        canon = canonical(F.col(source))
-        parts += [digest(canon).alias(f"{name}_digest")]
-    bad = collisions(docs.select(canonical(F.col("text")).alias("canon")))
-    out = rows.select(*parts, "text", "edited", "next_text") if bad.count() else rows.select(*parts)
-    for name, source in (("own", "text"), ("edited", "edited"), ("next", "next_text")):
-        if source in out.columns:
-            own = bad.select(F.col("digest").alias(f"{name}_digest"), F.lit(True).alias(f"{name}_bad"))
-            out = out.join(own, f"{name}_digest", "left").withColumn(f"{name}_digest", fingerprint_of(F.col(f"{name}_digest"), F.sha2(canonical(F.col(source)), 256), F.col(f"{name}_bad").isNotNull()))
-    alike = lambda a: (F.col("own_digest") == F.col(a)).cast("double")
-    return out.select("doc_id", "n_chars", "edited_sha256", F.col("own_digest").alias("fingerprint"), F.col("edited_digest").alias("edited_fingerprint"), alike("edited_digest").alias("near_edited"), alike("next_digest").alias("near_next"))
+    put = F.concat(F.substr(F.col("text"), F.lit(1), n - k), F.substr(F.col("next_text"), F.lit(1), k))
+    return with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", put.alias("edited"))
+
+
+def compared(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: the
+    fingerprint of every text, of its edited form and of the next document. Exact fingerprints are
+    alike (1.0) or not (0.0)."""
+    rows = edited(docs)
+    names = (("own", "text"), ("edited_print", "edited"), ("next", "next_text"))  # the next text is a document's own elsewhere
+    bad = collisions(docs.select(F.col("text").alias("t")).unionByName(rows.select(F.col("edited").alias("t"))).select(canonical(F.col("t")).alias("canon")))
+    out = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[digest(canonical(F.col(source))).alias(name) for name, source in names], "text", "edited", "next_text")
+    if not bad.isEmpty():
+        for name, source in names:
+            own = bad.select(F.col("digest").alias(name), F.lit(True).alias("_bad"))
+            out = out.join(own, name, "left").withColumn(name, fingerprint_of(F.col(name), F.sha2(canonical(F.col(source)), 256), F.col("_bad").isNotNull())).drop("_bad")
+    alike = lambda a: (F.col("own") == F.col(a)).cast("double")
+    return out.select("doc_id", "n_chars", "edited_sha256", F.col("own").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"), alike("edited_print").alias("near_edited"), alike("next").alias("near_next"))
