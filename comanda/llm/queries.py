@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from comanda.llm import decontamination, fingerprints, ngram_join, quality, source_mixing, suffix_dedup, surrogates, token_binary, toxicity, url_filters
 from comanda.llm.common import table
+from comanda.llm.oracle import ORACLE_SQL  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 N_VOCAB, END_ID = 49_408, 1
@@ -53,13 +55,25 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filters.judge(pages, url_filters.recrawled(pages))
+    return url_filters.judge(pages, url_filters.spam_list(pages))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, source_size and target of every source of op4_source_mixing."""
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("source", source_mixing.n_words(F.col("text")).alias("size"))
+    return source_mixing.targets(sized).select("source", "source_size", F.round("target", 3).alias("target"))
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars and edited_sha256 of op8_fingerprints: its part that SQL can tell."""
+    return fingerprints.edited(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_toxicity": op2_toxicity,
@@ -71,6 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_url_filters": op9_url_filters,
     "op10_decontamination": op10_decontamination,
+    "mixing_targets": mixing_targets,
+    "fingerprint_edits": fingerprint_edits,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -1,11 +1,15 @@
 """URL rules, and a list of URLs behind a blocked Bloom filter, in DataFrame functions alone.
 
-The longest rule that fits a URL decides. For the rest, the canonical URL is looked for in a list:
-a split-block Bloom filter (blocks of eight 32-bit words, one bit set in each) lets possible hits
-pass, and a hash join on the canonical URL itself removes the false ones.
+The longest rule that fits a URL decides; of equally long ones that fit, the last by code point. For
+the rest, the canonical URL is looked for in a list: a split-block Bloom filter (blocks of eight
+32-bit words, one bit set in each) lets possible hits pass, and a hash join on the canonical URL
+itself removes the false ones. Rows that the filter turns away are never shuffled while the filter
+is small enough to be sent; possible hits are salted, since one listed URL may hold many rows.
 
 Defined cases: a null url, and one without ``://``, has empty host and path, fits no rule and is in
-no list; repeated rows are judged one by one; an empty list blocks nothing.
+no list; null page_ids and repeated rows are judged one by one; null entries of the list count for
+nothing, repeated ones once; an empty list blocks nothing; empty tables give empty results; further
+columns are left alone.
 """
 
 from __future__ import annotations
@@ -25,6 +29,10 @@ WORDS = 8
 BITS_A_KEY = 16
 #: The filter is sent to all executors up to this many blocks (32 bytes each), else joined by block.
 SENT_BLOCKS = 1 << 18
+#: Parts that possible hits of one URL are dealt to.
+SALTS = 16
+#: Words in host names of the registered query's list.
+SPAM = "casino|bets|pills"
 
 
 def _rest(url: Column) -> Column:
@@ -79,39 +87,49 @@ def bloom_filter(listed: DataFrame, n_blocks: int) -> DataFrame:
     return rows.groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS)])
 
 
-def in_list(urls: DataFrame, listed: DataFrame) -> DataFrame:
-    """The distinct canonical URLs of ``urls(canonical)`` that ``listed(canonical)`` has."""
+def list_filter(listed: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(distinct canonical URLs of ``listed(canonical)``, their Bloom filter, its number of blocks)."""
     keys = written(listed.filter("canonical is not null").select("canonical").distinct(), "url-list")
     n_blocks = max(1, math.ceil(keys.count() * BITS_A_KEY / (32 * WORDS)))
-    bloom = bloom_filter(keys, n_blocks)
+    return keys, bloom_filter(keys, n_blocks), n_blocks
+
+
+def with_listed(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """``rows`` with ``listed``: whether ``listed(canonical)`` has their ``canonical``."""
+    keys, bloom, n_blocks = list_filter(listed)
     if n_blocks <= SENT_BLOCKS:
         bloom = F.broadcast(bloom)
-    asked = urls.filter("canonical is not null").select("canonical").distinct().withColumn("block", _block(F.col("canonical"), n_blocks))
     hit = F.lit(True)
     for k, b in enumerate(_bits(F.col("canonical"))):
         hit = hit & (F.col(f"w{k}").bitwiseAND(b) == b)
-    possible = asked.join(bloom, "block").filter(hit).select("canonical")
-    return possible.join(keys, "canonical", "left_semi")
+    bloom = bloom.withColumnRenamed("block", "_listed_block")
+    asked = rows.withColumn("_block", _block(F.col("canonical"), n_blocks)).join(bloom, F.col("_block") == F.col("_listed_block"), "left")
+    asked = asked.withColumn("_possible", F.coalesce(hit, F.lit(False))).select(*rows.columns, "_possible")
+    never = asked.filter("not _possible").withColumn("listed", F.lit(False))
+    maybe = asked.filter("_possible").withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    salted = keys.select(F.col("canonical").alias("_key"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_key_salt"))
+    found = maybe.join(salted, (F.col("canonical") == F.col("_key")) & (F.col("_salt") == F.col("_key_salt")), "left").withColumn("listed", F.col("_key").isNotNull())
+    return never.select(*rows.columns, "listed").unionByName(found.select(*rows.columns, "listed"))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, listed for every row of ``pages(page_id, url)``.
 
-    ``listed(canonical)`` names the blocked canonical URLs; where no rule fits they decide.
+    ``listed(canonical)`` names the blocked canonical URLs; where no rule fits they decide. Rows
+    that a rule decides are not looked up and count as not listed.
     """
     rule, verdict = rule_and_verdict(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical_url(F.col("url")).alias("canonical"))
     rows = rows.withColumn("rule", rule).withColumn("_by_rule", verdict)
-    found = in_list(rows.filter("rule is null"), listed).withColumn("listed", F.lit(True))
-    # rows that a rule decides need no look-up, and many of one URL do not meet in one task
-    open_rows = rows.filter("rule is null").join(found, "canonical", "left")
-    done = rows.filter("rule is not null").withColumn("listed", F.lit(False))
-    both = open_rows.unionByName(done).withColumn("listed", F.coalesce("listed", F.lit(False)))
+    # a row that a rule decides asks for null, which no list has
+    asked = rows.withColumn("canonical", F.when(F.col("rule").isNull(), F.col("canonical")))
+    both = with_listed(asked, listed)
     verdict = F.coalesce("_by_rule", F.when(F.col("listed"), "block").otherwise("allow"))
     return both.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "listed")
 
 
-def recrawled(pages: DataFrame) -> DataFrame:
-    """canonical: canonical URLs that more than one page has; the list of the registered query."""
-    urls = pages.select(canonical_url(F.col("url")).alias("canonical")).filter("canonical is not null")
-    return urls.groupBy("canonical").count().filter("count > 1").select("canonical")
+def spam_list(pages: DataFrame) -> DataFrame:
+    """canonical: the list of the registered query. It stands for a delivered block list: the
+    canonical URLs of pages on hosts with a word of SPAM, and as many that no page has."""
+    urls = pages.select(host_of(F.col("url")).alias("host"), canonical_url(F.col("url")).alias("canonical")).filter(F.col("host").rlike(SPAM) & F.col("canonical").isNotNull())
+    return urls.select(F.explode(F.array("canonical", F.concat("canonical", F.lit("/gone")))).alias("canonical"))

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from comanda.llm import decontamination, fingerprints, ngram_join, quality, source_mixing, suffix_dedup, surrogates, token_binary, toxicity, url_filters
 
@@ -234,6 +235,24 @@ def test_packing(width):
     assert (token_binary.unpack(token_binary.pack(ids, width), len(ids), width) == ids).all()
 
 
+def plain_fingerprint(text):
+    import re
+    import unicodedata
+
+    import xxhash
+
+    fold = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+    canon = re.sub(r"\s+", " ", fold).strip(" ").encode()
+    return "".join(format(xxhash.xxh64_intdigest(canon, seed=xxhash_of_int(k)), "016x") for k in (1, 2))
+
+
+def xxhash_of_int(k):
+    """Spark's xxhash64 chains its columns: the hash of the seed column is the seed of the text."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(int(k).to_bytes(4, "little"), seed=42)
+
+
 def test_fingerprints(docs, rows, empty):
     got = fingerprints.compared(docs).collect()
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
@@ -242,8 +261,9 @@ def test_fingerprints(docs, rows, empty):
         text, after = x[1] or "", ordered[(k + 1) % len(ordered)][1] or ""
         q = len(text) // 4
         edited = text[: len(text) - q] + after[:q]
-        want.append((repr(x[0]), len(text), hashlib.sha256(edited.encode()).hexdigest()))
-    assert sorted((repr(r[0]), r[1], r[2]) for r in got) == sorted(want)
+        own, other, following = map(plain_fingerprint, (text, edited, after))
+        want.append((repr(x[0]), len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other, float(own == other), float(own == following)))
+    assert sorted((repr(r[0]), *r[1:]) for r in got) == sorted(want)
     prints: dict = {}
     texts = {r[0]: r[1] or "" for r in rows if r[0] is not None}
     for r in got:
@@ -254,8 +274,20 @@ def test_fingerprints(docs, rows, empty):
 
 
 def test_canonical_folds(spark):
-    two = spark.createDataFrame([(1, "ﬁne  STRASSE\u00a0x"), (2, "fine straße x ")], "doc_id long, text string")
-    assert len({r["_fingerprint"] for r in fingerprints.fingerprinted(two).collect()}) == 1
+    two = spark.createDataFrame([(1, "ﬁne  STRASSE\u00a0x", "k"), (2, "fine straße x ", None)], "doc_id long, text string, _digest string")
+    got = fingerprints.fingerprinted(two)
+    assert got.columns == ["doc_id", "text", "_digest", "fingerprint"]
+    assert len({r["fingerprint"] for r in got.collect()}) == 1 and {r["_digest"] for r in got.collect()} == {"k", None}
+
+
+def test_colliding_digests_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "digest", lambda canon: F.substr(canon, F.lit(1), F.lit(1)))  # all texts of one first letter collide
+    rows = spark.createDataFrame([(1, "aaaaaaaa"), (2, "aaaaaaaa"), (3, "b yyyy"), (4, "bc zzzz"), (5, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprinted(rows).collect()}
+    assert got[1] == got[2] and got[3] != got[4] and len(set(got.values())) == 4
+    full = {r["doc_id"]: r for r in fingerprints.compared(rows).collect()}
+    assert full[1]["near_next"] == 1.0 and full[2]["near_next"] == 0.0 and full[3]["near_next"] == 0.0
+    assert full[1]["fingerprint"] == full[1]["edited_fingerprint"] and full[2]["fingerprint"] != full[2]["edited_fingerprint"]  # aaaaaab
 
 
 def test_surrogates(spark, docs, empty):
@@ -285,6 +317,25 @@ def test_url_rules(spark):
     listed = spark.createDataFrame([("b.com/listed",)], "canonical string")
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filters.judge(pages, listed).collect()}
     assert got == {k: (rule, v) for k, (_, rule, v) in enumerate(cases)}
+    twice = url_filters.judge(pages.union(pages).withColumn("rule", F.lit("clash")), listed.union(listed).union(spark.createDataFrame([(None,)], "canonical string")))
+    assert sorted((r["page_id"], r["verdict"]) for r in twice.collect()) == sorted((k, v) for k, (_, _, v) in enumerate(cases) for _ in "ab")
+    assert {r["page_id"]: r["verdict"] for r in url_filters.judge(pages, listed.limit(0)).collect()}[6] == "allow"
+    assert url_filters.judge(pages.limit(0), listed).count() == 0
+
+
+def test_equally_long_rules(spark):
+    pages = spark.createDataFrame([(1, "h://a.b/x/y")], "page_id long, url string")
+    none = spark.createDataFrame([], "canonical string")
+    for rules, want in (((("a.b/", "block"), ("b/x/", "allow")), ("b/x/", "allow")), ((("b/x/", "allow"), ("a.b/", "block")), ("b/x/", "allow"))):
+        assert tuple(url_filters.judge(pages, none, rules).select("rule", "verdict").first()) == want
+
+
+def test_listed_urls_pass_the_filter_and_others_do_not(spark):
+    urls = [f"h://x.org/{k}" for k in range(3000)]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)] + [(9000 + k, urls[0]) for k in range(500)], "page_id long, url string")
+    listed = spark.createDataFrame([(u[4:],) for u in urls[::7]] + [(f"y.org/{k}",) for k in range(400)], "canonical string")
+    got = url_filters.judge(pages, listed).select("page_id", "listed").collect()
+    assert len(got) == 3500 and {r[0] for r in got if r[1]} == {*range(0, 3000, 7), *range(9000, 9500)}
 
 
 def test_toxicity_held_out(spark):
