@@ -1,16 +1,23 @@
 """Personal data replaced by keyed surrogates, in DataFrame and SQL functions alone.
 
 Entities (e-mail addresses, phone and card numbers, account numbers, IP addresses, secrets, names
-after a title) are found by one pattern. Each distinct entity, in normal form, gets a surrogate from
-a keyed hash: characters keep their class (letter case, digit, punctuation), IP parts stay valid,
-card numbers keep their first digit and get a valid check digit where they had one, names keep
-gender and script. Entities that would share a surrogate, or take one that the corpus holds as an
-entity, draw again with the next counter until all are distinct; the same entity has one surrogate
-in all documents and spellings.
+after a title or a phrase that introduces one) are found by one pattern. An entity has one or two
+parts: an address its local part and its domain, a name its given and its family name. Each distinct
+part, in normal form, gets one surrogate from a keyed hash, in all documents, spellings and titles,
+so "Frau Erika Muster", "Dr Muster" and "Erika Muster" stay one person and colleagues stay at one
+domain. Characters keep their class (letter case, digit, punctuation), IP parts stay valid, card
+numbers keep their first digit and get a valid check digit where they had one; names are made of
+syllables of the name's script, given names with an ending of the gender that its titles tell.
+Domains that many people share stay. Parts that would share a surrogate, or take one that the corpus
+holds as such a part, draw again with the next counter until all are distinct.
+
+In a document with a found name, the same given and family names are replaced wherever else they
+stand as words. Names that no title or phrase introduces anywhere in the document are out of reach.
 
 Only documents with entities are shuffled. Defined cases: null text stays null; texts without
 entities stay as they are; repeated rows are replaced alike; empty tables work; other columns pass
-unchanged.
+unchanged; should the surrogates of a kind run out (say more three-digit numbers than there are), an
+error is raised and nothing is written.
 """
 
 from __future__ import annotations
@@ -23,7 +30,6 @@ from pyspark.sql import functions as F
 from comanda.llm.common import set_aside
 from comanda.session import written
 
-KEY = "demonstration key; pass your own"
 #: Patterns by type, in order of preference.
 PATTERNS = {
     "email": r"(?:(?<![\p{L}\p{N}._%+-])|\G)[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
@@ -33,25 +39,20 @@ PATTERNS = {
     "card": r"(?<![\d\p{L}])\d(?:[ -]?\d){12,18}(?![\d\p{L}])",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}\b|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}\b|\b\d{3}[.-]\d{3,4}[.-]\d{4}\b",
     "social": r"\b\d{3}-\d{2}-\d{4}\b",
-    "name": r"\b(?:Mrs?|Ms|Miss|Dr|Herr|Frau|Mme|Señora?|Sra?)\.?[ ]\p{Lu}\p{L}+(?:[ ]\p{Lu}\p{L}+)?",
+    "name": r"(?<![\p{L}\p{N}])(?:(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Señora?|Sra?|господин|госпожа|г-н|г-жа)\.?|[Mm]y name is|[Mm]ein Name ist|[Jj]e m'appelle|[Mm]e llamo|[Мм]еня зовут)[ ]\p{Lu}\p{L}+(?:[ ]\p{Lu}\p{L}+)?",
 }
-#: Titles by gender, and names by gender and script.
-MALE, FEMALE = ("Mr", "Herr", "Señor", "Sr"), ("Mrs", "Ms", "Miss", "Frau", "Mme", "Señora", "Sra")
-GIVEN = {
-    ("male", "latin"): ("Adam", "Bruno", "Carl", "David", "Erik", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Noah", "Oscar", "Paul"),
-    ("female", "latin"): ("Anna", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Helena", "Ida", "Julia", "Klara", "Laura", "Maria", "Nora", "Olga", "Paula"),
-    ("any", "latin"): ("Alex", "Andrea", "Chris", "Dana", "Eli", "Jamie", "Jona", "Kim", "Lee", "Lou", "Max", "Noel", "Robin", "Sam", "Sascha", "Toni"),
-    ("male", "cyrillic"): ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл"),
-    ("female", "cyrillic"): ("Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Ольга", "Юлия"),
-    ("any", "cyrillic"): ("Саша", "Женя", "Валя", "Шура"),
-}
-FAMILY = {
-    "latin": ("Adler", "Berger", "Costa", "Dahl", "Egger", "Fischer", "Garcia", "Holm", "Iversen", "Jensen", "Keller", "Lopez", "Moreau", "Novak", "Olsen", "Petit", "Quist", "Rossi", "Santos", "Thoma", "Urban", "Vidal", "Weber", "Ziegler"),
-    "cyrillic": ("Белов", "Волков", "Громов", "Зорин", "Комаров", "Лебедев", "Морозов", "Орлов"),
+#: Titles by gender, syllables by script, endings of given names, domains of many people.
+MALE, FEMALE = ("Mr", "Herr", "Señor", "Sr", "господин", "г-н"), ("Mrs", "Ms", "Miss", "Frau", "Mme", "Señora", "Sra", "госпожа", "г-жа")
+SYLLABLES = {
+    "latin": ("ba", "be", "bri", "ca", "cor", "da", "del", "do", "fa", "fe", "gal", "go", "ha", "hel", "ja", "jo", "ka", "kel", "la", "li", "lo", "ma", "mel", "mo", "na", "nor", "pa", "per", "ra", "ro", "sa", "sel", "ta", "tor", "va", "vel", "wa", "wen", "za", "zo"),
+    "cyrillic": ("ба", "бе", "ва", "ве", "га", "го", "да", "де", "за", "зо", "ка", "ко", "ла", "ли", "ма", "ми", "на", "не", "па", "по", "ра", "ро", "са", "се", "та", "те", "фа", "фе"),
 }
+ENDINGS = {("male", "latin"): "n", ("female", "latin"): "ra", ("any", "latin"): "li", ("male", "cyrillic"): "н", ("female", "cyrillic"): "на", ("any", "cyrillic"): "ли"}
+SHARED_DOMAINS = ("gmail.com", "googlemail.com", "yahoo.com", "hotmail.com", "outlook.com", "icloud.com", "gmx.de", "web.de", "mail.ru", "example.com", "example.org", "example.net")
 #: Inside a word no pattern begins (but for digits and signs), so most places are passed over at once.
 ANY = r"(?:(?<![\p{L}\p{N}])|\G|(?=[(+\d]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
-DRAWS = 12
+#: Draws before the surrogates of a kind are taken to have run out.
+DRAWS = 40
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,16 +64,30 @@ def type_of(entity: Column) -> Column:
 
 
 def prefix_of(entity: Column, kind: Column) -> Column:
-    """What stays in front: the word before a secret, the title before a name."""
+    """What stays in front: the word before a secret, the title or phrase before a name."""
     secret = F.regexp_extract(entity, r"^(\w+(?:[_-]\w+)?\s*[=:]\s*[\"']?)", 1)
-    title = F.regexp_extract(entity, r"^(\p{L}+\.?[ ])", 1)
+    title = F.regexp_extract(entity, r"^(.*?[ ])\p{Lu}\p{L}+(?:[ ]\p{Lu}\p{L}+)?$", 1)
     return F.when(kind == "secret", secret).when(kind == "name", title).otherwise("")
 
 
 def normal_form(value: Column, kind: Column) -> Column:
-    """Spellings of one entity are equal: case of addresses, punctuation of numbers."""
+    """Spellings of one entity are equal: case of addresses and names, punctuation of numbers."""
     digits = F.regexp_replace(value, r"\D", "")
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("phone", "card", "social"), digits).when(kind == "account", F.regexp_replace(value, " ", "")).otherwise(value)
+    return F.when(kind.isin("email", "name"), F.lower(value)).when(kind.isin("phone", "card", "social"), digits).when(kind == "account", F.regexp_replace(value, " ", "")).otherwise(value)
+
+
+def parts_of(surface: Column, kind: Column, gender: Column) -> Column:
+    """array<struct<kind, norm, surface, gender>>: the parts that get a surrogate each."""
+
+    def part(k: Column, norm: Column, of: Column) -> Column:
+        return F.struct(k.alias("kind"), norm.alias("norm"), of.alias("surface"), gender.alias("gender"))
+
+    local, domain = F.substring_index(surface, "@", 1), F.substring_index(surface, "@", -1)
+    given, family = F.substring_index(surface, " ", 1), F.substring_index(surface, " ", -1)
+    email = F.array(part(F.lit("email"), F.lower(surface), local), part(F.lit("domain"), F.lower(domain), domain))
+    names = F.array(part(F.lit("given"), F.lower(given), given), part(F.lit("family"), F.lower(family), family))
+    one = F.array(part(F.when(kind == "name", "family").otherwise(kind), normal_form(surface, kind), surface))
+    return F.when(kind == "email", email).when((kind == "name") & (F.instr(surface, " ") > 0), names).otherwise(one)
 
 
 def _drawn(seed: Column, i: Column, below: int) -> Column:
@@ -100,17 +115,19 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(terms, F.lit(0), lambda a, x: a + x)
 
 
-def _pick(names: tuple[str, ...], seed: Column, i: int) -> Column:
-    return F.element_at(F.array(*map(F.lit, names)), _drawn(seed, F.lit(i), len(names)) + 1)
+def _syllables(script: str, seed: Column, n: Column) -> Column:
+    names = SYLLABLES[script]
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(F.array(*map(F.lit, names)), _drawn(seed, i, len(names)) + 1)), "")
 
 
 def surrogate(norm: Column, kind: Column, gender: Column, key: str, draw: Column) -> Column:
-    """The keyed surrogate, in normal form, of the draw-th try."""
+    """The keyed surrogate, in normal form, of the draw-th try. Later tries of names, secrets and
+    addresses are longer, so they never run out."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, draw.cast("string")), 256)
-    longer = F.when(draw >= DRAWS // 2, F.concat(F.lit("x"), draw.cast("string"))).otherwise("")
-    at = F.instr(norm, "@")
-    local, domain = F.substr(norm, F.lit(1), at - 1), F.substr(norm, at)
-    email = F.concat(_shaped(local, seed), longer, domain)
+    longer = F.when(draw > 3, F.concat(F.lit("x"), draw.cast("string"))).otherwise("")
+    email = F.concat(_shaped(F.substring_index(norm, "@", 1), seed), longer)
+    name, end = F.regexp_extract(norm, r"^(.*)\.[^.]*$", 1), F.regexp_extract(norm, r"(\.[^.]*)$", 1)
+    domain = F.when(norm.isin(*SHARED_DOMAINS), norm).otherwise(F.concat(_shaped(name, seed), longer, end))
     numbers = F.concat(F.substr(norm, F.lit(1), F.lit(1)), _shaped(F.substr(norm, F.lit(2)), seed))
     body = F.substr(numbers, F.lit(1), F.length(numbers) - 1)
     check = F.pmod(10 - F.pmod(_luhn_sum(body), F.lit(10)), F.lit(10)).cast("string")
@@ -118,65 +135,69 @@ def surrogate(norm: Column, kind: Column, gender: Column, key: str, draw: Column
     card = F.when(valid, F.concat(body, check)).otherwise(numbers)
     ip = F.array_join(F.transform(F.split(norm, r"\."), lambda c, i: (_drawn(seed, i, 223) + 1).cast("string")), ".")
     script = F.when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    given, family = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for (g, s), names in GIVEN.items():
-        given = F.when((gender == g) & (script == s), _pick(names, seed, 0)).otherwise(given)
-    for s, names in FAMILY.items():
-        # later draws have double family names, and then endings of letters, so all can differ
-        twice = F.concat(_pick(names, seed, 1), F.when(draw > 1, F.concat(F.lit("-"), _pick(names, seed, 2))).otherwise(""))
-        end = F.when(draw > 3, _shaped(F.lit("xxxx"), seed)).otherwise("")
-        family = F.when(script == s, F.concat(twice, end)).otherwise(family)
-    name = F.when(F.instr(norm, " ") > 0, F.concat(given, F.lit(" "), family)).otherwise(family)
+    n = F.lit(2) + F.floor(draw / 2).cast("int")
+    syllables = F.when(script == "cyrillic", _syllables("cyrillic", seed, n)).otherwise(_syllables("latin", seed, n))
+    ending = F.lit("")
+    for (g, s), e in ENDINGS.items():
+        ending = F.when((kind == "given") & (gender == g) & (script == s), e).otherwise(ending)
     shaped = F.concat(_shaped(norm, seed), F.when(kind == "secret", longer).otherwise(""))
-    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind == "name", name).when(kind.isin("phone", "social"), numbers).otherwise(shaped)
+    return F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "card", card).when(kind == "ip", ip).when(kind.isin("given", "family"), F.concat(syllables, ending)).when(kind.isin("phone", "social"), numbers).otherwise(shaped)
 
 
 def rendered(drawn: Column, surface: Column, kind: Column) -> Column:
-    """The surrogate in the entity's spelling: digits fill the places of digits, case follows."""
+    """The surrogate in the part's spelling: digits fill the places of digits, case follows."""
     places = F.split(surface, "[0-9]")
     filled = F.array_join(F.transform(places, lambda p, i: F.concat(p, F.coalesce(F.substr(drawn, i + 1, F.lit(1)), F.lit("")))), "")
     upper = (surface == F.upper(surface)) & (surface != F.lower(surface))
-    cased = F.when((kind == "email") & upper, F.upper(drawn)).otherwise(drawn)
+    cased = F.when(kind.isin("email", "domain", "given", "family") & upper, F.upper(drawn)).when(kind.isin("given", "family"), F.initcap(drawn)).otherwise(drawn)
     return F.when(kind.isin("phone", "card", "social"), filled).otherwise(cased)
 
 
 def gender_of(prefix: Column) -> Column:
-    title = F.regexp_extract(prefix, r"^(\p{L}+)", 1)
+    title = F.regexp_extract(prefix, r"^([\p{L}-]+)", 1)
     return F.when(title.isin(*MALE), "male").when(title.isin(*FEMALE), "female").otherwise("any")
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, gender, norm, drawn) of the distinct ``entities(kind, gender, norm)``; drawn differs
-    from every other drawn value and from every entity of its kind.
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, drawn) of the distinct ``entities(kind, gender, norm)``; drawn differs from every
+    other drawn value and from every entity of its kind.
 
-    Each round draws for what is left; of those that meet, the least keeps the value.
+    A part's gender is the one that all its titles tell, else "any". Each round draws for what is
+    left; of those that meet, the least keeps the value.
     """
-    left = written(entities.distinct(), "entities")
-    known = left.select("kind", F.col("norm").alias("value")).distinct()
+    told = F.array_distinct(F.filter(F.collect_set("gender"), lambda g: g != "any"))
+    left = entities.groupBy("kind", "norm").agg(told.alias("told")).select("kind", "norm", F.when(F.size("told") == 1, F.col("told")[0]).otherwise("any").alias("gender"))
+    left = written(left, "entities")
+    # addresses are told apart by their local parts, and domains of many people stay as they are
+    held = F.when(F.col("kind") == "email", F.substring_index("norm", "@", 1)).otherwise(F.col("norm"))
+    known = left.filter(~((F.col("kind") == "domain") & F.col("norm").isin(*SHARED_DOMAINS))).select("kind", held.alias("value")).distinct()
     done: list[DataFrame] = []
     for draw in range(DRAWS):
         tried = left.withColumn("drawn", surrogate(F.col("norm"), F.col("kind"), F.col("gender"), key, F.lit(draw)))
         taken = reduce(DataFrame.unionByName, [known, *[d.select("kind", F.col("drawn").alias("value")) for d in done]])
         free = tried.join(taken, (tried["kind"] == taken["kind"]) & (tried["drawn"] == taken["value"]), "left_anti")
-        won = free.groupBy("kind", "drawn").agg(F.min(F.struct("norm", "gender")).alias("w")).select("kind", "w.gender", "w.norm", "drawn")
+        won = free.groupBy("kind", "drawn").agg(F.min("norm").alias("norm"))
         done.append(written(won, "surrogates"))
-        left = written(left.join(done[-1], ["kind", "gender", "norm"], "left_anti"), "entities")
+        left = written(left.join(done[-1], ["kind", "norm"], "left_anti"), "entities")
         if left.isEmpty():
-            break
-    else:  # what still meets after all draws is told apart by its own keyed hash
-        last = F.substr(F.sha2(F.concat_ws("|", F.lit(key), "kind", "norm"), 256), F.lit(1), F.lit(32))
-        done.append(left.withColumn("drawn", F.when(F.col("kind").isin("phone", "card", "social"), F.concat(F.lit("0"), F.translate(last, "abcdef", "012345"))).otherwise(last)))
-    return reduce(DataFrame.unionByName, done)
+            return reduce(DataFrame.unionByName, done)
+    raise RuntimeError(f"{DRAWS} draws did not give distinct surrogates: there are as many entities as values of their form")
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with its texts' entities replaced."""
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with its texts' entities replaced under the secret ``key``."""
     rows, restored = set_aside(docs, ("doc_id", "text"))
     return restored(_replaced(rows, key))
 
 
+def _without_names(gap: Column, names: Column) -> Column:
+    """``gap`` with the words that ``names`` (map of word to surrogate) holds replaced, in one pass."""
+    words = F.regexp_extract_all(gap, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(names, w), w)), "")
+
+
 def _replaced(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with replaced entities, and ``_entities``: how many each text had."""
+    """``docs`` with replaced entities, and ``_entities``: how many its pattern found in each text."""
     has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
     matches = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
     hit = written(docs.filter(has).withColumn("_hash", F.xxhash64("text")).withColumn("_matches", matches), "with-entities")
@@ -184,22 +205,30 @@ def _replaced(docs: DataFrame, key: str) -> DataFrame:
     found = hit.select(F.explode("_matches").alias("entity")).distinct()
     kind, prefix = type_of(F.col("entity")), prefix_of(F.col("entity"), F.col("kind"))
     found = found.withColumn("kind", kind).withColumn("prefix", prefix).withColumn("surface", F.substr("entity", F.length("prefix") + 1))
-    found = written(found.withColumn("norm", normal_form(F.col("surface"), F.col("kind"))).withColumn("gender", gender_of(F.col("prefix"))), "found")
+    parts = parts_of(F.col("surface"), F.col("kind"), gender_of(F.col("prefix")))
+    found = written(found.select("entity", "prefix", F.posexplode(parts).alias("at", "part")).select("entity", "prefix", "at", "part.*"), "found")
     drawn = surrogates(found.select("kind", "gender", "norm"), key)
-    table = found.join(drawn, ["kind", "gender", "norm"]).select("entity", F.concat("prefix", rendered(F.col("drawn"), F.col("surface"), F.col("kind"))).alias("put"))
-    table = written(table, "replacements")
+    put = rendered(F.col("drawn"), F.col("surface"), F.col("kind"))
+    each = found.join(drawn, ["kind", "norm"]).select("entity", "prefix", F.struct("at", "kind", "surface", put.alias("put")).alias("p"))
+    by_entity = each.groupBy("entity", "prefix").agg(F.array_sort(F.collect_list("p")).alias("ps"))  # two parts at most
+    gap = F.when(F.col("ps")[0]["kind"] == "email", "@").otherwise(" ")
+    whole = F.concat("prefix", F.when(F.size("ps") == 1, F.col("ps")[0]["put"]).otherwise(F.concat(F.col("ps")[0]["put"], gap, F.col("ps")[1]["put"])))
+    names = F.transform(F.filter("ps", lambda p: p["kind"].isin("given", "family")), lambda p: F.struct(p["surface"], p["put"]))
+    table = written(by_entity.select("entity", whole.alias("put"), names.alias("names")), "replacements")
     # a match's place leads to its surrogate, so long texts need no look-up in a map
     places = hit.select("doc_id", "_hash", F.posexplode("_matches").alias("_at", "entity"))
-    per_doc = places.join(table, "entity").groupBy("doc_id", "_hash").agg(F.array_sort(F.collect_set(F.struct("_at", "put"))).alias("_put"))
-    per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "_put")
+    per_doc = places.join(table, "entity").groupBy("doc_id", "_hash").agg(F.array_sort(F.collect_set(F.struct("_at", "put"))).alias("_put"), F.array_distinct(F.flatten(F.collect_set("names"))).alias("_names"))
+    per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "_put", F.map_from_entries("_names").alias("_names"))
     joined = hit.join(per_doc, hit["doc_id"].eqNullSafe(per_doc["_id"]) & (hit["_hash"] == per_doc["_h"]))
     gaps = F.split("text", ANY, -1)
+    gaps = F.when(F.size("_names") > 0, F.transform(gaps, lambda g: _without_names(g, F.col("_names")))).otherwise(gaps)
     # zip_with takes the gaps once a row; a look-up in a lambda would split the text at every match
-    text = F.concat(gaps[0], F.array_join(F.zip_with("_put", F.slice(gaps, 2, F.size("_matches")), lambda p, gap: F.concat(p["put"], gap)), ""))
+    joined = joined.withColumn("_gaps", gaps)
+    text = F.concat(F.col("_gaps")[0], F.array_join(F.zip_with("_put", F.slice("_gaps", 2, F.size("_matches")), lambda p, gap: F.concat(p["put"], gap)), ""))
     made = joined.withColumn("text", text).withColumn("_entities", F.size("_matches").cast("long"))
     return made.select(*[made[c] for c in docs.columns], "_entities").unionByName(rest)
 
 
-def judged(docs: DataFrame, key: str = KEY) -> DataFrame:
+def judged(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with surrogates and n_entities of every row."""
     return _replaced(docs.select("doc_id", "text"), key).select("doc_id", "text", F.col("_entities").alias("n_entities"))
