@@ -35,7 +35,7 @@ MAGIC = b"CTOKENS1"
 TRAILER = "<IIqqqq8s"
 BLOCK = 4096
 #: Texts whose new parts are encoded in one call.
-TEXTS = 1000
+TEXTS = 500
 #: White space for Python's split() that is none for the tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: The tokenizer's own split of a piece, for lower-cased ASCII and for letters at large.
@@ -72,7 +72,7 @@ class Pieces(dict):
     other than ASCII, the vocabulary's added tokens) are encoded whole.
     """
 
-    def __init__(self, path: str, bound: int = 300_000):
+    def __init__(self, path: str, bound: int = 150_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -108,7 +108,7 @@ class Pieces(dict):
                 self.parts[x] = self.encoded(x)
 
     def of_texts(self, texts: list[str | None]) -> list[bytes]:
-        if len(self) > self.bound:
+        if 2 * len(self) > self.bound:
             self.clear()
         if len(self.parts) > self.bound:
             self.parts.clear()
