@@ -50,7 +50,7 @@ def shape(token: str) -> str:
     letters = "A" if token.isupper() and len(token) > 1 else "a" if token.islower() else "Aa" if token.istitle() else "aA"
     for pattern, put in _SHAPES:
         token = pattern.sub(put or letters, token)
-    return _RUN.sub(r"\1+", token)[:12]
+    return _RUN.sub(r"\1+", token)
 
 
 class Slots(dict):
@@ -83,7 +83,7 @@ def features(text: str | None, slots: Slots, hashes: Hashes) -> tuple[np.ndarray
     both = (s[:-1] * 31 + s[1:] * 17 + 7) % base
     which, counts = np.unique(np.concatenate([s, both]), return_counts=True)
     lines = [x for x in text.split("\n") if x.strip()]
-    rest = np.array([len(set(tokens)) / n, 1 - len(set(lines)) / max(1, len(lines)), min(1.0, n / 40), min(2.0, sum(map(len, tokens)) / n / 10), (text.count("|") + text.count("{")) / n])
+    rest = np.array([len(set(tokens)) / n, 1 - len(set(lines)) / max(1, len(lines)), n / (n + 40), np.log1p(sum(map(len, tokens)) / n) / 4, (text.count("|") + text.count("{")) / n])
     numbers, values = word_features(text, hashes)
     return np.concatenate([which, base + 1 + np.arange(5), numbers]), np.concatenate([np.sqrt(counts / n), rest, values])
 
