@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Hashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 250_000):
         super().__init__()
         self.bound = bound
 
@@ -69,14 +69,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], most:
     """(text, *columns) of at most ``most`` labelled rows outside the held-out ones.
 
     The ids come in the order of a hash, so the bounded sample is the same in every run; it is
-    small by that bound and goes to the tasks, and the texts stay where they lie.
+    small by that bound and goes to the tasks, and the texts stay where they lie. Of repeated rows
+    of one doc_id the least text counts, so the bound holds for them too.
     """
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     for c in columns:
         known = known.filter(F.col(c).isNotNull())
     known = known.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns])
     chosen = known.orderBy(F.xxhash64(F.lit("train"), "doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", *columns)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", *columns).agg(F.min("text").alias("text")).select("text", *columns)
 
 
 class Sparse:

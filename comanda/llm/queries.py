@@ -14,6 +14,8 @@ from comanda.llm.oracle import ORACLE_SQL  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 N_VOCAB, END_ID = 49_408, 1
+#: Of the registered query alone; the operator has no key of its own.
+DEMONSTRATION_KEY = "demonstration"
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.judged(table(spark, sf_dir, "documents"))
+    return surrogates.judged(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

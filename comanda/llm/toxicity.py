@@ -1,11 +1,13 @@
 """Toxicity scores by weak supervision.
 
 Many voters look at a text: one for each fixed lexicon word, lexicons of words and word beginnings
-mined from labelled training rows, patterns of writing, and the row's own label as one voter among
-them. A generative label model (two classes, votes given the class; expectation maximisation)
-estimates each voter's accuracy; correlations of voters given the class lower the weight of those
-that repeat each other. A linear classifier over hashed words and word beginnings, sparse by an L1 penalty, is trained on the
-model's posterior labels and scores every whole text.
+mined from labelled training rows, and patterns of writing. Training rows are dealt to folds by a
+hash of their text, and the lexicons that vote on one fold are mined from the others. A generative
+label model (two classes, votes given the class; expectation maximisation) estimates each voter's
+accuracy from the votes. The given labels anchor it as evidence of the fixed reliability TRUST, so
+voters that agree overrule a label. Correlations of voters given the class lower the weight of those that repeat each other. A linear
+classifier over hashed words and word beginnings, sparse by an L1 penalty, is trained on the model's
+posterior labels and scores every whole text.
 
 Learning sees at most TRAINING_ROWS labelled rows outside the held-out fifth; scores use the text
 alone. Scoring is one scan without a shuffle.
@@ -31,8 +33,11 @@ from pyspark.sql import functions as F
 from comanda.llm.common import Sparse, held_out, set_aside, training_rows
 from comanda.session import written
 
-#: Documented bounds of what is learned from and of the mined lexicons.
-TRAINING_ROWS, MINED_ENTRIES = 4000, 400
+#: Documented bound of what is learned from; the mined lexicons have no bound of their own.
+TRAINING_ROWS = 4000
+#: Rows that a mined entry needs, a word that marks clean texts needs, and the share of toxic ones.
+LEAST_ROWS, LEAST_CLEAN, PURITY = 5, 25, 0.9
+FOLDS, TRUST = 4, 0.95
 #: Insults, one voter each.
 LEXICON = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -54,7 +59,7 @@ class Voters:
     names: list[str] = field(init=False)
 
     def __post_init__(self):
-        self.names = [*LEXICON, "any of the lexicon", "many of the lexicon", *[f"mined {k or 'words'}" for k in self.mined], "mined many", "clean words", "shouting", "upper case", "marks", "repetition"]
+        self.names = [*LEXICON, "many of the lexicon", *[f"mined {k or 'words'}" for k in self.mined], "mined many", "no entry", "clean words", "shouting", "upper case", "marks", "repetition"]
 
     def votes(self, text: str | None) -> list[int]:
         text = text or ""
@@ -63,14 +68,14 @@ class Voters:
         n = sum(known)
         mined = [len(words & self.mined[0]) if k == 0 else sum(w[:k] in self.mined[k] for w in words if len(w) > k) for k in self.mined]
         tokens = text.split()
-        letters = sum(map(str.isupper, text[:2000])) / max(1, sum(map(str.isalpha, text[:2000])))
+        letters = sum(map(str.isupper, text)) / max(1, sum(map(str.isalpha, text)))
         calm = n == 0 and not any(mined)
         return [
             *[int(x) for x in known],
-            1 if n else -1,
             1 if n > 1 else 0,
-            *[1 if m else -1 for m in mined],
+            *[int(m > 0) for m in mined],
             1 if sum(mined) > 2 else 0,
+            -1 if calm else 0,
             -1 if calm and words & self.clean else 0,
             1 if len(SHOUT.findall(text)) > 2 and n else 0,
             -1 if letters > 0.6 and calm else 0,
@@ -89,20 +94,21 @@ class LabelModel:
     accuracies: np.ndarray
     correlations: np.ndarray
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, given: np.ndarray) -> np.ndarray:
         s = math.log(self.prior / (1 - self.prior)) + (self.log_odds[np.arange(votes.shape[1]), votes + 1] * self.weights).sum(axis=1)
+        s = s + math.log(TRUST / (1 - TRUST)) * given
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
-def label_model(votes: np.ndarray, rounds: int = 30) -> LabelModel:
-    """Fits the generative model to ``votes`` (rows x voters; the last voter is the given label).
+def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30) -> LabelModel:
+    """Fits the generative model to ``votes`` (rows x voters) and the given labels (1 toxic, -1 not).
 
-    The label starts the posterior; accuracies, class shares, correlations within the classes and
-    the weights that follow from them are found anew in each round.
+    Accuracies, the classes' shares, correlations within the classes and the weights that follow
+    from them are found anew in each round; a voter that abstains says nothing.
     """
     n, m = votes.shape
     one_hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-    p = np.where(votes[:, -1] == 1, 0.95, np.where(votes[:, -1] == -1, 0.05, 0.5))
+    p = np.where(given == 1, TRUST, 1 - TRUST)
     for _ in range(rounds):
         toxic = np.einsum("i,ijv->jv", p, one_hot) + 0.5
         clean = np.einsum("i,ijv->jv", 1 - p, one_hot) + 0.5
@@ -115,10 +121,10 @@ def label_model(votes: np.ndarray, rounds: int = 30) -> LabelModel:
         moving = spread > 1e-6
         shared = np.clip(correlations, 0, 1) * np.outer(moving, moving)
         np.fill_diagonal(shared, 0)
-        weights = 1 / (1 + shared.sum(axis=1))
-        weights[-1] = 1.0
-        model = LabelModel(np.log(toxic / clean), prior, weights, toxic[:, 2] * prior + clean[:, 0] * (1 - prior), correlations)
-        p = model.posterior(votes)
+        odds = np.log(toxic / clean)
+        odds[:, 1] = 0.0
+        model = LabelModel(odds, prior, 1 / (1 + shared.sum(axis=1)), toxic[:, 2] * prior + clean[:, 0] * (1 - prior), correlations)
+        p = model.posterior(votes, given)
     return model
 
 
@@ -150,7 +156,7 @@ class Scorer:
             for word in words_of(text):
                 w = known.get(word)
                 if w is None:
-                    if len(known) > 400_000:
+                    if len(known) > 200_000:
                         known.clear()
                     w = known[word] = sum(self.weights.get(f, 0.0) for f in features_of_word(word, self.mined))
                 total += w
@@ -173,42 +179,59 @@ def logistic(x: Sparse, target: np.ndarray, l1: float = 0.1, rounds: int = 400)
     return w, b
 
 
-def mined_lexicons(sample: DataFrame, entries: int = MINED_ENTRIES) -> tuple[dict[int, frozenset[str]], frozenset[str]]:
-    """Words and word beginnings that mark toxic training rows, and words that mark the others."""
-    words = sample.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1)))).alias("w"))
-    rows = words.select("toxic", F.lit(0).alias("k"), "w")
+def mined_lexicons(sample: DataFrame) -> list[tuple[dict[int, frozenset[str]], frozenset[str]]]:
+    """For rows of each fold, and last for rows of none: words and word beginnings that mark toxic
+    rows of ``sample(text, toxic, fold)``, and words that mark the others, from the rows elsewhere."""
+    words = sample.select("toxic", "fold", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1)))).alias("w"))
+    rows = words.select("toxic", "fold", F.lit(0).alias("k"), "w")
     for k in PREFIXES:
-        rows = rows.unionByName(words.filter(F.length("w") > k).select("toxic", F.lit(k).alias("k"), F.substring("w", 1, k).alias("w")))
-    counts = rows.groupBy("k", "w").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
-    counts = written(counts.filter("n >= 8"), "word-counts")
-    bad = counts.filter("t >= 0.95 * n").orderBy(F.desc("t"), "w").limit(entries).collect()
-    good = counts.filter("k = 0 and n >= 30 and t = 0").orderBy(F.desc("n"), "w").limit(entries).collect()
-    return {k: frozenset(r["w"] for r in bad if r["k"] == k) for k in (0, *PREFIXES)}, frozenset(r["w"] for r in good)
+        rows = rows.unionByName(words.filter(F.length("w") > k).select("toxic", "fold", F.lit(k).alias("k"), F.substring("w", 1, k).alias("w")))
+    elsewhere = [F.when(F.col("fold") != f, 1).otherwise(0) for f in range(FOLDS + 1)]
+    sums = [c for f, x in enumerate(elsewhere) for c in (F.sum(x).alias(f"n{f}"), F.sum(x * F.col("toxic")).alias(f"t{f}"))]
+    counts = written(rows.groupBy("k", "w").agg(*sums).filter(f"n{FOLDS} >= {LEAST_ROWS}"), "word-counts")
+    found = []
+    for f in range(FOLDS + 1):  # words of the bounded sample
+        bad = counts.filter(f"n{f} >= {LEAST_ROWS} and t{f} >= {PURITY} * n{f}").select("k", "w").collect()
+        good = counts.filter(f"k = 0 and n{f} >= {LEAST_CLEAN} and t{f} = 0").select("w").collect()
+        found.append(({k: frozenset(r["w"] for r in bad if r["k"] == k) for k in (0, *PREFIXES)}, frozenset(r["w"] for r in good)))
+    return found
 
 
 def trained(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> tuple[Scorer, LabelModel | None]:
+    """The classifier, and the label model that made its training labels."""
+    scorer, model, _ = learned(docs, labels, most)
+    return scorer, model
+
+
+def learned(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> tuple[Scorer, LabelModel | None, list[tuple[int, float]]]:
+    """``trained``, and the given label and the posterior of every training row."""
     sample = training_rows(docs, labels, ["toxic"], most)
-    voters = Voters(*mined_lexicons(sample))
+    # copies of a text fall into one fold
+    sample = sample.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)))
+    lexicons = mined_lexicons(sample)
+    voters = [Voters(*x) for x in lexicons]
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            kept = [np.unique(np.array([f for w in words_of(t) for f in features_of_word(w, voters.mined)], np.int64), return_counts=True) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([voters.votes(t) for t in texts], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for c, _ in kept], pa.list_(pa.int32())), pa.array([np.minimum(n, 30_000).astype(np.int16) for _, n in kept], pa.list_(pa.int16()))], ["toxic", "votes", "features", "counts"])
+            texts, folds = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            kept = [np.unique(np.array([x for w in words_of(t) for x in features_of_word(w, voters[f].mined)], np.int64), return_counts=True) for t, f in zip(texts, folds, strict=True)]
+            votes = [voters[f].votes(t) for t, f in zip(texts, folds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes, pa.list_(pa.int32())), pa.array([c.astype(np.int32) for c, _ in kept], pa.list_(pa.int32())), pa.array([np.minimum(n, 30_000).astype(np.int16) for _, n in kept], pa.list_(pa.int16()))], ["toxic", "votes", "features", "counts"])
 
-    rows = sample.select("text", F.col("toxic").cast("long")).mapInArrow(seen, "toxic long, votes array<int>, features array<int>, counts array<smallint>").toArrow()  # at most ``most`` rows
+    rows = sample.select("text", F.col("toxic").cast("long"), "fold").mapInArrow(seen, "toxic long, votes array<int>, features array<int>, counts array<smallint>").toArrow()  # at most ``most`` rows
     if rows.num_rows == 0:
-        return Scorer({}, -30.0), None
+        return Scorer({}, -30.0), None, []
     given = np.where(rows.column("toxic").to_numpy() > 0, 1, -1)
-    votes = np.column_stack([np.array(rows.column("votes").to_pylist(), np.int64), given])
-    model = label_model(votes)
+    votes = np.array(rows.column("votes").to_pylist(), np.int64)
+    model = label_model(votes, given)
+    posterior = model.posterior(votes, given)
     x = Sparse([(c.values.to_numpy(), n.values.to_numpy()) for c, n in zip(rows.column("features"), rows.column("counts"), strict=True)], N_FEATURES)
-    w, b = logistic(x, model.posterior(votes))
-    return Scorer({int(k): float(w[k]) for k in np.nonzero(w)[0]}, float(b), voters.mined), model
+    w, b = logistic(x, posterior)
+    return Scorer({int(k): float(w[k]) for k in np.nonzero(w)[0]}, float(b), lexicons[FOLDS][0]), model, list(zip(given.tolist(), posterior.tolist(), strict=True))
 
 
 def with_scores(docs: DataFrame, scorer: Scorer, name: str = "_toxicity") -> DataFrame:
-    """``docs`` with the score of each whole text."""
+    """``docs`` with the score of each whole text as ``name``, which ``docs`` must not have."""
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -293,7 +294,7 @@ def test_colliding_digests_are_told_apart(spark, monkeypatch):
 def test_surrogates(spark, docs, empty):
     text = "Mail Bob.Smith@example.com or bob.smith@EXAMPLE.com, call +1 (988) 555-2485, card 4111 1111 1111 1111, from 10.1.2.3, password=hunter2hunter2, Frau Erika Muster"
     extra = spark.createDataFrame([(1, text, "a"), (2, text, "b"), (3, None, "c"), (4, "nothing here", "d")], "doc_id long, text string, _put string")
-    got = {r["doc_id"]: r for r in surrogates.pseudonymised(extra).collect()}
+    got = {r["doc_id"]: r for r in surrogates.pseudonymised(extra, "k").collect()}
     new = got[1]["text"]
     assert new == got[2]["text"] and got[3]["text"] is None and got[4]["text"] == "nothing here" and got[1]["_put"] == "a"
     for secret in ("ob.Smith@", "555-2485", "1111 1111", "10.1.2.3", "hunter2", "Erika", "Muster"):
@@ -302,13 +303,47 @@ def test_surrogates(spark, docs, empty):
     assert mails[0] == mails[1]
     card = "".join(c for c in new.split("card ")[1].split(",")[0] if c.isdigit())
     assert sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(card))) % 10 == 0
-    assert surrogates.judged(docs).count() == docs.count() and surrogates.judged(empty).count() == 0
+    assert surrogates.judged(docs, "k").count() == docs.count() and surrogates.judged(empty, "k").count() == 0
+    other = {r["doc_id"]: r["text"] for r in surrogates.pseudonymised(extra, "another").collect()}
+    assert other[1] != new
+
+
+def test_surrogates_keep_persons_together(spark):
+    text = "Frau Erika Muster met Frau Muster and Dr Muster. Mail erika@erika-muster.de and otto@erika-muster.de. Erika Muster wrote, MUSTER too, musterhaft. Herr Otto Weber and Dr. Otto Weber. My name is Anna Weber. Госпожа и госпожа Анна Белова"
+    rows = spark.createDataFrame([(1, text), (2, "Dr Muster, Mr Erika Muster"), (3, "Muster alone")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymised(rows, "k").collect()}
+    new = got[1]
+    assert not {"Erika", "Muster", "Otto", "Weber", "Anna", "Белова"} & set(re.findall(r"\w+", new)) and "musterhaft" in new
+    w = re.findall(r"\w+", new)
+    given, family = w[1], w[2]
+    assert new.startswith(f"Frau {given} {family} met Frau {family} and Dr {family}. Mail ") and f". {given} {family} wrote" in new
+    domains = re.findall(r"@([\w.-]+\w)", new)
+    assert len(set(domains)) == 1 and domains[0].endswith(".de") and "muster" not in domains[0]
+    assert got[2] == f"Dr {family}, Mr {given} {family}" and got[3] == "Muster alone"
+    weber = [x.split()[-2:] for x in re.findall(r"(?:Herr|Dr\.|is) \w+ \w+", new)]
+    assert weber[0] == weber[1] and weber[2][1] == weber[0][1] and weber[2][0] != weber[0][0]
+    assert re.search(r"госпожа [А-Я][а-я]+на [А-Я][а-я]+$", new)
+
+
+def test_surrogates_of_long_texts_and_ties(spark):
+    many = " ".join(f"mail user{k}@host{k % 50}.org, call +1 (555) 010-{k:04d};" for k in range(3000))
+    rows = spark.createDataFrame([(1, many), (1, many), (None, "x@y.org"), (None, "x@y.org")], "doc_id long, text string")
+    got = [r["text"] for r in surrogates.judged(rows, "k").collect()]
+    long = [t for t in got if len(t) > 100]
+    assert len(got) == 4 and long[0] == long[1]
+    mails = re.findall(r"[\w.+-]+@[\w.-]+\w", long[0])
+    assert len(mails) == len(set(mails)) == 3000 and len({m.split("@")[1] for m in mails}) == 50
+    phones = re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", long[0])
+    assert len(phones) == len(set(phones)) == 3000
 
 
 def test_surrogates_stay_distinct(spark):
-    many = spark.createDataFrame([("email", "any", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, gender string, norm string")
-    got = [r["drawn"] for r in surrogates.surrogates(many).collect()]
-    assert len(got) == len(set(got)) == 26
+    many = spark.createDataFrame([("email", "any", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"] + [("family", "any", f"name{k}x") for k in range(3000)], "kind string, gender string, norm string")
+    got = [(r["kind"], r["drawn"]) for r in surrogates.surrogates(many, "k").collect()]
+    assert len(got) == len(set(got)) == 3026
+    few = spark.createDataFrame([("phone", "any", f"1{k}") for k in range(10)], "kind string, gender string, norm string")
+    with pytest.raises(RuntimeError):
+        surrogates.surrogates(few, "k")
 
 
 def test_url_rules(spark):
@@ -348,6 +383,43 @@ def test_toxicity_held_out(spark):
     assert toxicity.judged(docs.limit(5), labels.limit(0)).count() == 5
 
 
+def test_label_model_is_soft_where_voters_disagree():
+    rng = np.random.default_rng(6)
+    truth = np.where(rng.random(600) < 0.3, 1, -1)
+    votes = np.column_stack([np.where(rng.random(600) < 0.7, np.where(rng.random(600) < a, truth, -truth), 0) for a in (0.9, 0.85, 0.8, 0.75)])
+    votes = np.column_stack([votes, votes[:, 0]])  # a voter and its copy
+    given = np.where(rng.random(600) < 0.03, -truth, truth)
+    model = toxicity.label_model(votes, given)
+    p = model.posterior(votes, given)
+    assert ((p > 0.5) == (truth > 0)).mean() > 0.95
+    assert np.mean((p > 0.5) != (given > 0)) > 0.005  # voters overrule labels
+    against = (votes.sum(axis=1) * given) <= -3
+    assert against.any() and (np.abs(p[against] - (given[against] > 0)) > 0.1).all()
+    assert model.weights[0] < 0.8 and abs(model.weights[0] - model.weights[4]) < 1e-6 and model.weights[1] > model.weights[0]
+    assert model.accuracies[1] > model.accuracies[3]
+
+
+def test_toxicity_edges(spark, rows, empty):
+    docs = spark.createDataFrame(rows + rows[:3] + [(7000, "idiot " * 30_000, None, None, None, None, None)], SCHEMA)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity.judged(docs, labels).collect()
+    assert len(got) == len(rows) + 4 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] == rows[0][0]}) == 1
+    clash = docs.withColumnRenamed("key", "_toxicity")
+    kept = toxicity.without_toxic(clash, labels)
+    assert kept.columns == clash.columns and kept.count() == sum(1 - r["predicted"] for r in got)
+    assert toxicity.judged(empty, labels).count() == 0
+    assert {r["score"] for r in toxicity.judged(docs, labels.limit(0)).collect()} == {min(r["score"] for r in toxicity.judged(docs, labels.limit(0)).collect())}
+
+
+def test_posteriors_are_not_the_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    _, model, pairs = toxicity.learned(docs, labels)
+    assert len(pairs) > 3000 and 0 < sum((g > 0) != (p > 0.5) for g, p in pairs) < 0.03 * len(pairs)
+    assert any(0.1 < p < 0.9 for _, p in pairs) and model.accuracies.shape == model.weights.shape
+
+
 def test_quality_tells_words(spark):
     folder = "/root/testdata/sf0.1"  # 84 good but toxic rows are held out there
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
