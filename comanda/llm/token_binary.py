@@ -15,16 +15,15 @@ doc_ids follow the order of their texts; an empty table gives no shard.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,12 +35,16 @@ TRAILER = "<IIqqqq8s"
 BLOCK = 4096
 #: Texts whose new parts are encoded in one call.
 TEXTS = 500
+#: Characters beyond which a text is not plain: ASCII but for odd controls, letters of Latin and Cyrillic
+#: that are composed and have a lower case of one letter, and general punctuation.
+ODD = re.compile("[^\t-\r -\x7e\u00a1\u00ab\u00bb\u00bf\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e\u0400-\u0481\u048a-\u04ff\u2010-\u2027]")
 #: White space for Python's split() that is none for the tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: The tokenizer's own split of a piece, for lower-cased ASCII and for letters at large.
-ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-ANY_PARTS = regex.compile(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The tokenizer's own split, in a form that is equal on plain lower-cased text.
+PARTS = re.compile("[a-zß-öø-ӿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\sa-z0-9ß-öø-ӿ]+")
 END_OF_WORD = "</w>"
+#: Begins a part that is encoded as it is; no part holds white space.
+AS_IS = "\n"
 
 
 def width_of(n_vocab: int) -> int:
@@ -62,22 +65,24 @@ def unpack(data: bytes, n: int, width: int) -> np.ndarray:
     return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
-class Pieces(dict):
-    """Ids of white-space separated pieces as uint32 bytes, up to a bound.
+class Parts(dict):
+    """Ids of the parts of texts as uint32 bytes, up to a bound.
 
-    The tokenizer never joins text across white space, nor across the parts that its own pattern
-    splits a piece into. So a piece is put together from its parts, and the parts not met before are
-    encoded in one call for many texts; the end-of-word mark of a part's last id tells them apart.
-    Pieces for which splitting first could matter (marks that compose, an apostrophe among letters
-    other than ASCII, the vocabulary's added tokens) are encoded whole.
+    The tokenizer never joins text across the parts that its own pattern splits it into. So a plain
+    text is put together from its parts, and the parts not met before are encoded in one call for
+    many texts; the end-of-word mark of a part's last id tells them apart. Of other texts the pieces
+    between white space take this way where they are plain and are encoded as they are where not;
+    texts with odd white space or with one of the vocabulary's added tokens are encoded whole.
     """
 
-    def __init__(self, path: str, bound: int = 150_000):
+    def __init__(self, path: str, bound: int = 250_000):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.bound, self.parts = Tokenizer.from_file(path), bound, {}
-        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are parallel already
+        self.tokenizer, self.bound = Tokenizer.from_file(path), bound
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([ODD_SPACE.pattern, *map(re.escape, added)]))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for x, k in vocabulary.items() if x.endswith(END_OF_WORD)]] = True
@@ -85,43 +90,33 @@ class Pieces(dict):
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def parts_of(self, piece: str) -> list[str]:
-        if any(x in piece for x in self.added):
-            return [piece]
-        if piece.isascii():
-            return ASCII_PARTS.findall(piece.lower())
-        if "'" in piece or "\u0130" in piece or not unicodedata.is_normalized("NFC", piece):
-            return [piece]
-        return ANY_PARTS.findall(piece)
-
-    def learn_parts(self, parts: list[str]) -> None:
-        one = [x for x in parts if x.isalpha() or x.isascii() and not any(y in x for y in self.added)]  # surely one part each
+    def parts_of(self, text: str | None) -> list[str] | None:
+        if not text:
+            return []
+        if self.whole.search(text):
+            return None
+        if not ODD.search(text):
+            return PARTS.findall(text.lower())
+        return [y for x in text.split() for y in ((AS_IS + x,) if ODD.search(x) else PARTS.findall(x.lower()))]
+
+    def learn(self, parts: set[str]) -> None:
+        one = [x for x in parts if x[0] != AS_IS]
         ids = np.array(self.tokenizer.encode_batch_fast([one], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-        stops = np.nonzero(self.ends[ids])[0] + 1
-        if len(stops) == len(one):
-            data, start = ids.tobytes(), 0
-            for x, stop in zip(one, (4 * stops).tolist(), strict=True):
-                self.parts[x] = data[start:stop]
-                start = stop
-        for x in parts:
-            if x not in self.parts:
-                self.parts[x] = self.encoded(x)
+        stops = (4 * (np.nonzero(self.ends[ids])[0] + 1)).tolist()
+        if len(stops) != len(one):
+            raise ValueError(f"the vocabulary does not end every word in {END_OF_WORD}")
+        data = ids.tobytes()
+        self.update(zip(one, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=False))
+        self.update((x, self.encoded(x[1:])) for x in parts if x[0] == AS_IS)
 
     def of_texts(self, texts: list[str | None]) -> list[bytes]:
-        if 2 * len(self) > self.bound:
+        if len(self) > self.bound:
             self.clear()
-        if len(self.parts) > self.bound:
-            self.parts.clear()
-        split = [None if x and ODD_SPACE.search(x) else (x or "").split() for x in texts]
-        new = {x for pieces in split if pieces for x in pieces if x not in self}
-        made = {x: self.parts_of(x) for x in new}
-        unknown = {y for parts in made.values() for y in parts if y not in self.parts}
-        if unknown:
-            self.learn_parts(list(unknown))
-        known = self.parts
-        for x, parts in made.items():
-            self[x] = known[parts[0]] if len(parts) == 1 else b"".join([known[y] for y in parts])
-        return [self.encoded(x) if pieces is None else b"".join([self[y] for y in pieces]) for x, pieces in zip(texts, split, strict=True)]
+        split = list(map(self.parts_of, texts))
+        new = {x for parts in split if parts for x in parts}.difference(self)
+        if new:
+            self.learn(new)
+        return [self.encoded(x) if parts is None else b"".join(map(self.__getitem__, parts)) for x, parts in zip(texts, split, strict=True)]
 
 
 class ShardWriter:
@@ -207,7 +202,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, n_vocab: int, end_id: int
             if batch.num_rows == 0:
                 continue
             if writer is None:
-                writer, pieces = ShardWriter(uri, width), Pieces(tokenizer_path)
+                writer, pieces = ShardWriter(uri, width), Parts(tokenizer_path)
             for k in range(0, batch.num_rows, TEXTS):
                 some = batch.slice(k, TEXTS)
                 ids = [np.frombuffer(x + end, "<u4") for x in pieces.of_texts(some.column(1).to_pylist())]
