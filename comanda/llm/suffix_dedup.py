@@ -35,6 +35,8 @@ LENGTH, K, MOST_STARTS = 50, 20, 64
 FLUSH = 400_000
 #: Bytes of texts that are hashed in one go.
 PORTION = 1 << 16
+#: Bytes of text in a partition, at most, and so about the bytes of units in a bucket.
+PARTITION_BYTES = 64 << 20
 #: Bytes of units that go into one suffix order.
 ORDER_BYTES = 1 << 20
 NO_ID, NULLS = -(1 << 63), -(1 << 62)
@@ -465,9 +467,16 @@ def _finished(base: DataFrame, marks: DataFrame, with_bytes: bool) -> DataFrame:
     return base.join(marks, "did", "left").select("doc_id", "did", "bytes", "spans").mapInArrow(finish, KEPT)
 
 
+def n_partitions(docs: DataFrame) -> int:
+    """Partitions of about PARTITION_BYTES of text, and no fewer than the session asks for; a bucket
+    of units, which is worked on in one task, follows their size."""
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PARTITION_BYTES))
+
+
 def without_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of every row."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n_partitions(docs)
     base = _based(docs, n)
     shared = _shared_keys(_keys(base, n), n)
     marks = _marked(_cut(base, shared, n), n)
