@@ -142,7 +142,9 @@ def trained(docs: DataFrame, grades: DataFrame, most: int = TRAINING_ROWS) -> Or
 
 
 def with_tails(docs: DataFrame, model: Ordinal, name: str = "_tails") -> DataFrame:
-    """``docs`` with P(grade >= 1), P(grade >= 2), ... of each whole text."""
+    """``docs`` with P(grade >= 1), P(grade >= 2), ... of each whole text as ``name``."""
+    if name in docs.columns:
+        raise ValueError(f"the documents have a column {name}; give another name")
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -231,7 +231,9 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> tu
 
 
 def with_scores(docs: DataFrame, scorer: Scorer, name: str = "_toxicity") -> DataFrame:
-    """``docs`` with the score of each whole text as ``name``, which ``docs`` must not have."""
+    """``docs`` with the score of each whole text as ``name``."""
+    if name in docs.columns:
+        raise ValueError(f"the documents have a column {name}; give another name")
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

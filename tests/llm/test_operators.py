@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from comanda.llm import decontamination, fingerprints, ngram_join, quality, source_mixing, suffix_dedup, surrogates, token_binary, toxicity, url_filters
+from comanda.llm import common, decontamination, fingerprints, ngram_join, quality, source_mixing, suffix_dedup, surrogates, token_binary, toxicity, url_filters
 
 #: The last two columns clash with the operators' own names.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, key string"
@@ -218,14 +218,14 @@ def test_token_files_round_trip(docs, rows, empty):
     assert token_binary.read_digests(token_binary.write_shards(empty, TOKENIZER, N_VOCAB, END_ID)).count() == 0
 
 
-def test_pieces_equal_whole_texts():
+def test_parts_equal_whole_texts():
     from comanda.llm.queries import TOKENIZER
 
     rng = random.Random(3)
-    odd = "aAbBzZ'sStTéÉßİſéñ你好ЖжΣσςⅧⓐ½٣_-.,!#'’\x1c   \n\t09🙂\u0301\u200d<|>endoftext"
+    odd = "aAbBzZ'sStTéÉßİſéñ你好ЖжЁΣσςⅧⓐ½٣_-.,!#'’«»×ªŉǅ\x1c\x85\xa0\x00   \n\t09🙂\u0301\u200d<|>endoftext"
     texts = ["".join(rng.choices(odd, k=rng.randint(0, 30))) for _ in range(3000)]
     texts += ["don't DON'T we'll I'M x'Re", "O'Neill's", "<|endoftext|> a", "a<|startoftext|>b", "", None]
-    pieces = token_binary.Pieces(TOKENIZER, bound=500)
+    pieces = token_binary.Parts(TOKENIZER, bound=500)
     got = [x for k in range(0, len(texts), 100) for x in pieces.of_texts(texts[k : k + 100])]
     assert got == [pieces.encoded(x or "") for x in texts]
 
@@ -431,6 +431,31 @@ def test_quality_tells_words(spark):
     assert np.mean([a > b for a in toxic for b in poor]) > 0.95
 
 
+def test_cumulative_link_fit_finds_weights_and_thresholds():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 3))
+    noise = np.log(1 / rng.random(4000) - 1)
+    grades = np.digitize(x @ [1.5, -1.0, 0.5] - noise, [-1.0, 0.5, 2.0])
+    rows = common.Sparse([(np.arange(3), r) for r in x], 3)
+    model = quality.ordinal(rows, grades, 4, l2=0.0)
+    assert np.allclose(model.weights, [1.5, -1.0, 0.5], atol=0.15) and np.allclose(model.thresholds, [-1.0, 0.5, 2.0], atol=0.15)
+    tails = model.tails(rows)
+    assert (np.diff(tails, axis=1) <= 0).all() and (np.diff(model.thresholds) > 0).all()
+    for k in range(3):  # probabilities are those of the link
+        assert np.allclose(tails[:, k], 1 / (1 + np.exp(model.thresholds[k] - x @ model.weights)), atol=1e-4)
+
+
+def test_quality_edges(spark, rows, empty):
+    docs = spark.createDataFrame(rows + rows[:2] + [(8000, "word " * 30_000, None, None, None, None, None)], SCHEMA)
+    labels = spark.createDataFrame([(k, k % 2, k % 3 % 2) for k in range(40)] + [(2, 0, 0), (None, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
+    got = quality.judged(docs, labels).collect()
+    assert len(got) == len(rows) + 3 and all(0 <= r["p_best"] <= r["p_good"] <= 1 and abs(r["expected_grade"] - r["p_good"] - r["p_best"]) < 1e-9 and r["keep"] == (r["p_good"] >= 0.5) for r in got)
+    assert quality.judged(empty, labels).count() == 0
+    assert all(r["keep"] and r["p_good"] > 0.999 for r in quality.judged(docs, labels.limit(0)).collect())
+    with pytest.raises(ValueError):
+        quality.with_tails(docs.withColumn("_tails", F.lit(1)), quality.Ordinal(np.zeros(quality.N_FEATURES), np.array([0.0])))
+
+
 def test_unrated_rows_have_no_grade(spark):
     rows = spark.createDataFrame([(None, 0), (None, 1), (None, None), (0, 1), (1, 1), (1, 0)], "quality int, toxic int")
     assert [r[0] for r in rows.select(quality.grade_of(rows.quality, rows.toxic)).collect()] == [None, None, None, 0, 1, 2]
