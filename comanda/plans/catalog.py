@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comanda.functions.text import normal_phone, normal_text
 from comanda.operators import customers, entities, insights, menu, series
-from comanda.sources.adapter import ORACLE_TABLES, Shop
+from comanda.plans.base import BEFORE, NOW, ORACLE_SQL, QUERIES, TODAY, YEAR, add  # noqa: F401
+from comanda.plans.base import days_of as _days
+from comanda.plans.base import inside as _IN
+from comanda.plans.base import pct as _pct
 from comanda.streaming import incremental
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-#: Parameters of the registered queries; nothing depends on the clock.
-TODAY = "1998-03-15"
-NOW = ("1998-01-01", "1998-03-31")
-BEFORE = ("1997-07-01", "1997-12-31")
-YEAR = ("1998-01-01", "1998-12-31")
-
-
-def add(name: str, query: Callable[[Shop], DataFrame], sql: str | None) -> None:
-    QUERIES[name] = lambda spark, sf_dir, query=query: query(Shop(spark, sf_dir))
-    if sql is not None:
-        ORACLE_SQL[name] = ORACLE_TABLES + sql
-
-
-def _pct(part: str, whole: str) -> str:
-    return f"CASE WHEN coalesce({whole}, 0) = 0 THEN 0.0 ELSE round(100.0 * ({part}) / ({whole}), 2) END"
-
-
-def _days(period: tuple[str, str]) -> str:
-    return f"""days AS (SELECT d.day, coalesce(s.r, 0.0) AS revenue, coalesce(s.n, 0) AS num_orders FROM (SELECT CAST(unnest(generate_series(DATE '{period[0]}', DATE '{period[1]}', INTERVAL 1 DAY)) AS DATE) AS day) d LEFT JOIN (SELECT bd AS day, sum(total) AS r, count(*) AS n FROM ok GROUP BY 1) s USING (day))"""
-
-
-_IN = lambda p: f"bd BETWEEN DATE '{p[0]}' AND DATE '{p[1]}'"
 _COUNTS = f"cnt AS (SELECT customer_id, count(*) FILTER (WHERE {_IN(NOW)}) AS n, count(*) FILTER (WHERE {_IN(BEFORE)}) AS before, sum(total) FILTER (WHERE {_IN(NOW)}) AS spend, min(name) AS name FROM vo GROUP BY 1)"
 _SOURCES = ", ".join(f"round(coalesce(sum(total) FILTER (WHERE order_from = '{s}'), 0.0), 2) AS revenue_{k}" for k, s in enumerate(insights.SOURCES, 1))
 _RANKED = "rk AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY created_on, order_id) AS r FROM vo)"
@@ -126,3 +101,5 @@ add("T13_business_day_windows", lambda s: incremental.daily_windows(s.raw("event
 add("S10_latest_by_key", lambda s: incremental.latest(s.raw("events").select("user_id", "event_id", "event_type", F.round("value", 2).alias("value")), ["user_id"], "event_id"), "SELECT user_id, event_id, event_type, round(value, 2) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 add("T1_incremental_pull", lambda s: incremental.page(s.raw("events").select("event_id", "user_id", "event_type"), "event_id", 5000, 500), "SELECT event_id, user_id, event_type FROM events WHERE event_id > 5000 ORDER BY event_id LIMIT 500")
 add("N1_read_only_sql", lambda s: incremental.read_only_sql(s, "SELECT order_from, count(*) AS n FROM orders_view WHERE order_status = 'Success' GROUP BY order_from"), "SELECT order_from, count(*) AS n FROM ok GROUP BY 1")
+
+from comanda.plans import loyalty  # noqa: E402, F401  registers its queries
