@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from comanda.functions.dates import day_range, money, percent, text_date
@@ -50,8 +50,14 @@ def primary_units(shop: Shop) -> DataFrame:
     return shop.menu.groupBy("name").agg(F.when(F.max(F.upper("unit") == "COUNT"), "units").otherwise("g").alias("unit"))
 
 
+def unit_factor(unit: Column) -> Column:
+    """Grams (or pieces, or millilitres) of one unit; unknown and missing units are milligrams."""
+    u = F.upper(F.trim(unit))
+    return F.when(u.isin("COUNT", "ML", "G", "GMS"), 1.0).when(u == "KG", 1000.0).otherwise(0.001)
+
+
 def item_volume_daily(shop: Shop) -> DataFrame:
-    factor = F.when(F.col("unit") == "kg", 1000.0).when(F.col("unit") == "mg", 0.001).otherwise(1.0)
+    factor = unit_factor(F.col("unit"))
     rows = shop.items.join(shop.success.select("order_id", "business_date"), "order_id").join(shop.menu.select("menu_item_id", "unit", "unit_value"), "menu_item_id")
     return rows.groupBy(text_date(F.col("business_date")).alias("day"), "menu_item_id").agg(F.round(F.sum(F.col("quantity") * F.col("unit_value") * factor), 3).alias("volume"), F.round(F.avg("unit_price"), 6).alias("avg_price"))
 
@@ -60,9 +66,8 @@ def item_daily_weather(shop: Shop) -> DataFrame:
     """Daily quantity per item with the price of its first line and the day's weather."""
     rows = shop.items.join(shop.success.select("order_id", "business_date"), "order_id").groupBy("business_date", "menu_item_id")
     daily = rows.agg(F.sum("quantity").alias("quantity_sold"), F.min_by("unit_price", F.struct("order_id", "line_no", "unit_price")).alias("unit_price"))
-    # the test weather is of another year; its day of month stands for the date
-    weather = shop.weather.select(F.dayofmonth("day").alias("dom"), "temp_max")
-    return daily.withColumn("dom", F.dayofmonth("business_date")).join(weather, "dom", "left").select(text_date(F.col("business_date")).alias("day"), "menu_item_id", "quantity_sold", "unit_price", "temp_max")
+    weather = shop.weather.select(F.col("day").alias("business_date"), "temp_max")
+    return daily.join(weather, "business_date", "left").select(text_date(F.col("business_date")).alias("day"), "menu_item_id", "quantity_sold", "unit_price", "temp_max")
 
 
 def recalculated_counters(shop: Shop) -> DataFrame:

@@ -49,8 +49,7 @@ def store_totals(shop: Shop, start: str, end: str) -> DataFrame:
 
 def revenue_with_weather(shop: Shop, start: str, end: str) -> DataFrame:
     """Dense days with the temperature carried forward, then backward."""
-    weather = shop.weather.select(F.dayofmonth("day").alias("dom"), "temp_max").filter("dom % 3 <> 0")
-    rows = dense_days(shop, start, end).withColumn("dom", F.dayofmonth("day")).join(weather, "dom", "left")
+    rows = dense_days(shop, start, end).join(shop.weather.select("day", "temp_max"), "day", "left")
     forward = F.last("temp_max", ignorenulls=True).over(one_series().rowsBetween(Window.unboundedPreceding, 0))
     backward = F.first("temp_max", ignorenulls=True).over(one_series().rowsBetween(0, Window.unboundedFollowing))
     return rows.select(text_date(F.col("day")).alias("day"), F.round("revenue", 2).alias("revenue"), "num_orders", F.coalesce(forward, backward).alias("temp_max"))

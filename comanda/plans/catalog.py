@@ -61,15 +61,14 @@ add("A35_today_orders", lambda s: menu.today_orders(s, TODAY), f", {_DAY}, ln AS
 _BR = lambda t, k: f"SELECT menu_item_id, customer_id, quantity, quantity * unit_price AS revenue, row_number() OVER (PARTITION BY customer_id, menu_item_id ORDER BY created_on, order_id, quantity, unit_price) AS nth, '{k}' AS kind FROM (SELECT DISTINCT order_id, menu_item_id, quantity, unit_price FROM {t}) d JOIN ok USING (order_id)"
 add("A36_menu_stats", menu.menu_stats, f", s AS ({_BR('i', 'item')} UNION ALL {_BR('a', 'addon')}), g AS (SELECT menu_item_id, sum(quantity) FILTER (WHERE kind = 'item') AS as_item, sum(quantity) FILTER (WHERE kind = 'addon') AS as_addon, sum(revenue) AS rev, count(DISTINCT customer_id) AS customers, count(DISTINCT customer_id) FILTER (WHERE nth > 1) AS repeat_customers, count(*) AS lines, count(*) FILTER (WHERE nth > 1) AS reorders, sum(quantity) AS q FROM s GROUP BY 1) SELECT menu_item_id, name, type, coalesce(as_item, 0.0) AS as_item, coalesce(as_addon, 0.0) AS as_addon, round(rev, 2) AS revenue, customers, repeat_customers, {_pct('repeat_customers', 'customers')} AS repeat_rate, {_pct('reorders', 'lines')} AS reorder_rate, round(q * unit_value * CASE unit WHEN 'COUNT' THEN 0.0::DOUBLE WHEN 'kg' THEN 1000.0::DOUBLE WHEN 'mg' THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END, 3) AS grams FROM m JOIN g USING (menu_item_id)")
 add("A39_menu_matrix", menu.menu_matrix, "SELECT menu_item_id, name, type, unit, CAST(unit_value AS BIGINT) AS unit_value, price FROM m WHERE is_active")
-add("A40_item_daily_weather", menu.item_daily_weather, ", d AS (SELECT bd, menu_item_id, sum(quantity) AS quantity_sold, arg_min(unit_price, (order_id, line_no, unit_price)) AS unit_price FROM i JOIN ok USING (order_id) GROUP BY 1, 2), v AS (SELECT day(day) AS dom, temp_max FROM w) SELECT CAST(bd AS VARCHAR) AS day, menu_item_id, quantity_sold, unit_price, temp_max FROM d LEFT JOIN v ON day(bd) = dom")
+add("A40_item_daily_weather", menu.item_daily_weather, ", d AS (SELECT bd, menu_item_id, sum(quantity) AS quantity_sold, arg_min(unit_price, (order_id, line_no, unit_price)) AS unit_price FROM i JOIN ok USING (order_id) GROUP BY 1, 2) SELECT CAST(bd AS VARCHAR) AS day, menu_item_id, quantity_sold, unit_price, temp_max FROM d LEFT JOIN w ON w.day = d.bd")
 add("A41_item_volume_daily", menu.item_volume_daily, "SELECT CAST(bd AS VARCHAR) AS day, menu_item_id, round(sum(quantity * unit_value * CASE unit WHEN 'kg' THEN 1000.0::DOUBLE WHEN 'mg' THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END), 3) AS volume, round(avg(unit_price), 6) AS avg_price FROM i JOIN ok USING (order_id) JOIN m USING (menu_item_id) GROUP BY 1, 2")
 add("A42_mixed_units", menu.mixed_units, "SELECT name FROM m GROUP BY 1 HAVING bool_or(unit = 'COUNT') AND bool_or(unit <> 'COUNT')")
 add("A43_primary_units", menu.primary_units, "SELECT name, CASE WHEN bool_or(unit = 'COUNT') THEN 'units' ELSE 'g' END AS unit FROM m GROUP BY 1")
-add("A44_revenue_with_weather", lambda s: series.revenue_with_weather(s, *NOW), f", {_days(NOW)}, v AS (SELECT day(day) AS dom, temp_max FROM w WHERE day(day) % 3 <> 0), j AS (SELECT * FROM days LEFT JOIN v ON day(days.day) = dom) SELECT CAST(day AS VARCHAR) AS day, round(revenue, 2) AS revenue, num_orders, coalesce(last_value(temp_max IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(temp_max IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS temp_max FROM j")
+add("A44_revenue_with_weather", lambda s: series.revenue_with_weather(s, *NOW), f", {_days(NOW)}, j AS (SELECT days.*, w.temp_max FROM days LEFT JOIN w ON days.day = w.day) SELECT CAST(day AS VARCHAR) AS day, round(revenue, 2) AS revenue, num_orders, coalesce(last_value(temp_max IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(temp_max IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS temp_max FROM j")
 add("A45_recomputed_totals", customers.recomputed_totals, "SELECT customer_id, count(*) AS total_orders, round(sum(total), 2) AS total_spent, CAST(min(bd) AS VARCHAR) AS first_order, CAST(max(bd) AS VARCHAR) AS last_order FROM o GROUP BY 1")
 add("A46_item_counters", menu.recalculated_counters, "SELECT menu_item_id, sum(quantity) AS total_sold, round(sum(total_price), 2) AS total_revenue, coalesce(sum(quantity) FILTER (WHERE kind = 'item'), 0.0) AS sold_as_item, coalesce(sum(quantity) FILTER (WHERE kind = 'addon'), 0.0) AS sold_as_addon FROM sold WHERE order_id IN (SELECT order_id FROM ok) GROUP BY 1")
 add("A49_menu_types", menu.menu_types, "SELECT DISTINCT type FROM m")
-add("A51_popular_openings", lambda s: s.raw("conversations").filter("turn = 0").groupBy(F.substring("text", 1, 20).alias("opening")).agg(F.count(F.lit(1)).alias("freq"), F.max("conv_id").alias("last_used")).orderBy(F.desc("freq"), F.desc("last_used")).limit(20), "SELECT substring(text, 1, 20) AS opening, count(*) AS freq, max(conv_id) AS last_used FROM conversations WHERE turn = 0 GROUP BY 1 ORDER BY freq DESC, last_used DESC LIMIT 20")
 add("A51_popular_queries", insights.popular_queries, "SELECT text AS user_query, count(*) AS freq, max(conv_id) AS last_used FROM conversations WHERE role = 'user' AND text <> '' GROUP BY 1 ORDER BY freq DESC, last_used DESC, user_query LIMIT 20")
 add("A52_conversation_counts", lambda s: s.raw("conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.count(F.when(F.col("role") == "user", 1)).alias("by_user"), F.max("turn").alias("last_turn")), "SELECT conv_id, count(*) AS messages, count(*) FILTER (WHERE role = 'user') AS by_user, max(turn) AS last_turn FROM conversations GROUP BY 1")
 add("A56_missing_days", lambda s: series.missing_days(s, *NOW), f", {_days(NOW)} SELECT CAST(day AS VARCHAR) AS day FROM days WHERE day NOT IN (SELECT bd FROM ok GROUP BY 1 HAVING count(DISTINCT order_from) >= 5)")
@@ -102,4 +101,4 @@ add("S10_latest_by_key", lambda s: incremental.latest(s.raw("events").select("us
 add("T1_incremental_pull", lambda s: incremental.page(s.raw("events").select("event_id", "user_id", "event_type"), "event_id", 5000, 500), "SELECT event_id, user_id, event_type FROM events WHERE event_id > 5000 ORDER BY event_id LIMIT 500")
 add("N1_read_only_sql", lambda s: incremental.read_only_sql(s, "SELECT order_from, count(*) AS n FROM orders_view WHERE order_status = 'Success' GROUP BY order_from"), "SELECT order_from, count(*) AS n FROM ok GROUP BY 1")
 
-from comanda.plans import loyalty  # noqa: E402, F401  registers its queries
+from comanda.plans import forecast, loyalty  # noqa: E402, F401  registers its queries

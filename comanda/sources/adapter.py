@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from comanda.functions.dates import business_date
 
+#: Days from 1998-03-02, a time of orders, to 2024-01-01, where the event stream begins.
+WEATHER_SHIFT = 9436
+
 
 @dataclass
 class Shop:
@@ -74,8 +77,8 @@ class Shop:
 
     @cached_property
     def weather(self) -> DataFrame:
-        """One row a day: temperature and rain from the event stream's values."""
-        e = self.raw("events").groupBy(F.to_date("ts").alias("day"))
+        """One row a day: temperature and rain from the event stream's values, moved to the orders' years."""
+        e = self.raw("events").groupBy(F.date_sub(F.to_date("ts"), WEATHER_SHIFT).alias("day"))
         return e.agg(F.round(F.avg("value"), 4).alias("temp_max"), F.round(F.max("value") / 100, 4).alias("rain_sum"))
 
 
@@ -89,5 +92,5 @@ m AS (SELECT p_partkey AS menu_item_id, p_name AS name, p_type AS type, ['COUNT'
 c AS (SELECT c_custkey AS customer_id, c_name AS name, c_acctbal > 0 AS is_verified, c_mktsegment AS segment, c_nationkey AS nation FROM customer),
 vo AS (SELECT ok.*, c.name FROM ok JOIN c USING (customer_id) WHERE c.is_verified),
 sold AS (SELECT *, 'item' AS kind FROM i UNION ALL SELECT *, 'addon' AS kind FROM a),
-w AS (SELECT CAST(ts AS DATE) AS day, round(avg(value), 4) AS temp_max, round(max(value) / 100, 4) AS rain_sum FROM events GROUP BY 1)
+w AS (SELECT CAST(ts AS DATE) - 9436 AS day, round(avg(value), 4) AS temp_max, round(max(value) / 100, 4) AS rain_sum FROM events GROUP BY 1)
 """
