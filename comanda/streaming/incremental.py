@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from datetime import datetime, timedelta
+
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,11 +44,38 @@ def upsert_stream(source: DataFrame, target: str, key: list[str], version: str,
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_only_sql(shop: Shop, query: str) -> DataFrame:
-    """Runs a SELECT or WITH over the canonical views; anything else is refused."""
-    first = query.lstrip().split(None, 1)[0].upper() if query.strip() else ""
-    if first not in ("SELECT", "WITH"):
-        raise ValueError("only SELECT and WITH are allowed")
-    for name in ("orders", "items", "addons", "menu", "customers"):
+VIEWS = ("orders", "items", "addons", "menu", "customers")
+
+
+def read_only_sql(shop: Shop, query: str, limit: int | None = None, args: dict | None = None) -> DataFrame:
+    """Runs a query over the canonical views, with named parameters; anything else is refused.
+
+    A query is what can stand as a subquery: the parser accepts no command and no insert there, at
+    any depth. SHOW, DESCRIBE and EXPLAIN read only and are allowed too.
+    """
+    text = query.strip().rstrip(";")
+    for name in VIEWS:
         getattr(shop, name).createOrReplaceTempView(f"{name}_view")
-    return shop.spark.sql(query)
+    if text.split(None, 1)[:1] and text.split(None, 1)[0].upper() in ("SHOW", "DESCRIBE", "EXPLAIN"):
+        return shop.spark.sql(text)
+    try:
+        shop.spark.sql(f"SELECT * FROM (\n{text}\n)", args=args or {})  # parsed and analysed, not run
+    except ParseException as e:
+        raise ValueError("only queries are allowed") from e
+    rows = shop.spark.sql(text, args=args or {})
+    return rows if limit is None else rows.limit(limit)
+
+
+def dated_sql(shop: Shop, query: str, today: str) -> DataFrame:
+    """``read_only_sql`` with :today_start, :today_end, :yesterday_start and :yesterday_end, the bounds
+    of the business days, as parameters."""
+    day = datetime.fromisoformat(today) + timedelta(hours=5)
+    bounds = {"today_start": day, "today_end": day + timedelta(days=1), "yesterday_start": day - timedelta(days=1), "yesterday_end": day}
+    return read_only_sql(shop, query, args={k: v.isoformat(" ") for k, v in bounds.items()})
+
+
+def chart_rows(shop: Shop, config: str) -> DataFrame:
+    """The rows of a stored chart (JSON with sql, x and y) from today's data, as x and y."""
+    chart = json.loads(config)
+    rows = read_only_sql(shop, chart["sql"])
+    return rows.select(F.col(chart["x"]).cast("string").alias("x"), F.col(chart["y"]).cast("double").alias("y"))
