@@ -75,7 +75,7 @@ def monthly_loyalty(shop: Shop) -> DataFrame:
         F.count(F.lit(1)).alias("orders"), F.count(F.when(again, 1)).alias("repeat_orders"), F.countDistinct("customer_id").alias("customers"),
         F.countDistinct(F.when(again, F.col("customer_id"))).alias("repeat_customers"), F.sum("total").alias("r"), F.sum(F.when(again, F.col("total"))).alias("rr"),
     )
-    return rows.select("month", "orders", "repeat_orders", "customers", "repeat_customers", money(F.col("r")).alias("revenue"), money(F.col("rr")).alias("repeat_revenue"), percent(F.col("repeat_orders"), F.col("orders")).alias("order_repeat_rate"), percent(F.col("repeat_customers"), F.col("customers")).alias("customer_repeat_rate"))
+    return rows.select("month", "orders", "repeat_orders", "customers", "repeat_customers", money(F.col("r")).alias("revenue"), money(F.col("rr")).alias("repeat_revenue"), percent(F.col("repeat_orders"), F.col("orders")).alias("order_repeat_rate"), percent(F.col("repeat_customers"), F.col("customers")).alias("customer_repeat_rate"), percent(F.round(F.coalesce("rr", F.lit(0.0)), 2), F.round("r", 2)).alias("revenue_repeat_rate"))
 
 
 def trailing_reorder(shop: Shop, months: int = 3) -> DataFrame:

@@ -33,23 +33,34 @@ def category_trend(shop: Shop) -> DataFrame:
     return rows.groupBy(text_date(F.col("business_date")).alias("order_date"), F.col("type").alias("category")).agg(money(F.sum("total_price")).alias("revenue"), F.sum("quantity").alias("quantity"))
 
 
-def _sold_of_success(shop: Shop, distinct_items: bool, distinct_addons: bool) -> DataFrame:
-    items, addons = (shop.items.dropDuplicates() if distinct_items else shop.items), (shop.addons.dropDuplicates() if distinct_addons else shop.addons)
-    return items.unionByName(addons).join(shop.success.select("order_id"), "order_id", "left_semi")
+def _sold_of_success(shop: Shop, distinct_addons: bool) -> DataFrame:
+    """Item and add-on lines of successful orders. Item lines have a key of their own, so DISTINCT
+    would change nothing; equal add-ons of one order count once where asked."""
+    columns = ["order_id", "menu_item_id", "quantity", "unit_price", "total_price"]
+    addons = shop.addons.select(*columns)
+    lines = shop.items.select(*columns).unionByName(addons.dropDuplicates() if distinct_addons else addons)
+    return lines.join(shop.success.select("order_id"), "order_id", "left_semi")
 
 
 def top_items(shop: Shop, k: int = 10) -> DataFrame:
-    sold = _sold_of_success(shop, True, True).groupBy("menu_item_id").agg(F.sum("quantity").alias("q"), F.sum("total_price").alias("r"))
-    rows = shop.menu.filter("is_active").select("menu_item_id", "name").join(sold, "menu_item_id", "left")
-    rows = rows.select("menu_item_id", "name", F.coalesce("q", F.lit(0.0)).alias("total_sold"), F.round("r", 2).alias("item_revenue"))
+    sold = _sold_of_success(shop, True).groupBy("menu_item_id").agg(F.sum("quantity").alias("q"), F.sum("total_price").alias("r"))
+    share = F.round(F.lit(100.0) * F.col("r") / F.sum("r").over(Window.partitionBy(F.lit(1))), 4)  # a row an item
+    rows = shop.menu.filter("is_active").select("menu_item_id", "name").join(sold.withColumn("share", share), "menu_item_id", "left")
+    rows = rows.select("menu_item_id", "name", F.coalesce("q", F.lit(0.0)).alias("total_sold"), F.round("r", 2).alias("item_revenue"), F.col("share").alias("revenue_share"))
     return rows.orderBy(F.desc("total_sold"), "menu_item_id").limit(k)
 
 
 def revenue_by_category(shop: Shop) -> DataFrame:
-    rows = _sold_of_success(shop, True, False).join(shop.menu.select("menu_item_id", "type"), "menu_item_id").filter("type is not null and type <> ''")
+    rows = _sold_of_success(shop, False).join(shop.menu.select("menu_item_id", "type"), "menu_item_id").filter("type is not null and type <> ''")
     return rows.groupBy(F.col("type").alias("category")).agg(money(F.sum("total_price")).alias("revenue"), F.sum("quantity").alias("quantity"))
 
 
+def category_shares(shop: Shop) -> DataFrame:
+    rows = _sold_of_success(shop, False).join(shop.menu.select("menu_item_id", "type"), "menu_item_id")
+    sums = rows.groupBy(F.col("type").alias("category")).agg(F.sum("total_price").alias("r"))
+    return sums.select("category", F.round("r", 2).alias("revenue"), F.round(F.lit(100.0) * F.col("r") / F.sum("r").over(Window.partitionBy(F.lit(1))), 4).alias("share"))  # a row a category
+
+
 def hourly_revenue(shop: Shop, weekdays: tuple[int, ...] = ()) -> DataFrame:
     """Revenue by clock hour and its average over the business days of the selection."""
     rows = shop.success

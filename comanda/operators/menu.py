@@ -5,41 +5,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from comanda.functions.dates import day_range, money, percent, text_date
+from comanda.functions.dates import day_range, money, percent, sunday_first, text_date
+from comanda.functions.text import contains_ci
 from comanda.sources.adapter import Shop
 
 
-def deduplicated(rows: DataFrame) -> DataFrame:
-    """Replayed lines count once: equal order, item, quantity and price."""
-    return rows.dropDuplicates(["order_id", "menu_item_id", "quantity", "unit_price"])
+KINDS = ("item", "addon")
 
 
-def menu_stats(shop: Shop) -> DataFrame:
-    """Per item: sales as item and add-on, customers, reorders and volume by unit.
+def menu_stats(shop: Shop, start: str | None = None, end: str | None = None, weekdays: tuple[int, ...] = (), search: str = "", kind: str = "") -> DataFrame:
+    """Per item: sales as item and add-on, units, customers, and what was bought again.
 
-    A customer's rank for an item comes from the full history, each branch on its own.
+    A line is a reorder unless it is the customer's first of the item in its branch (items, add-ons)
+    of the full history; the filters (business days, weekdays with Sunday 0, name, type) then choose
+    lines. Lines meet orders once, replays go within that partitioning, and one aggregation per
+    customer and item holds what the first lines were, so nothing is ranked and nothing counted apart.
     """
-    orders = shop.success.select("order_id", "customer_id", "created_on")
-
-    def branch(rows: DataFrame, kind: str) -> DataFrame:
-        ranked = deduplicated(rows).join(orders, "order_id")
-        nth = F.row_number().over(Window.partitionBy("customer_id", "menu_item_id").orderBy("created_on", "order_id", "line_no", "quantity", "unit_price"))
-        return ranked.select("menu_item_id", "customer_id", "quantity", (F.col("quantity") * F.col("unit_price")).alias("revenue"), nth.alias("nth"), F.lit(kind).alias("kind"))
-
-    rows = branch(shop.items, "item").unionByName(branch(shop.addons, "addon"))
-    stats = rows.groupBy("menu_item_id").agg(
-        F.sum(F.when(F.col("kind") == "item", F.col("quantity"))).alias("as_item"), F.sum(F.when(F.col("kind") == "addon", F.col("quantity"))).alias("as_addon"),
-        F.sum("revenue").alias("revenue"), F.countDistinct("customer_id").alias("customers"), F.countDistinct(F.when(F.col("nth") > 1, F.col("customer_id"))).alias("repeat_customers"),
-        F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("nth") > 1, 1)).alias("reorders"), F.sum("quantity").alias("q"),
+    orders = shop.success.select("order_id", "customer_id", "created_on", "business_date")
+    lines = shop.sold.select("order_id", "menu_item_id", "quantity", "unit_price", "kind").join(orders, "order_id")
+    lines = lines.dropDuplicates(["order_id", "menu_item_id", "quantity", "unit_price", "kind"])
+
+    def chosen(day: Column) -> Column:
+        ok = day.isNotNull()
+        if start:
+            ok = ok & (day >= F.lit(start).cast("date"))
+        if end:
+            ok = ok & (day <= F.lit(end).cast("date"))
+        return ok & sunday_first(day).isin(*weekdays) if weekdays else ok
+
+    ok, revenue = chosen(F.col("business_date")), F.col("quantity") * F.col("unit_price")
+    line = F.struct("created_on", "order_id", "quantity", "unit_price", "business_date")
+    own = lambda k, x: F.when(F.col("kind") == k, x)
+    each = lines.groupBy("menu_item_id", "customer_id").agg(
+        *[F.min(own(k, line)).alias(f"first_{k}") for k in KINDS], *[F.count(own(k, F.when(ok, 1))).alias(f"n_{k}") for k in KINDS],
+        *[F.sum(own(k, F.when(ok, F.col("quantity")))).alias(f"q_{k}") for k in KINDS], F.sum(F.when(ok, revenue)).alias("revenue"),
     )
-    joined = shop.menu.join(stats, "menu_item_id").filter("customers > 0")
-    factor = F.when(F.col("unit") == "COUNT", F.lit(0.0)).when(F.col("unit") == "kg", 1000.0).when(F.col("unit") == "mg", 0.001).otherwise(1.0)
+    first = lambda k, x: F.when(chosen(F.col(f"first_{k}.business_date")), x).otherwise(0)
+    first_q = [first(k, F.col(f"first_{k}.quantity")) for k in KINDS]
+    first_revenue = [first(k, F.col(f"first_{k}.quantity") * F.col(f"first_{k}.unit_price")) for k in KINDS]
+    again = F.lit(False)
+    for k in KINDS:
+        again = again | (F.col(f"n_{k}") - first(k, F.lit(1)) > 0)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    stats = each.filter("n_item + n_addon > 0").groupBy("menu_item_id").agg(
+        F.sum("q_item").alias("i"), F.sum("q_addon").alias("a"), F.sum("revenue").alias("r"), F.sum(zero("q_item") + zero("q_addon") - sum(first_q, F.lit(0.0))).alias("reordered"), F.sum(zero("revenue") - sum(first_revenue, F.lit(0.0))).alias("rr"),
+        F.count(F.lit(1)).alias("customers"), F.count(F.when(again, 1)).alias("repeat_customers"),
+    )
+    joined = shop.menu.join(stats, "menu_item_id")
+    if search:
+        joined = joined.filter(contains_ci(F.col("name"), search))
+    if kind:
+        joined = joined.filter(F.col("type") == kind)
+    total = zero("i") + zero("a")
+    unit = lambda u: F.when(F.upper("unit").isin(*u), total * F.col("unit_value")).otherwise(0.0)
     return joined.select(
-        "menu_item_id", "name", "type", F.coalesce("as_item", F.lit(0.0)).alias("as_item"), F.coalesce("as_addon", F.lit(0.0)).alias("as_addon"), money(F.col("revenue")).alias("revenue"), "customers", "repeat_customers",
-        percent(F.col("repeat_customers"), F.col("customers")).alias("repeat_rate"), percent(F.col("reorders"), F.col("lines")).alias("reorder_rate"), F.round(F.col("q") * F.col("unit_value") * factor, 3).alias("grams"),
+        "menu_item_id", "name", "type", zero("a").alias("as_addon"), zero("i").alias("as_item"), total.alias("total_sold"), money(F.col("r")).alias("revenue"), unit(("G", "GMS")).alias("grams"), unit(("ML",)).alias("millilitres"), unit(("COUNT",)).alias("pieces"),
+        F.round("reordered", 3).alias("reorder_quantity"), "repeat_customers", "customers", percent(F.col("repeat_customers"), F.col("customers")).alias("reorder_rate"), percent(F.round("rr", 2), F.round("r", 2)).alias("repeat_revenue_rate"),
     )
 
 
+def menu_summary(shop: Shop, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Every menu item with what it sold as item and add-on, replayed lines once; 0 where nothing sold."""
+    days = F.lit(True)
+    if start:
+        days = days & (F.col("business_date") >= F.lit(start).cast("date"))
+    if end:
+        days = days & (F.col("business_date") <= F.lit(end).cast("date"))
+    lines = shop.sold.join(shop.success.filter(days).select("order_id"), "order_id").dropDuplicates(["order_id", "menu_item_id", "quantity", "unit_price", "kind"])
+    sold = lines.groupBy("menu_item_id").agg(F.sum(F.when(F.col("kind") == "item", F.col("quantity"))).alias("i"), F.sum(F.when(F.col("kind") == "addon", F.col("quantity"))).alias("a"), F.sum(F.col("quantity") * F.col("unit_price")).alias("r"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return shop.menu.join(sold, "menu_item_id", "left").select("menu_item_id", "name", "type", "is_active", zero("i").alias("as_item"), zero("a").alias("as_addon"), (zero("i") + zero("a")).alias("total_sold"), money(F.col("r")).alias("revenue"))
+
+
 def mixed_units(shop: Shop) -> DataFrame:
     """Item names sold both by count and by weight."""
     rows = shop.menu.groupBy("name").agg(F.max(F.col("unit") == "COUNT").alias("by_count"), F.max(F.col("unit") != "COUNT").alias("by_weight"))

@@ -21,8 +21,10 @@ add("A1_kpis", lambda s: insights.kpis(s, TODAY), f"SELECT count(*) AS total_ord
 add("A3_daily_sales", insights.daily_sales, f"SELECT CAST(bd AS VARCHAR) AS order_date, round(sum(total), 2) AS revenue, count(*) AS num_orders, {_SOURCES} FROM ok GROUP BY 1")
 add("A4_sales_trend", lambda s: insights.daily_sales(s).select("order_date", "revenue", "num_orders"), "SELECT CAST(bd AS VARCHAR) AS order_date, round(sum(total), 2) AS revenue, count(*) AS num_orders FROM ok GROUP BY 1")
 add("A5_category_trend", insights.category_trend, "SELECT CAST(bd AS VARCHAR) AS order_date, type AS category, round(sum(total_price), 2) AS revenue, sum(quantity) AS quantity FROM i JOIN ok USING (order_id) JOIN m USING (menu_item_id) GROUP BY 1, 2")
-add("A6_top_items", insights.top_items, "SELECT menu_item_id, name, coalesce(q, 0.0) AS total_sold, round(r, 2) AS item_revenue FROM m LEFT JOIN (SELECT menu_item_id, sum(quantity) AS q, sum(total_price) AS r FROM (SELECT DISTINCT * FROM i UNION ALL SELECT DISTINCT * FROM a) x WHERE order_id IN (SELECT order_id FROM ok) GROUP BY 1) USING (menu_item_id) WHERE is_active ORDER BY total_sold DESC NULLS LAST, menu_item_id LIMIT 10")
-add("A7_revenue_by_category", insights.revenue_by_category, "SELECT type AS category, round(sum(total_price), 2) AS revenue, sum(quantity) AS quantity FROM (SELECT DISTINCT * FROM i UNION ALL SELECT * FROM a) x JOIN m USING (menu_item_id) WHERE order_id IN (SELECT order_id FROM ok) AND type <> '' GROUP BY 1")
+_SOLD_ONCE = "so AS (SELECT menu_item_id, quantity, total_price FROM i WHERE order_id IN (SELECT order_id FROM ok) UNION ALL SELECT menu_item_id, quantity, total_price FROM (SELECT DISTINCT order_id, menu_item_id, quantity, unit_price, total_price FROM a) d WHERE order_id IN (SELECT order_id FROM ok))"
+add("A6_top_items", insights.top_items, f", {_SOLD_ONCE} SELECT menu_item_id, name, coalesce(q, 0.0) AS total_sold, round(r, 2) AS item_revenue, round(100.0 * r / (SELECT sum(total_price) FROM so), 4) AS revenue_share FROM m LEFT JOIN (SELECT menu_item_id, sum(quantity) AS q, sum(total_price) AS r FROM so GROUP BY 1) s USING (menu_item_id) WHERE is_active ORDER BY total_sold DESC, menu_item_id LIMIT 10")
+add("X26_category_shares", insights.category_shares, "SELECT type AS category, round(sum(total_price), 2) AS revenue, round(100.0 * sum(total_price) / (SELECT sum(total_price) FROM sold JOIN ok USING (order_id)), 4) AS share FROM sold JOIN ok USING (order_id) JOIN m USING (menu_item_id) GROUP BY 1")
+add("A7_revenue_by_category", insights.revenue_by_category, "SELECT type AS category, round(sum(total_price), 2) AS revenue, sum(quantity) AS quantity FROM (SELECT * FROM i UNION ALL SELECT * FROM a) x JOIN m USING (menu_item_id) WHERE order_id IN (SELECT order_id FROM ok) AND type <> '' GROUP BY 1")
 _HOURS = "SELECT hour, round(r, 2) AS revenue, num_orders, round(r / nullif(days, 0), 2) AS avg_revenue, CASE WHEN hour >= 5 THEN hour ELSE hour + 24 END AS business_hour FROM (SELECT CAST(hour(created_on) AS INTEGER) AS hour, sum(total) AS r, count(*) AS num_orders FROM sel GROUP BY 1), (SELECT count(DISTINCT bd) AS days FROM sel)"
 add("A8_hourly_revenue", insights.hourly_revenue, f", sel AS (SELECT * FROM ok) {_HOURS}")
 add("F13_hourly_revenue_weekdays", lambda s: insights.hourly_revenue(s, (0, 6)), f", sel AS (SELECT * FROM ok WHERE dayofweek(bd) IN (0, 6)) {_HOURS}")
@@ -42,7 +44,7 @@ add("A20_return_analysis", lambda s: customers.return_analysis(s, NOW, BEFORE),
 _AFF = f"g AS (SELECT customer_id, count(*) FILTER (WHERE {_IN(NOW)}) AS n, max(bd) FILTER (WHERE bd < DATE '{NOW[0]}') AS last FROM vo GROUP BY 1), aff AS (SELECT customer_id, n AS num_orders, CAST(datediff('day', last, DATE '{NOW[0]}') AS INTEGER) AS gap_days, CASE WHEN last IS NULL OR datediff('day', last, DATE '{NOW[0]}') >= 365 THEN 'New' WHEN datediff('day', last, DATE '{NOW[0]}') <= 60 THEN 'Repeat' ELSE 'Lapsed' END AS segment FROM g WHERE n > 0)"
 add("A21_affinity", lambda s: customers.affinity(s, *NOW), f", {_AFF} SELECT * FROM aff")
 add("A22_affinity_breakup", lambda s: customers.affinity_breakup(s, *NOW), f", {_AFF} SELECT segment, count(*) AS customers, CAST(sum(num_orders) AS BIGINT) AS num_orders FROM aff GROUP BY 1")
-add("A23_monthly_loyalty", customers.monthly_loyalty, f", {_LOYAL} SELECT month, orders, repeat_orders, customers, repeat_customers, round(rev, 2) AS revenue, round(coalesce(rrev, 0.0), 2) AS repeat_revenue, {_pct('repeat_orders', 'orders')} AS order_repeat_rate, {_pct('repeat_customers', 'customers')} AS customer_repeat_rate FROM loyal")
+add("A23_monthly_loyalty", customers.monthly_loyalty, f", {_LOYAL} SELECT month, orders, repeat_orders, customers, repeat_customers, round(rev, 2) AS revenue, round(coalesce(rrev, 0.0), 2) AS repeat_revenue, {_pct('repeat_orders', 'orders')} AS order_repeat_rate, {_pct('repeat_customers', 'customers')} AS customer_repeat_rate, {_pct('round(coalesce(rrev, 0.0), 2)', 'round(rev, 2)')} AS revenue_repeat_rate FROM loyal")
 add("A24_trailing_reorder", customers.trailing_reorder, f", {_LOYAL}, z AS (SELECT * FROM loyal ORDER BY month DESC LIMIT 3) SELECT round(avg(orders), 2) AS avg_orders, round(avg(repeat_orders), 2) AS avg_repeat_orders, {_pct('sum(repeat_orders)', 'sum(orders)')} AS reorder_rate FROM z")
 add("A25_quick_view", lambda s: customers.quick_view(s, NOW, BEFORE), f", {_COUNTS}, z AS (SELECT count(*) AS customers, count(*) FILTER (WHERE n > 0) AS active, count(*) FILTER (WHERE n > 0 AND (n >= 2 OR before > 0)) AS returned, count(*) FILTER (WHERE before > 0 AND n > 0) AS retained, count(*) FILTER (WHERE n >= 2) AS repeating, count(*) FILTER (WHERE before > 0) AS cohort FROM cnt) SELECT customers, active, returned, retained, repeating, {_pct('returned', 'active')} AS return_rate, {_pct('retained', 'cohort')} AS retention_rate, {_pct('repeating', 'active')} AS repeat_rate FROM z")
 add("A26_monthly_retention", lambda s: customers.monthly_retention(s, "1998-01-01", 6), f", z AS (SELECT CAST(unnest(generate_series(DATE '1998-01-01', DATE '1998-06-01', INTERVAL 1 MONTH)) AS DATE) AS start), e AS (SELECT start, customer_id, bool_or(bd >= start) AS now, bool_or(bd < start) AS before FROM z JOIN vo ON bd <= last_day(start) AND bd >= start - 60 GROUP BY 1, 2) SELECT strftime(start, '%Y-%m') AS month, count(*) AS cohort, count(*) FILTER (WHERE now) AS retained, {_pct('count(*) FILTER (WHERE now)', 'count(*)')} AS rate FROM e WHERE before GROUP BY 1")
@@ -58,8 +60,21 @@ add("A32_today_summary", lambda s: menu.today_summary(s, TODAY), f", {_DAY} SELE
 add("A33_today_items", lambda s: menu.today_items(s, TODAY), f", {_DAY}, {_AGAIN} SELECT menu_item_id, coalesce(name, 'unknown') AS name, coalesce(type, 'other') AS category, sum(quantity) AS quantity, round(sum(total_price), 2) AS revenue, coalesce(any_value(reorder_customers), 0) AS reorder_customers FROM sold LEFT JOIN m USING (menu_item_id) LEFT JOIN ag USING (menu_item_id) WHERE order_id IN (SELECT order_id FROM today) GROUP BY 1, 2, 3")
 add("A34_today_customers", lambda s: menu.today_customers(s, TODAY), f", {_DAY}, n AS (SELECT customer_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS items FROM i JOIN today USING (order_id) JOIN m USING (menu_item_id) GROUP BY 1) SELECT customer_id, round(sum(total), 2) AS order_value, count(*) AS orders, coalesce(any_value(items), '') AS items, customer_id IN (SELECT customer_id FROM seen) AS is_returning FROM today LEFT JOIN n USING (customer_id) GROUP BY customer_id")
 add("A35_today_orders", lambda s: menu.today_orders(s, TODAY), f", {_DAY}, ln AS (SELECT order_id, customer_id, total, menu_item_id, CAST(sum(quantity) AS BIGINT) AS q FROM i JOIN today USING (order_id) GROUP BY 1, 2, 3, 4), had AS (SELECT DISTINCT customer_id, menu_item_id FROM i JOIN ok USING (order_id) WHERE bd < DATE '{TODAY}') SELECT order_id, customer_id, round(total, 2) AS total, string_agg(name || '(' || q || ')' || CASE WHEN (customer_id, menu_item_id) IN (SELECT (customer_id, menu_item_id) FROM had) THEN '-Repeat' ELSE '' END, ', ' ORDER BY name || '(' || q || ')' || CASE WHEN (customer_id, menu_item_id) IN (SELECT (customer_id, menu_item_id) FROM had) THEN '-Repeat' ELSE '' END) AS items FROM ln JOIN m USING (menu_item_id) GROUP BY 1, 2, 3")
-_BR = lambda t, k: f"SELECT menu_item_id, customer_id, quantity, quantity * unit_price AS revenue, row_number() OVER (PARTITION BY customer_id, menu_item_id ORDER BY created_on, order_id, quantity, unit_price) AS nth, '{k}' AS kind FROM (SELECT DISTINCT order_id, menu_item_id, quantity, unit_price FROM {t}) d JOIN ok USING (order_id)"
-add("A36_menu_stats", menu.menu_stats, f", s AS ({_BR('i', 'item')} UNION ALL {_BR('a', 'addon')}), g AS (SELECT menu_item_id, sum(quantity) FILTER (WHERE kind = 'item') AS as_item, sum(quantity) FILTER (WHERE kind = 'addon') AS as_addon, sum(revenue) AS rev, count(DISTINCT customer_id) AS customers, count(DISTINCT customer_id) FILTER (WHERE nth > 1) AS repeat_customers, count(*) AS lines, count(*) FILTER (WHERE nth > 1) AS reorders, sum(quantity) AS q FROM s GROUP BY 1) SELECT menu_item_id, name, type, coalesce(as_item, 0.0) AS as_item, coalesce(as_addon, 0.0) AS as_addon, round(rev, 2) AS revenue, customers, repeat_customers, {_pct('repeat_customers', 'customers')} AS repeat_rate, {_pct('reorders', 'lines')} AS reorder_rate, round(q * unit_value * CASE unit WHEN 'COUNT' THEN 0.0::DOUBLE WHEN 'kg' THEN 1000.0::DOUBLE WHEN 'mg' THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END, 3) AS grams FROM m JOIN g USING (menu_item_id)")
+_BR = lambda t, k: f"SELECT menu_item_id, customer_id, bd, quantity, quantity * unit_price AS revenue, row_number() OVER (PARTITION BY customer_id, menu_item_id ORDER BY created_on, order_id, quantity, unit_price) AS nth, '{k}' AS kind FROM (SELECT DISTINCT order_id, menu_item_id, quantity, unit_price FROM {t}) d JOIN ok USING (order_id)"
+
+
+def _menu_stats(lines: str = "true", items: str = "true") -> str:
+    return f""", s AS ({_BR('i', 'item')} UNION ALL {_BR('a', 'addon')}), g AS (SELECT menu_item_id, coalesce(sum(quantity) FILTER (WHERE kind = 'item'), 0.0) AS i, coalesce(sum(quantity) FILTER (WHERE kind = 'addon'), 0.0) AS a, sum(quantity) AS t, sum(revenue) AS r, coalesce(sum(quantity) FILTER (WHERE nth > 1), 0.0) AS rq, coalesce(sum(revenue) FILTER (WHERE nth > 1), 0.0) AS rr,
+count(DISTINCT customer_id) AS customers, count(DISTINCT customer_id) FILTER (WHERE nth > 1) AS repeat_customers FROM s WHERE {lines} GROUP BY 1)
+SELECT menu_item_id, name, type, a AS as_addon, i AS as_item, t AS total_sold, round(r, 2) AS revenue, CASE WHEN unit = 'g' THEN t * unit_value ELSE 0.0 END AS grams, 0.0::DOUBLE AS millilitres, CASE WHEN unit = 'COUNT' THEN t * unit_value ELSE 0.0 END AS pieces, round(rq, 3) AS reorder_quantity, repeat_customers, customers,
+{_pct('repeat_customers', 'customers')} AS reorder_rate, {_pct('round(rr, 2)', 'round(r, 2)')} AS repeat_revenue_rate FROM m JOIN g USING (menu_item_id) WHERE {items}"""
+
+
+add("A36_menu_stats", menu.menu_stats, _menu_stats())
+add("A36_menu_stats_filtered", lambda s: menu.menu_stats(s, YEAR[0], None, (0, 6), "ring", "PROMO"), _menu_stats(f"bd >= DATE '{YEAR[0]}' AND dayofweek(bd) IN (0, 6)", "upper(name) LIKE '%RING%' AND type = 'PROMO'"))
+_SUMMARY = lambda w: f"ln AS (SELECT DISTINCT order_id, menu_item_id, quantity, unit_price, kind FROM sold WHERE order_id IN (SELECT order_id FROM ok WHERE {w})), su AS (SELECT m.menu_item_id, name, type, is_active, coalesce(sum(quantity) FILTER (WHERE kind = 'item'), 0.0) AS as_item, coalesce(sum(quantity) FILTER (WHERE kind = 'addon'), 0.0) AS as_addon, coalesce(sum(quantity), 0.0) AS total_sold, round(coalesce(sum(quantity * unit_price), 0.0), 2) AS revenue FROM m LEFT JOIN ln ON ln.menu_item_id = m.menu_item_id GROUP BY 1, 2, 3, 4)"
+add("A37_menu_summary", menu.menu_summary, f", {_SUMMARY('true')} SELECT * FROM su")
+add("A37_menu_summary_since", lambda s: menu.menu_summary(s, YEAR[0]), f""", {_SUMMARY(f"bd >= DATE '{YEAR[0]}'")} SELECT * FROM su""")
 add("A39_menu_matrix", menu.menu_matrix, "SELECT menu_item_id, name, type, unit, CAST(unit_value AS BIGINT) AS unit_value, price FROM m WHERE is_active")
 add("A40_item_daily_weather", menu.item_daily_weather, ", d AS (SELECT bd, menu_item_id, sum(quantity) AS quantity_sold, arg_min(unit_price, (order_id, line_no, unit_price)) AS unit_price FROM i JOIN ok USING (order_id) GROUP BY 1, 2) SELECT CAST(bd AS VARCHAR) AS day, menu_item_id, quantity_sold, unit_price, temp_max FROM d LEFT JOIN w ON w.day = d.bd")
 add("A41_item_volume_daily", menu.item_volume_daily, "SELECT CAST(bd AS VARCHAR) AS day, menu_item_id, round(sum(quantity * unit_value * CASE unit WHEN 'kg' THEN 1000.0::DOUBLE WHEN 'mg' THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END), 3) AS volume, round(avg(unit_price), 6) AS avg_price FROM i JOIN ok USING (order_id) JOIN m USING (menu_item_id) GROUP BY 1, 2")
