@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from comanda.functions.text import contains_ci, identity_key, uuid5
+from comanda.session import written
 from comanda.sources.adapter import Shop
 
+#: Fixed value: the namespace of the menu's identifiers.
 NAMESPACE = uuid.UUID("6ba7b810-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -30,7 +32,10 @@ def menu_ids(shop: Shop) -> DataFrame:
 
 
 def merge_policy(source_verified: Column, target_verified: Column) -> Column:
-    return F.when(source_verified & target_verified, "blocked").when(source_verified, "swap").when(target_verified, "allowed").otherwise("allowed, verify")
+    """Which rule a merge of two customers falls under; a verified one never goes into an unverified
+    one, and of two unverified ones somebody says whether the result is verified."""
+    s, t = F.coalesce(source_verified, F.lit(False)), F.coalesce(target_verified, F.lit(False))
+    return F.when(s & ~t, "error").when(s & t, "verified_pair").when(t, "into_verified_target").otherwise("unverified_pair")
 
 
 def active_merges(log: DataFrame) -> DataFrame:
@@ -39,13 +44,25 @@ def active_merges(log: DataFrame) -> DataFrame:
     return latest.filter("event_type = 'merge'").select("merge_id", "source", "target")
 
 
-def survivors(merges: DataFrame, most_steps: int = 32) -> DataFrame:
-    """(source, survivor) along chains of merges, by pointer doubling; cycles end at the bound."""
-    state = merges.select("source", F.col("target").alias("survivor"))
-    for _ in range(most_steps.bit_length() - 1):
-        nxt = state.select(F.col("source").alias("survivor"), F.col("survivor").alias("later"))
-        state = state.join(nxt, "survivor", "left").select("source", F.coalesce("later", "survivor").alias("survivor"))
-    return state
+def survivors(merges: DataFrame) -> DataFrame:
+    """(source, survivor) along chains of any length: each round doubles the steps taken.
+
+    Members of a cycle have no survivor among the targets; the least of the cycle is taken, so that
+    all its members agree. Every round is written, so plans stay short.
+    """
+    state = written(merges.select("source", F.col("target").alias("survivor"), F.col("target").alias("least")), "survivors")
+    n = state.count()
+    steps = 1
+    while True:
+        nxt = state.select(F.col("source").alias("survivor"), F.col("survivor").alias("later"), F.col("least").alias("later_least"))
+        moved = state.join(nxt, "survivor", "left")
+        state = written(moved.select("source", F.coalesce("later", "survivor").alias("survivor"), F.least("least", F.coalesce("later_least", "least")).alias("least")), "survivors")
+        steps *= 2
+        open_rows = state.join(state.select(F.col("source").alias("survivor")), "survivor", "left_semi")
+        if steps > n or open_rows.isEmpty():  # beyond n steps only cycles are open
+            break
+    in_cycle = state.select(F.col("source").alias("survivor"), F.col("least").alias("cycle"))
+    return state.join(in_cycle, "survivor", "left").select("source", F.coalesce("cycle", "survivor").alias("survivor"))
 
 
 def demo_merges(shop: Shop) -> DataFrame:
@@ -64,8 +81,8 @@ def merged_totals(shop: Shop) -> DataFrame:
     return rows.groupBy("customer_id").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("total"), 2).alias("spend"))
 
 
-def browse(rows: DataFrame, columns: dict[str, Column], sort: str, descending: bool, key: str, page: int, size: int, filters: dict[str, str], search: str = "") -> DataFrame:
-    """A page of a table: contains-filters by whitelisted column, search over all, stable order."""
+def matching(rows: DataFrame, columns: dict[str, Column], filters: dict[str, str], search: str = "") -> DataFrame:
+    """Rows that hold each filter's text in its whitelisted column and the search in any of them."""
     unknown = [c for c in [*filters] if c not in columns]
     if unknown:
         raise ValueError(f"unknown columns: {unknown}")
@@ -76,8 +93,15 @@ def browse(rows: DataFrame, columns: dict[str, Column], sort: str, descending: b
         for column in columns.values():
             any_of = any_of | F.coalesce(contains_ci(column, search), F.lit(False))
         rows = rows.filter(any_of)
-    by = columns.get(sort, columns[key])
-    return rows.orderBy(by.desc_nulls_last() if descending else by.asc_nulls_first(), columns[key]).offset((page - 1) * size).limit(size)
+    return rows
+
+
+def browse(rows: DataFrame, columns: dict[str, Column], sort: str, descending: bool, key: str | list[str], page: int, size: int, filters: dict[str, str], search: str = "") -> DataFrame:
+    """A page of a table: ``matching`` rows in stable order."""
+    keys = [key] if isinstance(key, str) else key
+    by = columns.get(sort, columns[keys[0]])
+    ordered = matching(rows, columns, filters, search).orderBy(by.desc_nulls_last() if descending else by.asc_nulls_first(), *[columns[k] for k in keys])
+    return ordered.offset((page - 1) * size).limit(size)
 
 
 def violations(shop: Shop) -> DataFrame:
@@ -131,22 +155,25 @@ def similar_names(shop: Shop, least: float = 0.7) -> DataFrame:
     return scored.filter(F.col("ratio") >= least)
 
 
+def word_grams(name: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
+    """All grams of the lower-cased words, each word with a space on both sides."""
+    words = F.filter(F.split(F.lower(F.trim(name)), r"\s+"), lambda w: w != "")
+    of_size = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1)), lambda i: F.substr(w, i, F.lit(n)))).otherwise(F.array())
+    return F.flatten(F.transform(F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), lambda w: F.concat(*[of_size(w, n) for n in sizes])))
+
+
 def neighbours(shop: Shop, k: int = 6) -> DataFrame:
-    """The k nearest menu names of each name by cosine of smoothed tf-idf of 2- to 4-grams.
+    """The k nearest menu names of each name by cosine of tf-idf of grams of 2 to 4 characters.
 
     Grams meet in a join; no pair without a common gram is made.
     """
     names = shop.menu.select("name").distinct()
-    padded = F.concat(F.lit(" "), F.col("name"), F.lit(" "))
-    grams = None
-    for n in (2, 3, 4):
-        part = names.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - n + 1)), lambda i, n=n: F.substr(padded, i, F.lit(n)))).alias("gram"))
-        grams = part if grams is None else grams.unionByName(part)
-    tf = grams.groupBy("name", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    tf = names.select("name", F.explode(word_grams(F.col("name"))).alias("gram")).groupBy("name", "gram").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     total = names.agg(F.count(F.lit(1)).alias("n"))
-    w = tf.join(df, "gram").join(F.broadcast(total)).select("name", "gram", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))  # one row
+    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    w = tf.join(df, "gram").join(F.broadcast(total)).select("name", "gram", (F.col("tf") * idf).alias("w"))  # one row
     unit = w.join(w.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size")), "name").select("name", "gram", (F.col("w") / F.col("size")).alias("w"))
-    dot = unit.alias("a").join(unit.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.name") != F.col("b.name"))).groupBy(F.col("a.name").alias("name"), F.col("b.name").alias("other")).agg(F.round(F.sum(F.col("a.w") * F.col("b.w")), 6).alias("score"))
+    dot = unit.alias("a").join(unit.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.name") != F.col("b.name"))).groupBy(F.col("a.name").alias("name"), F.col("b.name").alias("other")).agg(F.round(F.sum(F.col("a.w") * F.col("b.w")), 5).alias("score"))
     ranked = dot.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "other")))
     return ranked.filter(F.col("rank") <= k)

@@ -110,10 +110,16 @@ add("L1_orders_page", lambda s: entities.browse(s.orders.select("order_id", "cus
 add("F11_menu_search", lambda s: entities.browse(s.menu.select("menu_item_id", "name", "type"), {c: F.col(c) for c in ("menu_item_id", "name", "type")}, "name", False, "menu_item_id", 1, 40, {}, "ring"), "SELECT menu_item_id, name, type FROM m WHERE CAST(menu_item_id AS VARCHAR) LIKE '%RING%' OR upper(name) LIKE '%RING%' OR upper(type) LIKE '%RING%' ORDER BY name NULLS FIRST, menu_item_id LIMIT 40")
 add("DQ1_violations", entities.violations, "SELECT 'lineitem.quantity > 0' AS rule, count(*) AS violations FROM lineitem WHERE l_quantity <= 0 UNION ALL SELECT 'lineitem.price >= 0', count(*) FROM lineitem WHERE l_extendedprice < 0 UNION ALL SELECT 'lineitem key unique', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'lineitem.order exists', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'orders.customer exists', count(*) FROM o WHERE customer_id NOT IN (SELECT customer_id FROM c) UNION ALL SELECT 'orders.total >= 0', count(*) FROM o WHERE total < 0 UNION ALL SELECT 'customer.balance known', count(*) FROM customer WHERE c_acctbal IS NULL")
 add("U1_similar_names", entities.similar_names, None)
-add("U6_name_neighbours", entities.neighbours, None)
+add(
+    "U6_name_neighbours", entities.neighbours,
+    """, n AS (SELECT DISTINCT name FROM m), wd AS (SELECT name, ' ' || lower(unnest(regexp_split_to_array(trim(name), '\\s+'))) || ' ' AS p, unnest(range(1, 1 + len(regexp_split_to_array(trim(name), '\\s+')))) AS pos FROM n),
+gr AS (SELECT name, pos, k, i, substr(p, CAST(i AS INTEGER), CAST(k AS INTEGER)) AS gram FROM wd, range(2, 5) s(k), range(1, 200) r(i) WHERE i + k - 1 <= length(p)), tf AS (SELECT name, gram, count(*) AS tf FROM gr GROUP BY 1, 2),
+df AS (SELECT gram, count(*) AS df FROM tf GROUP BY 1), ww AS (SELECT name, gram, tf * (ln((1 + (SELECT count(*) FROM n)) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN df USING (gram)), un AS (SELECT name, gram, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS w FROM ww),
+dt AS (SELECT a.name, b.name AS other, round(sum(a.w * b.w), 5) AS score FROM un a JOIN un b ON a.gram = b.gram AND a.name <> b.name GROUP BY 1, 2) SELECT name, other, score, CAST(row_number() OVER (PARTITION BY name ORDER BY score DESC, other) AS INTEGER) AS rank FROM dt QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, other) <= 6""",
+)
 add("T13_business_day_windows", lambda s: incremental.daily_windows(s.raw("events")), "SELECT CAST(CAST(ts - INTERVAL 5 HOUR AS DATE) AS VARCHAR) AS business_date, event_type, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
 add("S10_latest_by_key", lambda s: incremental.latest(s.raw("events").select("user_id", "event_id", "event_type", F.round("value", 2).alias("value")), ["user_id"], "event_id"), "SELECT user_id, event_id, event_type, round(value, 2) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 add("T1_incremental_pull", lambda s: incremental.page(s.raw("events").select("event_id", "user_id", "event_type"), "event_id", 5000, 500), "SELECT event_id, user_id, event_type FROM events WHERE event_id > 5000 ORDER BY event_id LIMIT 500")
 add("N1_read_only_sql", lambda s: incremental.read_only_sql(s, "SELECT order_from, count(*) AS n FROM orders_view WHERE order_status = 'Success' GROUP BY order_from"), "SELECT order_from, count(*) AS n FROM ok GROUP BY 1")
 
-from comanda.plans import data, forecast, loyalty  # noqa: E402, F401  registers its queries
+from comanda.plans import data, forecast, loyalty, things  # noqa: E402, F401  registers its queries

@@ -65,6 +65,33 @@ class Shop:
     def customers(self) -> DataFrame:
         return self.raw("customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"), (F.col("c_acctbal") > 0).alias("is_verified"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
 
+    @cached_property
+    def contacts(self) -> DataFrame:
+        """Customers with a phone for every third, shared by two each."""
+        phone = F.when(F.col("customer_id") % 3 == 0, F.format_string("+91 98%08d", F.col("customer_id") - F.col("customer_id") % 6))
+        return self.customers.select("customer_id", "name", phone.alias("phone"), "is_verified", "nation")
+
+    @cached_property
+    def addresses(self) -> DataFrame:
+        """Up to three addresses a customer, the second the default where there is one."""
+        rows = self.customers.select("customer_id", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("customer_id") % 4).cast("int")))).alias("k"), "nation").filter("customer_id % 4 > 0")
+        return rows.select(
+            (F.col("customer_id") * 10 + F.col("k")).alias("address_id"), "customer_id", F.concat(F.lit("House "), (F.col("customer_id") % 90).cast("string")).alias("address_line_1"), F.when(F.col("k") == 3, " ").otherwise(F.concat(F.lit("Flat "), F.col("k").cast("string"))).alias("address_line_2"),
+            F.concat(F.lit("City "), F.col("nation").cast("string")).alias("city"), F.when(F.col("k") == 2, True).otherwise(False).alias("is_default"),
+        )
+
+    @cached_property
+    def mappings(self) -> DataFrame:
+        """Point-of-sale ids of the menu: three for each item, of two variants and none."""
+        k = F.explode(F.sequence(F.lit(0), F.lit(2)))
+        rows = self.menu.select("menu_item_id", "name", "type", k.alias("k"))
+        return rows.select((F.col("menu_item_id") * 10 + F.col("k")).alias("pos_id"), "menu_item_id", F.when(F.col("k") > 0, F.concat(F.lit("v"), F.col("k").cast("string"))).alias("variant_id"), ((F.col("menu_item_id") + F.col("k")) % 3 != 0).alias("is_verified"))
+
+    @cached_property
+    def variant_lines(self) -> DataFrame:
+        """Lines of sales with a variant by quantity, null for some."""
+        return self.sold.select("order_id", "menu_item_id", F.when(F.col("quantity") % 4 > 0, F.concat(F.lit("v"), (F.col("quantity") % 4).cast("int").cast("string"))).alias("variant_id"), "quantity", "total_price", "kind")
+
     @cached_property
     def verified_orders(self) -> DataFrame:
         """Success orders of verified customers, the base of the customer metrics."""
@@ -92,5 +119,9 @@ m AS (SELECT p_partkey AS menu_item_id, p_name AS name, p_type AS type, ['COUNT'
 c AS (SELECT c_custkey AS customer_id, c_name AS name, c_acctbal > 0 AS is_verified, c_mktsegment AS segment, c_nationkey AS nation FROM customer),
 vo AS (SELECT ok.*, c.name FROM ok JOIN c USING (customer_id) WHERE c.is_verified),
 sold AS (SELECT *, 'item' AS kind FROM i UNION ALL SELECT *, 'addon' AS kind FROM a),
+ct AS (SELECT customer_id, name, CASE WHEN customer_id % 3 = 0 THEN '+91 98' || lpad(CAST(customer_id - customer_id % 6 AS VARCHAR), 8, '0') END AS phone, is_verified, nation FROM c),
+ads AS (SELECT customer_id * 10 + k AS address_id, customer_id, 'House ' || customer_id % 90 AS address_line_1, CASE WHEN k = 3 THEN ' ' ELSE 'Flat ' || k END AS address_line_2, 'City ' || nation AS city, k = 2 AS is_default FROM c, range(1, 4) t(k) WHERE k <= customer_id % 4),
+mp AS (SELECT menu_item_id * 10 + k AS pos_id, menu_item_id, CASE WHEN k > 0 THEN 'v' || k END AS variant_id, (menu_item_id + k) % 3 <> 0 AS is_verified FROM m, range(0, 3) t(k)),
+vl AS (SELECT order_id, menu_item_id, CASE WHEN quantity % 4 > 0 THEN 'v' || CAST(quantity % 4 AS INTEGER) END AS variant_id, quantity, total_price, kind FROM sold),
 w AS (SELECT CAST(ts AS DATE) - 9436 AS day, round(avg(value), 4) AS temp_max, round(max(value) / 100, 4) AS rain_sum FROM events GROUP BY 1)
 """
