@@ -130,6 +130,42 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.judged(empty, bench).count() == 0
 
 
+def least_edits(p, t):
+    """Edits between ``p`` and the closest stretch of ``t``."""
+    row = [0] * (len(t) + 1)
+    for i, c in enumerate(p, 1):
+        new = [i]
+        for j, d in enumerate(t, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(21)
+    items = [words(rng, rng.randint(6, 14)) for _ in range(8)] + ["tiny", ""]
+
+    def noisy(text, edits):
+        out = list(text)
+        for _ in range(edits):
+            k = rng.randrange(len(out))
+            out[k : k + 1] = rng.choice([[], ["z"], [out[k], "q"]])
+        return "".join(out)
+
+    texts = [words(rng, 10) + " " + noisy(rng.choice(items[:8]), rng.randint(0, 9)) + " " + words(rng, 10) for _ in range(120)]
+    texts += [items[0], items[1] + items[1], "", None, "tiny", "a tiny thing", words(rng, 5000) + " " + items[2]]
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)] + [(20, items[3])], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: set(r["item_ids"]) for r in decontamination.judged(docs, bench).collect()}
+    folded = [decontamination.folded(t).tobytes() for t in texts]
+    passages = {k: decontamination.folded(t).tobytes() for k, t in [*enumerate(items), (20, items[3])] if t}
+    for k, text in enumerate(folded):
+        want = {i for i, p in passages.items() if least_edits(p, text) <= int(decontamination.EDIT_SHARE * len(p))} if len(text) < 4000 else {2}
+        assert got[k] == want, (k, got[k], want)
+    assert any(len(g) > 1 for g in got.values())
+    assert decontamination.judged(docs, bench.limit(0)).filter("contaminated").count() == 0
+
+
 def test_alignment_equals_edit_distance():
     rng = random.Random(4)
     for _ in range(60):
