@@ -1,11 +1,12 @@
 """Canonical exact fingerprints of texts, in DataFrame and SQL functions alone.
 
 A text is normalised (NFKC), case folded and its white space folded; two seeds of xxhash64 over the
-canonical text make a 128-bit digest. Inside buckets of equal digests the canonical texts are
-compared byte by byte, as least and greatest text of the bucket, which tasks pre-aggregate, so a
-large group of copies reaches its bucket as one row a task; a bucket that holds different texts (a
-hash collision) gets fingerprints lengthened by SHA-256. The registered query compares edited texts
-in the same buckets as the documents.
+canonical text make a 128-bit digest. Digests are counted first; the texts of buckets with more
+than one row are then compared byte by byte, as least and greatest text of the bucket, which tasks
+pre-aggregate, so a large group of copies reaches its bucket as one row a task; a bucket that holds
+different texts (a hash collision) gets fingerprints lengthened by SHA-256. In the registered query
+a text, its edited form and the next text stand in one row, so their likeness is an equality of
+canonical bytes; edited texts meet all other rows' buckets by their SHA-256.
 
 Defined cases: null text is empty; empty texts share one fingerprint; repeated rows share theirs;
 null doc_ids come first in the order of documents, and equal doc_ids follow their texts; an empty
@@ -21,6 +22,8 @@ from comanda.llm.common import set_aside
 from comanda.session import written
 
 DOCS_A_BLOCK, MOST_BLOCKS = 2000, 1 << 14
+#: Repeated digests are sent to the texts up to this many (about 20 MB), and joined beyond it.
+SENT_DIGESTS = 200_000
 NO_ID = -(1 << 63)
 
 
@@ -36,9 +39,15 @@ def digest(canon: Column) -> Column:
     return F.concat(part(1), part(2))
 
 
-def collisions(texts: DataFrame) -> DataFrame:
-    """digest: those whose bucket in ``texts(canon)`` holds different texts."""
-    buckets = texts.groupBy(digest(F.col("canon")).alias("digest")).agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
+def collisions(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """digest: those that different canonical texts of ``docs(text)`` share; ``digests(digest)`` has a
+    row for each document."""
+    many = written(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "repeated")
+    if many.count() <= SENT_DIGESTS:
+        many = F.broadcast(many)
+    canon = canonical(F.col("text"))
+    same = docs.select(digest(canon).alias("digest"), canon.alias("canon")).join(many, "digest", "left_semi")
+    buckets = same.groupBy("digest").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
     return written(buckets.filter("least <> most").select("digest"), "collisions")
 
 
@@ -49,7 +58,7 @@ def fingerprint_of(canon_digest: Column, canon_sha: Column, collides: Column) ->
 def fingerprinted(docs: DataFrame, name: str = "fingerprint") -> DataFrame:
     """``docs`` with their fingerprint as ``name``; equal fingerprints mean equal canonical texts."""
     docs, restored = set_aside(docs, ("text",))
-    bad = collisions(docs.select(canonical(F.col("text")).alias("canon"))).select(F.col("digest").alias("_bad"))
+    bad = collisions(docs.select("text"), docs.select(digest(canonical(F.col("text"))).alias("digest"))).select(F.col("digest").alias("_bad"))
     rows = docs.withColumn("_canon", canonical(F.col("text"))).withColumn("_digest", digest(F.col("_canon")))
     joined = rows.join(bad, rows["_digest"] == bad["_bad"], "left")
     out = joined.withColumn("_fingerprint", fingerprint_of(F.col("_digest"), F.sha2("_canon", 256), F.col("_bad").isNotNull()))
@@ -108,12 +117,23 @@ def compared(docs: DataFrame) -> DataFrame:
     fingerprint of every text, of its edited form and of the next document. Exact fingerprints are
     alike (1.0) or not (0.0)."""
     rows = edited(docs)
-    names = (("own", "text"), ("edited_print", "edited"), ("next", "next_text"))  # the next text is a document's own elsewhere
-    bad = collisions(docs.select(F.col("text").alias("t")).unionByName(rows.select(F.col("edited").alias("t"))).select(canonical(F.col("t")).alias("canon")))
-    out = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[digest(canonical(F.col(source))).alias(name) for name, source in names], "text", "edited", "next_text")
+    own, other, after = (canonical(F.col(c)) for c in ("text", "edited", "next_text"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), own.alias("own"), other.alias("other"), after.alias("after"))
+    bytes_equal = lambda a: (F.col("own") == F.col(a)).cast("double")
+    rows = written(
+        rows.select(
+            "doc_id", "n_chars", "edited_sha256", digest(F.col("own")).alias("own_digest"), F.sha2("own", 256).alias("own_sha"), digest(F.col("other")).alias("other_digest"), F.sha2("other", 256).alias("other_sha"),
+            bytes_equal("other").alias("near_edited"), bytes_equal("after").alias("near_next"),
+        ),
+        "fingerprints",
+    )
+    bad = collisions(docs.select("text"), rows.select(F.col("own_digest").alias("digest")))
+    every = rows.select(F.col("own_digest").alias("digest"), F.col("own_sha").alias("sha")).unionByName(rows.select(F.col("other_digest").alias("digest"), F.col("other_sha").alias("sha")))
+    told = every.groupBy("digest").agg(F.min("sha").alias("least"), F.max("sha").alias("most")).filter("least <> most").select("digest")
+    bad = written(bad.unionByName(told).distinct(), "all-collisions")
+    out = rows
     if not bad.isEmpty():
-        for name, source in names:
-            own = bad.select(F.col("digest").alias(name), F.lit(True).alias("_bad"))
-            out = out.join(own, name, "left").withColumn(name, fingerprint_of(F.col(name), F.sha2(canonical(F.col(source)), 256), F.col("_bad").isNotNull())).drop("_bad")
-    alike = lambda a: (F.col("own") == F.col(a)).cast("double")
-    return out.select("doc_id", "n_chars", "edited_sha256", F.col("own").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"), alike("edited_print").alias("near_edited"), alike("next").alias("near_next"))
+        for name in ("own", "other"):
+            of_name = bad.select(F.col("digest").alias(f"{name}_digest"), F.lit(True).alias("_bad"))
+            out = out.join(of_name, f"{name}_digest", "left").withColumn(f"{name}_digest", fingerprint_of(F.col(f"{name}_digest"), F.col(f"{name}_sha"), F.col("_bad").isNotNull())).drop("_bad")
+    return out.select("doc_id", "n_chars", "edited_sha256", F.col("own_digest").alias("fingerprint"), F.col("other_digest").alias("edited_fingerprint"), "near_edited", "near_next")
