@@ -155,6 +155,13 @@ def similar_names(shop: Shop, least: float = 0.7) -> DataFrame:
     return scored.filter(F.col("ratio") >= least)
 
 
+def best_matches(shop: Shop, least: float = 0.7) -> DataFrame:
+    """The closest other name of its type for each menu name, if the ratio reaches ``least``."""
+    pairs = similar_names(shop, least)
+    both = pairs.unionByName(pairs.select("type", F.col("other").alias("name"), F.col("name").alias("other"), "ratio"))
+    return both.groupBy("type", "name").agg(F.max(F.struct("ratio", "other")).alias("m")).select("type", "name", F.col("m.other").alias("match"), F.col("m.ratio").alias("ratio"))
+
+
 def word_grams(name: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
     """All grams of the lower-cased words, each word with a space on both sides."""
     words = F.filter(F.split(F.lower(F.trim(name)), r"\s+"), lambda w: w != "")

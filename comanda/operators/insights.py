@@ -24,8 +24,8 @@ def kpis(shop: Shop, today: str) -> DataFrame:
 
 def daily_sales(shop: Shop) -> DataFrame:
     by_source = [money(F.sum(F.when(F.col("order_from") == s, F.col("total")))).alias(f"revenue_{k}") for k, s in enumerate(SOURCES, 1)]
-    days = shop.success.groupBy("business_date").agg(money(F.sum("total")).alias("revenue"), F.count(F.lit(1)).alias("num_orders"), *by_source)
-    return days.select(text_date(F.col("business_date")).alias("order_date"), "revenue", "num_orders", *[f"revenue_{k}" for k in range(1, len(SOURCES) + 1)])
+    days = shop.success.groupBy("business_date").agg(money(F.sum("total")).alias("revenue"), F.round(F.sum(F.col("total") - F.col("tax_total")), 4).alias("net_revenue"), F.round(F.sum("tax_total"), 4).alias("tax"), F.count(F.lit(1)).alias("num_orders"), *by_source)
+    return days.select(text_date(F.col("business_date")).alias("order_date"), "revenue", "net_revenue", "tax", "num_orders", *[f"revenue_{k}" for k in range(1, len(SOURCES) + 1)])
 
 
 def category_trend(shop: Shop) -> DataFrame:

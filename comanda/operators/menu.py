@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from comanda.functions.dates import day_range, money, percent, sunday_first, text_date
 from comanda.functions.text import contains_ci
+from comanda.operators.insights import SOURCES
 from comanda.sources.adapter import Shop
 
 
@@ -135,7 +136,7 @@ def returning_customers(shop: Shop, day: str) -> DataFrame:
 
 def today_summary(shop: Shop, day: str) -> DataFrame:
     now = _today(shop, day).join(_earlier_customers(shop, day).withColumn("seen", F.lit(True)), "customer_id", "left")
-    return now.agg(F.count(F.lit(1)).alias("orders"), money(F.sum("total")).alias("revenue"), F.countDistinct("customer_id").alias("customers"), F.countDistinct(F.when(F.col("seen"), F.col("customer_id"))).alias("returning"), money(F.sum(F.when(F.col("order_from") == "1-URGENT", F.col("total")))).alias("urgent_revenue"))
+    return now.agg(F.count(F.lit(1)).alias("orders"), money(F.sum("total")).alias("revenue"), F.countDistinct("customer_id").alias("customers"), F.countDistinct(F.when(F.col("seen"), F.col("customer_id"))).alias("returning"), *[c for k, v in enumerate(SOURCES, 1) for c in (money(F.sum(F.when(F.col("order_from") == v, F.col("total")))).alias(f"revenue_{k}"), F.count(F.when(F.col("order_from") == v, 1)).alias(f"orders_{k}"))])
 
 
 def item_reorders(shop: Shop, day: str) -> DataFrame:

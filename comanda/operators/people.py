@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from comanda.functions.scalars import closeness
 from comanda.functions.text import joined_address, normal_phone, normal_text
-from comanda.operators.entities import merge_policy
+from comanda.operators.entities import merge_policy, name_ratio
 from comanda.sources.adapter import Shop
 
 
@@ -132,3 +133,42 @@ def locator_keys(shop: Shop) -> DataFrame:
     phone, name = normal_phone(F.col("phone")), normal_text(F.regexp_replace("name", "[0-9]$", ""))
     place = normal_text(F.col("address"))
     return rows.select("customer_id", (F.col("customer_id") % 6 != 3).alias("is_active"), F.sha2(phone, 256).alias("phone_hash"), F.sha2(F.when(place.isNotNull(), F.concat_ws("|", name, place)), 256).alias("address_hash"), name.alias("name_key"))
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """Of two normal names: sorted words, first words, whole names and last words, less sure for
+    short names."""
+    words = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
+    wa, wb = words(a), words(b)
+    ratio = lambda x, y: F.when((F.length(x) > 0) & (F.length(y) > 0), name_ratio(x, y)).otherwise(0.0)
+    sorted_words = lambda w: F.array_join(F.array_sort(w), " ")
+    full = ratio(a, b)
+    last = F.when((F.size(wa) > 1) & (F.size(wb) > 1), ratio(F.get(wa, F.size(wa) - 1), F.get(wb, F.size(wb) - 1))).otherwise(full)
+    mixed = 0.35 * ratio(sorted_words(wa), sorted_words(wb)) + 0.25 * ratio(F.get(wa, F.lit(0)), F.get(wb, F.lit(0))) + 0.20 * full + 0.20 * last
+    base = F.when((F.size(wa) == 1) & (F.size(wb) == 1), full).otherwise(mixed)
+    letters = lambda w: F.length(F.array_join(w, ""))
+    sure = 0.75 + 0.25 * (F.least(F.greatest(F.size(wa), F.size(wb), F.lit(1)), F.lit(3)) / 3 * 0.6 + F.least(F.greatest(letters(wa), letters(wb), F.lit(1)), F.lit(12)) / 12 * 0.4)
+    return F.when((F.size(wa) > 0) & (F.size(wb) > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), base * sure))).otherwise(0.0)
+
+
+def pair_scores(shop: Shop, pairs: DataFrame) -> DataFrame:
+    """Scores of ``pairs(customer_id, other_id)`` that merge policy allows: text, name, address,
+    behaviour and a bonus for one phone; and whether the score or its parts are enough to keep it."""
+    rows = profiles(shop, shop.customers.select(F.col("customer_id").alias("source")).limit(0))
+    name, phone, address = normal_text(F.col("name")), normal_phone(F.col("phone")), normal_text(F.col("address"))
+    text = F.concat_ws(" | ", name, phone, address)
+    known = rows.select("customer_id", F.struct(F.coalesce(name, F.lit("")).alias("name"), phone.alias("phone"), F.coalesce(address, F.lit("")).alias("address"), text.alias("text"), "total_orders", "total_spent").alias("r"))
+    side = lambda k, r: known.select(F.col("customer_id").alias(k), F.col("r").alias(r))
+    both = pairs.select("customer_id", "other_id").join(side("customer_id", "a"), "customer_id").join(side("other_id", "b"), "other_id")
+    both = both.repartition("customer_id")  # the ratios are the work here
+    same = F.coalesce(F.col("a.phone") == F.col("b.phone"), F.lit(False))
+    address_ratio = F.when((F.length("a.address") > 0) & (F.length("b.address") > 0), name_ratio(F.col("a.address"), F.col("b.address"))).otherwise(0.0)
+    behaviour = (closeness(F.col("a.total_orders"), F.col("b.total_orders")) + closeness(F.col("a.total_spent"), F.col("b.total_spent"))) / 2
+    parts = both.select("customer_id", "other_id", name_ratio(F.col("a.text"), F.col("b.text")).alias("text"), name_similarity(F.col("a.name"), F.col("b.name")).alias("name"), address_ratio.alias("address"), behaviour.alias("behaviour"), same.alias("same_phone"))
+    score = 0.45 * F.col("text") + 0.25 * F.col("name") + 0.15 * F.col("address") + 0.15 * F.col("behaviour") + F.when(F.col("same_phone"), 0.2).otherwise(0.0)
+    score = F.least(F.when(F.col("same_phone"), F.greatest(score, F.lit(0.88))).otherwise(score), F.lit(0.99))
+    reasons = F.array_compact(F.array(F.when(F.col("same_phone"), "Exact phone match"), F.when(F.col("name") >= 0.85, "Very similar customer names"), F.when(F.col("address") >= 0.8, "Very similar saved addresses"), F.when(F.col("behaviour") >= 0.75, "Similar order count / spend profile"), F.when(F.col("text") >= 0.8, "Strong text similarity across name, phone, and address")))
+    keep = (F.col("score") >= 0.72) | F.col("same_phone") | ((F.col("name") >= 0.8) & (F.col("address") >= 0.7))
+    r4 = lambda c: F.round(c, 4).alias(c)
+    out = parts.withColumn("score", score).withColumn("kept", keep).withColumn("reasons", F.when(F.size(reasons) > 0, F.array_join(reasons, "; ")).otherwise("High overall similarity score"))
+    return out.select("customer_id", "other_id", r4("score"), r4("text"), r4("name"), r4("address"), r4("behaviour"), "same_phone", "kept", "reasons")

@@ -18,7 +18,7 @@ _RANKED = "rk AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY
 _LOYAL = f"""{_RANKED}, loyal AS (SELECT strftime(bd, '%Y-%m') AS month, count(*) AS orders, count(*) FILTER (WHERE r > 1) AS repeat_orders, count(DISTINCT customer_id) AS customers, count(DISTINCT customer_id) FILTER (WHERE r > 1) AS repeat_customers, sum(total) AS rev, sum(total) FILTER (WHERE r > 1) AS rrev FROM rk GROUP BY 1)"""
 
 add("A1_kpis", lambda s: insights.kpis(s, TODAY), f"SELECT count(*) AS total_orders, round(coalesce(sum(total), 0.0), 2) AS total_revenue, round(avg(total), 2) AS avg_order_value, count(*) FILTER (WHERE is_verified) AS verified_orders, count(DISTINCT customer_id) FILTER (WHERE is_verified) AS verified_customers, round(coalesce(sum(total) FILTER (WHERE bd = DATE '{TODAY}'), 0.0), 2) AS today_revenue FROM ok LEFT JOIN c USING (customer_id)")
-add("A3_daily_sales", insights.daily_sales, f"SELECT CAST(bd AS VARCHAR) AS order_date, round(sum(total), 2) AS revenue, count(*) AS num_orders, {_SOURCES} FROM ok GROUP BY 1")
+add("A3_daily_sales", insights.daily_sales, f"SELECT CAST(bd AS VARCHAR) AS order_date, round(sum(total), 2) AS revenue, round(sum(total - tax_total), 4) AS net_revenue, round(sum(tax_total), 4) AS tax, count(*) AS num_orders, {_SOURCES} FROM ok GROUP BY 1")
 add("A4_sales_trend", lambda s: insights.daily_sales(s).select("order_date", "revenue", "num_orders"), "SELECT CAST(bd AS VARCHAR) AS order_date, round(sum(total), 2) AS revenue, count(*) AS num_orders FROM ok GROUP BY 1")
 add("A5_category_trend", insights.category_trend, "SELECT CAST(bd AS VARCHAR) AS order_date, type AS category, round(sum(total_price), 2) AS revenue, sum(quantity) AS quantity FROM i JOIN ok USING (order_id) JOIN m USING (menu_item_id) GROUP BY 1, 2")
 _SOLD_ONCE = "so AS (SELECT menu_item_id, quantity, total_price FROM i WHERE order_id IN (SELECT order_id FROM ok) UNION ALL SELECT menu_item_id, quantity, total_price FROM (SELECT DISTINCT order_id, menu_item_id, quantity, unit_price, total_price FROM a) d WHERE order_id IN (SELECT order_id FROM ok))"
@@ -56,7 +56,7 @@ _DAY = f"today AS (SELECT * FROM ok WHERE bd = DATE '{TODAY}'), seen AS (SELECT
 add("A29_returning_customers", lambda s: menu.returning_customers(s, TODAY), f", {_DAY} SELECT count(DISTINCT customer_id) AS returning FROM today WHERE customer_id IN (SELECT customer_id FROM seen)")
 _AGAIN = f"ag AS (SELECT menu_item_id, count(*) AS customers, count(*) FILTER (WHERE first < DATE '{TODAY}') AS reorder_customers FROM (SELECT customer_id, menu_item_id, min(bd) AS first, bool_or(bd = DATE '{TODAY}') AS now FROM i JOIN vo USING (order_id) GROUP BY 1, 2) WHERE now GROUP BY 1)"
 add("A30_item_reorders", lambda s: menu.item_reorders(s, TODAY), f", {_AGAIN} SELECT * FROM ag")
-add("A32_today_summary", lambda s: menu.today_summary(s, TODAY), f", {_DAY} SELECT count(*) AS orders, round(coalesce(sum(total), 0.0), 2) AS revenue, count(DISTINCT customer_id) AS customers, count(DISTINCT customer_id) FILTER (WHERE customer_id IN (SELECT customer_id FROM seen)) AS returning, round(coalesce(sum(total) FILTER (WHERE order_from = '1-URGENT'), 0.0), 2) AS urgent_revenue FROM today")
+add("A32_today_summary", lambda s: menu.today_summary(s, TODAY), f", {_DAY} SELECT count(*) AS orders, round(coalesce(sum(total), 0.0), 2) AS revenue, count(DISTINCT customer_id) AS customers, count(DISTINCT customer_id) FILTER (WHERE customer_id IN (SELECT customer_id FROM seen)) AS returning, {_SOURCES}, {', '.join(f"count(*) FILTER (WHERE order_from = '{v}') AS orders_{n}" for n, v in enumerate(insights.SOURCES, 1))} FROM today")
 add("A33_today_items", lambda s: menu.today_items(s, TODAY), f", {_DAY}, {_AGAIN} SELECT menu_item_id, coalesce(name, 'unknown') AS name, coalesce(type, 'other') AS category, sum(quantity) AS quantity, round(sum(total_price), 2) AS revenue, coalesce(any_value(reorder_customers), 0) AS reorder_customers FROM sold LEFT JOIN m USING (menu_item_id) LEFT JOIN ag USING (menu_item_id) WHERE order_id IN (SELECT order_id FROM today) GROUP BY 1, 2, 3")
 add("A34_today_customers", lambda s: menu.today_customers(s, TODAY), f", {_DAY}, n AS (SELECT customer_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS items FROM i JOIN today USING (order_id) JOIN m USING (menu_item_id) GROUP BY 1) SELECT customer_id, round(sum(total), 2) AS order_value, count(*) AS orders, coalesce(any_value(items), '') AS items, customer_id IN (SELECT customer_id FROM seen) AS is_returning FROM today LEFT JOIN n USING (customer_id) GROUP BY customer_id")
 add("A35_today_orders", lambda s: menu.today_orders(s, TODAY), f", {_DAY}, ln AS (SELECT order_id, customer_id, total, menu_item_id, CAST(sum(quantity) AS BIGINT) AS q FROM i JOIN today USING (order_id) GROUP BY 1, 2, 3, 4), had AS (SELECT DISTINCT customer_id, menu_item_id FROM i JOIN ok USING (order_id) WHERE bd < DATE '{TODAY}') SELECT order_id, customer_id, round(total, 2) AS total, string_agg(name || '(' || q || ')' || CASE WHEN (customer_id, menu_item_id) IN (SELECT (customer_id, menu_item_id) FROM had) THEN '-Repeat' ELSE '' END, ', ' ORDER BY name || '(' || q || ')' || CASE WHEN (customer_id, menu_item_id) IN (SELECT (customer_id, menu_item_id) FROM had) THEN '-Repeat' ELSE '' END) AS items FROM ln JOIN m USING (menu_item_id) GROUP BY 1, 2, 3")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from comanda.functions.dates import text_date
-from comanda.operators import insights, series
+from comanda.operators import demand, insights, series
 from comanda.operators import panel as ops
 from comanda.plans.base import NOW, TODAY, YEAR, add, days_of, inside
+from comanda.session import written
 from comanda.sources.adapter import Shop
+from comanda.streaming import tables
 
 _PANEL = f"""sl AS (SELECT menu_item_id, bd AS day, sum(quantity) AS q, arg_min(unit_price, (order_id, line_no, unit_price)) AS price FROM i JOIN ok USING (order_id) WHERE {inside(NOW)} GROUP BY 1, 2),
 it AS (SELECT menu_item_id, min(day) AS first, arg_max(price, day) AS price FROM sl GROUP BY 1),
@@ -155,3 +157,28 @@ add(
     "M22_stale_models", lambda s: s.orders.select("order_id", ops.is_stale(F.date_sub("business_date", (F.col("order_id") % 3).cast("int")), F.col("created_on")).alias("is_stale")),
     "SELECT order_id, hour(created_on) >= 5 AND bd - CAST(order_id % 3 AS INTEGER) < CAST(created_on - INTERVAL 5 HOUR AS DATE) - 1 AS is_stale FROM o",
 )
+
+
+def _demand(s: Shop):
+    rows = written(_features(s, True), "demand")
+    return rows, demand.trained(rows)
+
+
+def _metrics(s: Shop):
+    rows, model = _demand(s)
+    return ops.forecast_metrics(model.predicted(rows))
+
+
+def _backtest(s: Shop):
+    rows, model = _demand(s)
+    said = model.predicted(rows)
+    return said.select("menu_item_id", text_date(F.col("day")).alias("day"), "q", F.round("probability", 4).alias("probability"), "p50", "p90", "prep")
+
+
+add("M6_demand_metrics", _metrics, None)
+add("M10_in_sample_backtest", _backtest, None)
+add("M9_demand_forecast", lambda s: demand.forecast(_panel(s), _demand(s)[1], NOW[1], 2).withColumn("day", text_date(F.col("day"))), None)
+add(
+    "E17_weather_upsert", lambda s: tables.upserted(tables.upserted(s.weather.select("day", F.when(F.dayofmonth("day") % 3 != 0, F.col("temp_max")).alias("temp_max"), "rain_sum"), s.weather.select("day", F.lit(20.0).alias("temp_max"), F.lit(1.0).alias("rain_sum")), ["day"], keep=["temp_max", "rain_sum"]), s.weather.filter(F.dayofmonth("day") % 5 == 0).select("day", (F.col("temp_max") + 1).alias("temp_max"), F.lit(None).cast("double").alias("rain_sum")), ["day"]).withColumn("day", text_date(F.col("day"))),
+    "SELECT CAST(day AS VARCHAR) AS day, CASE WHEN day(day) % 5 = 0 THEN temp_max + 1 WHEN day(day) % 3 = 0 THEN 20.0 ELSE temp_max END AS temp_max, rain_sum FROM w",
+)

@@ -71,6 +71,9 @@ add(
 FROM kk LEFT JOIN l1 ON l1.ph = kk.ph AND kk.customer_id % 5 <> 0 LEFT JOIN l2 ON l2.ad = kk.ad AND kk.customer_id % 7 <> 0 LEFT JOIN l3 ON l3.nm = kk.nm""",
 )
 
+add("U3_pair_scores", lambda s: people.pair_scores(s, people.same_phone_pairs(s)), None)
+add("U4_best_matches", entities.best_matches, None)
+
 # menu --------------------------------------------------------------------------------------------
 
 _NEAR = lambda s: s.menu.filter("menu_item_id % 3 = 1").select("menu_item_id", (F.col("menu_item_id") - 1).alias("suggestion_id"))

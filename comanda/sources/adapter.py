@@ -29,7 +29,7 @@ class Shop:
         return self.raw("orders").select(
             F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"),
             F.expr("o_orderdate + make_dt_interval(0, cast(o_orderkey % 24 AS INT))").alias("created_on"),
-            F.col("o_totalprice").alias("total"), F.col("o_orderpriority").alias("order_from"),
+            F.col("o_totalprice").alias("total"), (F.col("o_totalprice") * 0.05).alias("tax_total"), F.col("o_orderpriority").alias("order_from"),
             F.when(F.col("o_orderstatus") == "F", "Success").otherwise("Cancelled").alias("order_status"),
         ).withColumn("business_date", business_date(F.col("created_on")))
 
@@ -110,7 +110,7 @@ class Shop:
 
 
 #: The same tables as DuckDB common table expressions, for the oracle.
-ORACLE_TABLES = """WITH o AS (SELECT *, CAST(created_on - INTERVAL 5 HOUR AS DATE) AS bd FROM (SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS created_on, o_totalprice AS total, o_orderpriority AS order_from, CASE WHEN o_orderstatus = 'F' THEN 'Success' ELSE 'Cancelled' END AS order_status FROM orders)),
+ORACLE_TABLES = """WITH o AS (SELECT *, CAST(created_on - INTERVAL 5 HOUR AS DATE) AS bd FROM (SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS created_on, o_totalprice AS total, o_totalprice * 0.05::DOUBLE AS tax_total, o_orderpriority AS order_from, CASE WHEN o_orderstatus = 'F' THEN 'Success' ELSE 'Cancelled' END AS order_status FROM orders)),
 ok AS (SELECT * FROM o WHERE order_status = 'Success'),
 l AS (SELECT l_orderkey AS order_id, l_partkey AS menu_item_id, l_linenumber AS line_no, l_quantity AS quantity, l_extendedprice / l_quantity AS unit_price, l_extendedprice AS total_price, l_returnflag AS flag FROM lineitem),
 i AS (SELECT * EXCLUDE flag FROM l WHERE flag <> 'R'),

@@ -16,11 +16,12 @@ from comanda.sources.adapter import Shop
 from comanda.streaming.incremental import latest
 
 _LINE = "itemid: bigint, quantity: double, price: double, total: double"
-PAYLOAD = (
-    "struct<stream_id: bigint, event_id: string, occurred_at: string, raw_event: struct<raw_payload: struct<properties: struct<"
+EVENT = (
+    "stream_id bigint, event_id string, occurred_at string, raw_event struct<raw_payload: struct<properties: struct<"
     "Order: struct<orderID: bigint, created_on: string, total: double, order_from: string, status: string>, Customer: struct<name: string, phone: string, address: string>, Restaurant: struct<restID: string, res_name: string>, "
-    f"OrderItem: array<struct<{_LINE}, addon: array<struct<{_LINE}>>>>, Tax: array<struct<title: string, rate: double, amount: double>>, Discount: array<struct<title: string, amount: double>>>>>>"
+    f"OrderItem: array<struct<{_LINE}, addon: array<struct<{_LINE}>>>>, Tax: array<struct<title: string, rate: double, amount: double>>, Discount: array<struct<title: string, amount: double>>>>>"
 )
+PAYLOAD = f"struct<{EVENT}>"
 REPLAYS = "order_id % 5 = 0"
 
 
