@@ -108,7 +108,8 @@ def with_listed(rows: DataFrame, listed: DataFrame) -> DataFrame:
     never = asked.filter("not _possible").withColumn("listed", F.lit(False))
     maybe = asked.filter("_possible").withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int"))
     salted = keys.select(F.col("canonical").alias("_key"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_key_salt"))
-    found = maybe.join(salted, (F.col("canonical") == F.col("_key")) & (F.col("_salt") == F.col("_key_salt")), "left").withColumn("listed", F.col("_key").isNotNull())
+    # a merge join: salted keys are many and must not be taken for small
+    found = maybe.join(salted.hint("merge"), (F.col("canonical") == F.col("_key")) & (F.col("_salt") == F.col("_key_salt")), "left").withColumn("listed", F.col("_key").isNotNull())
     return never.select(*rows.columns, "listed").unionByName(found.select(*rows.columns, "listed"))
 
 
