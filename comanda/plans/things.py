@@ -73,6 +73,7 @@ FROM kk LEFT JOIN l1 ON l1.ph = kk.ph AND kk.customer_id % 5 <> 0 LEFT JOIN l2 O
 
 add("U3_pair_scores", lambda s: people.pair_scores(s, people.same_phone_pairs(s)), None)
 add("U4_best_matches", entities.best_matches, None)
+add("J18_name_pairs", lambda s: entities.similar_names(s, 0.9), None)
 
 # menu --------------------------------------------------------------------------------------------
 

@@ -201,3 +201,49 @@ def test_moves_and_browser_refuse_unknown(spark):
     for call in (lambda: things.browse_table(shop, "users"), lambda: things.browse_table(shop, "orders", filters={"secret": "x"})):
         with pytest.raises(ValueError):
             call()
+
+
+def test_feed_is_read_by_cursor(spark, tmp_path):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    from comanda.sources.feed import CursorFeed
+
+    asked = []
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: int(v[0]) for k, v in parse_qs(urlparse(self.path).query).items()}
+            asked.append(q["cursor"])
+            if len(asked) == 2:  # one failure is tried again
+                self.send_error(503)
+                return
+            ids = [k for k in range(1, 1201) if k > q["cursor"]][: q["limit"]]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps([{"stream_id": k, "event_id": f"e{k}"} for k in ids]).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(CursorFeed)
+    options = {"url": f"http://127.0.0.1:{server.server_port}/orders", "limit": "900", "retry_wait": "0.01", "page_wait": "0"}
+    rows = spark.read.format("cursor_feed").options(**options).load().collect()
+    assert [r["stream_id"] for r in rows] == list(range(1, 1201)) and asked == [0, 500, 500, 1000]
+    some = spark.read.format("cursor_feed").options(**options, start="1100", max_records="30").load()
+    assert [r["stream_id"] for r in some.collect()] == list(range(1101, 1131))
+
+    def pull():
+        query = spark.readStream.format("cursor_feed").options(**options).load().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).start()
+        query.processAllAvailable()
+        query.stop()
+
+    pull()
+    pull()  # the cursor is in the checkpoint, so nothing comes twice
+    got = sorted(r["stream_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    server.shutdown()
+    assert got == list(range(1, 1201))
