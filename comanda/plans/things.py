@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from comanda.functions.text import joined_address
 from comanda.operators import catalogue, entities, people
+from comanda.operators.loyalty import affinity_rows
 from comanda.operators.menu import menu_summary
-from comanda.plans.base import add
+from comanda.plans.base import NOW, add, inside
 from comanda.sources.adapter import Shop
 
 _PAIRS = lambda s: s.customers.filter("customer_id % 10 = 0 and customer_id > 0").select(F.col("customer_id").alias("source"), F.floor(F.col("customer_id") / 2).alias("target"))
@@ -205,3 +206,28 @@ add("L2_menu_summary_page", lambda s: browse_table(s, "menu_items_summary", 2, 2
 add("F17_variants", lambda s: browse_table(s, "variants", 1, 60, "value", False, {"unit": "g"}), "SELECT DISTINCT unit, CAST(unit_value AS BIGINT) AS value FROM m WHERE upper(unit) LIKE '%G%' ORDER BY value, unit LIMIT 60")
 add("L8_nulls_as_zero", lambda s: s.menu.join(_NEAR(s), "menu_item_id", "left").select("menu_item_id", "suggestion_id").orderBy(F.coalesce("suggestion_id", F.lit(0)), "menu_item_id").limit(100), "SELECT menu_item_id, CASE WHEN menu_item_id % 3 = 1 THEN menu_item_id - 1 END AS suggestion_id FROM m ORDER BY coalesce(suggestion_id, 0), menu_item_id LIMIT 100")
 add("A49_filter_values", lambda s: s.orders.select(F.explode(F.array(F.struct(F.lit("order_from").alias("field"), F.col("order_from").alias("value")), F.struct(F.lit("order_status").alias("field"), F.col("order_status").alias("value")))).alias("x")).select("x.*").distinct(), "SELECT DISTINCT 'order_from' AS field, order_from AS value FROM o UNION SELECT 'order_status', order_status FROM o")
+
+# orders of rows, months, documents ---------------------------------------------------------------
+
+add(
+    "L4_segments_in_order", lambda s: affinity_rows(s, *NOW).select("customer_id", "segment", "evaluation_orders", "evaluation_spend").limit(25),
+    f""", af AS (SELECT customer_id, name, count(*) FILTER (WHERE {inside(NOW)}) AS n, round(sum(total) FILTER (WHERE {inside(NOW)}), 2) AS spend, max(bd) FILTER (WHERE bd < DATE '{NOW[0]}') AS prior FROM vo GROUP BY 1, 2),
+sg AS (SELECT *, CASE WHEN prior IS NULL OR datediff('day', prior, DATE '{NOW[0]}') >= 365 THEN 'New' WHEN datediff('day', prior, DATE '{NOW[0]}') <= 60 THEN 'Repeat' ELSE 'Lapsed' END AS segment FROM af WHERE n > 0)
+SELECT customer_id, segment, n AS evaluation_orders, spend AS evaluation_spend FROM sg ORDER BY CASE segment WHEN 'Repeat' THEN 0 WHEN 'Lapsed' THEN 1 ELSE 2 END, n DESC, spend DESC, lower(name), customer_id LIMIT 25""",
+)
+add("L5_nulls_last", lambda s: s.contacts.select("customer_id", "phone").orderBy(F.col("phone").asc_nulls_last(), F.desc("customer_id")).limit(1000), "SELECT customer_id, phone FROM ct ORDER BY phone ASC NULLS LAST, customer_id DESC LIMIT 1000")
+add("L5_nulls_first", lambda s: s.contacts.select("customer_id", "phone").orderBy(F.col("phone").desc_nulls_first(), "customer_id").limit(1000), "SELECT customer_id, phone FROM ct ORDER BY phone DESC NULLS FIRST, customer_id LIMIT 1000")
+
+
+def _months(s: Shop) -> DataFrame:
+    day = F.col("business_date")
+    first = F.trunc(day, "month")
+    text = {"first": first, "last": F.last_day(day), "before": F.add_months(first, -1), "after": F.add_months(first, 1), "back_start": F.date_sub(day, 30), "back_end": F.date_sub(day, 1)}
+    return s.success.select("business_date").distinct().select(*[c.cast("string").alias(k) for k, c in text.items()])
+
+
+add("X5_month_bounds", _months, "SELECT CAST(date_trunc('month', bd)::DATE AS VARCHAR) AS first, CAST(last_day(bd) AS VARCHAR) AS last, CAST((date_trunc('month', bd) - INTERVAL 1 MONTH)::DATE AS VARCHAR) AS before, CAST((date_trunc('month', bd) + INTERVAL 1 MONTH)::DATE AS VARCHAR) AS after, CAST(bd - 30 AS VARCHAR) AS back_start, CAST(bd - 1 AS VARCHAR) AS back_end FROM (SELECT DISTINCT bd FROM ok)")
+add(
+    "X22_safe_documents", lambda s: s.raw("events").select("event_id", F.coalesce(F.from_json(F.when(F.col("event_id") % 4 == 0, F.lit('{"k": ')).otherwise(F.col("props")), "k int")["k"], F.lit(-1)).alias("k"), F.coalesce(F.json_array_length(F.when(F.col("event_id") % 3 == 0, F.lit("[1, 2, 3]")).otherwise(F.lit("none"))), F.lit(0)).alias("n")),
+    "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN -1 ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k, CASE WHEN event_id % 3 = 0 THEN 3 ELSE 0 END AS n FROM events",
+)
