@@ -17,7 +17,7 @@ def _in(start: str, end: str) -> Column:
 
 def window_activity(shop: Shop, start: str, end: str) -> DataFrame:
     rows = shop.verified_orders.filter(_in(start, end)).groupBy("customer_id")
-    return rows.agg(F.count(F.lit(1)).alias("num_orders"), money(F.sum("total")).alias("spend"), text_date(F.min("business_date")).alias("first_day"), text_date(F.max("business_date")).alias("last_day"), F.coalesce(F.min("name"), F.concat(F.lit("Customer "), F.first("customer_id").cast("string"))).alias("name"))
+    return rows.agg(F.count(F.lit(1)).alias("num_orders"), F.coalesce(F.sum(F.col("total").cast("decimal(18,2)")), F.lit(0)).cast("double").alias("spend"), text_date(F.min("business_date")).alias("first_day"), text_date(F.max("business_date")).alias("last_day"), F.coalesce(F.min("name"), F.concat(F.lit("Customer "), F.first("customer_id").cast("string"))).alias("name"))
 
 
 def _counts(shop: Shop, evaluation: tuple[str, str], lookback: tuple[str, str]) -> DataFrame:
@@ -25,7 +25,13 @@ def _counts(shop: Shop, evaluation: tuple[str, str], lookback: tuple[str, str])
     return rows.agg(F.count(F.when(_in(*evaluation), 1)).alias("n"), F.count(F.when(_in(*lookback), 1)).alias("before"), F.sum(F.when(_in(*evaluation), F.col("total"))).alias("spend"), F.min("name").alias("name"))
 
 
+def _repeat_threshold(min_orders: int) -> None:
+    if min_orders < 2:
+        raise ValueError("a repeat is at least two orders")
+
+
 def return_rate(shop: Shop, evaluation: tuple[str, str], lookback: tuple[str, str], min_orders: int = 2) -> DataFrame:
+    _repeat_threshold(min_orders)
     active = _counts(shop, evaluation, lookback).filter("n > 0")
     back = F.count(F.when((F.col("n") >= min_orders) | (F.col("before") > 0), 1))
     return active.agg(F.count(F.lit(1)).alias("customers"), back.alias("returning"), percent(back, F.count(F.lit(1))).alias("rate"))
@@ -38,6 +44,7 @@ def retention_rate(shop: Shop, evaluation: tuple[str, str], lookback: tuple[str,
 
 
 def repeat_rate(shop: Shop, evaluation: tuple[str, str], min_orders: int = 2) -> DataFrame:
+    _repeat_threshold(min_orders)
     active = _counts(shop, evaluation, evaluation).filter("n > 0")
     again = F.count(F.when(F.col("n") >= min_orders, 1))
     return active.agg(F.count(F.lit(1)).alias("customers"), again.alias("repeating"), percent(again, F.count(F.lit(1))).alias("rate"))
@@ -45,6 +52,7 @@ def repeat_rate(shop: Shop, evaluation: tuple[str, str], min_orders: int = 2) ->
 
 def return_analysis(shop: Shop, evaluation: tuple[str, str], lookback: tuple[str, str], min_orders: int = 2) -> DataFrame:
     """A row for each active customer with its flag and the reason of it."""
+    _repeat_threshold(min_orders)
     active = _counts(shop, evaluation, lookback).filter("n > 0")
     enough, seen = F.col("n") >= min_orders, F.col("before") > 0
     reason = F.when(enough & seen, "both").when(enough, "orders in period").when(seen, "earlier order").otherwise("none")

@@ -187,3 +187,10 @@ _DATED = "SELECT order_from, count(*) AS n, round(sum(total), 2) AS revenue FROM
 add("N4_dated_query", lambda s: incremental.dated_sql(s, _DATED, TODAY), f"SELECT order_from, count(*) AS n, round(sum(total), 2) AS revenue FROM ok WHERE bd BETWEEN DATE '{TODAY}' - 1 AND DATE '{TODAY}' GROUP BY 1")
 add("N5_chart_rows", lambda s: incremental.chart_rows(s, '{"sql": "WITH t AS (SELECT * FROM menu_view) SELECT type, avg(price) AS p, count(*) AS n FROM t GROUP BY type", "x": "type", "y": "n"}'), "SELECT type AS x, CAST(count(*) AS DOUBLE) AS y FROM m GROUP BY 1")
 add("N8_semantic_views", lambda s: incremental.read_only_sql(s, "SELECT type, sum(quantity) AS q FROM (SELECT * FROM items_view UNION ALL SELECT * FROM addons_view) x JOIN menu_view USING (menu_item_id) JOIN orders_view USING (order_id) WHERE order_status = 'Success' GROUP BY type ORDER BY q", 3), f"SELECT type, sum(quantity) AS q FROM sold JOIN m USING (menu_item_id) JOIN ok USING (order_id) WHERE {inside(('1900-01-01', '2100-01-01'))} GROUP BY 1 ORDER BY q LIMIT 3")
+add("T1_start_cursor", lambda s: incremental.start_cursor(s.raw("events").filter("event_id < 700"), "event_id", s.customers), "SELECT CAST(max(event_id) AS BIGINT) AS cursor FROM events WHERE event_id < 700")
+_APPLIED = lambda s: s.customers.select(F.col("customer_id").alias("remote_id"), (F.col("customer_id") % 50).alias("source"), (F.col("customer_id") % 7).alias("target"), F.col("customer_id").alias("seq"))
+_UNDOS = lambda s: s.customers.filter("customer_id % 5 = 0").select(F.col("customer_id").alias("undo_id"), F.when(F.col("customer_id") % 2 == 0, F.col("customer_id")).when(F.col("customer_id") % 3 == 0, F.lit(10**12)).alias("reverts_id"), (F.col("customer_id") % 50).alias("source"), (F.col("customer_id") % 7).alias("target"))
+add(
+    "T7_undone_events", lambda s: tables.undone_events(_UNDOS(s), _APPLIED(s)),
+    "SELECT customer_id AS undo_id, CASE WHEN customer_id % 2 = 0 THEN customer_id ELSE (SELECT max(customer_id) FROM c x WHERE x.customer_id % 50 = c.customer_id % 50 AND x.customer_id % 7 = c.customer_id % 7) END AS remote_id, CASE WHEN customer_id % 2 = 0 THEN 'event' ELSE 'entity' END AS way FROM c WHERE customer_id % 5 = 0",
+)

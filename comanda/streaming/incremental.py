@@ -19,6 +19,14 @@ def page(feed: DataFrame, cursor: str, after: int, size: int) -> DataFrame:
     return feed.filter(F.col(cursor) > after).orderBy(cursor).limit(min(size, 500))
 
 
+def start_cursor(loaded: DataFrame, cursor: str, customers: DataFrame) -> DataFrame:
+    """Where the next pull begins: after the greatest cursor loaded, or anew (0) while there are no
+    customers, for then an earlier load did not get through."""
+    some = customers.limit(1).agg((F.count(F.lit(1)) > 0).alias("some"))
+    last = loaded.agg(F.coalesce(F.max(cursor), F.lit(0)).alias("last"))
+    return last.join(F.broadcast(some)).select(F.when(F.col("some"), F.col("last")).otherwise(F.lit(0)).cast("long").alias("cursor"))  # a row each
+
+
 def latest(rows: DataFrame, key: list[str], version: str) -> DataFrame:
     """The row of the highest version for each key: the table after all upserts."""
     r = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(version)))

@@ -64,6 +64,16 @@ def replay_page(events: DataFrame, cursor: int, size: int) -> DataFrame:
     return marked.withColumn("next_cursor", F.when(whole, F.max("seq").over(Window.partitionBy(F.lit(1)))).otherwise(F.lit(cursor)))
 
 
+def undone_events(undos: DataFrame, applied: DataFrame) -> DataFrame:
+    """undo_id, remote_id and way: the applied event that each undo means, by the event id that it
+    reverts, else the last event of its source and target."""
+    events = applied.select("remote_id", "source", "target", "seq")
+    by_id = undos.join(events.select(F.col("remote_id").alias("reverts_id"), "remote_id"), "reverts_id").select("undo_id", "remote_id", F.lit("event").alias("way"))
+    rest = undos.join(by_id.select("undo_id"), "undo_id", "left_anti")
+    last = events.groupBy("source", "target").agg(F.max_by("remote_id", "seq").alias("remote_id"))
+    return by_id.unionByName(rest.join(last, ["source", "target"]).select("undo_id", "remote_id", F.lit("entity").alias("way")))
+
+
 def to_emit(history: DataFrame) -> DataFrame:
     """Local changes to tell others; what came from the cloud is not told back."""
     return history.filter(F.col("origin") != "cloud")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from comanda.functions import scalars
-from comanda.operators import catalogue, demand, entities, loyalty, panel, people
+from comanda.operators import catalogue, customers, demand, entities, loyalty, panel, people
 from comanda.plans import things
 from comanda.plans.base import NOW
 from comanda.sources import files, payloads
@@ -36,6 +36,13 @@ def test_trends_refuse_months(spark):
             loyalty.repeat_trend(Shop(spark, FOLDER), "1998-03-15", months)
 
 
+def test_rates_refuse_thresholds_that_tell_no_repeat(spark):
+    shop = Shop(spark, FOLDER)
+    for call in (lambda: customers.return_rate(shop, NOW, NOW, 1), lambda: customers.repeat_rate(shop, NOW, 1), lambda: customers.return_analysis(shop, NOW, NOW, 1)):
+        with pytest.raises(ValueError):
+            call()
+
+
 def test_open_lookback_makes_everybody_returning(spark):
     shop = Shop(spark, FOLDER)
     row = loyalty.return_summary(shop, loyalty.Filters(*NOW)).first()
@@ -247,3 +254,10 @@ def test_feed_is_read_by_cursor(spark, tmp_path):
     got = sorted(r["stream_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     server.shutdown()
     assert got == list(range(1, 1201))
+
+
+def test_pull_begins_anew_without_customers(spark):
+    loaded, some = spark.range(5).select(F.col("id").alias("k")), spark.range(1)
+    assert incremental.start_cursor(loaded, "k", some).first()[0] == 4
+    assert incremental.start_cursor(loaded, "k", some.limit(0)).first()[0] == 0
+    assert incremental.start_cursor(loaded.limit(0), "k", some).first()[0] == 0
