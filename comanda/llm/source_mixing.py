@@ -33,8 +33,8 @@ MOST_TIMES = 2
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Slots aimed at while blocks are shorter than MAX_BLOCK words.
 AIM_SLOTS, MAX_BLOCK = 1 << 20, 1024
-#: Slots whose documents lie together in the mix.
-SLOTS_A_STRETCH = 1 << 14
+#: Words of neighbouring slots whose documents lie together in the mix, sorted by slot.
+WORDS_A_STRETCH = 1 << 20
 CELLS = 4096
 
 
@@ -144,7 +144,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=TOTAL_SHARE, most=MOST_TIMES, se
     """(documents with size, target and offset; the mix's pieces).
 
     Pieces: slot, source_id, k, offset, pass (times the source was used up before), first_word,
-    n_words. A document's pieces carry its source_id and offset.
+    n_words and stretch (which WORDS_A_STRETCH words of the mix the slot is in). A document's pieces
+    carry its source_id and offset.
     """
     sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     sources = written(targets(sized, weights, share, most), "mix-sources")
@@ -164,23 +165,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=TOTAL_SHARE, most=MOST_TIMES, se
     first = F.greatest(F.col("k") * block, F.col("a"))
     pieces = pieces.withColumn("first_word", first - F.col("a")).withColumn("n_words", F.least((F.col("k") + 1) * block, F.col("b")) - first)
     taken = whole_slots(sources, n_slots, block).join(pieces.drop("a", "b").hint("merge"), ["source_id", "k"])
-    return laid, taken
+    return laid, taken.withColumn("stretch", F.floor(F.col("slot") * block / WORDS_A_STRETCH))
 
 
 def runs_of_words(pieces: DataFrame) -> DataFrame:
-    """The pieces of one document and pass in one row: source_id, offset, pass, first_slot, first_word, n_words.
+    """The pieces of one document and pass in one row: source_id, offset, pass, first_slot, stretch, first_word, n_words.
 
     Blocks lie end to end, so the words that they take from a document in one pass are one run.
     """
     per_pass = pieces.groupBy("source_id", "offset", "pass")
-    return per_pass.agg(F.min("slot").alias("first_slot"), F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"))
+    return per_pass.agg(F.min("slot").alias("first_slot"), F.min("stretch").alias("stretch"), F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"))
 
 
 def taken_words(docs: DataFrame, **how) -> DataFrame:
     """Per document row: doc_id, source, size, source_size, target, source_id, offset, taken and
-    runs (first_slot, first_word and n_words of each pass)."""
+    runs (first_slot, stretch, first_word and n_words of each pass)."""
     laid, pieces = mix(docs, **how)
-    run = F.struct("pass", "first_slot", "first_word", "n_words")
+    run = F.struct("pass", "first_slot", "stretch", "first_word", "n_words")
     per_doc = runs_of_words(pieces).groupBy("source_id", "offset").agg(F.sum("n_words").alias("taken"), F.sort_array(F.collect_list(run)).alias("runs"))  # a run a pass
     full = laid.filter("size > 0").join(per_doc.hint("merge"), ["source_id", "offset"], "left")
     empty = laid.filter("size = 0")
@@ -196,7 +197,8 @@ def words_between(text: Column, first: Column, n: Column) -> Column:
 
 
 def scheduled(docs: DataFrame, **how) -> DataFrame:
-    """The mix as documents in no order: the columns of ``docs`` and ``_slot``, the first slot of each run.
+    """The mix as documents in no order: the columns of ``docs``, and ``_slot`` and ``_stretch``, the
+    first of each run.
 
     A run of a whole document keeps the text as it is; ``n_chars`` follows a shortened text.
     """
@@ -214,12 +216,12 @@ def scheduled(docs: DataFrame, **how) -> DataFrame:
     out = out.withColumn("_whole", F.col("_run.n_words") == F.col("_size")).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_whole"), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*[out[c] for c in docs.columns], F.col("_run.first_slot").alias("_slot"))
+    return out.select(*[out[c] for c in docs.columns], F.col("_run.first_slot").alias("_slot"), F.col("_run.stretch").alias("_stretch"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix as documents with the columns of ``docs``, sorted by slot in stretches of SLOTS_A_STRETCH slots."""
+    """The mix as documents with the columns of ``docs``, sorted by slot within stretches of WORDS_A_STRETCH words, which are as many as the mix is large."""
     docs, restored = set_aside(docs, ("doc_id", "text", "source", "n_chars"))
     rows = scheduled(docs, **how)
-    rows = rows.repartition(F.floor(F.col("_slot") / SLOTS_A_STRETCH)).sortWithinPartitions("_slot", "doc_id")
+    rows = rows.repartition("_stretch").sortWithinPartitions("_slot", "doc_id")
     return restored(rows)
