@@ -83,10 +83,40 @@ n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id, t), first_value(
 SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 4) || substr(after, 1, length(t) // 4)) AS edited_sha256 FROM n
 """
 
+COPIES = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d
+"""
+
+
+def _round(k: int) -> str:
+    """Clusters of all vectors by the k-th centroids, and the centroids after them."""
+    return f"""
+far{k} AS (SELECT r, c, list_sum(list_transform(list_zip(q.q, c{k}.m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM q, c{k}),
+a{k} AS (SELECT r, arg_min(c, d * 16 + c) AS c, min(d) AS d FROM far{k} GROUP BY r),
+s{k} AS (SELECT c, i, sum(v) AS s, count(*) AS n FROM (SELECT c, unnest(q) AS v, unnest(range(1, 65)) AS i FROM a{k} JOIN q USING (r)) GROUP BY c, i),
+m{k} AS (SELECT c, list(CAST((s - (s % n + n) % n) / n AS BIGINT) ORDER BY i) AS m FROM s{k} GROUP BY c),
+c{k + 1} AS (SELECT c{k}.c, coalesce(m{k}.m, c{k}.m) AS m FROM c{k} LEFT JOIN m{k} USING (c))"""
+
+
+# every vector against every centroid, in each round
+CLUSTERS = f"""
+WITH kept AS (SELECT vec_id, embedding AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+q AS (SELECT row_number() OVER () AS r, vec_id, list_transform(x, lambda v: CAST(floor(64 * CAST(v AS DOUBLE)) AS BIGINT)) AS q FROM kept),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, q AS m FROM q ORDER BY sha256('1:' || vec_id) LIMIT 16),
+{",".join(map(_round, range(4)))}
+SELECT q.vec_id, CAST(a3.c AS INTEGER) AS cluster, CAST(a3.d AS BIGINT) AS distance, CAST(sum(a3.d) OVER (PARTITION BY a3.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a3.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.m, ',')) AS centroid_sha256
+FROM a3 JOIN q USING (r) JOIN c3 ON c3.c = a3.c
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_join": NEAR_DUPLICATES,
     "op5_suffix_dedup": REPEATS,
     "op9_url_filters": URLS,
+    "op11_exact_dedup": COPIES,
+    "op13_ball_kmeans": CLUSTERS,
     "mixing_targets": TARGETS,
     "fingerprint_edits": EDITED,
 }

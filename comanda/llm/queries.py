@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comanda.llm import decontamination, fingerprints, ngram_join, quality, source_mixing, suffix_dedup, surrogates, token_binary, toxicity, url_filters
+from comanda.llm import ball_kmeans, decontamination, exact_dedup, fingerprints, ngram_join, quality, source_mixing, suffix_dedup, surrogates, token_alignment, token_binary, toxicity, url_filters
 from comanda.llm.common import table
 from comanda.llm.oracle import ORACLE_SQL  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 N_VOCAB, END_ID = 49_408, 1
+ALIGNED = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Of the registered query alone; the operator has no key of its own.
 DEMONSTRATION_KEY = "demonstration"
 
@@ -64,6 +65,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.judged(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), *ALIGNED)
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.judged(table(spark, sf_dir, "embeddings"))
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, source_size and target of every source of op4_source_mixing."""
     docs = table(spark, sf_dir, "documents")
@@ -87,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_url_filters": op9_url_filters,
     "op10_decontamination": op10_decontamination,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_ball_kmeans": op13_ball_kmeans,
     "mixing_targets": mixing_targets,
     "fingerprint_edits": fingerprint_edits,
 }

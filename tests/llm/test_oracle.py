@@ -20,7 +20,7 @@ def plain(rows, columns):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_oracle(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         duck.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     want = duck.execute(ORACLE_SQL[name])
     columns = [d[0] for d in want.description]
