@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+FILE_ORDER = ("_file_part", "_file_row")
+
+
+def in_file_order(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """``docs`` with columns that tell the place of each row in the files that they are read from, and
+    these columns' names: number of the part and row in it. None for docs that are not read from files."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
+    try:
+        placed = docs.withColumns({FILE_ORDER[0]: F.concat(F.lpad(part, 9, "0"), F.col("_metadata.file_name")), FILE_ORDER[1]: F.col("_metadata.row_index")})
+        placed.schema  # noqa: B018  resolves the columns
+    except AnalysisException:
+        return docs, ()
+    return placed, FILE_ORDER
+
+
 class Hashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 

@@ -2,8 +2,8 @@
 
 Entities (e-mail addresses, phone and card numbers, account numbers, IP addresses, secrets, names
 after a title or a phrase that introduces one) are found by one pattern. An entity has one or two
-parts: an address its local part and its domain, a name its given and its family name. Each distinct
-part, in normal form, gets one surrogate from a keyed hash, in all documents, spellings and titles,
+parts: an address its local part and its domain, a name its given and its family names, each half of
+a hyphenated name for itself. Each distinct part, in normal form, gets one surrogate from a keyed hash, in all documents, spellings and titles,
 so "Frau Erika Muster", "Dr Muster" and "Erika Muster" stay one person and colleagues stay at one
 domain. Characters keep their class (letter case, digit, punctuation), IP parts stay valid, card
 numbers keep their first digit and get a valid check digit where they had one; names are made of
@@ -12,7 +12,11 @@ Domains that many people share stay. Parts that would share a surrogate, or take
 holds as such a part, draw again with the next counter until all are distinct.
 
 In a document with a found name, the same given and family names are replaced wherever else they
-stand as words. Names that no title or phrase introduces anywhere in the document are out of reach.
+stand as capitalised words, also in capitals throughout: in a run of capitalised words all but the
+last are taken for given names first, the last and lone words for family names first. A word that
+the text also has in lower case is replaced only beside another found name. A place or month of the
+same spelling and case can't be told from the person and is replaced too. Names that no title or
+phrase introduces anywhere in the document are out of reach.
 
 Only documents with entities are shuffled. Defined cases: null text stays null; texts without
 entities stay as they are; repeated rows are replaced alike; empty tables work; other columns pass
@@ -30,6 +34,11 @@ from pyspark.sql import functions as F
 from comanda.llm.common import set_aside
 from comanda.session import written
 
+#: A word of a name: no apostrophe but before a further capital, so "O'Brien" and "Smith's" end right.
+WORD = r"\p{Lu}(?:[\p{L}\p{M}]+(?:['’]\p{Lu}[\p{L}\p{M}]+)*|['’]\p{Lu}[\p{L}\p{M}]+)"
+#: Particles that stand between given and family names, and stay.
+PARTICLES = r"(?:(?:von|van|der|den|de|del|della|di|da|dos|du|la|le|zu|zum|zur|af)[ ])"
+NAME = rf"{WORD}(?:-{WORD})*+(?:[ ]{PARTICLES}{{0,3}}{WORD}(?:-{WORD})*+)?"
 #: Patterns by type, in order of preference.
 PATTERNS = {
     "email": r"(?:(?<![\p{L}\p{N}._%+-])|\G)[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
@@ -39,16 +48,19 @@ PATTERNS = {
     "card": r"(?<![\d\p{L}])\d(?:[ -]?\d){12,18}(?![\d\p{L}])",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}\b|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}\b|\b\d{3}[.-]\d{3,4}[.-]\d{4}\b",
     "social": r"\b\d{3}-\d{2}-\d{4}\b",
-    "name": r"(?<![\p{L}\p{N}])(?:(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Señora?|Sra?|господин|госпожа|г-н|г-жа)\.?|[Mm]y name is|[Mm]ein Name ist|[Jj]e m'appelle|[Mm]e llamo|[Мм]еня зовут)[ ]\p{Lu}\p{L}+(?:[ ]\p{Lu}\p{L}+)?",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:Mrs?|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Señora?|Sra?|[Гг]осподин|[Гг]оспожа|[Гг]-н|[Гг]-жа)\.?[ ])++|(?:[Mm]y name is|[Mm]ein Name ist|[Jj]e m'appelle|[Mm]e llamo|[Мм]еня зовут)[ ]){NAME}",
 }
 #: Titles by gender, syllables by script, endings of given names, domains of many people.
-MALE, FEMALE = ("Mr", "Herr", "Señor", "Sr", "господин", "г-н"), ("Mrs", "Ms", "Miss", "Frau", "Mme", "Señora", "Sra", "госпожа", "г-жа")
+MALE, FEMALE = r"(?iu)^(?:.*[ ])?(?:Mr|Herrn?|Señor|Sr|господин|г-н)\.?[ ]", r"(?iu)^(?:.*[ ])?(?:Mrs|Ms|Miss|Frau|Mme|Señora|Sra|госпожа|г-жа)\.?[ ]"
 SYLLABLES = {
     "latin": ("ba", "be", "bri", "ca", "cor", "da", "del", "do", "fa", "fe", "gal", "go", "ha", "hel", "ja", "jo", "ka", "kel", "la", "li", "lo", "ma", "mel", "mo", "na", "nor", "pa", "per", "ra", "ro", "sa", "sel", "ta", "tor", "va", "vel", "wa", "wen", "za", "zo"),
     "cyrillic": ("ба", "бе", "ва", "ве", "га", "го", "да", "де", "за", "зо", "ка", "ко", "ла", "ли", "ма", "ми", "на", "не", "па", "по", "ра", "ро", "са", "се", "та", "те", "фа", "фе"),
 }
 ENDINGS = {("male", "latin"): "n", ("female", "latin"): "ra", ("any", "latin"): "li", ("male", "cyrillic"): "н", ("female", "cyrillic"): "на", ("any", "cyrillic"): "ли"}
 SHARED_DOMAINS = ("gmail.com", "googlemail.com", "yahoo.com", "hotmail.com", "outlook.com", "icloud.com", "gmx.de", "web.de", "mail.ru", "example.com", "example.org", "example.net")
+#: Pieces of text between entities: runs of capitalised words, other words, and what is no word.
+UPPER_WORD = r"\p{Lu}[\p{L}\p{M}]*(?:['’]\p{Lu}[\p{L}\p{M}]+)*(?![\p{L}\p{M}\p{N}])"
+RUN = rf"{UPPER_WORD}(?:[ -]{UPPER_WORD})*|[\p{{L}}\p{{M}}\p{{N}}]+|[^\p{{L}}\p{{M}}\p{{N}}]+"
 #: Inside a word no pattern begins (but for digits and signs), so most places are passed over at once.
 ANY = r"(?:(?<![\p{L}\p{N}])|\G|(?=[(+\d]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: Draws before the surrogates of a kind are taken to have run out.
@@ -66,28 +78,36 @@ def type_of(entity: Column) -> Column:
 def prefix_of(entity: Column, kind: Column) -> Column:
     """What stays in front: the word before a secret, the title or phrase before a name."""
     secret = F.regexp_extract(entity, r"^(\w+(?:[_-]\w+)?\s*[=:]\s*[\"']?)", 1)
-    title = F.regexp_extract(entity, r"^(.*?[ ])\p{Lu}\p{L}+(?:[ ]\p{Lu}\p{L}+)?$", 1)
+    title = F.regexp_extract(entity, rf"^((?:\S+\.?[ ])*?(?:(?:Mrs?|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Señora?|Sra?|[Гг]осподин|[Гг]оспожа|[Гг]-н|[Гг]-жа)\.?[ ])*+){NAME}$", 1)
     return F.when(kind == "secret", secret).when(kind == "name", title).otherwise("")
 
 
 def normal_form(value: Column, kind: Column) -> Column:
-    """Spellings of one entity are equal: case of addresses and names, punctuation of numbers."""
+    """Spellings of one entity are equal: case of addresses, punctuation of numbers."""
     digits = F.regexp_replace(value, r"\D", "")
-    return F.when(kind.isin("email", "name"), F.lower(value)).when(kind.isin("phone", "card", "social"), digits).when(kind == "account", F.regexp_replace(value, " ", "")).otherwise(value)
+    return F.when(kind == "email", F.lower(value)).when(kind.isin("phone", "card", "social"), digits).when(kind == "account", F.regexp_replace(value, " ", "")).otherwise(value)
+
+
+def name_form(word: Column) -> Column:
+    """A name's word without case and with one kind of apostrophe."""
+    return F.lower(F.translate(word, "’", "'"))
 
 
 def parts_of(surface: Column, kind: Column, gender: Column) -> Column:
-    """array<struct<kind, norm, surface, gender>>: the parts that get a surrogate each."""
+    """array<struct<kind, norm, surface, gender, after>>: the parts that get a surrogate each, and
+    what stands behind each."""
 
-    def part(k: Column, norm: Column, of: Column) -> Column:
-        return F.struct(k.alias("kind"), norm.alias("norm"), of.alias("surface"), gender.alias("gender"))
+    def part(k: Column, norm: Column, of: Column, after: Column) -> Column:
+        return F.struct(k.alias("kind"), norm.alias("norm"), of.alias("surface"), gender.alias("gender"), after.alias("after"))
 
     local, domain = F.substring_index(surface, "@", 1), F.substring_index(surface, "@", -1)
-    given, family = F.substring_index(surface, " ", 1), F.substring_index(surface, " ", -1)
-    email = F.array(part(F.lit("email"), F.lower(surface), local), part(F.lit("domain"), F.lower(domain), domain))
-    names = F.array(part(F.lit("given"), F.lower(given), given), part(F.lit("family"), F.lower(family), family))
-    one = F.array(part(F.when(kind == "name", "family").otherwise(kind), normal_form(surface, kind), surface))
-    return F.when(kind == "email", email).when((kind == "name") & (F.instr(surface, " ") > 0), names).otherwise(one)
+    email = F.array(part(F.lit("email"), F.lower(surface), local, F.lit("@")), part(F.lit("domain"), F.lower(domain), domain, F.lit("")))
+    words = lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0))
+    gaps = F.split(surface, WORD, -1)
+    n_given = F.when(F.instr(surface, " ") > 0, F.size(words(F.substring_index(surface, " ", 1)))).otherwise(0)
+    names = F.transform(words(surface), lambda w, i: part(F.when(i < n_given, "given").otherwise("family"), name_form(w), w, F.get(gaps, i + 1)))
+    one = F.array(part(kind, normal_form(surface, kind), surface, F.lit("")))
+    return F.when(kind == "email", email).when(kind == "name", names).otherwise(one)
 
 
 def _drawn(seed: Column, i: Column, below: int) -> Column:
@@ -154,8 +174,7 @@ def rendered(drawn: Column, surface: Column, kind: Column) -> Column:
 
 
 def gender_of(prefix: Column) -> Column:
-    title = F.regexp_extract(prefix, r"^([\p{L}-]+)", 1)
-    return F.when(title.isin(*MALE), "male").when(title.isin(*FEMALE), "female").otherwise("any")
+    return F.when(prefix.rlike(MALE), "male").when(prefix.rlike(FEMALE), "female").otherwise("any")
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -190,10 +209,29 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     return restored(_replaced(rows, key))
 
 
-def _without_names(gap: Column, names: Column) -> Column:
-    """``gap`` with the words that ``names`` (map of word to surrogate) holds replaced, in one pass."""
-    words = F.regexp_extract_all(gap, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(names, w), w)), "")
+def _without_names(gap: Column, names: Column, common: Column) -> Column:
+    """``gap`` with the words replaced that ``names`` (map of kind:norm to surrogate) holds, in one
+    pass. Words of ``common`` (array of norms) are replaced only beside another name."""
+    runs = F.regexp_extract_all(gap, F.lit(RUN), F.lit(0))
+
+    def drawn(word: Column, last: Column) -> Column:
+        given, family = (F.try_element_at(names, F.concat(F.lit(f"{k}:"), name_form(word))) for k in ("given", "family"))
+        return F.when(last, F.coalesce(family, given)).otherwise(F.coalesce(given, family))
+
+    def told(run: Column) -> Column:
+        words = F.split(run, "[ -]")
+        signs = F.split(run, "[^ -]+", -1)
+        found = F.transform(words, lambda w, i: drawn(w, i == F.size(words) - 1))
+        several = F.size(F.filter(found, lambda x: x.isNotNull())) > 1
+
+        def one(w: Column, x: Column) -> Column:
+            cased = F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(x)).otherwise(F.initcap(x))
+            return F.when(x.isNotNull() & (several | ~F.array_contains(common, name_form(w))), cased).otherwise(w)
+
+        put = F.zip_with(words, found, one)
+        return F.concat(put[0], F.array_join(F.transform(F.slice(put, 2, F.size(put)), lambda w, i: F.concat(F.get(signs, i + 1), w)), ""))
+
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(rf"^{UPPER_WORD}"), told(r)).otherwise(r)), "")
 
 
 def _replaced(docs: DataFrame, key: str) -> DataFrame:
@@ -209,11 +247,10 @@ def _replaced(docs: DataFrame, key: str) -> DataFrame:
     found = written(found.select("entity", "prefix", F.posexplode(parts).alias("at", "part")).select("entity", "prefix", "at", "part.*"), "found")
     drawn = surrogates(found.select("kind", "gender", "norm"), key)
     put = rendered(F.col("drawn"), F.col("surface"), F.col("kind"))
-    each = found.join(drawn, ["kind", "norm"]).select("entity", "prefix", F.struct("at", "kind", "surface", put.alias("put")).alias("p"))
-    by_entity = each.groupBy("entity", "prefix").agg(F.array_sort(F.collect_list("p")).alias("ps"))  # two parts at most
-    gap = F.when(F.col("ps")[0]["kind"] == "email", "@").otherwise(" ")
-    whole = F.concat("prefix", F.when(F.size("ps") == 1, F.col("ps")[0]["put"]).otherwise(F.concat(F.col("ps")[0]["put"], gap, F.col("ps")[1]["put"])))
-    names = F.transform(F.filter("ps", lambda p: p["kind"].isin("given", "family")), lambda p: F.struct(p["surface"], p["put"]))
+    each = found.join(drawn, ["kind", "norm"]).select("entity", "prefix", F.struct("at", "kind", "norm", "drawn", "after", put.alias("put")).alias("p"))
+    by_entity = each.groupBy("entity", "prefix").agg(F.array_sort(F.collect_list("p")).alias("ps"))  # the few parts of one entity
+    whole = F.concat("prefix", F.array_join(F.transform("ps", lambda p: F.concat(p["put"], p["after"])), ""))
+    names = F.transform(F.filter("ps", lambda p: p["kind"].isin("given", "family")), lambda p: F.struct(F.concat_ws(":", p["kind"], p["norm"]).alias("key"), p["drawn"].alias("value")))
     table = written(by_entity.select("entity", whole.alias("put"), names.alias("names")), "replacements")
     # a match's place leads to its surrogate, so long texts need no look-up in a map
     places = hit.select("doc_id", "_hash", F.posexplode("_matches").alias("_at", "entity"))
@@ -221,7 +258,11 @@ def _replaced(docs: DataFrame, key: str) -> DataFrame:
     per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "_put", F.map_from_entries("_names").alias("_names"))
     joined = hit.join(per_doc, hit["doc_id"].eqNullSafe(per_doc["_id"]) & (hit["_hash"] == per_doc["_h"]))
     gaps = F.split("text", ANY, -1)
-    gaps = F.when(F.size("_names") > 0, F.transform(gaps, lambda g: _without_names(g, F.col("_names")))).otherwise(gaps)
+    # a kind and normal form has one surrogate, so no key of the map stands twice
+    forms = F.transform(F.map_keys("_names"), lambda k: F.substring_index(k, ":", -1))
+    lower = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{M}\p{N}])\p{Ll}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*"), F.lit(0))
+    joined = joined.withColumn("_common", F.when(F.size("_names") > 0, F.array_intersect(forms, F.transform(lower, name_form))))
+    gaps = F.when(F.size("_names") > 0, F.transform(gaps, lambda g: _without_names(g, F.col("_names"), F.col("_common")))).otherwise(gaps)
     # zip_with takes the gaps once a row; a look-up in a lambda would split the text at every match
     joined = joined.withColumn("_gaps", gaps)
     text = F.concat(F.col("_gaps")[0], F.array_join(F.zip_with("_put", F.slice("_gaps", 2, F.size("_matches")), lambda p, gap: F.concat(p["put"], gap)), ""))

@@ -6,7 +6,7 @@ so any token range is read and unpacked with numpy without the rest of the file.
 
     magic | blocks | doc_ids int64 | nulls uint8 | lengths int64 | block offsets int64 | trailer
 
-Shards follow ascending doc_id. A task names its file after its attempt and reports it in the
+Shards follow ascending doc_id, or the columns that the caller names. A task names its file after its attempt and reports it in the
 manifest, so lost or repeated attempts leave unread files and nothing else.
 
 Defined cases: null text is empty and gives the end id alone; null doc_ids come first; equal
@@ -186,9 +186,9 @@ class ShardReader:
 MANIFEST = "shard long, uri string, n_docs long, n_tokens long"
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, n_vocab: int, end_id: int, folder: str | None = None) -> DataFrame:
-    """Encodes ``docs(doc_id, text)`` in ascending doc_id; returns the manifest, one row a shard,
-    with ``start``: ids in all shards before it."""
+def write_shards(docs: DataFrame, tokenizer_path: str, n_vocab: int, end_id: int, folder: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """Encodes ``docs(doc_id, text)`` by the columns ``order``, then in ascending doc_id; returns the
+    manifest, one row a shard, with ``start``: ids in all shards before it."""
     folder = folder or f"{shared_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     width, end = width_of(n_vocab), np.array([end_id], "<u4").tobytes()
 
@@ -211,7 +211,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, n_vocab: int, end_id: int
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [part], "uri": [uri], "n_docs": [len(writer.ids)], "n_tokens": [sum(writer.lengths)]})
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    first = [docs[c].alias(f"_order{k}") for k, c in enumerate(order)]
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), *first)
+    by = rows.columns[2:] or ["doc_id"]
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*rows.columns[2:], "doc_id", "text").select("doc_id", "text")
     manifest = written(ordered.mapInArrow(shard, MANIFEST), "token-manifest")
     before = Window.partitionBy(F.lit(1)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))

@@ -106,7 +106,7 @@ def with_listed(rows: DataFrame, listed: DataFrame) -> DataFrame:
     asked = rows.withColumn("_block", _block(F.col("canonical"), n_blocks)).join(bloom, F.col("_block") == F.col("_listed_block"), "left")
     asked = asked.withColumn("_possible", F.coalesce(hit, F.lit(False))).select(*rows.columns, "_possible")
     never = asked.filter("not _possible").withColumn("listed", F.lit(False))
-    maybe = asked.filter("_possible").withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    maybe = asked.filter("_possible").withColumn("_salt", F.pmod(F.xxhash64("page_id", "canonical"), F.lit(SALTS)).cast("int"))
     salted = keys.select(F.col("canonical").alias("_key"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_key_salt"))
     # a merge join: salted keys are many and must not be taken for small
     found = maybe.join(salted.hint("merge"), (F.col("canonical") == F.col("_key")) & (F.col("_salt") == F.col("_key_salt")), "left").withColumn("listed", F.col("_key").isNotNull())

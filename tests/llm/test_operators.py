@@ -361,6 +361,76 @@ def test_surrogates_keep_persons_together(spark):
     assert re.search(r"госпожа [А-Я][а-я]+на [А-Я][а-я]+$", new)
 
 
+NAMED = [
+    "Mr. Thomas Miller met Mr. John Thomas.",
+    "Mr. James wrote. Mr. James Miller answered.",
+    "Mr. Peter Smith came. SMITH left, Smith's hat stayed, blacksmith and Smithers too.",
+    "Herr Müller-Lüdenscheidt und Frau Anna Müller-Lüdenscheidt. Müller allein, Anna Lüdenscheidt.",
+    "Mr O'Brien and Mr. D’Angelo saw O'Brien, O’BRIEN and D'Angelo.",
+    "Г-жа Иванова и г-н Пётр Иванов. Иванова ушла.",
+    "Herr Dr. Otto von Bismarck, Prof. Dr. Weber. Otto Weber, von Bismarck.",
+    "Mr May spoke. In May I may go. Peter May did not, as Mr Peter Stone said.",
+    "Dr. Rose Rose sold a rose to Rose. Rose Rose left.",
+    "no name at all, Thomas Miller",
+    None,
+]
+
+
+def plain_replacement(text, drawn):
+    """The documented rules, word by word, with given surrogates."""
+    import regex
+
+    name = surrogates.NAME
+    title = surrogates.PATTERNS["name"].removesuffix(name)
+    found, names = list(regex.finditer(f"({title})({name})", text)), {}
+    form = lambda w: w.replace("’", "'").lower()
+    cased = lambda w, x: x.upper() if len(w) > 1 and w == w.upper() else x[0].upper() + x[1:]
+
+    def entity(m):
+        n_given = len(regex.findall(surrogates.WORD, m[2].split(" ")[0])) if " " in m[2] else 0
+        k = iter(range(99))
+
+        def one(w):
+            key = ("given" if next(k) < n_given else "family", form(w[0]))
+            names[key] = drawn[key]
+            return cased(w[0], drawn[key])
+
+        return m[1] + regex.sub(surrogates.WORD, one, m[2])
+
+    put = [entity(m) for m in found]
+    common = {form(w) for w in regex.findall(r"(?<![\p{L}\p{M}\p{N}])\p{Ll}[\p{L}\p{M}]*", text)}
+
+    def run(m):
+        words = regex.split("([ -])", m[0])
+        value = lambda k: next((names[x, form(words[k])] for x in (("family", "given") if k == len(words) - 1 else ("given", "family")) if (x, form(words[k])) in names), None)
+        several = sum(value(k) is not None for k in range(0, len(words), 2)) > 1
+        return "".join(w if k % 2 or value(k) is None or not several and form(w) in common else cased(w, value(k)) for k, w in enumerate(words))
+
+    gaps = [text[a:b] for a, b in zip([0, *[m.end() for m in found]], [*[m.start() for m in found], len(text)], strict=True)]
+    upper = r"(?<![\p{L}\p{M}\p{N}])" + surrogates.UPPER_WORD
+    gaps = [regex.sub(f"{upper}(?:[ -]{surrogates.UPPER_WORD})*", run, g) for g in gaps]
+    return gaps[0] + "".join(p + g for p, g in zip(put, gaps[1:], strict=True))
+
+
+def test_names_equal_a_plain_replacement(spark, monkeypatch):
+    made = {}
+    keep = surrogates.surrogates
+    monkeypatch.setattr(surrogates, "surrogates", lambda *a: made.setdefault("drawn", keep(*a)))
+    rows = spark.createDataFrame(list(enumerate(NAMED)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymised(rows, "k").collect()}
+    drawn = {(r["kind"], r["norm"]): r["drawn"] for r in made["drawn"].collect()}
+    for k, text in enumerate(NAMED):
+        assert got[k] == (text and plain_replacement(text, drawn)), text
+    told = lambda kind, norm: drawn[kind, norm][0].upper() + drawn[kind, norm][1:]
+    assert got[0] == f"Mr. {told('given', 'thomas')} {told('family', 'miller')} met Mr. {told('given', 'john')} {told('family', 'thomas')}."
+    assert drawn["family", "smith"].upper() in got[2] and f"{told('family', 'smith')}'s hat" in got[2] and "blacksmith and Smithers" in got[2]
+    assert not any(x in got[3] for x in ("Müller", "Lüdenscheidt", "Anna"))
+    assert not any(x in got[4].replace("’", "'") for x in ("Brien", "BRIEN", "Angelo"))
+    assert "Иванов" not in got[5] and got[6].startswith(f"Herr Dr. {told('given', 'otto')} von {told('family', 'bismarck')}, Prof. Dr. {told('family', 'weber')}. ")
+    assert "In May I may go." in got[7] and f"{told('given', 'peter')} {told('family', 'may')} did not" in got[7]
+    assert got[9] == NAMED[9]
+
+
 def test_surrogates_of_long_texts_and_ties(spark):
     many = " ".join(f"mail user{k}@host{k % 50}.org, call +1 (555) 010-{k:04d};" for k in range(3000))
     rows = spark.createDataFrame([(1, many), (1, many), (None, "x@y.org"), (None, "x@y.org")], "doc_id long, text string")
@@ -373,10 +443,11 @@ def test_surrogates_of_long_texts_and_ties(spark):
     assert len(phones) == len(set(phones)) == 3000
 
 
-def test_surrogates_stay_distinct(spark):
+def test_surrogates_stay_distinct(spark, monkeypatch):
     many = spark.createDataFrame([("email", "any", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"] + [("family", "any", f"name{k}x") for k in range(3000)], "kind string, gender string, norm string")
     got = [(r["kind"], r["drawn"]) for r in surrogates.surrogates(many, "k").collect()]
     assert len(got) == len(set(got)) == 3026
+    monkeypatch.setattr(surrogates, "DRAWS", 6)
     few = spark.createDataFrame([("phone", "any", f"1{k}") for k in range(10)], "kind string, gender string, norm string")
     with pytest.raises(RuntimeError):
         surrogates.surrogates(few, "k")

@@ -91,6 +91,14 @@ def test_stages_equal_brute_force(spark, folder):
     want = sorted((repr(r["doc_id"]), zlib.crc32(np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, END_ID], "<u4").tobytes())) for r in mix.collect())
     assert sorted((repr(r["doc_id"]), r["ids_crc32"]) for r in out) == want
 
+    # the token files follow the slots of the mix, where sources alternate as their weights tell
+    order = [r["doc_id"] for r in sorted(out, key=lambda r: r["start"])]
+    slots = source_mixing.scheduled(pure.select("doc_id", "text", "source", "n_chars")).orderBy("_slot", "doc_id").select("doc_id", "source", "_stretch").collect()
+    assert {r["_stretch"] for r in slots} == {slots[0]["_stretch"]}
+    assert order == [r["doc_id"] for r in slots] and order != sorted(order, key=lambda x: (x is not None, x))
+    sources = [r["source"] for r in slots]
+    assert sum(a != b for a, b in zip(sources, sources[1:], strict=False)) > len(sources) / 2
+
 
 def test_run_on_the_folder_and_on_empty_tables(spark, folder, tmp_path):
     path, _, _ = folder
