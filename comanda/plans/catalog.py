@@ -122,4 +122,4 @@ add("S10_latest_by_key", lambda s: incremental.latest(s.raw("events").select("us
 add("T1_incremental_pull", lambda s: incremental.page(s.raw("events").select("event_id", "user_id", "event_type"), "event_id", 5000, 500), "SELECT event_id, user_id, event_type FROM events WHERE event_id > 5000 ORDER BY event_id LIMIT 500")
 add("N1_read_only_sql", lambda s: incremental.read_only_sql(s, "SELECT order_from, count(*) AS n FROM orders_view WHERE order_status = 'Success' GROUP BY order_from"), "SELECT order_from, count(*) AS n FROM ok GROUP BY 1")
 
-from comanda.plans import data, forecast, loyalty, things  # noqa: E402, F401  registers its queries
+from comanda.plans import data, forecast, loyalty, names, things  # noqa: E402, F401  registers its queries
