@@ -164,20 +164,35 @@ def _demand(s: Shop):
     return rows, demand.trained(rows)
 
 
-def _metrics(s: Shop):
+def _backtest(s: Shop, days: int = 30):
+    """The last days, in sample."""
     rows, model = _demand(s)
-    return ops.forecast_metrics(model.predicted(rows))
+    last = rows.filter(F.col("day") > F.date_sub(F.lit(NOW[1]).cast("date"), days))
+    said = demand.combined(model.predicted(last))
+    return said.select("menu_item_id", text_date(F.col("day")).alias("day"), "q", F.round("probability", 4).alias("probability"), F.round("p50", 2).alias("p50"), F.round("p90", 2).alias("p90"), "prep")
 
 
-def _backtest(s: Shop):
-    rows, model = _demand(s)
-    said = model.predicted(rows)
-    return said.select("menu_item_id", text_date(F.col("day")).alias("day"), "q", F.round("probability", 4).alias("probability"), "p50", "p90", "prep")
+def _forecast(s: Shop):
+    said = demand.forecast(_panel(s), _demand(s)[1], NOW[1])
+    return said.select("menu_item_id", text_date(F.col("day")).alias("day"), F.round("probability", 4).alias("probability"), F.round("p50", 2).alias("p50"), F.round("p90", 2).alias("p90"), "prep")
+
+
+def _next_day(s: Shop):
+    """Features of the day after the panel from the carried state."""
+    rows = demand.next_features(demand.carried(_panel(s).filter(F.col("day") < F.lit(NOW[1]).cast("date"))), NOW[1], 25.0, 1.0)
+    return rows.select("menu_item_id", *[F.col(c) if c in _EXACT else F.round(c, 4).alias(c) for c in ops.FEATURES])
 
 
-add("M6_demand_metrics", _metrics, None)
+add("M6_demand_metrics", lambda s: ops.forecast_metrics(demand.held_out(_features(s, True))), None)
 add("M10_in_sample_backtest", _backtest, None)
-add("M9_demand_forecast", lambda s: demand.forecast(_panel(s), _demand(s)[1], NOW[1], 2).withColumn("day", text_date(F.col("day"))), None)
+add("M9_demand_forecast", _forecast, None)
+_NEXT = ", ".join("25.0 AS temperature" if c == "temperature" else "1.0 AS rain" if c == "rain" else f"CASE WHEN isodow(DATE '{NOW[1]}') >= 6 THEN 25.0 ELSE 0.0 END AS temp_weekend" if c == "temp_weekend" else f"CAST(coalesce({c if c in _EXACT else f'round({c}, 4)'}) AS DOUBLE) AS {c}" for c in ops.FEATURES)
+add("M9_next_day_features", _next_day, f", {_FEATURES} SELECT menu_item_id, {_NEXT} FROM ft WHERE day = DATE '{NOW[1]}' AND menu_item_id IN (SELECT menu_item_id FROM pn WHERE day < DATE '{NOW[1]}')")
+add(
+    "M9_demand_arithmetic", lambda s: demand.combined(ops.with_guess(_features(s, True)).select("menu_item_id", text_date(F.col("day")).alias("day"), F.round("probability", 3).alias("probability"), F.round("p50", 4).alias("p50"), F.round("p90", 4).alias("p90"))).select("menu_item_id", "day", "probability", F.round("p50", 3).alias("p50"), F.round("p90", 3).alias("p90"), F.ceil(F.round(F.col("p90") * 0.7 + F.col("p50") * 0.3, 6)).alias("prep")),
+    f""", {_FEATURES}, gs AS (SELECT menu_item_id, day, least(1.0, round(rolling_mean_14 / 10, 3)) AS p, round(rolling_mean_7, 4) AS lo, round(greatest(rolling_mean_7, rolling_mean_14), 4) AS hi FROM tr)
+SELECT menu_item_id, CAST(day AS VARCHAR) AS day, p AS probability, round(p * lo, 3) AS p50, round(p * greatest(lo, hi), 3) AS p90, CAST(ceil(round(p * greatest(lo, hi) * 0.7 + p * lo * 0.3, 6)) AS BIGINT) AS prep FROM gs""",
+)
 add(
     "E17_weather_upsert", lambda s: tables.upserted(tables.upserted(s.weather.select("day", F.when(F.dayofmonth("day") % 3 != 0, F.col("temp_max")).alias("temp_max"), "rain_sum"), s.weather.select("day", F.lit(20.0).alias("temp_max"), F.lit(1.0).alias("rain_sum")), ["day"], keep=["temp_max", "rain_sum"]), s.weather.filter(F.dayofmonth("day") % 5 == 0).select("day", (F.col("temp_max") + 1).alias("temp_max"), F.lit(None).cast("double").alias("rain_sum")), ["day"]).withColumn("day", text_date(F.col("day"))),
     "SELECT CAST(day AS VARCHAR) AS day, CASE WHEN day(day) % 5 = 0 THEN temp_max + 1 WHEN day(day) % 3 = 0 THEN 20.0 ELSE temp_max END AS temp_max, rain_sum FROM w",

@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from comanda.functions import scalars
-from comanda.operators import catalogue, customers, demand, entities, loyalty, panel, people
+from comanda.operators import catalogue, customers, demand, entities, loyalty, panel, people, quantiles
 from comanda.plans import things
 from comanda.plans.base import NOW
+from comanda.session import written
 from comanda.sources import files, payloads
 from comanda.sources.adapter import Shop
 from comanda.streaming import incremental, tables
@@ -145,19 +146,89 @@ def test_best_matches_equal_all_pairs(spark):
     assert got == want
 
 
-def test_demand_models(spark):
+@pytest.fixture(scope="module")
+def demand_model(spark):
     shop = Shop(spark, FOLDER)
-    rows = panel.features(panel.panel(shop, "1997-07-01", "1998-03-31"), training=True)
+    rows = written(panel.panel(shop, "1997-07-01", "1998-03-31").drop("first"), "panel")
+    training = written(panel.features(rows, training=True), "training")
+    return rows, training, demand.trained(training)
+
+
+def test_demand_models(spark, demand_model):
+    rows, training, model = demand_model
+    said = model.predicted(training)
+    bad = said.filter("p90 < p50 or p50 < 0 or probability < 0 or probability > 1")
+    assert bad.count() == 0 and said.count() == training.count()
+    assert panel.forecast_metrics(said).first()["auc"] > 0.6
+    late = demand.held_out(training)
+    days = sorted(r[0] for r in training.select("day").distinct().collect())
+    assert late.agg(F.min("day")).first()[0] == days[int(len(days) * 0.8)]
+    assert 0.8 <= panel.forecast_metrics(late).first()["p90_coverage"] <= 1.0
+    # the demand of all items and days is about what they sold, not what they sell if they sell
+    both = demand.combined(said).agg(F.avg("q"), F.avg("p50"), F.avg("p90")).first()
+    assert both[1] < 2 * both[0] and both[1] <= both[2]
+
+
+def test_forecast_follows_the_features(spark, demand_model):
+    """The carried state gives the features of a replayed day, and a day of the forecast is the next one's history."""
+    rows, _, model = demand_model
+    end = F.lit("1998-03-30").cast("date")
+    weather = tuple(rows.filter(F.col("day") == F.date_add(end, 1)).select("temperature", "rain").first())
+    said = demand.forecast(rows.filter(F.col("day") <= end), model, "1998-03-30", 3, weather).collect()
+    by = {(r["menu_item_id"], str(r["day"])): r for r in said}
+    history = rows.filter(F.col("day") <= end)
+    for day in ("1998-03-31", "1998-04-01", "1998-04-02"):
+        last = history.groupBy("menu_item_id").agg(F.max_by("category", "day").alias("category"), F.max_by("price", "day").alias("price"))
+        coming = last.select("menu_item_id", "category", "price", F.lit(day).cast("date").alias("day"), F.lit(0.0).alias("q"), F.lit(weather[0]).alias("temperature"), F.lit(weather[1]).alias("rain"))
+        want = demand.combined(model.predicted(panel.features(history.unionByName(coming.select(*history.columns))).filter(F.col("day") == F.lit(day).cast("date")))).collect()
+        assert len(want) == sum(k[1] == day for k in by)
+        for r in want:
+            got = by[r["menu_item_id"], day]
+            assert all(abs(got[c] - r[c]) < 1e-6 for c in ("probability", "p50", "p90")) and got["prep"] == r["prep"]
+        fed = spark.createDataFrame([(k[0], float(round(r["p50"]))) for k, r in by.items() if k[1] == day], "menu_item_id long, fed double")
+        history = written(history.unionByName(coming.join(fed, "menu_item_id").select("menu_item_id", "category", "price", "day", F.col("fed").alias("q"), "temperature", "rain").select(*history.columns)), "history")
+
+
+def test_demand_of_one_class(spark):
+    rows = spark.createDataFrame([(k, f"1998-01-{d:02d}", 5.0 + k) for k in range(6) for d in range(1, 9)], "menu_item_id long, day string, q double").withColumn("day", F.to_date("day"))
+    rows = rows.select("*", *[F.lit(1.0).alias(c) for c in panel.FEATURES])
     model = demand.trained(rows)
-    said = model.predicted(rows)
-    bad = said.filter("p90 < p50 or probability < 0 or probability > 1 or prep < 0")
-    assert bad.count() == 0 and said.count() == rows.count()
-    metrics = panel.forecast_metrics(said).first()
-    assert metrics["auc"] > 0.6 and 0.8 <= metrics["p90_coverage"] <= 1.0
-    after = demand.forecast(panel.panel(shop, "1997-07-01", "1998-03-31"), model, "1998-03-31", 2)
-    items = rows.select("menu_item_id").distinct().count()
-    assert {(str(r[0]), r[1]) for r in after.groupBy("day").count().collect()} == {("1998-04-01", r) for r in [after.filter("day = date'1998-04-01'").count()]} | {("1998-04-02", r) for r in [after.filter("day = date'1998-04-02'").count()]}
-    assert after.filter("day = date'1998-04-01'").count() >= items
+    assert model.classifier is None
+    got = demand.combined(model.predicted(rows).withColumn("probability", F.lit(0.25)))
+    assert {(r["p50"], r["p90"], r["prep"]) for r in got.collect()} == {(0.25 * 7, 0.25 * 10, 3)}
+
+
+def test_folds_read_no_later_day(spark, demand_model, monkeypatch):
+    _, training, model = demand_model
+    seen = []
+    monkeypatch.setattr(demand, "trained", lambda rows: seen.append(str(rows.agg(F.max("day")).first()[0])) or model)
+    done = spark.createDataFrame([("1998-03-02",)], "day string").withColumn("day", F.to_date("day"))
+    got = demand.by_folds(training, ["1998-03-09", "1998-03-02", "1998-02-10"], done)
+    assert {str(r["day"]) for r in got.select("day").distinct().collect()} == {"1998-02-10", "1998-03-09"}
+    assert seen == ["1998-02-09", "1998-03-08"] and got.filter("p90 < p50").count() == 0
+
+
+def test_boosted_quantiles(spark):
+    """On later rows the loss is below that of a constant and of one tree, and the 90th percentile holds."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    x = [F.rand(k) for k in range(3)]
+    rows = spark.range(8000).select("id", *[c.alias(f"f{k}") for k, c in enumerate(x)])
+    rows = written(rows.withColumn("y", 20 * F.col("f0") + F.when(F.col("f1") > 0.6, 15).otherwise(0) + F.abs(F.randn(5)) * (2 + 8 * F.col("f2"))), "rows")
+    train, test = rows.filter("id % 4 <> 3"), rows.filter("id % 4 = 3")
+    names = ["f0", "f1", "f2"]
+    model = quantiles.fitted(train, "y", names)
+    said = test.withColumn("p50", model.predicted(0)).withColumn("p90", model.predicted(1))
+    vector = VectorAssembler(inputCols=names, outputCol="v")
+    tree = DecisionTreeRegressor(featuresCol="v", labelCol="y", maxDepth=4, leafCol="leaf").fit(vector.transform(train))
+    leaves = tree.transform(vector.transform(train)).groupBy("leaf").agg(F.percentile("y", F.array(F.lit(0.5), F.lit(0.9))).alias("p"))
+    one = tree.transform(vector.transform(test)).join(leaves, "leaf").select("y", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"))
+    flat = train.agg(F.percentile("y", F.array(F.lit(0.5), F.lit(0.9)))).first()[0]
+    for k, (name, share) in enumerate((("p50", 0.5), ("p90", 0.9))):
+        loss = quantiles.pinball(said, "y", name, share)
+        assert loss < quantiles.pinball(one, "y", name, share) and loss < 0.7 * quantiles.pinball(test.withColumn("c", F.lit(flat[k])), "y", "c", share)
+    assert 0.85 <= said.agg(F.avg((F.col("y") <= F.col("p90")).cast("int"))).first()[0] <= 0.95
 
 
 def test_weather_fills_forward_then_back(spark):
