@@ -57,11 +57,13 @@ def moved_lines(lines: DataFrame, moves: DataFrame) -> DataFrame:
     return rows.select(*[F.coalesce("t1", "t2", "menu_item_id").alias(c) if c == "menu_item_id" else F.when(F.col("t1").isNotNull(), F.col("v1")).otherwise(F.col("variant_id")).alias(c) if c == "variant_id" else F.col(c) for c in lines.columns])
 
 
-def variants_cover(expected: DataFrame, asked: DataFrame) -> DataFrame:
-    """Variants of a merge's source that its request lacks, does not have, or names twice."""
-    missing = expected.join(asked, "variant_id", "left_anti").select("variant_id", F.lit("missing").alias("problem"))
-    strange = asked.join(expected, "variant_id", "left_anti").select("variant_id", F.lit("unexpected").alias("problem")).distinct()
-    twice = asked.groupBy("variant_id").count().filter("count > 1").select("variant_id", F.lit("duplicate").alias("problem"))
+def variants_cover(expected: DataFrame, asked: DataFrame, key: tuple[str, ...] = ("variant_id",)) -> DataFrame:
+    """Variants of a merge's source (or of each source, by a longer ``key``) that its request lacks, does
+    not have, or names twice."""
+    key = list(key)
+    missing = expected.join(asked, key, "left_anti").select(*key, F.lit("missing").alias("problem"))
+    strange = asked.join(expected, key, "left_anti").select(*key, F.lit("unexpected").alias("problem")).distinct()
+    twice = asked.groupBy(*key).count().filter("count > 1").select(*key, F.lit("duplicate").alias("problem"))
     return missing.unionByName(strange).unionByName(twice)
 
 

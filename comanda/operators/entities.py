@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from comanda.functions.text import contains_ci, identity_key, uuid5
+from comanda.operators.cosine import nearest
 from comanda.session import written
 from comanda.sources.adapter import Shop
 
@@ -162,25 +163,7 @@ def best_matches(shop: Shop, least: float = 0.7) -> DataFrame:
     return both.groupBy("type", "name").agg(F.max(F.struct("ratio", "other")).alias("m")).select("type", "name", F.col("m.other").alias("match"), F.col("m.ratio").alias("ratio"))
 
 
-def word_grams(name: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
-    """All grams of the lower-cased words, each word with a space on both sides."""
-    words = F.filter(F.split(F.lower(F.trim(name)), r"\s+"), lambda w: w != "")
-    of_size = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1)), lambda i: F.substr(w, i, F.lit(n)))).otherwise(F.array())
-    return F.flatten(F.transform(F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), lambda w: F.concat(*[of_size(w, n) for n in sizes])))
-
-
 def neighbours(shop: Shop, k: int = 6) -> DataFrame:
-    """The k nearest menu names of each name by cosine of tf-idf of grams of 2 to 4 characters.
-
-    Grams meet in a join; no pair without a common gram is made.
-    """
-    names = shop.menu.select("name").distinct()
-    tf = names.select("name", F.explode(word_grams(F.col("name"))).alias("gram")).groupBy("name", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    total = names.agg(F.count(F.lit(1)).alias("n"))
-    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    w = tf.join(df, "gram").join(F.broadcast(total)).select("name", "gram", (F.col("tf") * idf).alias("w"))  # one row
-    unit = w.join(w.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size")), "name").select("name", "gram", (F.col("w") / F.col("size")).alias("w"))
-    dot = unit.alias("a").join(unit.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.name") != F.col("b.name"))).groupBy(F.col("a.name").alias("name"), F.col("b.name").alias("other")).agg(F.round(F.sum(F.col("a.w") * F.col("b.w")), 5).alias("score"))
-    ranked = dot.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "other")))
-    return ranked.filter(F.col("rank") <= k)
+    """The k nearest menu names of each name by cosine of tf-idf of grams of 2 to 4 characters."""
+    near = nearest(shop.menu.select(F.col("name").alias("id"), F.col("name").alias("text")).distinct(), k)
+    return near.select(F.col("id").alias("name"), "other", "score", "rank")

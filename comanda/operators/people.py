@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from comanda.functions.scalars import closeness
 from comanda.functions.text import joined_address, normal_phone, normal_text
+from comanda.operators.cosine import nearest
 from comanda.operators.entities import merge_policy, name_ratio
+from comanda.session import written
 from comanda.sources.adapter import Shop
 
+#: Nearest texts that are scored for each customer.
+NEIGHBOURS = 5
+
 
 def primary_addresses(shop: Shop) -> DataFrame:
     """customer_id and its primary address: the default one, else the oldest."""
@@ -98,16 +103,19 @@ def same_phone_pairs(shop: Shop) -> DataFrame:
     return a.join(b, (F.col("a.phone") == F.col("b.phone")) & (F.col("a.customer_id") < F.col("b.customer_id"))).select(F.col("a.customer_id").alias("customer_id"), F.col("b.customer_id").alias("other_id"), F.col("a.phone").alias("phone"))
 
 
-def suggestions(shop: Shop, pairs: DataFrame, limit: int = 20) -> DataFrame:
+def suggestions(shop: Shop, pairs: DataFrame, limit: int = 20, extra: tuple[str, ...] = ()) -> DataFrame:
     """Merges to suggest for ``pairs(customer_id, other_id, score)``: the stronger customer is the
-    target (verified, then orders, spend and smaller number), best scores and targets first."""
+    target (verified, then orders, spend, a phone and smaller number), best scores and targets first;
+    what merge policy refuses goes."""
     totals = _totals(shop).select("customer_id", "total_orders", "total_spent")
-    rank = shop.customers.join(totals, "customer_id", "left").select("customer_id", F.struct(F.col("is_verified").cast("int").alias("v"), F.coalesce("total_orders", F.lit(0)).alias("o"), F.coalesce("total_spent", F.lit(0.0)).alias("s"), (-F.col("customer_id")).alias("i")).alias("rank"))
+    phones = shop.contacts.select("customer_id", normal_phone(F.col("phone")).isNotNull().cast("int").alias("has_phone"))
+    rank = shop.customers.join(totals, "customer_id", "left").join(phones, "customer_id", "left").select("customer_id", F.struct(F.col("is_verified").cast("int").alias("v"), F.coalesce("total_orders", F.lit(0)).alias("o"), F.coalesce("total_spent", F.lit(0.0)).alias("s"), F.coalesce("has_phone", F.lit(0)).alias("p"), (-F.col("customer_id")).alias("i")).alias("rank"))
     side = lambda k: rank.select(F.col("customer_id").alias(k), F.col("rank").alias(f"{k}_rank"))
     rows = pairs.join(side("customer_id"), "customer_id").join(side("other_id"), "other_id")
     swap = F.col("customer_id_rank") > F.col("other_id_rank")
-    best = F.greatest("customer_id_rank", "other_id_rank")
-    rows = rows.select(F.when(swap, F.col("other_id")).otherwise(F.col("customer_id")).alias("source"), F.when(swap, F.col("customer_id")).otherwise(F.col("other_id")).alias("target"), "score", best["o"].alias("target_orders"), best["s"].alias("target_spent"))
+    best, worst = F.greatest("customer_id_rank", "other_id_rank"), F.least("customer_id_rank", "other_id_rank")
+    rows = rows.filter(merge_policy(worst["v"] == 1, best["v"] == 1) != "error")
+    rows = rows.select(F.when(swap, F.col("other_id")).otherwise(F.col("customer_id")).alias("source"), F.when(swap, F.col("customer_id")).otherwise(F.col("other_id")).alias("target"), "score", best["o"].alias("target_orders"), best["s"].alias("target_spent"), *extra)
     return rows.orderBy(F.desc("score"), F.desc("target_orders"), F.desc("target_spent"), "source", "target").limit(limit)
 
 
@@ -151,20 +159,55 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(wa) > 0) & (F.size(wb) > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), base * sure))).otherwise(0.0)
 
 
-def pair_scores(shop: Shop, pairs: DataFrame) -> DataFrame:
-    """Scores of ``pairs(customer_id, other_id)`` that merge policy allows: text, name, address,
-    behaviour and a bonus for one phone; and whether the score or its parts are enough to keep it."""
+def records(shop: Shop) -> DataFrame:
+    """customer_id and r: normal name, phone and address of every customer, their text, orders and spend."""
     rows = profiles(shop, shop.customers.select(F.col("customer_id").alias("source")).limit(0))
     name, phone, address = normal_text(F.col("name")), normal_phone(F.col("phone")), normal_text(F.col("address"))
     text = F.concat_ws(" | ", name, phone, address)
-    known = rows.select("customer_id", F.struct(F.coalesce(name, F.lit("")).alias("name"), phone.alias("phone"), F.coalesce(address, F.lit("")).alias("address"), text.alias("text"), "total_orders", "total_spent").alias("r"))
+    return rows.select("customer_id", F.struct(F.coalesce(name, F.lit("")).alias("name"), phone.alias("phone"), F.coalesce(address, F.lit("")).alias("address"), text.alias("text"), "total_orders", "total_spent").alias("r"))
+
+
+def text_neighbours(shop: Shop, merges: DataFrame, k: int = NEIGHBOURS, search: str = "") -> DataFrame:
+    """customer_id, other_id, cosine and rank: the active customers whose texts are nearest to each active
+    one's, or to each whose name has the words searched for."""
+    known = records(shop).join(active_customers(shop.customers.select("customer_id"), merges), "customer_id", "left_semi")
+    asked = known.filter(F.contains("r.name", normal_text(F.lit(search)))).select(F.col("customer_id").alias("id")) if search.strip() else None
+    near = nearest(known.select(F.col("customer_id").alias("id"), F.col("r.text").alias("text")), k, asked)
+    return near.select(F.col("id").alias("customer_id"), F.col("other").alias("other_id"), F.col("score").alias("cosine"), "rank")
+
+
+def similar_customers(shop: Shop, merges: DataFrame, search: str = "", limit: int = 20) -> DataFrame:
+    """Merges to suggest: pairs of active customers whose texts are near or whose phone is one, as far as
+    their scores are kept and merge policy allows source and target; each pair once, with its best score."""
+    active = active_customers(shop.customers.select("customer_id", "name"), merges)
+    phones = same_phone_pairs(shop)
+    for side in ("customer_id", "other_id"):
+        phones = phones.join(active.select(F.col("customer_id").alias(side)), side, "left_semi")
+    near = text_neighbours(shop, merges, search=search).select("customer_id", "other_id", "cosine")
+    pairs = near.unionByName(phones.select("customer_id", "other_id", F.lit(None).cast("double").alias("cosine")))
+    if search.strip():
+        hit = active.filter(F.contains(normal_text(F.col("name")), normal_text(F.lit(search)))).select("customer_id")
+        named = lambda side: pairs.join(hit.select(F.col("customer_id").alias(side)), side, "left_semi").select(*pairs.columns)
+        pairs = named("customer_id").unionByName(named("other_id")).distinct()
+    scored = pair_scores(shop, written(pairs, "candidates")).filter("kept")
+    one = scored.groupBy(F.least("customer_id", "other_id").alias("customer_id"), F.greatest("customer_id", "other_id").alias("other_id")).agg(F.max("score").alias("score"), F.max_by("reasons", "score").alias("reasons"))
+    best = suggestions(shop, one, limit, extra=("reasons",))
+    return best
+
+
+def pair_scores(shop: Shop, pairs: DataFrame) -> DataFrame:
+    """Scores of ``pairs(customer_id, other_id)``: text, name, address, behaviour and a bonus for one
+    phone; and whether the score or its parts are enough to keep it. ``cosine``, where ``pairs`` has it and
+    it is not null, stands for the ratio of the texts."""
+    known = records(shop)
     side = lambda k, r: known.select(F.col("customer_id").alias(k), F.col("r").alias(r))
-    both = pairs.select("customer_id", "other_id").join(side("customer_id", "a"), "customer_id").join(side("other_id", "b"), "other_id")
+    cosine = F.col("cosine") if "cosine" in pairs.columns else F.lit(None).cast("double")
+    both = pairs.select("customer_id", "other_id", cosine.alias("cosine")).join(side("customer_id", "a"), "customer_id").join(side("other_id", "b"), "other_id")
     both = both.repartition("customer_id")  # the ratios are the work here
     same = F.coalesce(F.col("a.phone") == F.col("b.phone"), F.lit(False))
     address_ratio = F.when((F.length("a.address") > 0) & (F.length("b.address") > 0), name_ratio(F.col("a.address"), F.col("b.address"))).otherwise(0.0)
     behaviour = (closeness(F.col("a.total_orders"), F.col("b.total_orders")) + closeness(F.col("a.total_spent"), F.col("b.total_spent"))) / 2
-    parts = both.select("customer_id", "other_id", name_ratio(F.col("a.text"), F.col("b.text")).alias("text"), name_similarity(F.col("a.name"), F.col("b.name")).alias("name"), address_ratio.alias("address"), behaviour.alias("behaviour"), same.alias("same_phone"))
+    parts = both.select("customer_id", "other_id", F.coalesce("cosine", name_ratio(F.col("a.text"), F.col("b.text"))).alias("text"), name_similarity(F.col("a.name"), F.col("b.name")).alias("name"), address_ratio.alias("address"), behaviour.alias("behaviour"), same.alias("same_phone"))
     score = 0.45 * F.col("text") + 0.25 * F.col("name") + 0.15 * F.col("address") + 0.15 * F.col("behaviour") + F.when(F.col("same_phone"), 0.2).otherwise(0.0)
     score = F.least(F.when(F.col("same_phone"), F.greatest(score, F.lit(0.88))).otherwise(score), F.lit(0.99))
     reasons = F.array_compact(F.array(F.when(F.col("same_phone"), "Exact phone match"), F.when(F.col("name") >= 0.85, "Very similar customer names"), F.when(F.col("address") >= 0.8, "Very similar saved addresses"), F.when(F.col("behaviour") >= 0.75, "Similar order count / spend profile"), F.when(F.col("text") >= 0.8, "Strong text similarity across name, phone, and address")))

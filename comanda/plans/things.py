@@ -73,6 +73,15 @@ FROM kk LEFT JOIN l1 ON l1.ph = kk.ph AND kk.customer_id % 5 <> 0 LEFT JOIN l2 O
 )
 
 add("U3_pair_scores", lambda s: people.pair_scores(s, people.same_phone_pairs(s)), None)
+add("E6_similar_customers", lambda s: people.similar_customers(s, _ACTIVE(s)), None)
+_TEXTS = f"{_PRIMARY}, n AS (SELECT customer_id AS name, concat_ws(' | ', lower(ct.name), right(regexp_replace(phone, '[^0-9]', '', 'g'), 10), lower(address)) AS t FROM ct LEFT JOIN pa USING (customer_id) WHERE NOT (customer_id % 10 = 0 AND customer_id > 0 AND customer_id % 30 <> 0))"
+add(
+    "E6_text_neighbours", lambda s: people.text_neighbours(s, _ACTIVE(s)),
+    f""", {_TEXTS}, wd AS (SELECT name, ' ' || w || ' ' AS p, pos FROM (SELECT name, unnest(string_split(t, ' ')) AS w, unnest(range(1, 1 + len(string_split(t, ' ')))) AS pos FROM n)),
+tf AS (SELECT name, gram, count(*) AS tf FROM (SELECT name, substr(p, CAST(i AS INTEGER), CAST(k AS INTEGER)) AS gram FROM wd, range(2, 5) s(k), range(1, 60) r(i) WHERE i + k - 1 <= length(p)) GROUP BY 1, 2),
+df AS (SELECT gram, count(*) AS df FROM tf GROUP BY 1), ww AS (SELECT name, gram, tf * (ln((1 + (SELECT count(*) FROM n)) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN df USING (gram)), un AS (SELECT name, gram, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS w FROM ww),
+dt AS (SELECT a.name, b.name AS other, round(sum(a.w * b.w), 5) AS score FROM un a JOIN un b ON a.gram = b.gram AND a.name <> b.name GROUP BY 1, 2) SELECT name AS customer_id, other AS other_id, score AS cosine, CAST(row_number() OVER (PARTITION BY name ORDER BY score DESC, other) AS INTEGER) AS rank FROM dt QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, other) <= 5""",
+)
 add("U4_best_matches", entities.best_matches, None)
 add("J18_name_pairs", lambda s: entities.similar_names(s, 0.9), None)
 
@@ -119,9 +128,13 @@ add(
     """, q AS (SELECT CASE WHEN menu_item_id % 3 = 0 THEN menu_item_id WHEN menu_item_id % 10 = 1 THEN menu_item_id - 1 WHEN menu_item_id % 10 = 2 AND variant_id = 'v1' THEN menu_item_id + 1 ELSE menu_item_id END AS item,
 CASE WHEN menu_item_id % 3 <> 0 AND variant_id = 'v1' AND menu_item_id % 10 = 2 THEN 'v2' WHEN menu_item_id % 3 <> 0 AND variant_id = 'v1' AND menu_item_id % 10 = 5 THEN 'v3' ELSE variant_id END AS variant, quantity FROM vl) SELECT item AS menu_item_id, variant AS variant_id, count(*) AS lines, sum(quantity) AS quantity FROM q GROUP BY 1, 2""",
 )
-add("E12_remapped_sources", lambda s: s.mappings.join(F.broadcast(s.spark.createDataFrame([(11, 7), (22, 8)], "pos_id long, new_item long")), "pos_id", "left").select("pos_id", F.coalesce("new_item", "menu_item_id").alias("menu_item_id"), "variant_id"), "SELECT pos_id, CASE pos_id WHEN 11 THEN 7 WHEN 22 THEN 8 ELSE menu_item_id END AS menu_item_id, variant_id FROM mp")
-_EXPECTED = lambda s: s.mappings.filter("menu_item_id = 7 and variant_id is not null").select("variant_id")
-add("O4_variant_cover", lambda s: catalogue.variants_cover(_EXPECTED(s), s.spark.createDataFrame([("v1",), ("v1",), ("v9",)], "variant_id string")), "SELECT * FROM (VALUES ('v2', 'missing'), ('v9', 'unexpected'), ('v1', 'duplicate')) t(variant_id, problem)")
+_MOVES = lambda s: s.mappings.filter("not is_verified").select("pos_id", F.floor(F.col("menu_item_id") / 2).alias("new_item"))  # noqa: E731  unverified ids go to another item
+add("E12_remapped_sources", lambda s: s.mappings.join(_MOVES(s), "pos_id", "left").select("pos_id", F.coalesce("new_item", "menu_item_id").alias("menu_item_id"), "variant_id"), "SELECT pos_id, CASE WHEN is_verified THEN menu_item_id ELSE menu_item_id // 2 END AS menu_item_id, variant_id FROM mp")
+_VARIANT = ["menu_item_id", "variant_id"]
+add(
+    "O4_variant_cover", lambda s: catalogue.variants_cover(s.mappings.filter("variant_id is not null").select(*_VARIANT), s.variant_lines.filter("variant_id is not null").select(*_VARIANT), tuple(_VARIANT)),
+    ", ex AS (SELECT DISTINCT menu_item_id, variant_id FROM mp WHERE variant_id IS NOT NULL), sd AS (SELECT menu_item_id, variant_id, count(*) AS n FROM vl WHERE variant_id IS NOT NULL GROUP BY 1, 2) SELECT *, 'missing' AS problem FROM (SELECT menu_item_id, variant_id FROM ex EXCEPT SELECT menu_item_id, variant_id FROM sd) UNION ALL SELECT *, 'unexpected' FROM (SELECT menu_item_id, variant_id FROM sd EXCEPT SELECT menu_item_id, variant_id FROM ex) UNION ALL SELECT menu_item_id, variant_id, 'duplicate' FROM sd WHERE n > 1",
+)
 
 
 def _incoming(s: Shop) -> DataFrame:
@@ -157,8 +170,9 @@ add("A53_cluster_review", catalogue.cluster_review, f", {_REVIEW} SELECT * FROM
 add("E18_cluster_problems", lambda s: catalogue.cluster_problems(catalogue.cluster_review(s)), f", {_REVIEW} SELECT name, variant_id, 'several types' AS problem FROM rv WHERE types > 1 UNION ALL SELECT name, variant_id, 'nothing verified' FROM rv WHERE verified = 0")
 add("O6_raw_names", lambda s: s.menu.groupBy("type").agg(F.array_join(F.sort_array(F.array_union(F.collect_set(F.when(F.col("menu_item_id") % 2 == 0, F.col("name"))), F.collect_set(F.when(F.col("menu_item_id") % 3 == 0, F.col("name"))))), "|").alias("names")), "SELECT type, string_agg(DISTINCT name, '|' ORDER BY name) FILTER (WHERE menu_item_id % 2 = 0 OR menu_item_id % 3 = 0) AS names FROM m GROUP BY 1")
 add(
-    "J21_mapped_context", lambda s: catalogue.mapped_context(s, s.spark.range(3000).select(F.col("id").alias("source_id"))),
-    ", j AS (SELECT range AS source_id FROM range(3000)), b AS (SELECT source_id, menu_item_id, variant_id, CASE WHEN pos_id = source_id THEN 0 ELSE 1 END AS way FROM j JOIN mp ON pos_id = source_id OR (menu_item_id = source_id AND variant_id IS NULL) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY way, menu_item_id) = 1) SELECT j.source_id, menu_item_id, variant_id FROM j LEFT JOIN b USING (source_id)",
+    "J21_mapped_context", lambda s: catalogue.mapped_context(s, s.mappings.select(F.col("pos_id").alias("source_id")).union(s.menu.select("menu_item_id")).union(s.orders.select("order_id")).distinct()),
+    """, j AS (SELECT pos_id AS source_id FROM mp UNION SELECT menu_item_id FROM m UNION SELECT order_id FROM o), b AS (SELECT source_id, menu_item_id, variant_id, 0 AS way FROM j JOIN mp ON pos_id = source_id UNION ALL SELECT source_id, menu_item_id, variant_id, 1 FROM j JOIN mp ON menu_item_id = source_id AND variant_id IS NULL),
+f AS (SELECT source_id, menu_item_id, variant_id FROM b QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY way, menu_item_id) = 1) SELECT j.source_id, menu_item_id, variant_id FROM j LEFT JOIN f USING (source_id)""",
 )
 add("X28_source_kinds", lambda s: s.menu.join(s.sold.groupBy("menu_item_id").agg(F.max(F.col("kind") == "item").alias("i"), F.max(F.col("kind") == "addon").alias("a")), "menu_item_id", "left").select("menu_item_id", catalogue.source_kind(F.coalesce("i", F.lit(False)), F.coalesce("a", F.lit(False))).alias("kind")), "SELECT menu_item_id, CASE count(DISTINCT kind) WHEN 2 THEN 'item+addon' WHEN 1 THEN min(kind) ELSE 'unknown' END AS kind FROM m LEFT JOIN sold USING (menu_item_id) GROUP BY 1")
 

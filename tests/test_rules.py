@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from comanda.functions import scalars
-from comanda.operators import catalogue, customers, demand, entities, loyalty, panel, people, quantiles
+from comanda.operators import catalogue, cosine, customers, demand, entities, loyalty, panel, people, quantiles
 from comanda.plans import things
 from comanda.plans.base import NOW
 from comanda.session import written
@@ -127,6 +127,62 @@ def test_name_similarity_equals_its_definition(spark):
     assert all(math.isclose(r["s"], plain_similarity(r["a"], r["b"]), abs_tol=1e-9) for r in rows.collect())
 
 
+def plain_neighbours(texts, k):
+    """Cosine of tf-idf grams of all pairs."""
+    from collections import Counter
+
+    grams = {i: Counter(f" {w} "[a : a + n] for w in (t or "").lower().split() for n in (2, 3, 4) for a in range(len(w) + 3 - n)) for i, t in texts}
+    df = Counter(g for c in grams.values() for g in c)
+    w = {i: {g: n * (math.log((1 + len(texts)) / (1 + df[g])) + 1) for g, n in c.items()} for i, c in grams.items()}
+    w = {i: {g: x / math.sqrt(sum(y * y for y in v.values())) for g, x in v.items()} for i, v in w.items()}
+    out = {}
+    for i, a in w.items():
+        scores = sorted((-round(sum(x * b[g] for g, x in a.items() if g in b), 5), j) for j, b in w.items() if j != i and not a.keys().isdisjoint(b))
+        out[i] = [(j, -s) for s, j in scores[:k]]
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_nearest_equals_all_pairs(spark, monkeypatch, k):
+    import random
+
+    monkeypatch.setattr(cosine, "BLOCK", 8)
+    rng = random.Random(k)
+    words = ["customer#0000", "maria", "mario", "smith", "smythe", "house", "city", "flat", "x", "yz"]
+    texts = [(i, " ".join(rng.choice(words) + rng.choice(["", "1", "22", "333"]) for _ in range(rng.randrange(1, 6)))) for i in range(160)]
+    texts += [(200, texts[0][1]), (201, texts[0][1]), (202, ""), (203, None), (204, "qqq"), (205, "the customer#0000")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    got = {}
+    for r in cosine.nearest(df, k).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append((r["other"], r["score"]))
+    want = {i: x for i, x in plain_neighbours(texts, k).items() if x}
+    assert got.keys() == want.keys() and all([s for _, s in got[i]] == pytest.approx([s for _, s in want[i]], abs=2e-5) for i in want)
+    assert sum(got[i] != want[i] for i in want) <= 2  # scores that round apart by one place
+    asked = cosine.nearest(df, k, spark.createDataFrame([(3,), (202,)], "id long")).orderBy("rank").collect()
+    assert [(r["id"], r["other"]) for r in asked] == [(3, j) for j, _ in got[3]]
+
+
+def test_similar_customers_equal_all_pairs(spark):
+    shop = Shop(spark, FOLDER)
+    merges = shop.customers.filter("customer_id % 25 = 0").select("customer_id").selectExpr("customer_id as source", "customer_id - 1 as target")
+    known = {r["customer_id"]: r["r"] for r in people.records(shop).collect() if r["customer_id"] % 25}
+    near = plain_neighbours([(i, r["text"]) for i, r in known.items()], people.NEIGHBOURS)
+    pairs = [(i, j, s) for i, x in near.items() for j, s in x] + [(i, j, None) for i, a in known.items() for j, b in known.items() if i < j and a["phone"] and a["phone"] == b["phone"]]
+    scored = people.pair_scores(shop, spark.createDataFrame(pairs, "customer_id long, other_id long, cosine double")).filter("kept").collect()
+    best = {}
+    for r in scored:
+        key = tuple(sorted((r["customer_id"], r["other_id"])))
+        best[key] = max(best.get(key, 0.0), r["score"])
+    got = people.similar_customers(shop, merges, limit=10**6).collect()
+    assert {tuple(sorted((r["source"], r["target"]))): pytest.approx(r["score"], abs=1e-3) for r in got} == best and len(got) == len(best) > 10
+    verified = {r["customer_id"]: r["is_verified"] for r in shop.customers.collect()}
+    assert not any(verified[r["source"]] and not verified[r["target"]] for r in got)
+    assert [r["score"] for r in got] == sorted((r["score"] for r in got), reverse=True)
+    few = people.similar_customers(shop, merges, "000000003", 10**6).collect()
+    name = {i: r["name"] for i, r in known.items()}
+    assert few and all("000000003" in name[r["source"]] or "000000003" in name[r["target"]] for r in few)
+
+
 def test_pair_scores_keep_phone_pairs(spark):
     shop = Shop(spark, FOLDER)
     rows = people.pair_scores(shop, people.same_phone_pairs(shop)).collect()
