@@ -3,18 +3,24 @@
 Every gram has a greatest weight over all texts. For a text x whose k-th best score is known to be
 theta at least, the commonest grams are set aside as long as x's weights times those greatest weights add up to less
 than theta: a text that shares only such grams with x is no neighbour. So common grams verify pairs and
-make none. Theta comes from exact scores within small blocks of x's rarest grams. Postings of a gram
-lie in blocks of about BLOCK, so no task holds a common gram. The result equals that of all pairs.
+make none. A pair's products of the other grams are added up as they meet; it is verified only if what
+the grams set aside may add, by their greatest weights or by the lengths of both rests, reaches theta. Theta comes from exact scores within small blocks of x's rarest grams. Postings of a gram
+lie in blocks of about BLOCK, so no task holds a common gram. Grams are compared by 64-bit hashes. The result equals that of all pairs.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from comanda.session import written
 
-BLOCK, RAREST = 64, 3
+BLOCK, RAREST = 64, 2
+#: Texts compared by each of x's rarest grams for the first bound.
+FIRST = 16
 #: Scores are compared as rounded to five places.
 PLACES, SLACK = 5, 2e-5
 
@@ -37,16 +43,30 @@ def weights(texts: DataFrame) -> DataFrame:
     return w.join(size, "id").select("id", "gram", "df", (F.col("w") / F.col("size")).alias("w"))
 
 
-def _n_blocks(df: Column) -> Column:
-    return F.ceil(df / BLOCK).cast("long")
+def _n_blocks(df: Column, size: int | None = None) -> Column:
+    return F.ceil(df / (size or BLOCK)).cast("long")
+
+
+@F.pandas_udf(DoubleType())
+def dot(a: pd.Series, v: pd.Series, b: pd.Series, w: pd.Series) -> pd.Series:
+    """Products of sparse vectors: sorted out by pair and gram for a whole batch at once."""
+    if not len(a):
+        return pd.Series([], dtype=float)
+    pair = lambda x: np.repeat(np.arange(len(x)), x.map(len))
+    grams, number = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    n = int(a.map(len).sum())
+    left, right = pair(a) * len(grams) + number[:n], pair(b) * len(grams) + number[n:]
+    order = np.argsort(right)
+    at = np.minimum(np.searchsorted(right[order], left), max(0, len(right) - 1))
+    met = right[order][at] == left
+    return pd.Series(np.bincount(pair(a)[met], (np.concatenate([*v]) * np.concatenate([*w])[order][at])[met], len(a)))
 
 
 def _scored(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """``pairs(id, other)`` with their score, from both whole vectors."""
-    side = lambda name, v: vectors.select(F.col("id").alias(name), F.col("v").alias(v))
-    both = pairs.join(side("id", "a"), "id").join(side("other", "b"), "other")
-    dot = F.aggregate(F.map_entries("a"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("b"), e["key"]), F.lit(0.0)))
-    return both.select("id", "other", F.round(dot, PLACES).alias("score"))
+    side = lambda name, g, w: vectors.select(F.col("id").alias(name), F.col("g").alias(g), F.col("w").alias(w))
+    both = pairs.join(side("id", "a", "v"), "id").join(side("other", "b", "w"), "other")
+    return both.select("id", "other", F.round(dot("a", "v", "b", "w"), PLACES).alias("score"))
 
 
 def nearest(texts: DataFrame, k: int = 6, asked: DataFrame | None = None) -> DataFrame:
@@ -54,24 +74,29 @@ def nearest(texts: DataFrame, k: int = 6, asked: DataFrame | None = None) -> Dat
     distinct), or of the ids of ``asked(id)``; equal scores by ``other``. Texts without a common gram are
     no neighbours; null and empty texts have none."""
     grams = written(weights(texts), "grams")
-    vectors = written(grams.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v")), "vectors")
+    vectors = written(grams.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("gram").alias("g"), "w")).alias("e")).select("id", F.col("e.g").alias("g"), F.col("e.w").alias("w")), "vectors")
     mine = grams.join(asked.select("id").distinct(), "id", "left_semi") if asked is not None else grams
     shared = mine.filter("df > 1")
-    index = grams.filter("df > 1").select("gram", F.pmod(F.xxhash64("id"), _n_blocks(F.col("df"))).alias("block"), F.col("id").alias("other"))
+    block = lambda size: F.pmod(F.xxhash64("id"), _n_blocks(F.col("df"), size)).alias("block")
+    others = grams.filter("df > 1")
 
     # lower bounds of the k-th best score
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))
-    rare = shared.withColumn("r", place).filter(F.col("r") <= RAREST).select("id", "gram", F.pmod(F.xxhash64("id"), _n_blocks(F.col("df"))).alias("block"))
-    near = rare.join(index, ["gram", "block"]).filter(F.col("id") != F.col("other")).select("id", "other").distinct()
+    rare = shared.withColumn("r", place).filter(F.col("r") <= RAREST).select("id", "gram", block(FIRST))
+    near = rare.join(others.select("gram", block(FIRST), F.col("id").alias("other")), ["gram", "block"]).filter(F.col("id") != F.col("other")).select("id", "other").distinct()
     best = _scored(near, vectors).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"))))
     theta = best.filter(F.col("r") == k).select("id", F.col("score").alias("theta"))
 
     # grams that make pairs: those that stay once the commonest ones are set aside
     most = grams.groupBy("gram").agg(F.max("w").alias("most"))
-    bound = F.sum(F.col("w") * F.col("most")).over(Window.partitionBy("id").orderBy(F.desc("df"), "gram").rowsBetween(Window.unboundedPreceding, 0))
-    probes = shared.join(most, "gram").join(theta, "id", "left").withColumn("aside", bound)
-    probes = probes.filter(F.col("theta").isNull() | (F.col("aside") >= F.col("theta") - SLACK))
-    probes = probes.select("id", "gram", F.explode(F.sequence(F.lit(0).cast("long"), _n_blocks(F.col("df")) - 1)).alias("block"))
-    pairs = probes.join(index, ["gram", "block"]).filter(F.col("id") != F.col("other")).select("id", "other").distinct()
+    down = Window.partitionBy("id").orderBy(F.desc("df"), "gram").rowsBetween(Window.unboundedPreceding, 0)
+    bounds = shared.join(most, "gram").join(theta, "id", "left").withColumn("aside", F.sum(F.col("w") * F.col("most")).over(down)).withColumn("square", F.sum(F.col("w") * F.col("w")).over(down))
+    is_aside = F.col("theta").isNotNull() & (F.col("aside") < F.col("theta") - SLACK)
+    rest = bounds.groupBy("id").agg(F.max("theta").alias("theta"), F.coalesce(F.max(F.when(is_aside, F.col("aside"))), F.lit(0.0)).alias("aside"), F.sqrt(F.coalesce(F.max(F.when(is_aside, F.col("square"))), F.lit(0.0))).alias("length"))
+    probes = bounds.filter(~is_aside).select("id", "gram", "w", F.explode(F.sequence(F.lit(0).cast("long"), _n_blocks(F.col("df")) - 1)).alias("block"))
+    index = others.select("gram", block(BLOCK), F.col("id").alias("other"), F.col("w").alias("v"))
+    met = probes.join(index, ["gram", "block"]).filter(F.col("id") != F.col("other")).groupBy("id", "other").agg(F.sum(F.col("w") * F.col("v")).alias("part"), F.sum(F.col("v") * F.col("v")).alias("used"))
+    more = F.least("aside", F.col("length") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("used")) + 1e-12))
+    pairs = met.join(rest, "id").filter(F.col("theta").isNull() | (F.col("part") + more >= F.col("theta") - SLACK)).select("id", "other")
     ranked = _scored(pairs, vectors).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other")))
     return ranked.filter(F.col("rank") <= k)
