@@ -107,6 +107,20 @@ SUGGESTIONS = (
     (r"700\s*ml", "FAMILY_TUB_700ML"),
     (r"500\s*gms?|500gm", "FAMILY_TUB_500GMS"),
 )
+#: Sizes and forms that a raw name tells, with what its variant's name has to hold and must not hold. Fixed values.
+TOLD_SIZES = (
+    (r"\b60\s*g", "60g", "^JUNIOR_SCOOP_60GMS$", None),
+    (r"\b120\s*g", "120g", "^REGULAR_SCOOP_120GMS$", None),
+    (r"\b500\s*g", "500g", "", "SCOOP"),
+    (r"\b200\s*ml", "200ml", "MINI_TUB|200ML", None),
+    (r"\b700\s*ml", "700ml", "FAMILY|725ML", None),
+    (r"\b725\s*ml", "725ml", "FAMILY|725ML", None),
+    (r"junior scoop|small scoop", "junior_scoop", "JUNIOR_SCOOP", None),
+    (r"regular scoop", "regular_scoop", "REGULAR_SCOOP", None),
+    (r"mini tub", "mini_tub", "MINI_TUB", None),
+    (r"perfect plenty", "perfect_plenty", "PERFECT_PLENTY|REGULAR_TUB", None),
+    (r"family|feast", "family_tub", "FAMILY", None),
+)
 #: Namespace of identifiers made from names.
 NAMESPACE = uuid.UUID("6ba7b810-9dad-11d1-80b4-00c04fd430c8")
 
@@ -244,3 +258,11 @@ def clean_names(rows: DataFrame, raw: str) -> DataFrame:
     """``raw`` and ``clean`` of every distinct raw name of ``rows``: names repeat in sales by the million, so each
     is cleaned once and joined back."""
     return rows.select(raw).filter(F.col(raw).isNotNull()).distinct().withColumn("clean", clean_item(F.col(raw)))
+
+
+def size_mismatches(raw: Column, variant: Column) -> Column:
+    """The sizes and forms in a raw name that its variant does not bear out, joined by commas; empty where
+    all fit or either is null."""
+    low, high = F.lower(raw), F.upper(variant)
+    wrong = lambda must, never: ~high.rlike(must) if never is None else ~high.rlike(must) | high.rlike(never)
+    return F.concat_ws(", ", *[F.when(low.rlike(told) & wrong(must, never), shown) for told, shown, must, never in TOLD_SIZES])

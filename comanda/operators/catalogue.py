@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from comanda.functions.text import uuid5
-from comanda.operators.entities import NAMESPACE
+from comanda.operators.entities import NAMESPACE, name_ratio
 from comanda.sources.adapter import Shop
 
 
@@ -121,6 +121,17 @@ def cluster_problems(review: DataFrame) -> DataFrame:
     return several.unionByName(review.filter("verified = 0").select("name", "variant_id", F.lit("nothing verified").alias("problem")))
 
 
+def suspicious_merges(merges: DataFrame, least: float = 0.6) -> DataFrame:
+    """``merges(merge_id, source_name, target_name, source_variant, target_variant)`` that look wrong: names
+    whose ratio, case aside, is under ``least``, or a shift from one known size to another."""
+    ratio = F.round(name_ratio(F.lower("source_name"), F.lower("target_name")), 6)
+    known = lambda c: F.col(c).isNotNull() & ~F.col(c).isin("UNKNOWN", "1_PIECE")
+    shift = known("source_variant") & known("target_variant") & (F.col("source_variant") != F.col("target_variant"))
+    rows = merges.withColumn("ratio", ratio)
+    problem = F.concat_ws(", ", F.when(F.col("ratio") < least, "names unlike"), F.when(shift, "variant shift"))
+    return rows.withColumn("problem", problem).filter("problem <> ''")
+
+
 def mapped_context(shop: Shop, asked: DataFrame) -> DataFrame:
     """``asked(source_id)`` with the mapping whose point-of-sale id or item id it is. The two keys meet
     in a join each; the first kind wins where both fit."""

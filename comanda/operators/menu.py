@@ -126,7 +126,9 @@ def _today(shop: Shop, day: str) -> DataFrame:
 
 
 def _earlier_customers(shop: Shop, day: str) -> DataFrame:
-    return shop.success.groupBy("customer_id").agg(F.min("business_date").alias("first")).filter(F.col("first") < F.lit(day).cast("date")).select("customer_id")
+    """Customers of the day who had ordered before it; only their orders are shuffled."""
+    before = shop.success.filter(F.col("business_date") < F.lit(day).cast("date")).select("customer_id")
+    return before.join(_today(shop, day).select("customer_id").distinct(), "customer_id", "left_semi").distinct()
 
 
 def returning_customers(shop: Shop, day: str) -> DataFrame:
@@ -154,14 +156,17 @@ def today_items(shop: Shop, day: str) -> DataFrame:
 
 
 def today_customers(shop: Shop, day: str) -> DataFrame:
-    """Order value, distinct items in order of name, and whether the customer came before."""
+    """Order value, distinct items in order of name, whether the customer came before and is verified;
+    verified ones first, then by value."""
     now = _today(shop, day)
     value = now.groupBy("customer_id").agg(money(F.sum("total")).alias("order_value"), F.count(F.lit(1)).alias("orders"))
     named = shop.items.join(now.select("order_id", "customer_id"), "order_id").join(shop.menu.select("menu_item_id", "name"), "menu_item_id")
     items = named.groupBy("customer_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("items"))
     seen = _earlier_customers(shop, day).withColumn("is_returning", F.lit(True))
-    out = value.join(items, "customer_id", "left").join(seen, "customer_id", "left")
-    return out.select("customer_id", "order_value", "orders", F.coalesce("items", F.lit("")).alias("items"), F.coalesce("is_returning", F.lit(False)).alias("is_returning"))
+    out = value.join(items, "customer_id", "left").join(seen, "customer_id", "left").join(shop.customers.select("customer_id", "is_verified"), "customer_id", "left")
+    no = F.lit(False)
+    out = out.select("customer_id", "order_value", "orders", F.coalesce("items", F.lit("")).alias("items"), F.coalesce("is_returning", no).alias("is_returning"), F.coalesce("is_verified", no).alias("is_verified"))
+    return out.orderBy(F.desc("is_verified"), F.desc("order_value"), "customer_id")
 
 
 def today_orders(shop: Shop, day: str) -> DataFrame:

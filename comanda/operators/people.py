@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from comanda.functions.scalars import closeness
-from comanda.functions.text import joined_address, normal_phone, normal_text
+from comanda.functions.text import identity_key, joined_address, normal_phone, normal_text
 from comanda.operators.cosine import nearest
 from comanda.operators.entities import merge_policy, name_ratio
 from comanda.session import written
@@ -97,10 +97,11 @@ def merge_history(shop: Shop, log: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def same_phone_pairs(shop: Shop) -> DataFrame:
-    """Pairs of different customers with one phone; the smaller number first."""
+    """Every other customer of a phone with the first one of it, whose number is smaller: a phone of n
+    customers gives n - 1 pairs, from which all others follow."""
     rows = shop.contacts.select("customer_id", normal_phone(F.col("phone")).alias("phone")).filter("phone is not null")
-    a, b = rows.alias("a"), rows.alias("b")
-    return a.join(b, (F.col("a.phone") == F.col("b.phone")) & (F.col("a.customer_id") < F.col("b.customer_id"))).select(F.col("a.customer_id").alias("customer_id"), F.col("b.customer_id").alias("other_id"), F.col("a.phone").alias("phone"))
+    first = rows.groupBy("phone").agg(F.min("customer_id").alias("first_id"))
+    return rows.join(first, "phone").filter("customer_id > first_id").select(F.col("first_id").alias("customer_id"), F.col("customer_id").alias("other_id"), "phone")
 
 
 def suggestions(shop: Shop, pairs: DataFrame, limit: int = 20, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -119,28 +120,62 @@ def suggestions(shop: Shop, pairs: DataFrame, limit: int = 20, extra: tuple[str,
     return rows.orderBy(F.desc("score"), F.desc("target_orders"), F.desc("target_spent"), "source", "target").limit(limit)
 
 
-def located(asked: DataFrame, known: DataFrame, levels: list[str]) -> DataFrame:
-    """``asked`` with ``customer_id`` and ``level``: the first of the level keys (same names in
-    ``known(customer_id, is_active, ...)``) that names one customer, or one active customer."""
-    out = asked
-    for c in levels:
-        own, on = F.col("customer_id"), F.col("is_active")
-        keys = known.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("one"), F.count(F.when(on, 1)).alias("na"), F.min(F.when(on, own)).alias("active"))
-        keys = keys.select(c, F.when(F.col("n") == 1, F.col("one")).when(F.col("na") == 1, F.col("active")).alias(f"_{c}"))
-        out = out.join(keys, c, "left")
-    level: Column = F.lit(None).cast("string")
-    for c in reversed(levels):
-        level = F.when(F.col(f"_{c}").isNotNull(), c).otherwise(level)
-    return out.select(*asked.columns, F.coalesce(*[F.col(f"_{c}") for c in levels]).alias("customer_id"), level.alias("level"))
+#: Ways to name a customer, the surest first.
+LOCATORS = ("identity_key", "phone_hash", "name_address_hash", "name_address", "address_book", "name")
 
 
-def locator_keys(shop: Shop) -> DataFrame:
-    """customer_id, is_active and the keys by which others may name a customer."""
+def _long(rows: DataFrame, columns: list[str], keys: list[tuple[str, Column]]) -> DataFrame:
+    ways = [F.struct(F.lit(LOCATORS.index(level)).alias("place"), key.alias("key")) for level, key in keys]
+    return rows.select(*columns, F.inline(F.array(*ways))).filter("key is not null")
+
+
+def known_locators(people: DataFrame) -> DataFrame:
+    """Every way in which ``people(customer_id, is_active, identity_key, name, phone, address)`` can be
+    named: customer_id, is_active, place in LOCATORS and key."""
+    name, phone, place = normal_text(F.col("name")), normal_phone(F.col("phone")), normal_text(F.col("address"))
+    hashed = F.sha2(place, 256)
+    book = lambda n: F.concat(n, F.lit("|"), hashed)
+    keys = [
+        ("identity_key", F.col("identity_key")), ("phone_hash", F.sha2(phone, 256)), ("name_address_hash", F.sha2(F.concat(name, F.lit("|"), place), 256)), ("name_address", F.concat(name, F.lit("\n"), place)),
+        ("address_book", book(name)), ("address_book", book(F.lit(""))), ("name", F.when(F.length(name) >= 3, name)),
+    ]
+    return _long(people, ["customer_id", "is_active"], keys)
+
+
+def asked_locators(asked: DataFrame) -> DataFrame:
+    """The same of descriptions ``asked(asked, identity_key, phone_hash, name_address_hash, name, address,
+    address_hashes)``; of several addresses any may fit, together with the name where it is given."""
+    name, place = normal_text(F.col("name")), normal_text(F.col("address"))
+    keys = [(c, F.nullif(F.col(c), F.lit(""))) for c in ("identity_key", "phone_hash", "name_address_hash")]
+    keys += [("name_address", F.concat(name, F.lit("\n"), place)), ("name", F.when(F.length(name) >= 3, name))]
+    hashes = asked.select("asked", "name", F.explode("address_hashes").alias("hash"))
+    book = _long(hashes, ["asked"], [("address_book", F.concat(F.coalesce(name, F.lit("")), F.lit("|"), F.nullif(F.col("hash"), F.lit(""))))])
+    return _long(asked, ["asked"], keys).unionByName(book).distinct()
+
+
+def located(asked: DataFrame, people: DataFrame) -> DataFrame:
+    """``asked`` with the customer that each description means and by which of LOCATORS: the first that
+    fits one customer, or one active customer.
+
+    The least and greatest customer of a key tell whether there is one, so a key that very many share
+    is a row.
+    """
+    own = F.col("customer_id")
+    on = F.when(F.col("is_active"), own)
+    keys = known_locators(people).groupBy("place", "key").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.min(on).alias("low_on"), F.max(on).alias("high_on"))
+    each = asked_locators(asked).join(keys, ["place", "key"]).groupBy("asked", "place").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("low_on").alias("low_on"), F.max("high_on").alias("high_on"))
+    one = F.when(F.col("low") == F.col("high"), F.col("low")).when(F.col("low_on") == F.col("high_on"), F.col("low_on"))
+    best = each.withColumn("one", one).filter("one is not null").groupBy("asked").agg(F.min_by("one", "place").alias("customer_id"), F.min("place").alias("place"))
+    level = F.get(F.array(*map(F.lit, LOCATORS)), F.col("place"))
+    return asked.join(best, "asked", "left").select(*asked.columns, "customer_id", level.alias("level"))
+
+
+def described(shop: Shop) -> DataFrame:
+    """customer_id, is_active, identity_key, name (several share one), phone and primary address."""
     address = primary_addresses(shop).select("customer_id", "address")
-    rows = shop.contacts.join(address, "customer_id", "left")
-    phone, name = normal_phone(F.col("phone")), normal_text(F.regexp_replace("name", "[0-9]$", ""))
-    place = normal_text(F.col("address"))
-    return rows.select("customer_id", (F.col("customer_id") % 6 != 3).alias("is_active"), F.sha2(phone, 256).alias("phone_hash"), F.sha2(F.when(place.isNotNull(), F.concat_ws("|", name, place)), 256).alias("address_hash"), name.alias("name_key"))
+    rows = shop.contacts.join(address, "customer_id", "left").withColumn("name", F.regexp_replace("name", "[0-9]$", ""))
+    key = identity_key(F.col("phone"), F.col("name"), F.col("address"), F.col("customer_id"))
+    return rows.select("customer_id", (F.col("customer_id") % 6 != 3).alias("is_active"), key.alias("identity_key"), "name", "phone", "address")
 
 
 def name_similarity(a: Column, b: Column) -> Column:

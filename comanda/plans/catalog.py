@@ -58,7 +58,7 @@ _AGAIN = f"ag AS (SELECT menu_item_id, count(*) AS customers, count(*) FILTER (W
 add("A30_item_reorders", lambda s: menu.item_reorders(s, TODAY), f", {_AGAIN} SELECT * FROM ag")
 add("A32_today_summary", lambda s: menu.today_summary(s, TODAY), f", {_DAY} SELECT count(*) AS orders, round(coalesce(sum(total), 0.0), 2) AS revenue, count(DISTINCT customer_id) AS customers, count(DISTINCT customer_id) FILTER (WHERE customer_id IN (SELECT customer_id FROM seen)) AS returning, {_SOURCES}, {', '.join(f"count(*) FILTER (WHERE order_from = '{v}') AS orders_{n}" for n, v in enumerate(insights.SOURCES, 1))} FROM today")
 add("A33_today_items", lambda s: menu.today_items(s, TODAY), f", {_DAY}, {_AGAIN} SELECT menu_item_id, coalesce(name, 'unknown') AS name, coalesce(type, 'other') AS category, sum(quantity) AS quantity, round(sum(total_price), 2) AS revenue, coalesce(any_value(reorder_customers), 0) AS reorder_customers FROM sold LEFT JOIN m USING (menu_item_id) LEFT JOIN ag USING (menu_item_id) WHERE order_id IN (SELECT order_id FROM today) GROUP BY 1, 2, 3")
-add("A34_today_customers", lambda s: menu.today_customers(s, TODAY), f", {_DAY}, n AS (SELECT customer_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS items FROM i JOIN today USING (order_id) JOIN m USING (menu_item_id) GROUP BY 1) SELECT customer_id, round(sum(total), 2) AS order_value, count(*) AS orders, coalesce(any_value(items), '') AS items, customer_id IN (SELECT customer_id FROM seen) AS is_returning FROM today LEFT JOIN n USING (customer_id) GROUP BY customer_id")
+add("A34_today_customers", lambda s: menu.today_customers(s, TODAY), f", {_DAY}, n AS (SELECT customer_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS items FROM i JOIN today USING (order_id) JOIN m USING (menu_item_id) GROUP BY 1) SELECT customer_id, round(sum(total), 2) AS order_value, count(*) AS orders, coalesce(any_value(items), '') AS items, customer_id IN (SELECT customer_id FROM seen) AS is_returning, coalesce(any_value(is_verified), false) AS is_verified FROM today LEFT JOIN n USING (customer_id) LEFT JOIN (SELECT customer_id, is_verified FROM c) v USING (customer_id) GROUP BY customer_id")
 add("A35_today_orders", lambda s: menu.today_orders(s, TODAY), f", {_DAY}, ln AS (SELECT order_id, customer_id, total, menu_item_id, CAST(sum(quantity) AS BIGINT) AS q FROM i JOIN today USING (order_id) GROUP BY 1, 2, 3, 4), had AS (SELECT DISTINCT customer_id, menu_item_id FROM i JOIN ok USING (order_id) WHERE bd < DATE '{TODAY}') SELECT order_id, customer_id, round(total, 2) AS total, string_agg(name || '(' || q || ')' || CASE WHEN (customer_id, menu_item_id) IN (SELECT (customer_id, menu_item_id) FROM had) THEN '-Repeat' ELSE '' END, ', ' ORDER BY name || '(' || q || ')' || CASE WHEN (customer_id, menu_item_id) IN (SELECT (customer_id, menu_item_id) FROM had) THEN '-Repeat' ELSE '' END) AS items FROM ln JOIN m USING (menu_item_id) GROUP BY 1, 2, 3")
 _BR = lambda t, k: f"SELECT menu_item_id, customer_id, bd, quantity, quantity * unit_price AS revenue, row_number() OVER (PARTITION BY customer_id, menu_item_id ORDER BY created_on, order_id, quantity, unit_price) AS nth, '{k}' AS kind FROM (SELECT DISTINCT order_id, menu_item_id, quantity, unit_price FROM {t}) d JOIN ok USING (order_id)"
 

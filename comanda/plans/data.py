@@ -8,10 +8,10 @@ from comanda.functions import scalars
 from comanda.functions.dates import text_date
 from comanda.operators import insights
 from comanda.plans.base import NOW, TODAY, add, inside
-from comanda.session import scratch
+from comanda.session import scratch, written
 from comanda.sources import files, payloads
 from comanda.sources.adapter import Shop
-from comanda.streaming import incremental, tables
+from comanda.streaming import customers, incremental, tables, versions
 
 # scalars -----------------------------------------------------------------------------------------
 
@@ -129,6 +129,40 @@ def _replayed(s: Shop):
 
 add("T2_replay_is_idempotent", _replayed, "SELECT order_id, count(*) AS lines, round(sum(total_price), 2) AS amount FROM i WHERE order_id IN (SELECT order_id FROM o) GROUP BY 1")
 
+def _kept_customers(s: Shop):
+    """Half of the orders, some walk-in customers verified by hand, the other half, and then all events again
+    with the later ones of some orders."""
+    feed = written(payloads.order_feed(s), "feed")
+    book = customers.Customers.open(s.spark, scratch(s.spark, "customers"), buckets=16)
+    half = lambda k: feed.filter((F.col("stream_id") < 1_000_000_000) & (F.floor(F.col("stream_id") / 2) % 2 == k))
+    book.ingest(half(0), 0)
+    known = payloads.opened(half(0)).filter("order_id % 4 = 0")
+    book.verify(known.select(payloads.key_of(known).alias("identity_key")).filter("startswith(identity_key, 'anon:')"))
+    book.ingest(half(1), 1)
+    book.ingest(feed, 2)
+    rows = book.customers.read()
+    return rows.withColumn("first_order", F.col("first_order").cast("string")).withColumn("last_order", F.col("last_order").cast("string")).withColumn("total_spent", F.round("total_spent", 2))
+
+
+add(
+    "E1_kept_customers", _kept_customers,
+    _EV + """, ar AS (SELECT *, (order_id % 2) * 1000000000000 + order_id AS place FROM ev) SELECT identity_key, arg_min(name, place) AS name, '+91 ' || min(digits) AS phone, arg_min(address, place) AS address, strftime(min(created_on), '%Y-%m-%d %H:%M:%S') AS first_order, strftime(max(created_on), '%Y-%m-%d %H:%M:%S') AS last_order, count(*) AS total_orders, round(sum(t), 2) AS total_spent,
+NOT starts_with(identity_key, 'anon') OR bool_or(order_id % 4 = 0 AND order_id % 5 <> 0) AS is_verified FROM ar GROUP BY 1
+UNION ALL SELECT 'anon:' || sha256(order_id || '-0'), name, NULL, NULL, strftime(created_on, '%Y-%m-%d %H:%M:%S'), strftime(created_on, '%Y-%m-%d %H:%M:%S'), 0, 0.0::DOUBLE, true FROM ev WHERE customer_id % 3 = 2 AND order_id % 20 = 0""",
+)
+
+
+def _versioned_events(s: Shop):
+    """Each user's last event, from a table that took the events in by thirds, the last third first."""
+    rows = s.raw("events").select("user_id", "event_id", "event_type", F.round("value", 2).alias("value"))
+    table = versions.Table.create(s.spark, scratch(s.spark, "events"), "user_id bigint, event_id bigint, event_type string, value double", ["user_id"], buckets=16)
+    for k in (2, 1, 0):
+        table.upsert(rows.filter(F.col("event_id") % 3 == k), "event_id", 2 - k)
+    return table.read()
+
+
+add("S10_versioned_upsert", _versioned_events, "SELECT user_id, event_id, event_type, round(value, 2) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+
 # changing tables ---------------------------------------------------------------------------------
 
 _OLD = lambda s: s.menu.filter("menu_item_id % 3 <> 0").select("menu_item_id", "name", "price")
@@ -158,7 +192,7 @@ add(
     "T9_missing_events", lambda s: tables.missing_events(s.customers.select(F.col("customer_id").alias("merge_id"), (F.col("customer_id") % 3 == 0).alias("undone")), s.customers.filter("customer_id % 4 <> 1").select(F.col("customer_id").alias("merge_id"), F.lit("merge").alias("event_type"))),
     "SELECT customer_id AS merge_id, 'merge' AS event_type FROM c WHERE customer_id % 4 = 1 UNION ALL SELECT customer_id, 'undo' FROM c WHERE customer_id % 3 = 0",
 )
-add("T14_signed_events", lambda s: tables.signed(s.raw("events").select("user_id", "event_id", "event_type", F.col("event_id").alias("seq")), ["user_id"], "seq"), "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS seq, sha256('event_id=' || max(event_id) || '|event_type=' || arg_max(event_type, event_id) || '|user_id=' || user_id) AS signature FROM events GROUP BY user_id")
+add("T14_signed_events", lambda s: tables.signed(s.raw("events").select("user_id", "event_id", "event_type", F.col("event_id").alias("seq")), ["user_id"], "seq"), """SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS seq, sha256('{"event_id":' || max(event_id) || ',"event_type":"' || arg_max(event_type, event_id) || '","user_id":' || user_id || '}') AS signature FROM events GROUP BY user_id""")
 _CONV = lambda s: s.raw("conversations").groupBy("conv_id").agg((F.max("turn") * 10 + F.col("conv_id") % 10).alias("updated_at")).withColumn("synced_at", F.when(F.col("conv_id") % 3 == 1, F.col("updated_at") - 1).when(F.col("conv_id") % 3 == 2, F.col("updated_at")))
 add(
     "T10_conversations_to_sync", lambda s: tables.conversations_to_sync(_CONV(s), s.raw("conversations")).select("conv_id", "updated_at", F.size("messages").alias("n_messages"), F.array_join(F.col("messages.role"), ",").alias("roles")),

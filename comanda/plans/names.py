@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comanda.functions import item_names as rules
-from comanda.functions.item_names import clean_item, clean_names, suggested_variant
+from comanda.functions.item_names import clean_item, clean_names, size_mismatches, suggested_variant
+from comanda.operators.catalogue import suspicious_merges
 from comanda.plans.base import add
 from comanda.sources.adapter import Shop
 
@@ -92,3 +93,24 @@ add(
     "X12_variant_suggestions", lambda s: _raw_menu(s).withColumn("s", suggested_variant(F.col("raw"))).select("menu_item_id", "raw", F.col("s.variant_name").alias("variant_name"), F.length("s.variant_id").alias("id_length")),
     f"{_MENU_RAW}, sg AS (SELECT raw, CASE WHEN variant <> '1_PIECE' THEN variant WHEN type = 'Ice Cream' OR contains(lower(raw), 'ice cream') THEN {_SIZE} END AS v FROM cleaned) SELECT menu_item_id, raw, v AS variant_name, CASE WHEN v IS NOT NULL THEN 36 END AS id_length FROM mr JOIN sg USING (raw)",
 )
+
+
+def _mapped_variants(s: Shop) -> DataFrame:
+    """Raw names under the variant that another spelling of the name has."""
+    i = F.col("menu_item_id")
+    return s.menu.select(i, _spelled(F.col("name"), i).alias("raw"), clean_item(_spelled(F.col("name"), i + 1))["variant"].alias("variant"))
+
+
+def _menu_merges(s: Shop) -> DataFrame:
+    rows = _mapped_variants(s).select("menu_item_id", F.col("raw").alias("name"), "variant")
+    side = lambda p, at: rows.select(at.alias("merge_id"), F.col("name").alias(f"{p}_name"), F.col("variant").alias(f"{p}_variant"))
+    return side("source", F.col("menu_item_id")).join(side("target", F.col("menu_item_id") + 1), "merge_id")
+
+
+_WRONG = ", ".join(f"CASE WHEN regexp_matches(lower(mr.raw), {_quoted(told)}) AND (NOT regexp_matches(upper(variant), {_quoted(must)}){f' OR contains(upper(variant), {_quoted(never)})' if never else ''}) THEN {_quoted(shown)} END" for told, shown, must, never in rules.TOLD_SIZES)
+add(
+    "E18_size_mismatches", lambda s: _mapped_variants(s).withColumn("problem", size_mismatches(F.col("raw"), F.col("variant"))).filter("problem <> ''"),
+    f", mr AS (SELECT menu_item_id, {_RAW('name', 'menu_item_id')} AS raw, {_RAW('name', 'menu_item_id + 1')} AS other FROM m), k1 AS (SELECT DISTINCT other AS raw FROM mr), {_CLEAN} SELECT * FROM (SELECT menu_item_id, mr.raw AS raw, variant, concat_ws(', ', {_WRONG}) AS problem FROM mr JOIN cleaned ON cleaned.raw = mr.other) WHERE problem <> ''",
+)
+# the ratio of names is the standard library's; held to it in pytest
+add("E18_suspicious_merges", lambda s: suspicious_merges(_menu_merges(s)), None)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from comanda.functions.text import joined_address
-from comanda.operators import catalogue, entities, people
+from comanda.functions.text import joined_address, normal_phone, normal_text
+from comanda.operators import catalogue, entities, merges, people
 from comanda.operators.loyalty import affinity_rows
 from comanda.operators.menu import menu_summary
 from comanda.plans.base import NOW, add, inside
@@ -48,7 +48,7 @@ add(
 (SELECT count(DISTINCT {_LINE}) FROM ads x WHERE x.customer_id = source AND {_LINE} NOT IN (SELECT {_LINE} FROM ads y WHERE y.customer_id = target)) AS addresses_copied, coalesce(b.phone, a.phone) AS phone FROM pr JOIN ct a ON a.customer_id = source LEFT JOIN ct b ON b.customer_id = target""",
 )
 add("E8_merge_history", lambda s: people.merge_history(s, entities.demo_merges(s)), f", {_PAIRS_SQL} SELECT source AS merge_id, source, target, a.name AS source_name, b.name AS target_name, source % 30 = 0 AS is_undone FROM pr LEFT JOIN c a ON a.customer_id = source LEFT JOIN c b ON b.customer_id = target ORDER BY source DESC LIMIT 20")
-_PHONE = "pp AS (SELECT a.customer_id, b.customer_id AS other_id, right(regexp_replace(a.phone, '[^0-9]', '', 'g'), 10) AS phone FROM ct a JOIN ct b ON a.phone = b.phone AND a.customer_id < b.customer_id)"
+_PHONE = "pp AS (SELECT a.customer_id, b.customer_id AS other_id, right(regexp_replace(a.phone, '[^0-9]', '', 'g'), 10) AS phone FROM ct a JOIN ct b ON a.phone = b.phone AND a.customer_id < b.customer_id AND NOT EXISTS (SELECT 1 FROM ct x WHERE x.phone = a.phone AND x.customer_id < a.customer_id))"
 add("J17_same_phone_pairs", people.same_phone_pairs, f", {_PHONE} SELECT * FROM pp")
 add(
     "L7_merge_suggestions", lambda s: people.suggestions(s, people.same_phone_pairs(s).select("customer_id", "other_id", F.round(F.lit(0.88) + F.col("customer_id") % 10 / 100, 2).alias("score"))),
@@ -59,17 +59,77 @@ SELECT CASE WHEN swap THEN other_id ELSE customer_id END AS source, CASE WHEN sw
 
 
 def _located(s: Shop) -> DataFrame:
-    known = people.locator_keys(s)
-    asked = known.select(F.col("customer_id").alias("asked"), F.when(F.col("customer_id") % 5 != 0, F.col("phone_hash")).alias("phone_hash"), F.when(F.col("customer_id") % 7 != 0, F.col("address_hash")).alias("address_hash"), "name_key")
-    return people.located(asked, known, ["phone_hash", "address_hash", "name_key"]).select("asked", "customer_id", "level")
+    people_ = people.described(s)
+    i, text = F.col("customer_id"), lambda c: normal_text(F.col(c))
+    hashes = s.addresses.groupBy("customer_id").agg(F.collect_set(F.sha2(normal_text(joined_address(F.col("address_line_1"), F.col("address_line_2"), F.col("city"))), 256)).alias("address_hashes"))
+    asked = people_.join(hashes, "customer_id", "left").select(
+        i.alias("asked"), F.when(i % 4 == 1, F.col("identity_key")).alias("identity_key"), F.when(i % 5 != 0, F.sha2(normal_phone(F.col("phone")), 256)).alias("phone_hash"),
+        F.when(i % 7 == 0, F.sha2(F.concat(text("name"), F.lit("|"), text("address")), 256)).alias("name_address_hash"), F.when(i % 11 != 0, F.col("name")).alias("name"), F.when(i % 5 == 1, F.col("address")).alias("address"), "address_hashes",
+    )
+    return people.located(asked, people_).select("asked", "customer_id", "level")
 
 
-_LEVEL = lambda t, k: f"{t} AS (SELECT {k}, CASE WHEN count(*) = 1 THEN min(customer_id) WHEN count(*) FILTER (WHERE act) = 1 THEN min(customer_id) FILTER (WHERE act) END AS id FROM kk WHERE {k} IS NOT NULL GROUP BY 1)"
 add(
     "J19_located_customers", _located,
-    f""", {_PRIMARY}, kk AS (SELECT ct.customer_id, ct.customer_id % 6 <> 3 AS act, right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) AS ph, lower(regexp_replace(name, '[0-9]$', '')) AS nm, CASE WHEN address IS NOT NULL THEN lower(regexp_replace(name, '[0-9]$', '')) || '|' || lower(address) END AS ad FROM ct LEFT JOIN pa USING (customer_id)),
-{_LEVEL('l1', 'ph')}, {_LEVEL('l2', 'ad')}, {_LEVEL('l3', 'nm')} SELECT kk.customer_id AS asked, coalesce(l1.id, l2.id, l3.id) AS customer_id, CASE WHEN l1.id IS NOT NULL THEN 'phone_hash' WHEN l2.id IS NOT NULL THEN 'address_hash' WHEN l3.id IS NOT NULL THEN 'name_key' END AS level
-FROM kk LEFT JOIN l1 ON l1.ph = kk.ph AND kk.customer_id % 5 <> 0 LEFT JOIN l2 ON l2.ad = kk.ad AND kk.customer_id % 7 <> 0 LEFT JOIN l3 ON l3.nm = kk.nm""",
+    f""", {_PRIMARY}, pp AS (SELECT ct.customer_id, ct.customer_id % 6 <> 3 AS act, right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) AS ph, lower(regexp_replace(name, '[0-9]$', '')) AS nm, lower(address) AS ad FROM ct LEFT JOIN pa USING (customer_id)),
+kn AS (SELECT * FROM (SELECT 0 AS place, CASE WHEN ph IS NOT NULL THEN 'phone:' || sha256(ph) WHEN ad IS NOT NULL THEN 'addr:' || sha256(nm || '|' || ad) ELSE 'anon:' || sha256(CAST(customer_id AS VARCHAR)) END AS key, customer_id, act FROM pp
+  UNION ALL SELECT 1, sha256(ph), customer_id, act FROM pp UNION ALL SELECT 2, sha256(nm || '|' || ad), customer_id, act FROM pp UNION ALL SELECT 3, nm || chr(10) || ad, customer_id, act FROM pp
+  UNION ALL SELECT 4, nm || '|' || sha256(ad), customer_id, act FROM pp UNION ALL SELECT 4, '|' || sha256(ad), customer_id, act FROM pp UNION ALL SELECT 5, nm, customer_id, act FROM pp WHERE length(nm) >= 3) WHERE key IS NOT NULL),
+ak AS (SELECT customer_id AS asked, place, key FROM kn WHERE CASE place WHEN 0 THEN customer_id % 4 = 1 WHEN 1 THEN customer_id % 5 <> 0 WHEN 2 THEN customer_id % 7 = 0 WHEN 3 THEN customer_id % 5 = 1 AND customer_id % 11 <> 0 WHEN 5 THEN customer_id % 11 <> 0 ELSE false END
+  UNION ALL SELECT customer_id, 4, CASE WHEN customer_id % 11 <> 0 THEN nm ELSE '' END || '|' || sha256(lower({_ADDRESS})) FROM ads JOIN pp USING (customer_id)),
+f AS (SELECT asked, place, count(DISTINCT customer_id) AS n, min(customer_id) AS one, count(DISTINCT customer_id) FILTER (WHERE act) AS na, min(customer_id) FILTER (WHERE act) AS oa FROM ak JOIN kn USING (place, key) GROUP BY 1, 2),
+g AS (SELECT asked, place, CASE WHEN n = 1 THEN one ELSE oa END AS id FROM f WHERE n = 1 OR na = 1)
+SELECT pp.customer_id AS asked, arg_min(id, place) AS customer_id, ['identity_key', 'phone_hash', 'name_address_hash', 'name_address', 'address_book', 'name'][min(place) + 1] AS level FROM pp LEFT JOIN g ON asked = pp.customer_id GROUP BY 1""",
+)
+
+
+def _merged(s: Shop) -> merges.Book:
+    """Customers merged into the one whose number ends in 0, as merge policy allows."""
+    i = F.col("customer_id")
+    book = merges.Book.new(s.contacts.select("customer_id", "phone", F.when(i % 4 == 1, F.concat(F.lit("Street "), i.cast("string"))).alias("address"), "is_verified"), s.orders.select("order_id", "customer_id"), s.addresses)
+    asked = s.customers.filter(i % 10 > 0).select(i.alias("merge_id"), i.alias("source"), (i - i % 10).alias("target"), (i % 4 == 0).alias("mark_verified"))
+    return merges.apply(book, asked)[0].written()
+
+
+def _undone(s: Shop) -> merges.Book:
+    book = _merged(s)
+    return merges.undo(book, book.history.filter("source % 3 = 0").select("merge_id"))[0]
+
+
+def _held(book: merges.Book) -> DataFrame:
+    """Each customer with its fields, orders, addresses and default address."""
+    orders = book.orders.groupBy("customer_id").agg(F.count(F.lit(1)).alias("orders"))
+    places = book.addresses.groupBy("customer_id").agg(F.count(F.lit(1)).alias("addresses"), F.min(F.when(F.col("is_default"), F.col("address_id"))).alias("default_id"))
+    return book.customers.join(orders, "customer_id", "left").join(places, "customer_id", "left").na.fill(0, ["orders", "addresses"])
+
+
+_MERGED_SQL = f"""cx AS (SELECT customer_id, phone, CASE WHEN customer_id % 4 = 1 THEN 'Street ' || customer_id END AS address, is_verified FROM ct),
+jd AS (SELECT a.customer_id AS source, b.customer_id AS target, a.customer_id % 4 = 0 AND NOT a.is_verified AS mark, a.phone AS sp, a.address AS sa, a.is_verified AS sv, b.phone AS tp, b.address AS ta, b.is_verified OR coalesce(bool_or(a.customer_id % 4 = 0 AND NOT a.is_verified) OVER b4, false) AS bv FROM cx a JOIN cx b ON b.customer_id = a.customer_id - a.customer_id % 10 AND a.customer_id % 10 > 0 WINDOW b4 AS (PARTITION BY b.customer_id ORDER BY a.customer_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ap AS (SELECT *, source % 3 = 0 AS undone, coalesce(tp, first_value(sp IGNORE NULLS) OVER b4) AS bp, coalesce(ta, first_value(sa IGNORE NULLS) OVER b4) AS ba FROM jd WHERE NOT (sv AND NOT bv) WINDOW b4 AS (PARTITION BY target ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+al AS (SELECT *, {_LINE} AS line FROM ads), cp AS (SELECT target, line, min(source) AS source FROM ap JOIN al ON al.customer_id = source WHERE NOT EXISTS (SELECT 1 FROM al y WHERE y.customer_id = target AND y.line = al.line) GROUP BY 1, 2),
+od AS (SELECT customer_id, count(*) AS addresses, min(address_id) FILTER (WHERE is_default) AS default_id FROM ads GROUP BY 1), cd AS (SELECT target, min(al.customer_id) AS source, min(address_id) AS default_id FROM cp JOIN al ON al.customer_id = source AND al.line = cp.line WHERE is_default GROUP BY 1)"""
+
+
+def _held_sql(left: str, fields: str) -> str:
+    """Merges not in ``left`` count as undone; ``fields`` gives phone, address and is_verified."""
+    return f""", {_MERGED_SQL}, oc AS (SELECT coalesce(target, customer_id) AS customer_id, count(*) AS n FROM o LEFT JOIN ap ON ap.source = o.customer_id AND {left} GROUP BY 1), cn AS (SELECT cp.target, count(*) AS n FROM cp JOIN ap USING (source) WHERE {left} GROUP BY 1)
+SELECT cx.customer_id, {fields}, coalesce(oc.n, 0) AS orders, coalesce(od.addresses, 0) + coalesce(cn.n, 0) AS addresses, coalesce(od.default_id, CASE WHEN (SELECT bool_or({left}) FROM ap WHERE ap.source = cd.source) THEN cd.default_id END) AS default_id
+FROM cx LEFT JOIN oc USING (customer_id) LEFT JOIN od USING (customer_id) LEFT JOIN cn ON cn.target = cx.customer_id LEFT JOIN cd ON cd.target = cx.customer_id"""
+
+
+_OF = "FROM ap WHERE ap.target = cx.customer_id"
+_GAIN = {
+    "phone": f"coalesce(cx.phone, (SELECT arg_min(sp, source) {_OF} AND sp IS NOT NULL))", "address": f"coalesce(cx.address, (SELECT arg_min(sa, source) {_OF} AND sa IS NOT NULL))",
+    "is_verified": f"cx.is_verified OR coalesce((SELECT bool_or(mark) {_OF}), false)",
+}
+_BEFORE = {"phone": "bp", "address": "ba", "is_verified": "bv"}
+_GAINS = ", ".join(f"{gain} AS {c}" for c, gain in _GAIN.items())
+_RESTORED = ", ".join(f"CASE WHEN cx.customer_id IN (SELECT target FROM ap WHERE undone) THEN (SELECT arg_min(CASE WHEN {_BEFORE[c]} IS NULL THEN [] ELSE [{_BEFORE[c]}] END, source)[1] {_OF} AND undone) ELSE {gain} END AS {c}" for c, gain in _GAIN.items())
+add("E7_applied_merges", lambda s: _held(_merged(s)), _held_sql("true", _GAINS))
+add("E7_undone_merges", lambda s: _held(_undone(s)), _held_sql("NOT ap.undone", _RESTORED))
+add(
+    "E8_merge_contexts", lambda s: merges.contexts(_undone(s)),
+    f", {_MERGED_SQL} SELECT source AS merge_id, source, target, bp AS before_phone, ba AS before_address, bv AS before_verified, undone AS is_undone, (SELECT count(*) FROM o WHERE customer_id = source) AS orders_moved, (SELECT count(*) FROM cp WHERE cp.source = ap.source AND NOT undone) AS addresses_copied FROM ap",
 )
 
 add("U3_pair_scores", lambda s: people.pair_scores(s, people.same_phone_pairs(s)), None)

@@ -87,10 +87,11 @@ def missing_events(history: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def signed(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last row of each key, with a signature: SHA-256 of its columns in the order of their names."""
+    """The last row of each key, with a signature: SHA-256 of its columns as a JSON object,
+    in the order of their names, so that different rows sign differently."""
     names = sorted(c for c in rows.columns if c != order)
     last = rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in key]), F.col(order)).alias("r")).select(*key, "r.*")
-    text = F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in names])
+    text = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
     return last.withColumn("signature", F.sha2(text, 256))
 
 
