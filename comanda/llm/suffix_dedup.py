@@ -39,6 +39,8 @@ PORTION = 1 << 16
 PARTITION_BYTES = 64 << 20
 #: Bytes of units that go into one suffix order.
 ORDER_BYTES = 1 << 20
+#: Starts of strings that are looked up in one go.
+STARTS = 1 << 20
 NO_ID, NULLS = -(1 << 63), -(1 << 62)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TWO = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -395,15 +397,33 @@ def _cut(base: DataFrame, shared: DataFrame, n_buckets: int) -> DataFrame:
     return base.join(shared, "did").select("doc_id", "did", "bytes", "keys").mapInArrow(cut, CUT)
 
 
+def _runs(size: np.ndarray, place: np.ndarray, ident: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(unit, offset, length) of each run of starts within a unit that a smaller document holds; whole
+    units with about STARTS starts at a time."""
+    upto = np.cumsum(size)
+    edges = np.unique(np.concatenate([np.searchsorted(upto, np.arange(0, upto[-1], STARTS), side="right"), [0, len(size)]]))
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        n = size[lo:hi]
+        unit = np.repeat(np.arange(lo, hi), n)
+        off = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
+        goes = least[place[unit] + off] < ident[unit]
+        edge = goes.copy()
+        edge[1:] &= ~(goes[:-1] & (unit[1:] == unit[:-1]))
+        last = goes.copy()
+        last[:-1] &= ~(goes[1:] & (unit[1:] == unit[:-1]))
+        a, z = np.flatnonzero(edge), np.flatnonzero(last)
+        yield unit[a], off[a], off[z] - off[a] + 1
+
+
 def _marked(cut: DataFrame, n: int) -> DataFrame:
     """(did, spans): the starts of strings that a smaller doc_id holds, by the text's tag."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_bucket(batches):
-            opened = [zstandard.ZstdDecompressor().decompress(c) if c is not None else None for c in t.column("contents").to_pylist()]
             out, contents, asked = [], [], []
             number: dict[bytes, int] = {}
-            for k, text in enumerate(opened):
+            for k, packed in enumerate(t.column("contents")):
+                text = zstandard.ZstdDecompressor().decompress(packed.as_py()) if packed.is_valid else None
                 place = [np.frombuffer(t.column(name)[k].as_py(), kind) for name, kind in PLACES]
                 if text is None:
                     out.append(place)
@@ -419,16 +439,8 @@ def _marked(cut: DataFrame, n: int) -> DataFrame:
                 part = np.zeros(len(number), np.int64)
                 part[which] = sub.astype(np.int64) * -(-sum(map(len, number)) // ORDER_BYTES) // 256
                 least, begin = _held_by_parts(list(number), ids, part)
-                unit = np.repeat(np.arange(len(size)), size)
-                off = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
-                goes = least[begin[which[unit]] + off] < ident[unit]
-                # runs of going starts within a unit
-                edge = goes.copy()
-                edge[1:] &= ~(goes[:-1] & (unit[1:] == unit[:-1]))
-                last = goes.copy()
-                last[:-1] &= ~(goes[1:] & (unit[1:] == unit[:-1]))
-                a, z = np.flatnonzero(edge), np.flatnonzero(last)
-                out.append([did[unit[a]], tag[unit[a]], at[unit[a]] + off[a], off[z] - off[a] + 1])
+                for unit, off, many in _runs(size, begin[which], ident, least):
+                    out.append([did[unit], tag[unit], at[unit] + off, many])
             did, tag, at, size = (np.concatenate([p[c] for p in out]) for c in range(4))
             yield pa.RecordBatch.from_arrays([pa.array(did.astype(np.int64)), pa.array(tag.astype(np.uint32).view(np.int32)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int16))], ["did", "tag", "at", "n"])
 

@@ -167,3 +167,26 @@ def test_ball_kmeans_defined_cases(spark):
     assert [r["cluster"] for r in ball_kmeans.judged(spark.createDataFrame([(1, [0.0] * 64), (1, [0.0] * 64)], schema)).collect()] == [0, 0]
     with pytest.raises(Exception, match="beyond"):
         ball_kmeans.judged(spark.createDataFrame([(1, [3e30] * 64)], schema)).collect()
+
+
+def test_runs_of_starts_by_stretches(monkeypatch):
+    from comanda.llm import suffix_dedup
+
+    r = np.random.default_rng(4)
+    size = r.integers(1, 9, 200)
+    place = np.cumsum(size) - size
+    least, ident = r.integers(0, 3, size.sum()), r.integers(0, 4, 200)
+    want = []
+    for u, (p, n) in enumerate(zip(place.tolist(), size.tolist())):
+        goes = [*(least[p : p + n] < ident[u]).tolist(), False]
+        begin = None
+        for k, g in enumerate(goes):
+            if g and begin is None:
+                begin = k
+            elif not g and begin is not None:
+                want.append((u, begin, k - begin))
+                begin = None
+    for starts in (1, 5, 64, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "STARTS", starts)
+        got = [x for part in suffix_dedup._runs(size, place, ident, least) for x in zip(*(c.tolist() for c in part), strict=True)]
+        assert got == want
