@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comanda.functions.text import joined_address, normal_phone, normal_text
-from comanda.operators import catalogue, entities, merges, people
+from comanda.operators import catalogue, entities, menu_log, merges, people
 from comanda.operators.loyalty import affinity_rows
 from comanda.operators.menu import menu_summary
 from comanda.plans.base import NOW, add, inside
@@ -188,6 +188,72 @@ add(
     """, q AS (SELECT CASE WHEN menu_item_id % 3 = 0 THEN menu_item_id WHEN menu_item_id % 10 = 1 THEN menu_item_id - 1 WHEN menu_item_id % 10 = 2 AND variant_id = 'v1' THEN menu_item_id + 1 ELSE menu_item_id END AS item,
 CASE WHEN menu_item_id % 3 <> 0 AND variant_id = 'v1' AND menu_item_id % 10 = 2 THEN 'v2' WHEN menu_item_id % 3 <> 0 AND variant_id = 'v1' AND menu_item_id % 10 = 5 THEN 'v3' ELSE variant_id END AS variant, quantity FROM vl) SELECT item AS menu_item_id, variant AS variant_id, count(*) AS lines, sum(quantity) AS quantity FROM q GROUP BY 1, 2""",
 )
+def _menu_log(s: Shop) -> DataFrame:
+    """For each ten items: 1 into 2, 2 into 3 with variants, the first undone, variant v2 of 3 resolved to 4's v9; 5 into 6, 6 into 7 and
+    that undone; v1 of 8 resolved to 9's v3 and that undone."""
+    i = F.col("menu_item_id")
+    cast = lambda v: F.lit(v).cast("string")
+
+    def merge(d: int, k: int, kind: str, variant: str | None = None, target_variant: str | None = None) -> DataFrame:
+        return s.menu.filter(i % 10 == d).select((i - d + k).alias("seq"), (i - d + k).alias("merge_id"), F.lit("merge").alias("event"), F.lit(kind).alias("kind"), i.alias("source"), cast(variant).alias("variant"), (i + 1).alias("target"), cast(target_variant).alias("target_variant"))
+
+    def undo(d: int, k: int, of: int) -> DataFrame:
+        none = {c: F.lit(None).cast(t) for c, t in (("kind", "string"), ("source", "bigint"), ("variant", "string"), ("target", "bigint"), ("target_variant", "string"))}
+        return s.menu.filter(i % 10 == d).select((i - d + k).alias("seq"), (i - d + of).alias("merge_id"), F.lit("undo").alias("event"), *[v.alias(c) for c, v in none.items()])
+
+    rows = [merge(1, 1, "item"), *[merge(2, 2, "variants", a, b) for a, b in ((None, "v1"), ("v1", "v2"), ("v2", "v2"), ("v3", "v3"))], undo(1, 3, 1), merge(3, 4, "resolution", "v2", "v9")]
+    rows += [merge(5, 5, "item"), merge(6, 6, "item"), undo(6, 7, 6), merge(8, 8, "resolution", "v1", "v3"), undo(8, 9, 8)]
+    log = rows[0]
+    for r in rows[1:]:
+        log = log.unionByName(r)
+    return log
+
+
+def _placed(s: Shop, rows: DataFrame, log: DataFrame) -> DataFrame:
+    """All rows under the item and variant that the log gives them; each came before it."""
+    came = rows.withColumn("arrived", F.lit(-1).cast("bigint"))
+    cells = came.select("menu_item_id", "variant_id", "arrived").distinct()
+    return menu_log.placed(came, menu_log.placements(cells, log))
+
+
+def _logged_sales(s: Shop) -> DataFrame:
+    return _placed(s, s.variant_lines, _menu_log(s)).groupBy("menu_item_id", "variant_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("quantity"))
+
+
+def _resolution_states(s: Shop) -> DataFrame:
+    log = _menu_log(s)
+    mapped = _placed(s, s.mappings, log).withColumn("is_verified", F.col("is_verified") | F.col("confirmed"))
+    resolutions = log.filter("kind = 'resolution'")
+    touched = resolutions.select(F.col("source").alias("menu_item_id")).unionByName(resolutions.select(F.col("target").alias("menu_item_id")))
+    return menu_log.resolution_state(menu_log.menu_after(s.menu.select("menu_item_id", F.lit(False).alias("is_verified")), log), mapped, _placed(s, s.variant_lines, log), touched)
+
+
+def _placed_sql(table: str) -> str:
+    """The end of each chain of ``_menu_log``, told in closed form. Items without a row in the menu have no merges."""
+    has = lambda d, there: f"menu_item_id % 10 = {d} AND EXISTS (SELECT 1 FROM m WHERE m.menu_item_id = t.menu_item_id{there})"
+    two = "CASE variant_id WHEN 'v1' THEN 'v2' WHEN 'v2' THEN 'v2' WHEN 'v3' THEN 'v3' ELSE 'v1' END"
+    three = "(menu_item_id % 10 = 3 OR two) AND EXISTS (SELECT 1 FROM m WHERE m.menu_item_id = t.menu_item_id - t.menu_item_id % 10 + 3)"
+    return f"""(SELECT * REPLACE (CASE WHEN resolved THEN menu_item_id - menu_item_id % 10 + 4 WHEN two THEN menu_item_id + 1 WHEN {has(5, "")} THEN menu_item_id + 1 ELSE menu_item_id END AS menu_item_id, CASE WHEN resolved THEN 'v9' ELSE mapped END AS variant_id) FROM (
+SELECT *, mapped = 'v2' AND {three} AS resolved FROM (SELECT *, CASE WHEN two OR one THEN {two} ELSE variant_id END AS mapped FROM (SELECT *, {has(2, "")} AS two, {has(1, "")} AND EXISTS (SELECT 1 FROM m WHERE m.menu_item_id = t.menu_item_id + 1) AS one FROM {table} t) t) t) t)"""
+
+
+add("E11_menu_log_sales", _logged_sales, f", q AS {_placed_sql('vl')} SELECT menu_item_id, variant_id, count(*) AS lines, sum(quantity) AS quantity FROM q GROUP BY 1, 2")
+add(
+    "E13_resolution_states", _resolution_states,
+    f""", q AS {_placed_sql('vl')}, p AS {_placed_sql('mp')}, tc AS (SELECT menu_item_id AS id FROM m WHERE menu_item_id % 10 IN (3, 8) UNION SELECT menu_item_id + 1 FROM m WHERE menu_item_id % 10 IN (3, 8)),
+pn AS (SELECT menu_item_id, count(*) AS n, count(*) FILTER (WHERE NOT (is_verified OR coalesce(resolved, false))) AS k FROM p GROUP BY 1), ln AS (SELECT menu_item_id, count(*) AS n FROM q GROUP BY 1),
+st AS (SELECT m.menu_item_id, coalesce(pn.n, 0) AS mapping_rows, coalesce(k, 0) AS open_rows, coalesce(ln.n, 0) AS line_rows FROM m JOIN tc ON id = m.menu_item_id LEFT JOIN pn USING (menu_item_id) LEFT JOIN ln USING (menu_item_id))
+SELECT *, CASE WHEN mapping_rows = 0 AND line_rows = 0 THEN 'deleted' WHEN open_rows = 0 THEN 'verified' ELSE 'open' END AS state FROM st""",
+)
+_TO = "element_at(array('v1', 'v2', 'v3', 'v8'), CAST(menu_item_id % 4 + 1 AS INT))"
+add(
+    "E12_variant_moves", lambda s: menu_log.variant_move_counts(s.mappings.filter("variant_id is not null").select("menu_item_id", "variant_id", F.expr(_TO).alias("new_variant_id")), s.variant_lines.select("variant_id").filter("variant_id is not null").distinct(), s.mappings.filter("menu_item_id % 5 > 0"), s.variant_lines),
+    """, mv AS (SELECT menu_item_id, variant_id, ['v1', 'v2', 'v3', 'v8'][CAST(menu_item_id % 4 + 1 AS INTEGER)] AS new_variant_id FROM mp WHERE variant_id IS NOT NULL), vs AS (SELECT DISTINCT variant_id AS v FROM vl WHERE variant_id IS NOT NULL),
+pm AS (SELECT menu_item_id, variant_id, count(*) AS n FROM mp WHERE menu_item_id % 5 > 0 GROUP BY 1, 2), lm AS (SELECT menu_item_id, variant_id, count(*) FILTER (WHERE kind = 'item') AS i, count(*) FILTER (WHERE kind = 'addon') AS a FROM vl GROUP BY 1, 2),
+r AS (SELECT mv.*, coalesce(n, 0) AS mapping_rows, coalesce(i, 0) AS item_rows, coalesce(a, 0) AS addon_rows FROM mv LEFT JOIN pm USING (menu_item_id, variant_id) LEFT JOIN lm USING (menu_item_id, variant_id)),
+st AS (SELECT *, CASE WHEN variant_id = new_variant_id THEN 'same variant' WHEN variant_id NOT IN (SELECT v FROM vs) OR new_variant_id NOT IN (SELECT v FROM vs) THEN 'unknown variant' WHEN mapping_rows + item_rows + addon_rows = 0 THEN 'nothing to move' ELSE 'moved' END AS status FROM r)
+SELECT *, status = 'moved' AS clears_volume FROM st""",
+)
 _MOVES = lambda s: s.mappings.filter("not is_verified").select("pos_id", F.floor(F.col("menu_item_id") / 2).alias("new_item"))  # noqa: E731  unverified ids go to another item
 add("E12_remapped_sources", lambda s: s.mappings.join(_MOVES(s), "pos_id", "left").select("pos_id", F.coalesce("new_item", "menu_item_id").alias("menu_item_id"), "variant_id"), "SELECT pos_id, CASE WHEN is_verified THEN menu_item_id ELSE menu_item_id // 2 END AS menu_item_id, variant_id FROM mp")
 _VARIANT = ["menu_item_id", "variant_id"]
