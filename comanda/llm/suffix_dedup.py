@@ -214,18 +214,6 @@ def least_holders(contents: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, n
     return out, begin
 
 
-def _held_by_parts(contents: list[bytes], ids: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``least_holders`` of contents whose parts share no string, one part after another."""
-    begin, out, total = np.empty(len(contents), np.int64), [], 0
-    for p in np.unique(part):
-        own = np.flatnonzero(part == p)
-        least, at = least_holders([contents[k] for k in own], ids[own])
-        begin[own] = at + total
-        out.append(least)
-        total += len(least)
-    return np.concatenate(out), begin
-
-
 def _based(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, did, bytes. did is doc_id, and for rows without one a number under NULLS."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -287,9 +275,9 @@ def _keys(base: DataFrame, n_buckets: int) -> DataFrame:
                     if len(own):
                         held.append((own, dids[a + k]))
                         n += len(own)
-            if n >= FLUSH:
-                yield settle(held)
-                held, n = [], 0
+                if n >= FLUSH:
+                    yield settle(held)
+                    held, n = [], 0
         if held:
             yield settle(held)
 
@@ -388,9 +376,9 @@ def _cut(base: DataFrame, shared: DataFrame, n_buckets: int) -> DataFrame:
                     n += len(u)
                     for key, at, many in zip(keys[own][u].tolist(), first[own][u].tolist(), size[own][u].tolist(), strict=True):
                         held.setdefault((key, text[at : at + many - 1 + LENGTH]), []).append((did, tag, at, many))
-            if n >= FLUSH:
-                yield from settle(held)
-                held, n = {}, 0
+                if n >= FLUSH:
+                    yield from settle(held)
+                    held, n = {}, 0
         if held:
             yield from settle(held)
 
@@ -418,31 +406,38 @@ def _runs(size: np.ndarray, place: np.ndarray, ident: np.ndarray, least: np.ndar
 def _marked(cut: DataFrame, n: int) -> DataFrame:
     """(did, spans): the starts of strings that a smaller doc_id holds, by the text's tag."""
 
+    def batch(place: list[np.ndarray]) -> pa.RecordBatch:
+        did, tag, at, size = place[:4]
+        return pa.RecordBatch.from_arrays([pa.array(did.astype(np.int64)), pa.array(tag.astype(np.uint32).view(np.int32)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int16))], ["did", "tag", "at", "n"])
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_bucket(batches):
-            out, contents, asked = [], [], []
-            number: dict[bytes, int] = {}
+            texts, asked = [], []
             for k, packed in enumerate(t.column("contents")):
-                text = zstandard.ZstdDecompressor().decompress(packed.as_py()) if packed.is_valid else None
                 place = [np.frombuffer(t.column(name)[k].as_py(), kind) for name, kind in PLACES]
-                if text is None:
-                    out.append(place)
-                    continue
-                end = np.cumsum(place[3].astype(np.int64) - 1 + LENGTH)
-                contents += [number.setdefault(text[z - s : z], len(number)) for z, s in zip(end.tolist(), (place[3].astype(np.int64) - 1 + LENGTH).tolist(), strict=True)]
-                asked.append(place)
-            if asked:
-                did, tag, at, size, sub = (np.concatenate([p[c] for p in asked]) for c in range(5))
-                which, ident, size = np.array(contents, np.int64), _order_of(did), size.astype(np.int64)
+                if packed.is_valid:
+                    texts.append(zstandard.ZstdDecompressor().decompress(packed.as_py()))
+                    asked.append(place)
+                else:
+                    yield batch(place)
+            if not asked:
+                continue
+            did, tag, at, size, sub = (np.concatenate([p[c] for p in asked]) for c in range(5))
+            ident, size = _order_of(did), size.astype(np.int64)
+            width = size - 1 + LENGTH
+            of = np.repeat(np.arange(len(asked)), [len(p[0]) for p in asked])
+            end = np.concatenate([np.cumsum(p[3].astype(np.int64) - 1 + LENGTH) for p in asked])
+            part = sub.astype(np.int64) * -(-int(width.sum()) // ORDER_BYTES) // 256  # parts share no string
+            by = np.argsort(part, kind="stable")
+            for own in np.split(by, _groups(part[by])[1:]):
+                number: dict[bytes, int] = {}
+                which = np.array([number.setdefault(texts[x][z - w : z], len(number)) for x, z, w in zip(of[own].tolist(), end[own].tolist(), width[own].tolist(), strict=True)], np.int64)
                 ids = np.full(len(number), np.iinfo(np.int64).max)
-                np.minimum.at(ids, which, ident)
-                part = np.zeros(len(number), np.int64)
-                part[which] = sub.astype(np.int64) * -(-sum(map(len, number)) // ORDER_BYTES) // 256
-                least, begin = _held_by_parts(list(number), ids, part)
-                for unit, off, many in _runs(size, begin[which], ident, least):
-                    out.append([did[unit], tag[unit], at[unit] + off, many])
-            did, tag, at, size = (np.concatenate([p[c] for p in out]) for c in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(did.astype(np.int64)), pa.array(tag.astype(np.uint32).view(np.int32)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int16))], ["did", "tag", "at", "n"])
+                np.minimum.at(ids, which, ident[own])
+                least, begin = least_holders(list(number), ids)
+                for unit, off, many in _runs(size[own], begin[which], ident[own], least):
+                    u = own[unit]
+                    yield batch([did[u], tag[u], at[u] + off, many])
 
     dealt = cut.repartition(n, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(mark, "did long, tag int, at int, n smallint").groupBy("did").agg(F.collect_list(F.struct("tag", "at", "n")).alias("spans"))
