@@ -105,6 +105,14 @@ def _feed(s: Shop):
 
 
 add("S4_orders", lambda s: _feed(s)["orders"].withColumn("created_on", F.col("created_on").cast("string")), _EV + " SELECT order_id, stream_id, identity_key, strftime(created_on, '%Y-%m-%d %H:%M:%S') AS created_on, t AS total, order_from, order_status, 'r1' AS restaurant FROM ev")
+add(
+    "S4_headers", lambda s: payloads.headers(payloads.order_feed(s)).withColumn("occurred_at", F.col("occurred_at").cast("string")).withColumn("created_on", F.col("created_on").cast("string")),
+    _EV + """ SELECT order_id, stream_id, order_id || '-' || CASE WHEN order_id % 5 = 0 THEN 1 ELSE 0 END AS event_id, 'order-' || order_id AS aggregate_id, 'r1' AS restaurant, strftime(created_on, '%Y-%m-%d %H:%M:%S') AS occurred_at, strftime(created_on, '%Y-%m-%d %H:%M:%S') AS created_on,
+['Dine In', 'Delivery', 'Pick Up'][CAST(order_id % 3 + 1 AS INTEGER)] AS order_type, order_from, order_status, CASE WHEN order_id % 3 = 0 THEN 'AC' END AS sub_order_type, CAST(order_id AS VARCHAR) AS order_from_id, 'biller ' || order_id % 7 AS biller, CAST(NULL AS VARCHAR) AS assignee,
+CASE WHEN order_id % 3 = 0 THEN CAST(order_id % 20 AS VARCHAR) END AS table_no, CAST(order_id % 100 AS VARCHAR) AS token_no, customer_id || '-' || order_id AS customer_invoice_id, CAST(NULL AS VARCHAR) AS comment, CAST(CASE WHEN order_id % 3 = 0 THEN order_id % 5 ELSE 0 END AS INTEGER) AS no_of_persons,
+total - tax_total AS core_total, tax_total, CASE WHEN order_id % 4 = 0 THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END AS discount_total, CASE WHEN order_id % 3 = 1 THEN 30.5::DOUBLE ELSE 0.0::DOUBLE END AS delivery_charges, 0.0::DOUBLE AS packaging_charge, 0.0::DOUBLE AS service_charge,
+CASE WHEN order_id % 2 = 0 THEN -0.25::DOUBLE ELSE 0.0::DOUBLE END AS round_off, total FROM ev""",
+)
 add("S4_items", lambda s: _feed(s)["items"], _EV + " SELECT order_id, position, menu_item_id, quantity, unit_price, total_price FROM it WHERE order_id IN (SELECT order_id FROM o)")
 add("S4_addons", lambda s: _feed(s)["addons"], _EV + " SELECT order_id, CAST(0 AS INTEGER) AS position, addon, menu_item_id, quantity, unit_price, total_price FROM ad WHERE order_id IN (SELECT order_id FROM o)")
 add("S4_taxes", lambda s: _feed(s)["taxes"], _EV + " SELECT order_id, title, 2.5::DOUBLE AS rate, t * 0.025::DOUBLE AS amount FROM ev, (SELECT unnest(['CGST', 'SGST']) AS title)")

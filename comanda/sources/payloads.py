@@ -15,10 +15,14 @@ from comanda.functions.text import identity_key, normal_text
 from comanda.sources.adapter import Shop
 from comanda.streaming.incremental import latest
 
+#: Fixed names of the order's further fields. Amounts come as numbers or texts and are read as texts.
+_TEXTS = ("order_type", "sub_order_type", "order_from_id", "biller", "assignee", "table_no", "token_no", "customer_invoice_id", "comment")
+_AMOUNTS = ("core_total", "tax_total", "discount_total", "delivery_charges", "packaging_charge", "service_charge", "round_off")
+_HEADER = ", ".join(f"{c}: string" for c in (*_TEXTS, "no_of_persons", *_AMOUNTS))
 _LINE = "itemid: bigint, quantity: double, price: double, total: double"
 EVENT = (
-    "stream_id bigint, event_id string, occurred_at string, raw_event struct<raw_payload: struct<properties: struct<"
-    "Order: struct<orderID: bigint, created_on: string, total: double, order_from: string, status: string>, Customer: struct<name: string, phone: string, address: string>, Restaurant: struct<restID: string, res_name: string>, "
+    "stream_id bigint, event_id string, aggregate_id string, occurred_at string, raw_event struct<raw_payload: struct<properties: struct<"
+    f"Order: struct<orderID: bigint, created_on: string, total: double, order_from: string, status: string, {_HEADER}>, Customer: struct<name: string, phone: string, address: string>, Restaurant: struct<restID: string, res_name: string>, "
     f"OrderItem: array<struct<{_LINE}, addon: array<struct<{_LINE}>>>>, Tax: array<struct<title: string, rate: double, amount: double>>, Discount: array<struct<title: string, amount: double>>>>>"
 )
 PAYLOAD = f"struct<{EVENT}>"
@@ -44,13 +48,21 @@ def order_feed(shop: Shop) -> DataFrame:
     discount = F.when(F.col("order_id") % 4 == 0, F.array(F.struct(F.lit("Welcome").alias("title"), F.lit(10.0).alias("amount")))).otherwise(F.array())
     again = rows.filter(REPLAYS).withColumn("again", F.lit(1)).withColumn("total", F.col("total") + 1)
     events = rows.withColumn("again", F.lit(0)).unionByName(again)
-    order = F.struct(F.col("order_id").alias("orderID"), made.alias("created_on"), "total", "order_from", F.col("order_status").alias("status"))
+    i = F.col("order_id")
+    table = F.when(i % 3 == 0, (i % 20).cast("string"))
+    kind = F.when(i % 3 == 0, "Dine In").when(i % 3 == 1, "Delivery").otherwise("Pick Up")
+    header = {
+        "order_type": kind, "sub_order_type": F.when(i % 3 == 0, "AC"), "order_from_id": i.cast("string"), "biller": F.concat(F.lit("biller "), (i % 7).cast("string")), "table_no": table, "token_no": (i % 100).cast("string"),
+        "customer_invoice_id": F.concat_ws("-", "customer_id", "order_id"), "comment": F.when(F.col("again") == 1, "sent again"), "no_of_persons": F.when(i % 3 == 0, i % 5), "core_total": F.col("total") - F.col("tax_total"), "tax_total": F.col("tax_total"),
+        "discount_total": F.when(i % 4 == 0, 10.0), "delivery_charges": F.when(i % 3 == 1, "30.50"), "round_off": F.when(i % 2 == 0, F.lit("-0.25")),
+    }
+    order = F.struct(i.alias("orderID"), made.alias("created_on"), "total", "order_from", F.col("order_status").alias("status"), *[v.alias(k) for k, v in header.items()])
     inner = F.struct(
         order.alias("Order"), F.struct("name", phone.alias("phone"), address.alias("address")).alias("Customer"), F.struct(F.lit("r1").alias("restID"), F.lit("Main street").alias("res_name")).alias("Restaurant"),
         F.coalesce(item, F.array()).alias("OrderItem"), F.array(tax("CGST"), tax("SGST")).alias("Tax"), discount.alias("Discount"),
     )
     stream_id = (F.col("order_id") * 2 + F.col("again") * 1_000_000_001).alias("stream_id")
-    event = F.struct(stream_id, F.concat_ws("-", "order_id", "again").alias("event_id"), made.alias("occurred_at"), F.struct(F.struct(inner.alias("properties")).alias("raw_payload")).alias("raw_event"))
+    event = F.struct(stream_id, F.concat_ws("-", "order_id", "again").alias("event_id"), F.concat(F.lit("order-"), i.cast("string")).alias("aggregate_id"), made.alias("occurred_at"), F.struct(F.struct(inner.alias("properties")).alias("raw_payload")).alias("raw_event"))
     return events.select(stream_id, F.to_json(event).alias("payload"))
 
 
@@ -62,6 +74,24 @@ def opened(feed: DataFrame) -> DataFrame:
     return latest(rows.withColumn("order_id", F.col("Order.orderID")), ["order_id"], "stream_id")
 
 
+def headers(feed: DataFrame) -> DataFrame:
+    """The whole header of each order of ``feed(payload)``: its fields as its first event has them, since a later
+    one brings its stream_id and event_id only. Amounts and persons that are missing or no numbers are 0,
+    a missing type, origin or status is empty; broken documents and those without an order id are left out."""
+    e = feed.select(F.from_json("payload", PAYLOAD).alias("e")).filter("e.stream_id is not null and e.raw_event.raw_payload.properties.Order.orderID is not null")
+    p = "e.raw_event.raw_payload.properties"
+    o = lambda c: F.col(f"{p}.Order.{c}")
+    occurred = parsed_time(F.col("e.occurred_at"))
+    first = F.struct(
+        F.col("e.aggregate_id").alias("aggregate_id"), F.col(f"{p}.Restaurant.restID").alias("restaurant"), occurred.alias("occurred_at"), F.coalesce(parsed_time(o("created_on")), occurred).alias("created_on"),
+        *[F.coalesce(o(c), F.lit("")).alias(name) for c, name in (("order_type", "order_type"), ("order_from", "order_from"), ("status", "order_status"))], *[o(c).alias(c) for c in _TEXTS if c != "order_type"],
+        F.coalesce(o("no_of_persons").try_cast("int"), F.lit(0)).alias("no_of_persons"), *[F.coalesce(o(c).try_cast("double"), F.lit(0.0)).alias(c) for c in _AMOUNTS], F.coalesce(o("total"), F.lit(0.0)).alias("total"),
+    )
+    rows = e.select(o("orderID").alias("order_id"), F.col("e.stream_id").alias("stream_id"), F.col("e.event_id").alias("event_id"), first.alias("first"))
+    each = rows.groupBy("order_id").agg(F.max("stream_id").alias("stream_id"), F.max_by("event_id", "stream_id").alias("event_id"), F.min_by("first", "stream_id").alias("first"))
+    return each.select("order_id", "stream_id", "event_id", "first.*")
+
+
 def key_of(rows: DataFrame) -> Column:
     c = rows["Customer"]
     return identity_key(c["phone"], c["name"], c["address"], rows["event_id"])
