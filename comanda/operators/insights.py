@@ -44,8 +44,9 @@ def _sold_of_success(shop: Shop, distinct_addons: bool) -> DataFrame:
 
 def top_items(shop: Shop, k: int = 10) -> DataFrame:
     sold = _sold_of_success(shop, True).groupBy("menu_item_id").agg(F.sum("quantity").alias("q"), F.sum("total_price").alias("r"))
-    share = F.round(F.lit(100.0) * F.col("r") / F.sum("r").over(Window.partitionBy(F.lit(1))), 4)  # a row an item
-    rows = shop.menu.filter("is_active").select("menu_item_id", "name").join(sold.withColumn("share", share), "menu_item_id", "left")
+    share = F.round(F.lit(100.0) * F.col("r") / F.col("whole"), 4)
+    shared = sold.crossJoin(F.broadcast(sold.agg(F.sum("r").alias("whole")))).withColumn("share", share)  # with one row
+    rows = shop.menu.filter("is_active").select("menu_item_id", "name").join(shared, "menu_item_id", "left")
     rows = rows.select("menu_item_id", "name", F.coalesce("q", F.lit(0.0)).alias("total_sold"), F.round("r", 2).alias("item_revenue"), F.col("share").alias("revenue_share"))
     return rows.orderBy(F.desc("total_sold"), "menu_item_id").limit(k)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from comanda.functions.dates import text_date
+from comanda.operators.menu import unit_factor
 from comanda.operators.series import one_series
 from comanda.sources.adapter import Shop
 
@@ -100,6 +101,34 @@ def training_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.withColumn("sold", (F.col("q") > 0).cast("int")), rows.filter("q > 0").withColumn("target", F.col("q"))
 
 
+def volume_panel(rows: DataFrame, menu: DataFrame) -> DataFrame:
+    """``panel`` with ``q`` in grams, millilitres or pieces, by ``menu(menu_item_id, unit, unit_value)``; an item
+    without a unit's value has no volume."""
+    sizes = menu.select("menu_item_id", (F.coalesce("unit_value", F.lit(0)) * unit_factor(F.col("unit"))).alias("_size"))
+    return rows.join(sizes, "menu_item_id", "left").withColumn("q", F.col("q") * F.coalesce("_size", F.lit(0.0))).drop("_size")
+
+
+def volume_scales(rows: DataFrame) -> DataFrame:
+    """Each item's median volume on days that sold it: 1 for items never sold, and no less than 1e-6."""
+    return rows.groupBy("menu_item_id").agg(F.greatest(F.coalesce(F.median(F.when(F.col("q") > 0, F.col("q"))), F.lit(1.0)), F.lit(1e-6)).alias("scale"))
+
+
+def volume_training_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``training_sets`` of a ``volume_panel``: the regressor's target is the volume by its item's ``scale``, so
+    that pieces and grams are learned together. A scale needs one item's days alone."""
+    classifier, regressor = training_sets(features(rows, training=True).join(volume_scales(rows), "menu_item_id"))
+    return classifier, regressor.withColumn("target", F.col("q") / F.col("scale"))
+
+
+def volume_demand(probability: Column, p50: Column, p90: Column, scale: Column) -> Column:
+    """p50, p90 and what to prepare, as volumes: quantiles of targets, none below 0 or crossed, times scale and
+    probability; to prepare are 0.7 of p90 and 0.3 of p50, rounded up."""
+    zero = F.lit(0.0)
+    low = F.greatest(zero, p50)
+    p50, p90 = probability * low * scale, probability * F.greatest(zero, p90, low) * scale
+    return F.struct(p50.alias("p50"), p90.alias("p90"), F.ceil(p90 * 0.7 + p50 * 0.3).alias("prep"))
+
+
 def time_split(rows: DataFrame, share: float = 0.8) -> DataFrame:
     """``rows`` with ``part``: train for the first ``share`` of the distinct days, test for the rest."""
     days = rows.select("day").distinct()

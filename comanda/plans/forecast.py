@@ -66,6 +66,19 @@ add(
     "M6_time_split", lambda s: ops.time_split(_features(s, True)).groupBy("part").agg(F.count(F.lit(1)).alias("rows"), text_date(F.min("day")).alias("first_day"), text_date(F.max("day")).alias("last_day")),
     f", {_FEATURES}, dd AS (SELECT day, row_number() OVER (ORDER BY day) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM tr)) SELECT CASE WHEN k <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS part, count(*) AS rows, CAST(min(tr.day) AS VARCHAR) AS first_day, CAST(max(tr.day) AS VARCHAR) AS last_day FROM tr JOIN dd USING (day) GROUP BY 1",
 )
+
+
+def _volume_targets(s: Shop):
+    regressor = ops.volume_training_sets(ops.volume_panel(_panel(s), s.menu))[1]
+    return regressor.select("menu_item_id", text_date(F.col("day")).alias("day"), F.round("scale", 4).alias("scale"), F.round("target", 6).alias("target"))
+
+
+add(
+    "M5_volume_targets", _volume_targets,
+    f""", {_FEATURES}, vo_ AS (SELECT pn.menu_item_id, pn.day, pn.q * unit_value * CASE unit WHEN 'kg' THEN 1000.0::DOUBLE WHEN 'mg' THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END AS v FROM pn JOIN m USING (menu_item_id)),
+sc AS (SELECT menu_item_id, greatest(coalesce(median(v) FILTER (WHERE v > 0), 1.0), 1e-6) AS scale FROM vo_ GROUP BY 1)
+SELECT menu_item_id, CAST(day AS VARCHAR) AS day, round(scale, 4) AS scale, round(v / scale, 6) AS target FROM tr JOIN vo_ USING (menu_item_id, day) JOIN sc USING (menu_item_id) WHERE v > 0""",
+)
 add("W11_item_transforms", lambda s: ops.item_transforms(_panel(s)).select("menu_item_id", "first_day", "median_price", "median_positive"), f", {_PANEL} SELECT menu_item_id, CAST(min(day) AS VARCHAR) AS first_day, median(price) AS median_price, median(q) FILTER (WHERE q > 0) AS median_positive FROM pn GROUP BY 1")
 add(
     "W12_last_prices", lambda s: ops.item_sales(s, *NOW).groupBy("menu_item_id").agg(F.max_by("price", "day").alias("last_price"), text_date(F.min("day")).alias("first_day"), F.min_by("q", "day").alias("first_quantity")),
