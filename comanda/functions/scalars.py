@@ -61,9 +61,15 @@ def hour_label(hour: Column) -> Column:
     return F.concat(twelve, F.when((h < 12) | (h == 24), " AM").otherwise(" PM"))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double rounded as the binary number that it is, 76.615 to 76.61: ``F.round`` goes by the shortest
+    decimal text, which lies half way more often."""
+    return F.round(x * 10.0**places) / 10.0**places
+
+
 def chart_label(x: Column) -> Column:
     """Rupees in thousands, lakhs and crores with one place."""
-    step = lambda size, unit: F.concat(F.lit("₹"), F.round(x / size, 1).cast("string"), F.lit(unit))
+    step = lambda size, unit: F.concat(F.lit("₹"), rounded(x / size, 1).cast("string"), F.lit(unit))
     return F.when(x >= 10_000_000, step(10_000_000, "Cr")).when(x >= 100_000, step(100_000, "L")).when(x >= 1000, step(1000, "K")).otherwise(F.concat(F.lit("₹"), x.cast("string")))
 
 

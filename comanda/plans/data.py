@@ -32,7 +32,7 @@ add(
 )
 _LABEL = "CASE WHEN x >= 10000000 THEN '₹' || CAST(round(x / 10000000, 1) AS VARCHAR) || 'Cr' WHEN x >= 100000 THEN '₹' || CAST(round(x / 100000, 1) AS VARCHAR) || 'L' WHEN x >= 1000 THEN '₹' || CAST(round(x / 1000, 1) AS VARCHAR) || 'K' ELSE '₹' || CAST(x AS VARCHAR) END"
 add(
-    "X17_money_labels", lambda s: s.orders.select("order_id", (F.col("total") * F.element_at(F.array(*map(F.lit, (0.01, 1.0, 1000.0))), (F.col("order_id") % 3 + 1).cast("int"))).alias("x")).select("order_id", scalars.indian_grouping(F.col("x")).alias("grouped"), scalars.chart_label(F.round("x", 2)).alias("label")),
+    "X17_money_labels", lambda s: s.orders.select("order_id", (F.col("total") * F.element_at(F.array(*map(F.lit, (0.01, 1.0, 1000.0))), (F.col("order_id") % 3 + 1).cast("int"))).alias("x")).select("order_id", scalars.indian_grouping(F.col("x")).alias("grouped"), scalars.chart_label(scalars.rounded(F.col("x"), 2)).alias("label")),
     f", z AS (SELECT order_id, total * [0.01::DOUBLE, 1.0, 1000.0][CAST(order_id % 3 + 1 AS INTEGER)] AS y FROM o), v AS (SELECT order_id, CAST(trunc(y) AS BIGINT)::VARCHAR AS t, round(y, 2) AS x FROM z) SELECT order_id, CASE WHEN length(t) <= 3 THEN t ELSE ltrim(reverse(regexp_replace(reverse(t[:-4]), '(..)', '\\1,', 'g')), ',') || ',' || t[-3:] END AS grouped, {_LABEL} AS label FROM v",
 )
 add("X17_hour_labels", lambda s: s.success.groupBy(F.hour("created_on").alias("hour")).agg(F.count(F.lit(1)).alias("n")).select(scalars.hour_label(F.col("hour")).alias("hour"), "n"), "SELECT strftime(make_timestamp(2000, 1, 1, hour(created_on), 0, 0), '%-I %p') AS hour, count(*) AS n FROM ok GROUP BY 1")
