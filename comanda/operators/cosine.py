@@ -1,28 +1,29 @@
-"""Exact nearest neighbours by cosine of tf-idf grams, without comparing all pairs.
-
-Every gram has a greatest weight over all texts. For a text x whose k-th best score is known to be
-theta at least, the commonest grams are set aside as long as x's weights times those greatest weights add up to less
-than theta: a text that shares only such grams with x is no neighbour. So common grams verify pairs and
-make none. A pair's products of the other grams are added up as they meet; it is verified only if what
-the grams set aside may add, by their greatest weights or by the lengths of both rests, reaches theta. Theta comes from exact scores within small blocks of x's rarest grams. Postings of a gram
-lie in blocks of about BLOCK, so no task holds a common gram. Grams are compared by 64-bit hashes. The result equals that of all pairs.
+"""Exact nearest neighbours by cosine of tf-idf grams, in blocks of pairs.
+
+Texts are dealt into blocks by a hash of their id, and every block of askers meets every block of texts in
+one task, which multiplies their sparse vectors: the commonest grams as dense columns, the rest by postings.
+It hands on the k best of each asker alone, so no pair is shuffled, spilled or written; a task holds two
+blocks and a strip of scores. The work grows with the square of the texts, the rows handed on with texts
+times blocks. Grams are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from comanda.session import written
 
-BLOCK, RAREST = 64, 2
-#: Texts compared by each of x's rarest grams for the first bound.
-FIRST = 16
-#: Scores are compared as rounded to five places.
-PLACES, SLACK = 5, 2e-5
+#: Texts of a block, and the fewest blocks, so that few texts are spread as well.
+BLOCK, LEAST = 32_768, 6
+#: Grams that are dense columns at most, each in so large a part of a block; scores and products at a time.
+DENSE, COMMON, STRIP = 512, 1 / 50, 1 << 21
+#: Scores are compared as rounded to so many places.
+PLACES = 5
 
 
 def word_grams(name: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
@@ -43,60 +44,77 @@ def weights(texts: DataFrame) -> DataFrame:
     return w.join(size, "id").select("id", "gram", "df", (F.col("w") / F.col("size")).alias("w"))
 
 
-def _n_blocks(df: Column, size: int | None = None) -> Column:
-    return F.ceil(df / (size or BLOCK)).cast("long")
-
-
-@F.pandas_udf(DoubleType())
-def dot(a: pd.Series, v: pd.Series, b: pd.Series, w: pd.Series) -> pd.Series:
-    """Products of sparse vectors: sorted out by pair and gram for a whole batch at once."""
-    if not len(a):
-        return pd.Series([], dtype=float)
-    pair = lambda x: np.repeat(np.arange(len(x)), x.map(len))
-    grams, number = np.unique(np.concatenate([*a, *b]), return_inverse=True)
-    n = int(a.map(len).sum())
-    left, right = pair(a) * len(grams) + number[:n], pair(b) * len(grams) + number[n:]
-    order = np.argsort(right)
-    at = np.minimum(np.searchsorted(right[order], left), max(0, len(right) - 1))
-    met = right[order][at] == left
-    return pd.Series(np.bincount(pair(a)[met], (np.concatenate([*v]) * np.concatenate([*w])[order][at])[met], len(a)))
-
-
-def _scored(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``pairs(id, other)`` with their score, from both whole vectors."""
-    side = lambda name, g, w: vectors.select(F.col("id").alias(name), F.col("g").alias(g), F.col("w").alias(w))
-    both = pairs.join(side("id", "a", "v"), "id").join(side("other", "b", "w"), "other")
-    return both.select("id", "other", F.round(dot("a", "v", "b", "w"), PLACES).alias("score"))
+def _products(a_rows: np.ndarray, a_w: np.ndarray, counts: np.ndarray, starts: np.ndarray, cols: np.ndarray, b_w: np.ndarray, out: np.ndarray) -> None:
+    """Adds to ``out`` each entry's weight times those of its gram's postings, about STRIP products at a time."""
+    stops = np.cumsum(counts)
+    at = 0
+    while at < len(counts):
+        to = max(at + 1, int(np.searchsorted(stops, (stops[at - 1] if at else 0) + STRIP, "right")))
+        n = counts[at:to]
+        hit = np.repeat(starts[at:to] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cell = np.repeat(a_rows[at:to], n) * out.shape[1] + cols[hit]
+        out += np.bincount(cell, np.repeat(a_w[at:to], n) * b_w[hit], out.size).reshape(out.shape)
+        at = to
+
+
+def _best(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
+    """id, other and score: the ``k`` best of ``b(id, g, w)`` for each of ``a(id, g, w)``."""
+    if not len(a) or not len(b):
+        return pd.DataFrame({"id": a["id"][:0], "other": b["id"][:0], "score": np.empty(0)})
+    b = b.sort_values("id", ignore_index=True)
+    rows = lambda x: np.repeat(np.arange(len(x)), x["g"].map(len))
+    (a_row, a_w), (b_row, b_w) = ((rows(x), np.concatenate([*x["w"]])) for x in (a, b))
+    grams, number = np.unique(np.concatenate([*a["g"], *b["g"]]), return_inverse=True)
+    a_gram, b_gram = number[: len(a_w)], number[len(a_w) :]
+    df = np.bincount(b_gram, minlength=len(grams))
+    dense = np.argsort(-df, kind="stable")[:DENSE]
+    dense = dense[df[dense] >= len(b) * COMMON]
+    column = np.full(len(grams), -1)
+    column[dense] = np.arange(len(dense))
+
+    def matrix(row, gram, w, n):
+        out, at = np.zeros((n, len(dense))), column[gram] >= 0
+        out[row[at], column[gram[at]]] = w[at]
+        return out
+
+    common = matrix(b_row, b_gram, b_w, len(b)).T
+    mine = matrix(a_row, a_gram, a_w, len(a))
+    rare = (column[a_gram] < 0) & (df[a_gram] > 0)
+    a_row, a_gram, a_w = a_row[rare], a_gram[rare], a_w[rare]
+    order = np.argsort(b_gram, kind="stable")
+    cols, b_w, starts = b_row[order], b_w[order], np.cumsum(df) - df
+    own = pd.Index(b["id"]).get_indexer(a["id"])
+    last_first = np.arange(len(b))[::-1]  # of equal scores the first other has the greatest key
+    strip, found = max(1, STRIP // len(b)), []
+    for at in range(0, len(a), strip):
+        to = min(at + strip, len(a))
+        score = mine[at:to] @ common
+        lo, hi = np.searchsorted(a_row, (at, to))
+        g = a_gram[lo:hi]
+        _products(a_row[lo:hi] - at, a_w[lo:hi], df[g], starts[g], cols, b_w, score)
+        here = np.nonzero(own[at:to] >= 0)[0]
+        score[here, own[at:to][here]] = 0.0
+        key = np.where(score > 0, np.rint(score * 10**PLACES).astype(np.int64) * len(b) + last_first, -1)
+        top = np.argpartition(key, len(b) - k, axis=1)[:, -k:] if len(b) > k else np.tile(np.arange(len(b)), (to - at, 1))
+        value = np.take_along_axis(key, top, 1)
+        i, j = np.nonzero(value >= 0)
+        found.append((i + at, top[i, j], value[i, j] // len(b)))
+    i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pd.DataFrame({"id": a["id"].to_numpy()[i], "other": b["id"].to_numpy()[j], "score": score / 10**PLACES})
 
 
 def nearest(texts: DataFrame, k: int = 6, asked: DataFrame | None = None) -> DataFrame:
     """id, other, score and rank: the ``k`` nearest other texts of each of ``texts(id, text)`` (ids are
     distinct), or of the ids of ``asked(id)``; equal scores by ``other``. Texts without a common gram are
     no neighbours; null and empty texts have none."""
-    grams = written(weights(texts), "grams")
-    vectors = written(grams.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("gram").alias("g"), "w")).alias("e")).select("id", F.col("e.g").alias("g"), F.col("e.w").alias("w")), "vectors")
-    mine = grams.join(asked.select("id").distinct(), "id", "left_semi") if asked is not None else grams
-    shared = mine.filter("df > 1")
-    block = lambda size: F.pmod(F.xxhash64("id"), _n_blocks(F.col("df"), size)).alias("block")
-    others = grams.filter("df > 1")
-
-    # lower bounds of the k-th best score
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))
-    rare = shared.withColumn("r", place).filter(F.col("r") <= RAREST).select("id", "gram", block(FIRST))
-    near = rare.join(others.select("gram", block(FIRST), F.col("id").alias("other")), ["gram", "block"]).filter(F.col("id") != F.col("other")).select("id", "other").distinct()
-    best = _scored(near, vectors).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"))))
-    theta = best.filter(F.col("r") == k).select("id", F.col("score").alias("theta"))
-
-    # grams that make pairs: those that stay once the commonest ones are set aside
-    most = grams.groupBy("gram").agg(F.max("w").alias("most"))
-    down = Window.partitionBy("id").orderBy(F.desc("df"), "gram").rowsBetween(Window.unboundedPreceding, 0)
-    bounds = shared.join(most, "gram").join(theta, "id", "left").withColumn("aside", F.sum(F.col("w") * F.col("most")).over(down)).withColumn("square", F.sum(F.col("w") * F.col("w")).over(down))
-    is_aside = F.col("theta").isNotNull() & (F.col("aside") < F.col("theta") - SLACK)
-    rest = bounds.groupBy("id").agg(F.max("theta").alias("theta"), F.coalesce(F.max(F.when(is_aside, F.col("aside"))), F.lit(0.0)).alias("aside"), F.sqrt(F.coalesce(F.max(F.when(is_aside, F.col("square"))), F.lit(0.0))).alias("length"))
-    probes = bounds.filter(~is_aside).select("id", "gram", "w", F.explode(F.sequence(F.lit(0).cast("long"), _n_blocks(F.col("df")) - 1)).alias("block"))
-    index = others.select("gram", block(BLOCK), F.col("id").alias("other"), F.col("w").alias("v"))
-    met = probes.join(index, ["gram", "block"]).filter(F.col("id") != F.col("other")).groupBy("id", "other").agg(F.sum(F.col("w") * F.col("v")).alias("part"), F.sum(F.col("v") * F.col("v")).alias("used"))
-    more = F.least("aside", F.col("length") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("used")) + 1e-12))
-    pairs = met.join(rest, "id").filter(F.col("theta").isNull() | (F.col("part") + more >= F.col("theta") - SLACK)).select("id", "other")
-    ranked = _scored(pairs, vectors).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other")))
+    entry = F.struct(F.xxhash64("gram").alias("g"), "w")
+    vectors = written(weights(texts).groupBy("id").agg(F.collect_list(entry).alias("e")).select("id", F.col("e.g").alias("g"), F.col("e.w").alias("w")), "vectors")
+    blocks = max(LEAST, math.ceil(vectors.count() / BLOCK))
+    own, every = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    askers = vectors.join(asked.select("id").distinct(), "id", "left_semi") if asked is not None else vectors
+    side = lambda rows, a, b: rows.select(a.alias("a"), b.alias("b"), *[F.col(c).alias(c) for c in ("id", "g", "w")]).groupBy("a", "b")
+    left, right = side(askers, own, every), side(vectors, every, own)
+    kind = vectors.schema["id"].dataType.simpleString()
+    met = left.cogroup(right).applyInPandas(lambda a, b: _best(a, b, k), f"id {kind}, other {kind}, score double")
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other")))
     return ranked.filter(F.col("rank") <= k)
