@@ -21,6 +21,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +77,7 @@ class Parts(dict):
     texts with odd white space or with one of the vocabulary's added tokens are encoded whole.
     """
 
-    def __init__(self, path: str, bound: int = 250_000):
+    def __init__(self, path: str, bound: int = 400_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -111,7 +113,8 @@ class Parts(dict):
 
     def of_texts(self, texts: list[str | None]) -> list[bytes]:
         if len(self) > self.bound:
-            self.clear()
+            for x in list(islice(self, self.bound // 2, None)):  # the common parts were met first
+                del self[x]
         split = list(map(self.parts_of, texts))
         new = {x for parts in split if parts for x in parts}.difference(self)
         if new:
@@ -119,6 +122,12 @@ class Parts(dict):
         return [self.encoded(x) if parts is None else b"".join(map(self.__getitem__, parts)) for x, parts in zip(texts, split, strict=True)]
 
 
+@lru_cache(maxsize=1)
+def kept_parts(path: str) -> Parts:
+    """A Python worker's parts, kept from task to task."""
+    return Parts(path)
+
+
 class ShardWriter:
     def __init__(self, uri: str, width: int):
         self.fs, path = arrow_fs.FileSystem.from_uri(uri)
@@ -202,7 +211,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, n_vocab: int, end_id: int
             if batch.num_rows == 0:
                 continue
             if writer is None:
-                writer, pieces = ShardWriter(uri, width), Parts(tokenizer_path)
+                writer, pieces = ShardWriter(uri, width), kept_parts(tokenizer_path)
             for k in range(0, batch.num_rows, TEXTS):
                 some = batch.slice(k, TEXTS)
                 ids = [np.frombuffer(x + end, "<u4") for x in pieces.of_texts(some.column(1).to_pylist())]
