@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from comanda.functions.dates import day_range, money, percent, sunday_first, text_date
 from comanda.functions.text import contains_ci
 from comanda.operators.insights import SOURCES
+from comanda.session import spread
 from comanda.sources.adapter import Shop
 
 
@@ -23,8 +24,9 @@ def menu_stats(shop: Shop, start: str | None = None, end: str | None = None, wee
     customer and item holds what the first lines were, so nothing is ranked and nothing counted apart.
     """
     orders = shop.success.select("order_id", "customer_id", "created_on", "business_date")
-    lines = shop.sold.select("order_id", "menu_item_id", "quantity", "unit_price", "kind").join(orders, "order_id")
+    lines = spread(shop.sold.select("order_id", "menu_item_id", "quantity", "unit_price", "kind"), shop.n_lines, "order_id").join(orders, "order_id")
     lines = lines.dropDuplicates(["order_id", "menu_item_id", "quantity", "unit_price", "kind"])
+    lines = spread(lines, shop.n_lines, "menu_item_id", "customer_id")  # most pairs have one line
 
     def chosen(day: Column) -> Column:
         ok = day.isNotNull()

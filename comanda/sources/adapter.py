@@ -45,6 +45,15 @@ class Shop:
             F.col("l_extendedprice").alias("total_price"), F.col("l_returnflag").alias("flag"),
         )
 
+    @cached_property
+    def n_lines(self) -> int:
+        """Lines of all kinds, as the files' footers tell."""
+        return self.raw("lineitem").count()
+
+    @cached_property
+    def n_orders(self) -> int:
+        return self.raw("orders").count()
+
     @cached_property
     def items(self) -> DataFrame:
         return self._lines.filter("flag <> 'R'").drop("flag")
