@@ -9,7 +9,7 @@ from comanda.functions.scalars import closeness
 from comanda.functions.text import identity_key, joined_address, normal_phone, normal_text
 from comanda.operators.cosine import nearest
 from comanda.operators.entities import merge_policy, name_ratio
-from comanda.session import written
+from comanda.session import spread, written
 from comanda.sources.adapter import Shop
 
 #: Nearest texts that are scored for each customer.
@@ -51,8 +51,8 @@ def profiles(shop: Shop, merges: DataFrame) -> DataFrame:
 def recent_orders(shop: Shop, k: int = 6) -> DataFrame:
     """Each customer's last orders with their items by name: ``name`` or ``name xN``."""
     nth = F.row_number().over(Window.partitionBy("customer_id").orderBy(F.desc("created_on"), F.desc("order_id")))
-    last = shop.orders.withColumn("nth", nth).filter(F.col("nth") <= k).select("customer_id", "order_id", "nth", "total")
-    lines = shop.items.join(last.select("order_id"), "order_id").join(shop.menu.select("menu_item_id", "name"), "menu_item_id", "left").filter("trim(name) <> ''")
+    last = spread(shop.orders, shop.n_orders, "customer_id").withColumn("nth", nth).filter(F.col("nth") <= k).select("customer_id", "order_id", "nth", "total")
+    lines = spread(shop.items, shop.n_lines, "order_id").join(last.select("order_id"), "order_id").join(shop.menu.select("menu_item_id", "name"), "menu_item_id", "left").filter("trim(name) <> ''")
     each = lines.groupBy("order_id", F.trim("name").alias("name")).agg(F.sum(F.col("quantity").cast("long")).alias("q"))
     text = F.when(F.col("q") > 1, F.concat("name", F.lit(" x"), F.col("q").cast("string"))).otherwise(F.col("name"))
     lists = each.groupBy("order_id").agg(F.sort_array(F.collect_list(F.struct(F.lower("name"), "name", text.alias("t")))).alias("l")).select("order_id", F.array_join(F.col("l.t"), ", ").alias("items"))
@@ -60,9 +60,12 @@ def recent_orders(shop: Shop, k: int = 6) -> DataFrame:
 
 
 def top_items(shop: Shop, k: int = 3) -> DataFrame:
-    """Each customer's items of most quantity, then most orders, then name."""
-    rows = shop.items.join(shop.orders.select("order_id", "customer_id"), "order_id").join(shop.menu.select("menu_item_id", "name"), "menu_item_id")
-    each = rows.groupBy("customer_id", "name").agg(F.countDistinct("order_id").alias("orders"), F.sum("quantity").alias("quantity"))
+    """Each customer's items of most quantity, then most orders, then name. Every order becomes one row of an item
+    where its lines lie together, so that orders are counted without being told apart again."""
+    named = shop.items.join(shop.menu.select("menu_item_id", "name"), "menu_item_id")
+    rows = spread(named.select("order_id", "name", "quantity"), shop.n_lines, "order_id").groupBy("order_id", "name").agg(F.sum("quantity").alias("quantity"))
+    rows = rows.join(shop.orders.select("order_id", "customer_id"), "order_id").select("customer_id", "name", "quantity")
+    each = spread(rows, shop.n_lines, "customer_id", "name").groupBy("customer_id", "name").agg(F.count(F.lit(1)).alias("orders"), F.sum("quantity").alias("quantity"))
     nth = F.row_number().over(Window.partitionBy("customer_id").orderBy(F.desc("quantity"), F.desc("orders"), F.lower("name"), "name"))
     return each.withColumn("nth", nth).filter(F.col("nth") <= k)
 
