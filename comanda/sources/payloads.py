@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from comanda.functions.scalars import parsed_time
 from comanda.functions.text import identity_key, normal_text
+from comanda.session import spread
 from comanda.sources.adapter import Shop
 from comanda.streaming.incremental import latest
 
@@ -20,25 +21,33 @@ _TEXTS = ("order_type", "sub_order_type", "order_from_id", "biller", "assignee",
 _AMOUNTS = ("core_total", "tax_total", "discount_total", "delivery_charges", "packaging_charge", "service_charge", "round_off")
 _HEADER = ", ".join(f"{c}: string" for c in (*_TEXTS, "no_of_persons", *_AMOUNTS))
 _LINE = "itemid: bigint, quantity: double, price: double, total: double"
-EVENT = (
-    "stream_id bigint, event_id string, aggregate_id string, occurred_at string, raw_event struct<raw_payload: struct<properties: struct<"
-    f"Order: struct<orderID: bigint, created_on: string, total: double, order_from: string, status: string, {_HEADER}>, Customer: struct<name: string, phone: string, address: string>, Restaurant: struct<restID: string, res_name: string>, "
-    f"OrderItem: array<struct<{_LINE}, addon: array<struct<{_LINE}>>>>, Tax: array<struct<title: string, rate: double, amount: double>>, Discount: array<struct<title: string, amount: double>>>>>"
-)
-PAYLOAD = f"struct<{EVENT}>"
+_PROPERTIES = {
+    "Order": f"struct<orderID: bigint, created_on: string, total: double, order_from: string, status: string, {_HEADER}>", "Customer": "struct<name: string, phone: string, address: string>", "Restaurant": "struct<restID: string, res_name: string>",
+    "OrderItem": f"array<struct<{_LINE}, addon: array<struct<{_LINE}>>>>", "Tax": "array<struct<title: string, rate: double, amount: double>>", "Discount": "array<struct<title: string, amount: double>>",
+}
+#: What counters of customers need.
+_BRIEF = {"Order": "struct<orderID: bigint, created_on: string, total: double>", "Customer": _PROPERTIES["Customer"]}
+
+
+def _event(properties: dict[str, str]) -> str:
+    inner = ", ".join(f"{k}: {v}" for k, v in properties.items())
+    return f"stream_id bigint, event_id string, aggregate_id string, occurred_at string, raw_event struct<raw_payload: struct<properties: struct<{inner}>>>"
+
+
+EVENT = _event(_PROPERTIES)
 REPLAYS = "order_id % 5 = 0"
 
 
-def _line_list(lines: DataFrame, name: str) -> DataFrame:
+def _line_list(lines: DataFrame, n: int, name: str) -> DataFrame:
     line = F.struct("line_no", F.col("menu_item_id").alias("itemid"), "quantity", F.col("unit_price").alias("price"), F.col("total_price").alias("total"))
-    return lines.groupBy("order_id").agg(F.sort_array(F.collect_list(line)).alias(name))
+    return spread(lines, n, "order_id").groupBy("order_id").agg(F.sort_array(F.collect_list(line)).alias(name))
 
 
 def order_feed(shop: Shop) -> DataFrame:
     """stream_id, payload: an event for each order, and a second one for some, with one more in total."""
     made = F.date_format("created_on", "yyyy-MM-dd'T'HH:mm:ss")
-    rows = shop.orders.join(shop.customers.select("customer_id", "name"), "customer_id")
-    rows = rows.join(_line_list(shop.items, "lines"), "order_id", "left").join(_line_list(shop.addons, "extras"), "order_id", "left")
+    rows = spread(shop.orders.join(shop.customers.select("customer_id", "name"), "customer_id"), shop.n_lines, "order_id")  # documents are the work here
+    rows = rows.join(_line_list(shop.items, shop.n_lines, "lines"), "order_id", "left").join(_line_list(shop.addons, shop.n_lines, "extras"), "order_id", "left")
     plain = lambda x: F.transform(x, lambda i: i.dropFields("line_no"))
     item = F.transform("lines", lambda x, k: x.dropFields("line_no").withField("addon", F.when(k == 0, F.coalesce(plain(F.col("extras")), F.array()))))
     phone = F.when(F.col("customer_id") % 3 == 0, F.format_string("+91 98%08d", F.col("customer_id") - F.col("customer_id") % 2))
@@ -46,8 +55,8 @@ def order_feed(shop: Shop) -> DataFrame:
     address = F.when(F.col("customer_id") % 3 != 2, F.when(F.col("order_id") % 2 == 0, F.upper(street)).otherwise(street))
     tax = lambda title: F.struct(F.lit(title).alias("title"), F.lit(2.5).alias("rate"), (F.col("total") * 0.025).alias("amount"))
     discount = F.when(F.col("order_id") % 4 == 0, F.array(F.struct(F.lit("Welcome").alias("title"), F.lit(10.0).alias("amount")))).otherwise(F.array())
-    again = rows.filter(REPLAYS).withColumn("again", F.lit(1)).withColumn("total", F.col("total") + 1)
-    events = rows.withColumn("again", F.lit(0)).unionByName(again)
+    times = F.explode(F.when(F.expr(REPLAYS), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    events = rows.withColumn("again", times).withColumn("total", F.when(F.col("again") == 1, F.col("total") + 1).otherwise(F.col("total")))
     i = F.col("order_id")
     table = F.when(i % 3 == 0, (i % 20).cast("string"))
     kind = F.when(i % 3 == 0, "Dine In").when(i % 3 == 1, "Delivery").otherwise("Pick Up")
@@ -66,11 +75,13 @@ def order_feed(shop: Shop) -> DataFrame:
     return events.select(stream_id, F.to_json(event).alias("payload"))
 
 
-def opened(feed: DataFrame) -> DataFrame:
-    """One row for each order of ``feed(payload)``, from its latest event; broken documents are left out."""
-    e = feed.select(F.from_json("payload", PAYLOAD).alias("e")).filter("e.stream_id is not null")
+def opened(feed: DataFrame, brief: bool = False) -> DataFrame:
+    """One row for each order of ``feed(payload)``, from its latest event; broken documents are left out.
+    ``brief``: only what counters of customers need is read and moved."""
+    kept = _BRIEF if brief else _PROPERTIES
+    e = feed.select(F.from_json("payload", f"struct<{_event(kept)}>").alias("e")).filter("e.stream_id is not null")
     p = "e.raw_event.raw_payload.properties"
-    rows = e.select("e.stream_id", "e.event_id", F.coalesce(parsed_time(F.col(f"{p}.Order.created_on")), parsed_time(F.col("e.occurred_at"))).alias("created_on"), *[F.col(f"{p}.{c}") for c in ("Order", "Customer", "Restaurant", "OrderItem", "Tax", "Discount")])
+    rows = e.select("e.stream_id", "e.event_id", F.coalesce(parsed_time(F.col(f"{p}.Order.created_on")), parsed_time(F.col("e.occurred_at"))).alias("created_on"), *[F.col(f"{p}.{c}") for c in kept])
     return latest(rows.withColumn("order_id", F.col("Order.orderID")), ["order_id"], "stream_id")
 
 
@@ -78,7 +89,7 @@ def headers(feed: DataFrame) -> DataFrame:
     """The whole header of each order of ``feed(payload)``: its fields as its first event has them, since a later
     one brings its stream_id and event_id only. Amounts and persons that are missing or no numbers are 0,
     a missing type, origin or status is empty; broken documents and those without an order id are left out."""
-    e = feed.select(F.from_json("payload", PAYLOAD).alias("e")).filter("e.stream_id is not null and e.raw_event.raw_payload.properties.Order.orderID is not null")
+    e = feed.select(F.from_json("payload", f"struct<{_event({k: _PROPERTIES[k] for k in ('Order', 'Restaurant')})}>").alias("e")).filter("e.stream_id is not null and e.raw_event.raw_payload.properties.Order.orderID is not null")
     p = "e.raw_event.raw_payload.properties"
     o = lambda c: F.col(f"{p}.Order.{c}")
     occurred = parsed_time(F.col("e.occurred_at"))
@@ -116,7 +127,7 @@ def tables(feed: DataFrame) -> dict[str, DataFrame]:
 def customers_of(feed: DataFrame) -> DataFrame:
     """Customers by identity key: first name, phone and address by stream, counters, and whether
     verified; what was once known or verified stays so."""
-    rows = opened(feed)
+    rows = opened(feed, brief=True)
     known = rows.select(key_of(rows).alias("identity_key"), "stream_id", "created_on", F.col("Order.total").alias("total"), F.col("Customer.name").alias("name"), F.col("Customer.phone").alias("phone"), F.trim("Customer.address").alias("address"))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("stream_id"))).alias(c)
     out = known.groupBy("identity_key").agg(first("name"), first("phone"), first("address"), F.min("created_on").alias("first_order"), F.max("created_on").alias("last_order"), F.count(F.lit(1)).alias("total_orders"), F.sum("total").alias("total_spent"))
@@ -125,7 +136,7 @@ def customers_of(feed: DataFrame) -> DataFrame:
 
 def address_book(feed: DataFrame) -> DataFrame:
     """Each customer's different addresses (case and spaces aside); the first by stream is the default."""
-    rows = opened(feed)
+    rows = opened(feed, brief=True)
     seen = rows.select(key_of(rows).alias("identity_key"), "stream_id", F.trim("Customer.address").alias("address")).filter("address <> ''")
     each = seen.groupBy("identity_key", normal_text(F.col("address")).alias("folded")).agg(F.min_by("address", "stream_id").alias("address"), F.min("stream_id").alias("since"))
     place = F.row_number().over(Window.partitionBy("identity_key").orderBy("since"))
@@ -134,7 +145,7 @@ def address_book(feed: DataFrame) -> DataFrame:
 
 def running_counters(feed: DataFrame) -> DataFrame:
     """Every order with its customer's orders and spend up to it, in the order of the stream."""
-    rows = opened(feed)
+    rows = opened(feed, brief=True)
     upto = Window.partitionBy("identity_key").orderBy("stream_id").rowsBetween(Window.unboundedPreceding, 0)
     known = rows.select("order_id", "stream_id", key_of(rows).alias("identity_key"), F.col("Order.total").alias("total"))
     return known.select("order_id", "identity_key", F.count(F.lit(1)).over(upto).alias("orders_so_far"), F.round(F.sum("total").over(upto), 2).alias("spent_so_far"))
