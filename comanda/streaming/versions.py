@@ -108,7 +108,7 @@ class Table:
         touched = self._touched(changes, head)
         path = f"{self.folder}/data/{uuid.uuid4().hex}"
         rows = fold(self._rows(spark, head, touched), changes).select(*head.schema.names).withColumn("_bucket", self._bucket(head))
-        rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path)
+        rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path, compression="zstd")
         made = spark.read.schema("_bucket int").parquet(path)
         new = {r["_bucket"]: f"{path}/_bucket={r['_bucket']}" for r in made.select("_bucket").distinct().collect()}
         kept = {b: p for b, p in head.paths.items() if b not in touched}
