@@ -140,7 +140,7 @@ add("T2_replay_is_idempotent", _replayed, "SELECT order_id, count(*) AS lines, r
 def _kept_customers(s: Shop):
     """Half of the orders, some walk-in customers verified by hand, the other half, and then all events again
     with the later ones of some orders."""
-    feed = written(payloads.order_feed(s), "feed")
+    feed = written(payloads.order_feed(s), "feed", "zstd")
     book = customers.Customers.open(s.spark, scratch(s.spark, "customers"), buckets=16)
     half = lambda k: feed.filter((F.col("stream_id") < 1_000_000_000) & (F.floor(F.col("stream_id") / 2) % 2 == k))
     book.ingest(half(0), 0)

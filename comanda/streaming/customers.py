@@ -51,7 +51,7 @@ class Customers:
         seen = rows.select("order_id", "stream_id", key_of(rows).alias("identity_key"), F.col("Order.total").alias("total"), "created_on", F.coalesce(F.nullif(F.trim("Customer.name"), F.lit("")), F.lit("Anonymous")).alias("name"), F.nullif(F.trim("Customer.phone"), F.lit("")).alias("phone"), F.nullif(F.trim("Customer.address"), F.lit("")).alias("address"))
         if survivors is not None:
             seen = seen.join(survivors, "identity_key", "left").withColumn("identity_key", F.coalesce("survivor", "identity_key")).drop("survivor")
-        seen = written(seen, "seen")
+        seen = written(seen, "seen", "zstd")
         self.customers.change(self._differences(seen), _folded, mark)
         self.orders.upsert(seen.select("order_id", "stream_id", "identity_key", "total"), "stream_id", mark)
 

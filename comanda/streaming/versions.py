@@ -104,7 +104,7 @@ class Table:
         head, spark = self.head(), changes.sparkSession
         if mark is not None and head.mark is not None and mark <= head.mark:
             return head.version
-        changes = written(changes, "changes")
+        changes = written(changes, "changes", "zstd")
         touched = self._touched(changes, head)
         path = f"{self.folder}/data/{uuid.uuid4().hex}"
         rows = fold(self._rows(spark, head, touched), changes).select(*head.schema.names).withColumn("_bucket", self._bucket(head))
