@@ -1,15 +1,17 @@
 """Exact nearest neighbours by cosine of tf-idf grams, in blocks of pairs.
 
-Texts are dealt into blocks by a hash of their id, and every block of askers meets every block of texts in
-one task, which multiplies their sparse vectors: the commonest grams as dense columns, the rest by postings.
-It hands on the k best of each asker alone, so no pair is shuffled, spilled or written; a task holds two
-blocks and a strip of scores. The work grows with the square of the texts, the rows handed on with texts
-times blocks. Grams are compared by 64-bit hashes.
+Texts are dealt into blocks by a hash of their id. The blocks are written once, a row each, and every block of
+askers meets every block of texts in a Cartesian product, whose tasks read the blocks from the files: no copy of a
+text is shuffled. A task multiplies sparse vectors, the commonest grams as dense columns, the rest by postings, and
+hands on the k best of each asker among all blocks that it read. No pair is shuffled, spilled or written; a task
+holds its share of the blocks and a strip of scores. The work grows with the square of the texts, the disk
+with the texts. Grams are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from comanda.session import written
 
 #: Texts of a block, and the fewest blocks, so that few texts are spread as well.
-BLOCK, LEAST = 32_768, 6
+BLOCK, LEAST = 8_192, 6
 #: Grams that are dense columns at most, each in so large a part of a block; scores and products at a time.
 DENSE, COMMON, STRIP = 512, 1 / 50, 1 << 21
 #: Scores are compared as rounded to so many places.
@@ -103,6 +105,33 @@ def _best(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({"id": a["id"].to_numpy()[i], "other": b["id"].to_numpy()[j], "score": score / 10**PLACES})
 
 
+def _texts(row: pd.Series, side: str) -> pd.DataFrame:
+    """The block of one side as ``(id, g, w)``."""
+    ends = np.cumsum(row[f"{side}_n"])[:-1]
+    parts = lambda c: pd.Series(np.split(np.asarray(row[f"{side}_{c}"]), ends), dtype=object)
+    return pd.DataFrame({"id": row[f"{side}_id"], "g": parts("g"), "w": parts("w")})
+
+
+def _met(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Pairs of blocks, those of one block of askers in sequence, to the ``k`` best of each asker."""
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, asked, held = None, None, None
+        for batch in batches:
+            for _, row in batch.iterrows():
+                if row["a_block"] != at:
+                    if held is not None:
+                        yield held
+                    at, asked, held = row["a_block"], _texts(row, "a"), None
+                found = _best(asked, _texts(row, "b"), k)
+                both = found if held is None else pd.concat([held, found])
+                held = both.sort_values(["id", "score", "other"], ascending=[True, False, True]).groupby("id", sort=False).head(k)
+        if held is not None:
+            yield held
+
+    return best
+
+
 def nearest(texts: DataFrame, k: int = 6, asked: DataFrame | None = None) -> DataFrame:
     """id, other, score and rank: the ``k`` nearest other texts of each of ``texts(id, text)`` (ids are
     distinct), or of the ids of ``asked(id)``; equal scores by ``other``. Texts without a common gram are
@@ -110,11 +139,17 @@ def nearest(texts: DataFrame, k: int = 6, asked: DataFrame | None = None) -> Dat
     entry = F.struct(F.xxhash64("gram").alias("g"), "w")
     vectors = written(weights(texts).groupBy("id").agg(F.collect_list(entry).alias("e")).select("id", F.col("e.g").alias("g"), F.col("e.w").alias("w")), "vectors")
     blocks = max(LEAST, math.ceil(vectors.count() / BLOCK))
-    own, every = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    askers = vectors.join(asked.select("id").distinct(), "id", "left_semi") if asked is not None else vectors
-    side = lambda rows, a, b: rows.select(a.alias("a"), b.alias("b"), *[F.col(c).alias(c) for c in ("id", "g", "w")]).groupBy("a", "b")
-    left, right = side(askers, own, every), side(vectors, every, own)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        own = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.struct("id", "g", "w").alias("t"))
+        each = own.repartition(blocks, "block").groupBy("block").agg(F.collect_list("t").alias("t"))  # about BLOCK texts a row
+        return written(each.select("block", F.col("t.id").alias("id"), F.transform("t", lambda x: F.size(x["g"])).alias("n"), F.flatten("t.g").alias("g"), F.flatten("t.w").alias("w")), "blocks")
+
+    side = lambda rows, name: rows.select(*[F.col(c).alias(f"{name}_{c}") for c in rows.columns])
+    every = dealt(vectors)
+    askers = dealt(vectors.join(asked.select("id").distinct(), "id", "left_semi")) if asked is not None else every
     kind = vectors.schema["id"].dataType.simpleString()
-    met = left.cogroup(right).applyInPandas(lambda a, b: _best(a, b, k), f"id {kind}, other {kind}, score double")
+    pairs = side(askers, "a").hint("shuffle_replicate_nl").crossJoin(side(every, "b"))
+    met = pairs.mapInPandas(_met(k), f"id {kind}, other {kind}, score double")
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other")))
     return ranked.filter(F.col("rank") <= k)
