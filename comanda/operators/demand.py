@@ -59,10 +59,11 @@ class Demand:
         return scored.select(*rows.columns, "probability", p50.alias("p50"), F.greatest(p50, p90).alias("p90"))
 
 
-def trained(rows: DataFrame, seed: int = 7) -> Demand:
+def trained(rows: DataFrame, seed: int = 7, ready: bool = False) -> Demand:
     """Fits on ``features(training=True)`` rows: the calibration on the last fifth of the days with a
-    classifier of the days before, the final classifier on all, the quantiles on what sold."""
-    rows = written(rows, "demand-features")  # read by every pass of the fits
+    classifier of the days before, the final classifier on all, the quantiles on what sold. ``ready`` rows are
+    those of a written table."""
+    rows = rows if ready else written(rows, "demand-features")  # read by every pass of the fits
     quantities = quantiles.fitted(rows.filter("q > 0"), "q", FEATURES)
     if rows.agg(F.count_distinct(F.col("q") > 0)).first()[0] < 2:
         return Demand(None, None, quantities)
@@ -79,7 +80,7 @@ def trained(rows: DataFrame, seed: int = 7) -> Demand:
 def held_out(rows: DataFrame, share: float = 0.8) -> DataFrame:
     """``features`` rows of the last days, as predicted by models of the first ``share`` of the days."""
     parts = written(time_split(rows, share), "demand-parts")
-    model = trained(parts.filter("part = 'train'").drop("part"))
+    model = trained(parts.filter("part = 'train'").drop("part"), ready=True)
     return model.predicted(parts.filter("part = 'test'").drop("part"))
 
 

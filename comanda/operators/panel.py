@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from comanda.functions.dates import text_date
 from comanda.operators.menu import unit_factor
 from comanda.operators.series import one_series
+from comanda.session import spread, written
 from comanda.sources.adapter import Shop
 
 LAGS = ["lag_1", "lag_7", "rolling_mean_7", "rolling_mean_14", "rolling_trend_3"]
@@ -69,10 +70,12 @@ def priors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return store, kinds
 
 
-def features(rows: DataFrame, training: bool = False) -> DataFrame:
+def features(rows: DataFrame, training: bool = False, n_rows: int | None = None) -> DataFrame:
     """``panel`` rows with FEATURES. Lags of an item's first COLD_DAYS days are its category's mean;
-    for training, rows that still lack one go."""
+    for training, rows that still lack one go. Where ``n_rows`` tells how many rows there are, tasks follow it."""
     store, kinds = priors(rows)
+    if n_rows is not None:
+        rows = spread(rows, n_rows, "menu_item_id")
     item = _by_item()
     weekend = F.when(F.weekday("day") >= 5, 1).otherwise(0)
     own = lambda n: F.coalesce(_shifted("q", F.sum, n, item), F.lit(0.0))
@@ -95,6 +98,12 @@ def features(rows: DataFrame, training: bool = False) -> DataFrame:
     return out.dropna(subset=LAGS) if training else out
 
 
+def written_features(rows: DataFrame) -> DataFrame:
+    """``features`` for training of a written panel, written: in tasks and files by its rows. A dense panel has
+    many rows of few bytes, by whose size alone a few tasks would make and later read it."""
+    return written(features(rows, True, rows.count()), "demand")
+
+
 def training_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows for the classifier with ``sold``, rows for the regressor with ``target``): all of
     ``features``, and those that sold."""

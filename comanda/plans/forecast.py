@@ -173,20 +173,22 @@ add(
 
 
 def _demand(s: Shop):
-    rows = written(_features(s, True), "demand")
-    return rows, demand.trained(rows)
+    panel = written(_panel(s), "panel")
+    rows = ops.written_features(panel)
+    return panel, rows, demand.trained(rows, ready=True)
 
 
 def _backtest(s: Shop, days: int = 30):
     """The last days, in sample."""
-    rows, model = _demand(s)
+    _, rows, model = _demand(s)
     last = rows.filter(F.col("day") > F.date_sub(F.lit(NOW[1]).cast("date"), days))
     said = demand.combined(model.predicted(last))
     return said.select("menu_item_id", text_date(F.col("day")).alias("day"), "q", F.round("probability", 4).alias("probability"), F.round("p50", 2).alias("p50"), F.round("p90", 2).alias("p90"), "prep")
 
 
 def _forecast(s: Shop):
-    said = demand.forecast(_panel(s), _demand(s)[1], NOW[1])
+    panel, _, model = _demand(s)
+    said = demand.forecast(panel, model, NOW[1])
     return said.select("menu_item_id", text_date(F.col("day")).alias("day"), F.round("probability", 4).alias("probability"), F.round("p50", 2).alias("p50"), F.round("p90", 2).alias("p90"), "prep")
 
 
@@ -196,7 +198,7 @@ def _next_day(s: Shop):
     return rows.select("menu_item_id", *[F.col(c) if c in _EXACT else F.round(c, 4).alias(c) for c in ops.FEATURES])
 
 
-add("M6_demand_metrics", lambda s: ops.forecast_metrics(demand.held_out(_features(s, True))), None)
+add("M6_demand_metrics", lambda s: ops.forecast_metrics(demand.held_out(ops.written_features(written(_panel(s), "panel")))), None)
 add("M10_in_sample_backtest", _backtest, None)
 add("M9_demand_forecast", _forecast, None)
 _NEXT = ", ".join("25.0 AS temperature" if c == "temperature" else "1.0 AS rain" if c == "rain" else f"CASE WHEN isodow(DATE '{NOW[1]}') >= 6 THEN 25.0 ELSE 0.0 END AS temp_weekend" if c == "temp_weekend" else f"CAST(coalesce({c if c in _EXACT else f'round({c}, 4)'}) AS DOUBLE) AS {c}" for c in ops.FEATURES)
