@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from comanda.operators import quantiles
 from comanda.operators.panel import COLD_DAYS, FEATURES, LAGS, time_split
-from comanda.session import written
+from comanda.session import spread, written
 
 #: Quantities of an item that its next day's features need.
 CARRIED = 14
@@ -128,7 +128,7 @@ def next_features(state: DataFrame, day: str, temperature: float, rain: float) -
     kinds = back.groupBy("category", "back").agg(F.sum("q").alias("s"), F.count(F.lit(1)).alias("n"))
     store = kinds.groupBy("back").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).agg(F.sum(F.when(F.col("back") < 3, F.col("s"))).alias("all3"), F.sum("s").alias("all7"), F.avg(F.col("s") / F.col("n")).alias("mean"))
     kinds = kinds.groupBy(F.col("category").alias("kind")).agg(F.avg(F.col("s") / F.col("n")).alias("own"))
-    rows = state.join(kinds, state["category"].eqNullSafe(kinds["kind"]), "left").join(F.broadcast(store))  # one row
+    rows = state.join(F.broadcast(kinds), state["category"].eqNullSafe(kinds["kind"]), "left").join(F.broadcast(store))  # a row a category, one row
     size = F.size("recent")
     total = lambda lo, hi: F.aggregate(F.slice(F.reverse("recent"), lo, hi - lo + 1), F.lit(0.0), lambda a, x: a + x)
     count = lambda lo, hi: F.greatest(F.lit(0), F.least(size, F.lit(hi)) - (lo - 1))
@@ -151,7 +151,7 @@ def forecast(panel: DataFrame, demand: Demand, end: str, horizon: int = 14, weat
     """menu_item_id, day, probability, p50, p90, prep for the days after ``end``, one day after the
     other: the rounded median demand of a day is history for the next. Weather is the mean of the last days."""
     weather = weather or last_weather(panel)
-    state, out = written(carried(panel), "demand-state"), None
+    state, out = written(carried(spread(panel, panel.count(), "menu_item_id")), "demand-state"), None
     for k in range(1, horizon + 1):
         day = (date.fromisoformat(end) + timedelta(days=k)).isoformat()
         said = combined(demand.predicted(next_features(state, day, *weather)))
