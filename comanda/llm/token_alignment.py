@@ -13,9 +13,10 @@ the same numbers.
 
 Tokens come from units, runs of white space with the word behind them. Neither tokenizer joins
 across the end of a word before white space (checked against the vocabulary of B; A splits there by its
-own pattern), so a unit is encoded once per task and texts are put together; texts with carriage
-returns, or characters that count as white space for one side only, are encoded whole. Tests hold the ids to those of
-whole texts.
+own pattern), so texts are put together from units and A encodes units not met before in runs, taken apart
+where byte ends meet; texts with carriage returns, or characters that count as white space for one side only, are
+encoded whole. A Python worker remembers units up to a bound: those met first, the common ones, stay, and later
+ones are forgotten when it is reached. Tests hold the ids to those of whole texts.
 
 Defined cases: texts that are null or empty, or whose joined token bytes differ from the text, have
 no tokens, zeros and an empty hash; repeated rows count as documents each; an empty table gives an
@@ -26,8 +27,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,12 @@ SPACE = "\t-\x0c \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 UNSURE = re.compile("[\r\x1c-\x1f\x85\u180e\u200b\ufeff]")
 MARK = "\u2581"
-#: Bytes of text aligned at once, remembered characters of units, and pair counts held before they leave a task.
-SLICE, REMEMBERED, HELD = 2_000_000, 6_000_000, 1_000_000
+#: Characters of text aligned at once, and pair counts held before they leave a task.
+SLICE, HELD = 2_000_000, 1_000_000
+#: Bytes that remembered units may take before some are forgotten (about 260 each), and those of the units that stay.
+REMEMBERED, STAY = 66_000_000, 53_000_000
+#: Units that A encodes as one text.
+RUN = 128
 #: A pair is hot with more than one in HOT of all (document, pair) entries.
 HOT = 1 << 20
 
@@ -56,6 +62,12 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _laid_out(ids: Iterable[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids end to end, and where each stops."""
+    ids = list(ids)
+    return np.fromiter(chain.from_iterable(ids), "<i4"), np.cumsum(np.fromiter(map(len, ids), np.int64))
+
+
 class Tokenizers:
     """Ids of both tokenizers for texts, and the bytes of each id."""
 
@@ -83,7 +95,16 @@ class Tokenizers:
         self.of_a: dict[str, bytes] = {}
         self.of_b: dict[str, bytes] = {}
         self.unlike: set[str] = set()
-        self.remembered = 0
+        self.remembered = self.stay = self.stay_bytes = 0
+
+    def _ids_a(self, words: list[str], others: list[str], stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both end to end, and where each unit's stop. Words go in runs; if a token lies across the end of
+        a unit (``stops`` in bytes), each goes alone."""
+        encoded = lambda texts: _laid_out(x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False))
+        ids, _ = encoded(["".join(words[k : k + RUN]) for k in range(0, len(words), RUN)] + others)
+        ends = np.append(0, np.cumsum(self.size_a[ids]))
+        until = np.minimum(np.searchsorted(ends, stops), len(ids))
+        return (ids, until) if np.array_equal(ends[until], stops) else encoded(words + others)
 
     def _ids_b(self, texts: list[str]) -> list[list[int]]:
         """B puts a space in front, which is a unit's own first space; one that has none loses it again."""
@@ -98,18 +119,37 @@ class Tokenizers:
         return out
 
     def _learn(self, units: list[str]) -> None:
-        for unit, a, b in zip(units, self.a.encode_batch_fast(units, add_special_tokens=False), self._ids_b(units), strict=True):
-            whole = unit.encode()
-            if b"".join(map(self.bytes_a.__getitem__, a.ids)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
-                self.unlike.add(unit)
-            self.of_a[unit], self.of_b[unit] = np.array(a.ids, "<i4").tobytes(), np.array(b, "<i4").tobytes()
-            self.remembered += len(unit) + 100
+        # white space at the end, or what A may take for it, would join the next unit of a run
+        others = [x for x in units if x[-1].isspace() or UNSURE.search(x)]
+        alone = set(others)
+        words = [x for x in units if x not in alone]
+        units = words + others
+        whole = [x.encode() for x in units]
+        stops = np.cumsum(np.fromiter(map(len, whole), np.int64))
+        a, b = self._ids_a(words, others, stops), _laid_out(self._ids_b(units))
+        size = 200 + 4 * (np.fromiter(map(len, units), np.int64) + np.diff(a[1], prepend=0) + np.diff(b[1], prepend=0))
+        held = self.remembered + np.cumsum(size)
+        if self.remembered <= STAY:
+            more = int(np.searchsorted(held, STAY, side="right"))
+            self.stay, self.stay_bytes = len(self.of_a) + more, int(held[more - 1]) if more else self.remembered
+        self.remembered = int(held[-1])
+        for known, shown, (ids, until) in ((self.of_a, self.bytes_a, a), (self.of_b, self.bytes_b, b)):
+            got, data, at = list(map(shown.__getitem__, ids.tolist())), ids.tobytes(), [0, *until.tolist()]
+            ends = np.append(0, np.cumsum(np.fromiter(map(len, got), np.int64)))
+            if not np.array_equal(ends[until], stops) or b"".join(got) != b"".join(whole):
+                self.unlike.update(x for x, w, i, j in zip(units, whole, at, at[1:], strict=False) if b"".join(got[i:j]) != w)
+            known.update(zip(units, map(data.__getitem__, map(slice, (4 * np.append(0, until[:-1])).tolist(), (4 * until).tolist())), strict=True))
+
+    def _forget(self) -> None:
+        for x in list(islice(self.of_a, self.stay, None)):
+            del self.of_a[x], self.of_b[x]
+            self.unlike.discard(x)
+        self.remembered = self.stay_bytes
 
     def of_texts(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """Ids of " " + text by A and of text by B, as int32 bytes; empty where the text has no tokens."""
         if self.remembered > REMEMBERED:
-            self.of_a.clear(), self.of_b.clear(), self.unlike.clear()
-            self.remembered = 0
+            self._forget()
         whole = lambda text: UNSURE.search(text) is not None
         units = [[] if not text else [" " + text] if whole(text) else UNIT.findall(" " + text) for text in texts]
         new = list({u for us in units for u in us}.difference(self.of_a))
