@@ -48,8 +48,10 @@ MARK = "\u2581"
 SLICE, HELD = 2_000_000, 1_000_000
 #: Bytes that remembered units may take before some are forgotten (about 260 each), and those of the units that stay.
 REMEMBERED, STAY = 66_000_000, 53_000_000
-#: Units that A encodes as one text.
-RUN = 128
+#: Units that A encodes as one text, and characters beyond which a unit goes alone: long texts cost A more time and memory.
+RUN, LONG = 128, 100
+#: Characters of new units encoded before the next are.
+PORTION = 200_000
 #: A pair is hot with more than one in HOT of all (document, pair) entries.
 HOT = 1 << 20
 
@@ -120,7 +122,7 @@ class Tokenizers:
 
     def _learn(self, units: list[str]) -> None:
         # white space at the end, or what A may take for it, would join the next unit of a run
-        others = [x for x in units if x[-1].isspace() or UNSURE.search(x)]
+        others = [x for x in units if len(x) > LONG or x[-1].isspace() or UNSURE.search(x)]
         alone = set(others)
         words = [x for x in units if x not in alone]
         units = words + others
@@ -133,9 +135,9 @@ class Tokenizers:
             more = int(np.searchsorted(held, STAY, side="right"))
             self.stay, self.stay_bytes = len(self.of_a) + more, int(held[more - 1]) if more else self.remembered
         self.remembered = int(held[-1])
-        for known, shown, (ids, until) in ((self.of_a, self.bytes_a, a), (self.of_b, self.bytes_b, b)):
+        for known, shown, sizes, (ids, until) in ((self.of_a, self.bytes_a, self.size_a, a), (self.of_b, self.bytes_b, self.size_b, b)):
             got, data, at = list(map(shown.__getitem__, ids.tolist())), ids.tobytes(), [0, *until.tolist()]
-            ends = np.append(0, np.cumsum(np.fromiter(map(len, got), np.int64)))
+            ends = np.append(0, np.cumsum(sizes[ids]))
             if not np.array_equal(ends[until], stops) or b"".join(got) != b"".join(whole):
                 self.unlike.update(x for x, w, i, j in zip(units, whole, at, at[1:], strict=False) if b"".join(got[i:j]) != w)
             known.update(zip(units, map(data.__getitem__, map(slice, (4 * np.append(0, until[:-1])).tolist(), (4 * until).tolist())), strict=True))
@@ -153,8 +155,12 @@ class Tokenizers:
         whole = lambda text: UNSURE.search(text) is not None
         units = [[] if not text else [" " + text] if whole(text) else UNIT.findall(" " + text) for text in texts]
         new = list({u for us in units for u in us}.difference(self.of_a))
-        if new:
-            self._learn(new)
+        start = held = 0
+        for k, unit in enumerate(new, 1):
+            held += len(unit)
+            if held > PORTION or k == len(new):
+                self._learn(new[start:k])
+                start, held = k, 0
         out = []
         for us in units:
             if not us or (self.unlike and not self.unlike.isdisjoint(us)):
