@@ -22,7 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +30,17 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from comanda.session import shared_folder, written
+from comanda.session import arrow_batches, shared_folder, written
 
 MAGIC = b"CTOKENS1"
 TRAILER = "<IIqqqq8s"
 BLOCK = 4096
-#: Texts whose new parts are encoded in one call.
-TEXTS = 500
+#: Texts whose ids are written at once, and characters of them that are split, and whose new parts are encoded, in one call.
+TEXTS, PORTION = 500, 250_000
+#: Characters beyond which a part is not remembered.
+LONG = 100
+#: Bytes of the Arrow batches that tasks get; a partition in one batch would stand in the executor and in its worker.
+BATCH = 4_000_000
 #: Characters beyond which a text is not plain: ASCII but for odd controls, letters of Latin and Cyrillic
 #: that are composed and have a lower case of one letter, and general punctuation.
 ODD = re.compile("[^\t-\r -\x7e\u00a1\u00ab\u00bb\u00bf\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e\u0400-\u0481\u048a-\u04ff\u2010-\u2027]")
@@ -77,7 +81,7 @@ class Parts(dict):
     texts with odd white space or with one of the vocabulary's added tokens are encoded whole.
     """
 
-    def __init__(self, path: str, bound: int = 400_000):
+    def __init__(self, path: str, bound: int = 200_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -112,14 +116,29 @@ class Parts(dict):
         self.update((x, self.encoded(x[1:])) for x in parts if x[0] == AS_IS)
 
     def of_texts(self, texts: list[str | None]) -> list[bytes]:
+        out, start, held = [], 0, 0
+        for k, text in enumerate(texts):
+            size = len(text or "")
+            if k > start and held + size > PORTION:
+                out += self._of_portion(texts[start:k])
+                start, held = k, 0
+            held += size
+        return out + self._of_portion(texts[start:])
+
+    def _of_portion(self, texts: list[str | None]) -> list[bytes]:
         if len(self) > self.bound:
             for x in list(islice(self, self.bound // 2, None)):  # the common parts were met first
                 del self[x]
         split = list(map(self.parts_of, texts))
-        new = {x for parts in split if parts for x in parts}.difference(self)
+        # not difference(), which goes through all that a subclass of dict holds
+        new = set(filterfalse(self.__contains__, {x for parts in split if parts for x in parts}))
         if new:
             self.learn(new)
-        return [self.encoded(x) if parts is None else b"".join(map(self.__getitem__, parts)) for x, parts in zip(texts, split, strict=True)]
+        out = [self.encoded(x) if parts is None else b"".join(map(self.__getitem__, parts)) for x, parts in zip(texts, split, strict=True)]
+        for x in new:
+            if len(x) > LONG:
+                del self[x]
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -224,7 +243,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, n_vocab: int, end_id: int
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), *first)
     by = rows.columns[2:] or ["doc_id"]
     ordered = rows.repartitionByRange(*by).sortWithinPartitions(*rows.columns[2:], "doc_id", "text").select("doc_id", "text")
-    manifest = written(ordered.mapInArrow(shard, MANIFEST), "token-manifest")
+    with arrow_batches(docs.sparkSession, BATCH):
+        manifest = written(ordered.mapInArrow(shard, MANIFEST), "token-manifest")
     before = Window.partitionBy(F.lit(1)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 

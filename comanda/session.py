@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +54,18 @@ def written(df: DataFrame, name: str, compression: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most_bytes: int) -> Iterator[None]:
+    """Jobs that run meanwhile hand Python Arrow batches of about ``most_bytes``, or of one row if it is larger."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Rows of a task of ``spread``.
 TASK_ROWS = 500_000
 
