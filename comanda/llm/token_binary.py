@@ -81,7 +81,7 @@ class Parts(dict):
     texts with odd white space or with one of the vocabulary's added tokens are encoded whole.
     """
 
-    def __init__(self, path: str, bound: int = 200_000):
+    def __init__(self, path: str, bound: int = 300_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -127,11 +127,11 @@ class Parts(dict):
 
     def _of_portion(self, texts: list[str | None]) -> list[bytes]:
         if len(self) > self.bound:
-            for x in list(islice(self, self.bound // 2, None)):  # the common parts were met first
+            for x in list(islice(self, self.bound * 3 // 4, None)):  # the common parts were met first
                 del self[x]
         split = list(map(self.parts_of, texts))
         # not difference(), which goes through all that a subclass of dict holds
-        new = set(filterfalse(self.__contains__, {x for parts in split if parts for x in parts}))
+        new = set(filterfalse(self.__contains__, set().union(*filter(None, split))))
         if new:
             self.learn(new)
         out = [self.encoded(x) if parts is None else b"".join(map(self.__getitem__, parts)) for x, parts in zip(texts, split, strict=True)]
