@@ -197,18 +197,24 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(wa) > 0) & (F.size(wb) > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), base * sure))).otherwise(0.0)
 
 
-def records(shop: Shop) -> DataFrame:
-    """customer_id and r: normal name, phone and address of every customer, their text, orders and spend."""
-    rows = profiles(shop, shop.customers.select(F.col("customer_id").alias("source")).limit(0))
+def _described(rows: DataFrame, *more: str) -> DataFrame:
+    """customer_id and r: normal name, phone and address of ``rows``, their text, and ``more``."""
     name, phone, address = normal_text(F.col("name")), normal_phone(F.col("phone")), normal_text(F.col("address"))
     text = F.concat_ws(" | ", name, phone, address)
-    return rows.select("customer_id", F.struct(F.coalesce(name, F.lit("")).alias("name"), phone.alias("phone"), F.coalesce(address, F.lit("")).alias("address"), text.alias("text"), "total_orders", "total_spent").alias("r"))
+    return rows.select("customer_id", F.struct(F.coalesce(name, F.lit("")).alias("name"), phone.alias("phone"), F.coalesce(address, F.lit("")).alias("address"), text.alias("text"), *more).alias("r"))
+
+
+def records(shop: Shop) -> DataFrame:
+    """customer_id and r: normal name, phone and address of every customer, their text, orders and spend."""
+    return _described(profiles(shop, shop.customers.select(F.col("customer_id").alias("source")).limit(0)), "total_orders", "total_spent")
 
 
 def text_neighbours(shop: Shop, merges: DataFrame, k: int = NEIGHBOURS, search: str = "") -> DataFrame:
     """customer_id, other_id, cosine and rank: the active customers whose texts are nearest to each active
     one's, or to each whose name has the words searched for."""
-    known = records(shop).join(active_customers(shop.customers.select("customer_id"), merges), "customer_id", "left_semi")
+    name = F.coalesce("name", F.concat(F.lit("Customer "), F.col("customer_id").cast("string")))  # as in profiles, whose orders take no part
+    every = _described(shop.contacts.join(primary_addresses(shop), "customer_id", "left").withColumn("name", name))
+    known = every.join(active_customers(shop.customers.select("customer_id"), merges), "customer_id", "left_semi")
     asked = known.filter(F.contains("r.name", normal_text(F.lit(search)))).select(F.col("customer_id").alias("id")) if search.strip() else None
     near = nearest(known.select(F.col("customer_id").alias("id"), F.col("r.text").alias("text")), k, asked)
     return near.select(F.col("id").alias("customer_id"), F.col("other").alias("other_id"), F.col("score").alias("cosine"), "rank")
