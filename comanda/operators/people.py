@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from comanda.functions.scalars import closeness
@@ -14,6 +14,8 @@ from comanda.sources.adapter import Shop
 
 #: Nearest texts that are scored for each customer.
 NEIGHBOURS = 5
+#: Pairs scored first, those that may score most, and how many suggestions they are asked for at most.
+FIRST, FEW = 2_000, 1_000
 
 
 def primary_addresses(shop: Shop) -> DataFrame:
@@ -107,10 +109,9 @@ def same_phone_pairs(shop: Shop) -> DataFrame:
     return rows.join(first, "phone").filter("customer_id > first_id").select(F.col("first_id").alias("customer_id"), F.col("customer_id").alias("other_id"), "phone")
 
 
-def suggestions(shop: Shop, pairs: DataFrame, limit: int = 20, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Merges to suggest for ``pairs(customer_id, other_id, score)``: the stronger customer is the
-    target (verified, then orders, spend, a phone and smaller number), best scores and targets first;
-    what merge policy refuses goes."""
+def _aimed(shop: Shop, pairs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``pairs(customer_id, other_id, score)`` as merges that policy allows: the stronger customer is the
+    target (verified, then orders, spend, a phone and smaller number)."""
     totals = _totals(shop).select("customer_id", "total_orders", "total_spent")
     phones = shop.contacts.select("customer_id", normal_phone(F.col("phone")).isNotNull().cast("int").alias("has_phone"))
     rank = shop.customers.join(totals, "customer_id", "left").join(phones, "customer_id", "left").select("customer_id", F.struct(F.col("is_verified").cast("int").alias("v"), F.coalesce("total_orders", F.lit(0)).alias("o"), F.coalesce("total_spent", F.lit(0.0)).alias("s"), F.coalesce("has_phone", F.lit(0)).alias("p"), (-F.col("customer_id")).alias("i")).alias("rank"))
@@ -119,7 +120,13 @@ def suggestions(shop: Shop, pairs: DataFrame, limit: int = 20, extra: tuple[str,
     swap = F.col("customer_id_rank") > F.col("other_id_rank")
     best, worst = F.greatest("customer_id_rank", "other_id_rank"), F.least("customer_id_rank", "other_id_rank")
     rows = rows.filter(merge_policy(worst["v"] == 1, best["v"] == 1) != "error")
-    rows = rows.select(F.when(swap, F.col("other_id")).otherwise(F.col("customer_id")).alias("source"), F.when(swap, F.col("customer_id")).otherwise(F.col("other_id")).alias("target"), "score", best["o"].alias("target_orders"), best["s"].alias("target_spent"), *extra)
+    return rows.select(F.when(swap, F.col("other_id")).otherwise(F.col("customer_id")).alias("source"), F.when(swap, F.col("customer_id")).otherwise(F.col("other_id")).alias("target"), "score", best["o"].alias("target_orders"), best["s"].alias("target_spent"), *extra)
+
+
+def suggestions(shop: Shop, pairs: DataFrame, limit: int = 20, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Merges to suggest for ``pairs(customer_id, other_id, score)``: best scores and targets first;
+    what merge policy refuses goes."""
+    rows = _aimed(shop, pairs, extra)
     return rows.orderBy(F.desc("score"), F.desc("target_orders"), F.desc("target_spent"), "source", "target").limit(limit)
 
 
@@ -233,29 +240,54 @@ def similar_customers(shop: Shop, merges: DataFrame, search: str = "", limit: in
         hit = active.filter(F.contains(normal_text(F.col("name")), normal_text(F.lit(search)))).select("customer_id")
         named = lambda side: pairs.join(hit.select(F.col("customer_id").alias(side)), side, "left_semi").select(*pairs.columns)
         pairs = named("customer_id").unionByName(named("other_id")).distinct()
-    scored = pair_scores(shop, written(pairs, "candidates")).filter("kept")
-    one = scored.groupBy(F.least("customer_id", "other_id").alias("customer_id"), F.greatest("customer_id", "other_id").alias("other_id")).agg(F.max("score").alias("score"), F.max_by("reasons", "score").alias("reasons"))
-    best = suggestions(shop, one, limit, extra=("reasons",))
-    return best
-
-
-def pair_scores(shop: Shop, pairs: DataFrame) -> DataFrame:
+    known, columns = written(records(shop), "records"), pairs.columns
+
+    def suggested(rows: DataFrame) -> DataFrame:
+        scored = pair_scores(shop, rows.select(*columns), known, more=("cosine",)).filter("kept")
+        sure = F.struct("score", F.col("cosine").isNotNull(), F.col("customer_id") < F.col("other_id"))  # of equal scores the near pair's, as found first
+        one = scored.groupBy(F.least("customer_id", "other_id").alias("customer_id"), F.greatest("customer_id", "other_id").alias("other_id")).agg(F.max("score").alias("score"), F.max_by("reasons", sure).alias("reasons"))
+        return suggestions(shop, one, limit, extra=("reasons",))
+
+    if limit > FEW:
+        return suggested(written(pairs, "candidates"))
+    most = pair_scores(shop, pairs, known, at_most=True, more=("cosine",)).select(*columns, "score")
+    candidates = written(_aimed(shop, most, extra=tuple(columns)), "candidates")
+    first = candidates.orderBy(F.desc("score"), F.desc("target_orders"), F.desc("target_spent"), *columns).limit(FIRST)
+    return suggested(may_be_among(candidates, suggested(first).collect(), limit))
+
+
+def may_be_among(candidates: DataFrame, found: list[Row], limit: int) -> DataFrame:
+    """``candidates(score, target_orders, target_spent)``, scored at most so, without those that come after the last of
+    ``limit`` suggestions ``found`` even so."""
+    if len(found) < limit or not found:
+        return candidates
+    last = found[-1]
+    score, orders, spent = F.col("score"), F.col("target_orders"), F.col("target_spent")
+    equal = (orders > last["target_orders"]) | ((orders == last["target_orders"]) & (spent >= last["target_spent"] - 0.02))  # sums of money, made twice
+    return candidates.filter((score > last["score"]) | ((score == last["score"]) & equal))
+
+
+def pair_scores(shop: Shop, pairs: DataFrame, known: DataFrame | None = None, at_most: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
     """Scores of ``pairs(customer_id, other_id)``: text, name, address, behaviour and a bonus for one
     phone; and whether the score or its parts are enough to keep it. ``cosine``, where ``pairs`` has it and
-    it is not null, stands for the ratio of the texts."""
-    known = records(shop)
+    it is not null, stands for the ratio of the texts. ``known`` are the ``records``, if they are there already.
+    With ``at_most`` no ratio is computed: each is as great as it can be, and so are the scores. ``more`` of the pairs' columns are handed on."""
+    known = records(shop) if known is None else known
+    ratio = (lambda a, b: F.lit(1.0)) if at_most else name_ratio
+    named = (lambda a, b: F.when((F.length(a) > 0) & (F.length(b) > 0), 1.0).otherwise(0.0)) if at_most else name_similarity
     side = lambda k, r: known.select(F.col("customer_id").alias(k), F.col("r").alias(r))
     cosine = F.col("cosine") if "cosine" in pairs.columns else F.lit(None).cast("double")
     both = pairs.select("customer_id", "other_id", cosine.alias("cosine")).join(side("customer_id", "a"), "customer_id").join(side("other_id", "b"), "other_id")
-    both = both.repartition("customer_id")  # the ratios are the work here
+    if not at_most:
+        both = spread(both, 0, "customer_id")  # the ratios are the work here, however few the bytes
     same = F.coalesce(F.col("a.phone") == F.col("b.phone"), F.lit(False))
-    address_ratio = F.when((F.length("a.address") > 0) & (F.length("b.address") > 0), name_ratio(F.col("a.address"), F.col("b.address"))).otherwise(0.0)
+    address_ratio = F.when((F.length("a.address") > 0) & (F.length("b.address") > 0), ratio(F.col("a.address"), F.col("b.address"))).otherwise(0.0)
     behaviour = (closeness(F.col("a.total_orders"), F.col("b.total_orders")) + closeness(F.col("a.total_spent"), F.col("b.total_spent"))) / 2
-    parts = both.select("customer_id", "other_id", F.coalesce("cosine", name_ratio(F.col("a.text"), F.col("b.text"))).alias("text"), name_similarity(F.col("a.name"), F.col("b.name")).alias("name"), address_ratio.alias("address"), behaviour.alias("behaviour"), same.alias("same_phone"))
+    parts = both.select("customer_id", "other_id", F.coalesce("cosine", ratio(F.col("a.text"), F.col("b.text"))).alias("text"), named(F.col("a.name"), F.col("b.name")).alias("name"), address_ratio.alias("address"), behaviour.alias("behaviour"), same.alias("same_phone"), *more)
     score = 0.45 * F.col("text") + 0.25 * F.col("name") + 0.15 * F.col("address") + 0.15 * F.col("behaviour") + F.when(F.col("same_phone"), 0.2).otherwise(0.0)
     score = F.least(F.when(F.col("same_phone"), F.greatest(score, F.lit(0.88))).otherwise(score), F.lit(0.99))
     reasons = F.array_compact(F.array(F.when(F.col("same_phone"), "Exact phone match"), F.when(F.col("name") >= 0.85, "Very similar customer names"), F.when(F.col("address") >= 0.8, "Very similar saved addresses"), F.when(F.col("behaviour") >= 0.75, "Similar order count / spend profile"), F.when(F.col("text") >= 0.8, "Strong text similarity across name, phone, and address")))
     keep = (F.col("score") >= 0.72) | F.col("same_phone") | ((F.col("name") >= 0.8) & (F.col("address") >= 0.7))
     r4 = lambda c: F.round(c, 4).alias(c)
     out = parts.withColumn("score", score).withColumn("kept", keep).withColumn("reasons", F.when(F.size(reasons) > 0, F.array_join(reasons, "; ")).otherwise("High overall similarity score"))
-    return out.select("customer_id", "other_id", r4("score"), r4("text"), r4("name"), r4("address"), r4("behaviour"), "same_phone", "kept", "reasons")
+    return out.select("customer_id", "other_id", r4("score"), r4("text"), r4("name"), r4("address"), r4("behaviour"), "same_phone", "kept", "reasons", *more)

@@ -56,3 +56,25 @@ def test_counts_of_many_grams_are_joined_with_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(cosine, "BLOCK", 20)
     monkeypatch.setattr(cosine, "WINDOW", 16)
     assert rows() == want
+
+
+def test_only_pairs_that_may_be_suggested_are_scored(spark, monkeypatch):
+    from comanda.operators import people
+    from comanda.sources.adapter import Shop
+
+    shop = Shop(spark, "/root/testdata/sf0.001")
+    merges = shop.customers.filter("customer_id % 25 = 0").select("customer_id").selectExpr("customer_id as source", "customer_id - 1 as target")
+    counts, scores = [], people.pair_scores
+    monkeypatch.setattr(people, "FIRST", 20)
+
+    def counted(shop, pairs, *args, at_most=False, **more):
+        if not at_most:
+            counts.append(pairs.count())
+        return scores(shop, pairs, *args, at_most=at_most, **more)
+
+    monkeypatch.setattr(people, "pair_scores", counted)
+    few = people.similar_customers(shop, merges, limit=5).collect()
+    first, second = counts
+    every = people.similar_customers(shop, merges, limit=10**6).collect()
+    assert few == every[:5] and len(few) == 5
+    assert first <= 20 and first + second < counts[2] / 2  # all were scored before
